@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat, mixing, sharding
 
 
 def queries() -> dict:
     return {
+        "op2_kd_shards": sharding.op2_kd_shards,
+        "op3_chat_format": chat.op3_chat_format,
         "op8_mix_sources": mixing.op8_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_chat_format": chat.OP3_SQL,
         "op8_mix_sources": mixing.OP8_SQL,
     }
