@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding
+from . import chat, mixing, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op2_kd_shards": sharding.op2_kd_shards,
         "op3_chat_format": chat.op3_chat_format,
+        "op4_quality_rules": quality.op4_quality_rules,
         "op8_mix_sources": mixing.op8_mix_sources,
     }
 
@@ -16,5 +17,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat_format": chat.OP3_SQL,
+        "op4_quality_rules": quality.OP4_SQL,
         "op8_mix_sources": mixing.OP8_SQL,
     }
