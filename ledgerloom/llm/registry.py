@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, sharding
+from . import chat, mixing, quality, sharding, winnowing
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_kd_shards": sharding.op2_kd_shards,
         "op3_chat_format": chat.op3_chat_format,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op7_winnow": winnowing.op7_winnow,
         "op8_mix_sources": mixing.op8_mix_sources,
     }
 
