@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, sharding, winnowing
+from . import chat, mixing, quality, sharding, warc, winnowing
 
 
 def queries() -> dict:
     return {
+        "op1_warc_round_trip": warc.op1_warc_round_trip,
         "op2_kd_shards": sharding.op2_kd_shards,
         "op3_chat_format": chat.op3_chat_format,
         "op4_quality_rules": quality.op4_quality_rules,
@@ -17,6 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc_round_trip": warc.OP1_SQL,
         "op3_chat_format": chat.OP3_SQL,
         "op4_quality_rules": quality.OP4_SQL,
         "op8_mix_sources": mixing.OP8_SQL,
