@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, sharding, warc, winnowing
+from . import chat, minhash, mixing, quality, sharding, warc, winnowing
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_quality_rules": quality.op4_quality_rules,
         "op7_winnow": winnowing.op7_winnow,
         "op8_mix_sources": mixing.op8_mix_sources,
+        "op10_near_duplicates": minhash.op10_near_duplicates,
     }
 
 
@@ -22,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_format": chat.OP3_SQL,
         "op4_quality_rules": quality.OP4_SQL,
         "op8_mix_sources": mixing.OP8_SQL,
+        "op10_near_duplicates": minhash.OP10_SQL,
     }
