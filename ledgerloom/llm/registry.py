@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, minhash, mixing, quality, sharding, warc, winnowing
+from . import chat, minhash, mixing, quality, sharding, toxicity, warc, winnowing
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_quality_rules": quality.op4_quality_rules,
         "op7_winnow": winnowing.op7_winnow,
         "op8_mix_sources": mixing.op8_mix_sources,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_near_duplicates": minhash.op10_near_duplicates,
     }
 
