@@ -32,13 +32,14 @@ def byte_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long")
 
 
-#: The metadata dimensions of a document, in the order that breaks ties of width.
-DIMENSIONS = {
-    "source": _code(F.col("source")),
-    "lang": _code(F.col("lang")),
-    "length": F.log2(byte_size(F.col("text")).cast("double")),
-    "id": F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)),
-}
+def metadata() -> dict[str, Column]:
+    """The dimensions of a document, in the order that breaks ties of width."""
+    return {
+        "source": _code(F.col("source")),
+        "lang": _code(F.col("lang")),
+        "length": F.log2(byte_size(F.col("text")).cast("double")),
+        "id": F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)),
+    }
 
 
 class _Node:
@@ -152,7 +153,7 @@ def assign_shards(docs: DataFrame, shards: int | None = None, target_bytes: int
     key stay together, and null keys are one place. Null texts have no bytes. An empty table gives
     an empty result.
     """
-    dimensions = dimensions or DIMENSIONS
+    dimensions = dimensions or metadata()
     docs = docs.drop("shard")
     root = _tree(common.stored(_numbers(docs, key, dimensions)), dimensions, shards, target_bytes)
     tie = F.coalesce(F.col(key).cast("long"), F.lit(-(2**53)).cast("long"))
@@ -180,8 +181,9 @@ def with_slots(placed: DataFrame, key: str, rows_per_bucket: int = 100_000) -> D
 def op2_kd_shards(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32")
-    numbers = common.stored(_numbers(docs, "doc_id", DIMENSIONS, crc))
-    root = _tree(numbers, DIMENSIONS, 40, None)
-    placed = numbers.withColumn("shard", root.place({f"_d_{k}": F.col(f"_d_{k}") for k in DIMENSIONS}, F.col("_tie")))
+    dimensions = metadata()
+    numbers = common.stored(_numbers(docs, "doc_id", dimensions, crc))
+    root = _tree(numbers, dimensions, 40, None)
+    placed = numbers.withColumn("shard", root.place({f"_d_{k}": F.col(f"_d_{k}") for k in dimensions}, F.col("_tie")))
     slots = with_slots(placed, "doc_id")
     return slots.select("doc_id", F.col("_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -289,7 +289,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def may_learn(doc_id) -> F.Column:
+def may_learn(doc_id) -> Column:
     """Rows whose labels may be used; the others are held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
 
