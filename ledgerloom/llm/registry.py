@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html, minhash, mixing, quality, sharding, toxicity, warc, winnowing
+from . import chat, html, minhash, mixing, pieces, quality, sharding, toxicity, warc, winnowing
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_kd_shards": sharding.op2_kd_shards,
         "op3_chat_format": chat.op3_chat_format,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_sentencepiece": pieces.op5_sentencepiece,
         "op6_extract_html": html.op6_extract_html,
         "op7_winnow": winnowing.op7_winnow,
         "op8_mix_sources": mixing.op8_mix_sources,
