@@ -6,14 +6,16 @@ all minima, packed, estimate a candidate pair's similarity by bit counts, correc
 collisions; pairs that can reach the threshold are confirmed on the full sets.
 
 A bucket of many classes is not expanded into pairs. Each of its classes is first compared with one
-leader, which joins most groups of copies; then, in blocks, only classes that are still in different
-components are compared, all with all.
+leader, which joins most groups of copies. Classes that still are in different components are then
+compared in blocks, in numpy, first by their bits and then on their sets; a block gives out no more
+links than join its components.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,8 @@ BANDS, ROWS = 32, 4
 BITS = 2
 #: A pair is confirmed on its sets if its estimate is no more than this below the threshold, six standard errors.
 MARGIN = 0.25
-#: Classes of a bucket are compared all with all in blocks of so many.
-BLOCK = 512
+#: Classes are compared all with all in blocks of so many, by their bits and on their sets.
+BLOCK, EXACT_BLOCK = 512, 256
 #: A set of ids up to this many (8 bytes each) may be broadcast.
 BROADCAST_IDS = 500_000
 SHINGLE, THRESHOLD = 5, 80
@@ -176,64 +178,134 @@ def _linked(texts: pa.Array, n: int, threshold: int) -> pa.Array:
     return pa.array((100 * both >= threshold * either) & (either > 0))
 
 
-def _unlike_in_buckets(members: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (u, v) of one bucket but different components that may link by their bits.
+def _cross_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Deal members (group, doc_id, component, ...) so that any two of a group but of different
+    components meet: rows get i, j and their own block b, and meet within (group, i, j).
 
-    members: key, doc_id, component, n_shingles, bits. A bucket's members are dealt to blocks by
-    hash, and each pair of blocks is one group of rows, compared in numpy.
+    A group's largest component is compared with the others only, and the others with each other
+    too, in blocks of about so many members by hash. Groups of one component are left out.
     """
-    buckets = members.groupBy("key").agg(F.count("*").alias("_size"), F.min("component").alias("_low"), F.max("component").alias("_high"))
-    mixed_up = buckets.filter("_low < _high").select("key", F.ceil(F.col("_size") / BLOCK).cast("int").alias("_blocks"))
-    rows = members.join(mixed_up, "key").withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, F.col("_b")).alias("i"), F.greatest(o, F.col("_b")).alias("j")))
-    dealt = rows.withColumn("_m", F.explode(meets)).select("key", "_m.i", "_m.j", F.col("_b").alias("b"), "doc_id", "component", "n_shingles", "bits")
+    sizes = members.groupBy("group", "component").count().groupBy("group").agg(F.max_by("component", "count").alias("_main"), F.max("count").alias("_n_main"), F.sum("count").alias("_n"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    several = sizes.filter("_n > _n_main").select("group", "_main", blocks(F.col("_n") - F.col("_n_main")).alias("_others"), blocks(F.col("_n_main")).alias("_mains"))
+    is_main, h = F.col("component") == F.col("_main"), F.xxhash64("doc_id")
+    own = F.when(is_main, F.col("_others") + F.pmod(h, F.col("_mains"))).otherwise(F.pmod(h, F.col("_others"))).cast("int")
+    rows = members.join(several, "group").withColumn("b", own)
+    last = F.col("_others") - 1 + F.when(is_main, 0).otherwise(F.col("_mains"))
+    meets = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(o, F.col("b")).alias("i"), F.greatest(o, F.col("b")).alias("j")))
+    dealt = rows.withColumn("_m", F.explode(meets)).select("_m.i", "_m.j", "b", *members.columns)
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def columns(batch):
-        c = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "i", "j", "b", "doc_id", "component", "n_shingles")}
-        held = batch.column("bits")
-        c["bits"] = held.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, _WORDS)
-        return c
+    return dealt.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j")
+
+
+def _groups(batches):
+    """A table for each run of equal group, i, j."""
+    held, key = [], None
+    for batch in batches:
+        k = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("group", "i", "j")], axis=1)
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)] if len(k) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            mine = tuple(k[a])
+            if held and mine != key:
+                yield held
+                held = []
+            key = mine
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held
+
+
+def _forest(table: pa.RecordBatch, alike) -> list[tuple[int, int]]:
+    """Links of one meeting of blocks, as many as join its components and no more.
+
+    alike(left rows, right rows) gives a boolean matrix.
+    """
+    b, i, j = (table.column(c).to_numpy(zero_copy_only=False) for c in ("b", "i", "j"))
+    left, right = np.flatnonzero(b == i), np.flatnonzero(b == j)
+    ids = table.column("doc_id").to_numpy(zero_copy_only=False)
+    _, component = np.unique(table.column("component").to_numpy(zero_copy_only=False), return_inverse=True)
+    if not len(left) or not len(right) or component.max(initial=0) == 0:
+        return []
+    hits = alike(left, right) & (component[left][:, None] != component[right][None, :])
+    out = []
+    for x in np.flatnonzero(hits.any(axis=1)):
+        to = np.flatnonzero(hits[x])
+        to = to[component[right[to]] != component[left[x]]]
+        for y in to[np.unique(component[right[to]], return_index=True)[1]]:
+            old, new = component[right[y]], component[left[x]]
+            if old != new:
+                component[component == old] = new
+                out.append((int(ids[left[x]]), int(ids[right[y]])))
+    return out
+
+
+def _linked_pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+
+def _joined_by(dealt: DataFrame, of_table) -> DataFrame:
+    """The links (u, v) that of_table(table) finds in each meeting of blocks."""
 
-    def compare(batches):
-        rest = None
-        for batch in batches:
-            c = columns(batch)
-            if rest is not None:
-                c = {x: np.concatenate([rest[x], c[x]]) for x in c}
-            change = (c["key"][1:] != c["key"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])
-            cuts = np.concatenate([[0], np.flatnonzero(change) + 1])
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                yield from _compared({x: v[a:b] for x, v in c.items()}, threshold)
-            rest = {x: v[cuts[-1] :] for x, v in c.items()} if len(c["key"]) else None
-        if rest is not None:
-            yield from _compared(rest, threshold)
+    def run(batches):
+        found = []
+        for held in _groups(batches):
+            found += of_table(held[0] if len(held) == 1 else pa.concat_batches(held))
+            if len(found) >= 10_000:
+                yield _linked_pairs(found)
+                found = []
+        yield _linked_pairs(found)
 
-    return grouped.mapInArrow(compare, "u bigint, v bigint").distinct()
+    return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
-def _compared(c: dict[str, np.ndarray], threshold: int):
-    left = np.flatnonzero(c["b"] == c["i"])
-    right = np.flatnonzero(c["b"] == c["j"])
+def _likely(members: DataFrame, threshold: int) -> DataFrame:
+    """Links by the packed bits between components that meet in a bucket."""
     ones = np.uint64(sum(1 << k for k in range(0, 64, BITS)))
-    chance, us, vs = 1 / 2**BITS, [], []
-    for a in left:
-        to = right[(c["component"][right] != c["component"][a]) & ((right > a) | (c["i"][0] != c["j"][0]))]
-        if not len(to):
-            continue
-        n, m = c["n_shingles"][a], c["n_shingles"][to]
-        to = to[np.minimum(n, m) * 100 >= np.maximum(n, m) * threshold]
-        x = c["bits"][to] ^ c["bits"][a]
-        some = x.copy()
-        for s in range(1, BITS):
-            some |= x >> np.uint64(s)
-        equal = BANDS * ROWS - np.bitwise_count(some & ones).sum(axis=1, dtype=np.int64)
-        to = to[(equal / (BANDS * ROWS) - chance) / (1 - chance) >= threshold / 100 - MARGIN]
-        us.append(np.minimum(c["doc_id"][a], c["doc_id"][to]))
-        vs.append(np.maximum(c["doc_id"][a], c["doc_id"][to]))
-    if us:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
+    chance = 1 / 2**BITS
+
+    def find(table):
+        bits = pc.list_flatten(table.column("bits")).to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, _WORDS)
+        n = table.column("n_shingles").to_numpy(zero_copy_only=False)
+
+        def alike(left, right):
+            equal = np.full((len(left), len(right)), BANDS * ROWS)
+            for k in range(_WORDS):
+                x = bits[left, k][:, None] ^ bits[right, k][None, :]
+                some = x
+                for shift in range(1, BITS):
+                    some = some | (x >> np.uint64(shift))
+                equal -= np.bitwise_count(some & ones)
+            a, b = n[left][:, None], n[right][None, :]
+            return ((equal / (BANDS * ROWS) - chance) / (1 - chance) >= threshold / 100 - MARGIN) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * threshold)
+
+        return _forest(table, alike)
+
+    return _joined_by(_cross_blocks(members, BLOCK), find)
+
+
+def _exact(members: DataFrame, n: int, threshold: int) -> DataFrame:
+    """Links by the full shingle sets between components of a group. members: group, doc_id, component, text."""
+
+    def find(table):
+        hashes, ends = shingle_sets(table.column("text"), n)
+        sizes = np.diff(ends, prepend=0)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        _, code, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        shared = count[code] > 1  # the others are in no intersection
+        owner, code = owner[shared], np.unique(code[shared], return_inverse=True)[1]
+
+        def alike(left, right):
+            both = np.zeros((len(left), len(right)), np.float32)
+            for low in range(0, code.max(initial=-1) + 1, 4096):
+                mine = (code >= low) & (code < low + 4096)
+                there = np.zeros((len(sizes), 4096), np.float32)
+                there[owner[mine], code[mine] - low] = 1
+                both += there[left] @ there[right].T
+            return 100 * both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both)
+
+        return _forest(table, alike)
+
+    return _joined_by(_cross_blocks(members, EXACT_BLOCK), find)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -266,11 +338,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     star = stored(first.select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v")).distinct())
     links = stored(confirmed(docs, star, shingle, threshold))
     joined = components(links)
-    # Then all that share a bucket and are not joined yet.
-    placed = members.select("key", "doc_id").join(bits, "doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    others = stored(_unlike_in_buckets(placed, threshold))
-    more = confirmed(docs, others, shingle, threshold)
-    whole = components(links.unionByName(stored(more)))
+    # Then components that share a bucket and look alike form families, and all of a family's
+    # components are compared on their sets, since one true link between them is enough.
+    joined = stored(joined.withColumnRenamed("id", "doc_id"))
+    placed = members.select(F.col("key").alias("group"), "doc_id").join(bits, "doc_id").join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    likely = stored(_likely(placed, threshold))
+    families = stored(components(likely.unionByName(links)).select(F.col("id").alias("doc_id"), F.col("component").alias("group")))
+    mixed_up = families.join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    several = mixed_up.groupBy("group").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a < _b").select("group")
+    to_compare = stored(mixed_up.join(several, "group", "left_semi"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(_few(to_compare.select("doc_id")), "doc_id").dropDuplicates(["doc_id"])
+    more = stored(_exact(to_compare.join(texts, "doc_id").select("group", "doc_id", "component", "text"), shingle, threshold))
+    whole = components(links.unionByName(more))
     own = sketches.select("doc_id", *same).join(copies, same, "left").withColumn("_class", F.when(F.col("n_shingles") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")))
     found = own.join(whole.withColumnRenamed("id", "_class"), "_class", "left").withColumn("component_id", F.coalesce("component", "_class"))
     found = found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
