@@ -1,16 +1,17 @@
 """WARC: write archives, index them, and read selected records by coalesced byte ranges.
 
-Archives are plain WARC/1.1 files that Spark's text writer makes: a row is a record without its
-closing blank lines, and those are the line separator. So writing is distributed, committed by
-Spark, and goes to any file system it knows. The index has offset, length, URL and digest for every
-record; a reader sorts the records it wants by file and offset, joins neighbouring ranges and reads
-each joined range at once.
+Archives are WARC/1.1 files with a gzip member for each record, as is usual. Spark's text writer
+makes them: a row is a member's bytes, and the line separator is an empty member, which decompresses
+to nothing. So writing is distributed, committed by Spark, and goes to any file system it knows. The
+index has offset, length, URL and digest for every record; a reader sorts the records it wants by
+file and offset, joins neighbouring ranges and reads each joined range at once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from . import common
 
 END = "\r\n\r\n"
+#: A gzip member of nothing, as the line separator (one character for each byte).
+EMPTY = bytes.fromhex("1f8b08000000000000030300000000000000" "0000").decode("latin-1")
+LEVEL = 6
 #: Payloads below this are always stored, never revisits.
 LEAST_SHARED = 1000
 #: Ranges with a smaller gap between them are read together, up to so many bytes at once.
@@ -73,7 +77,17 @@ def records(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write all pages to archives below path, one for each task of the last shuffle."""
-    records(pages).select("record").write.option("lineSep", END).text(path)
+
+    def pack(batches):
+        for batch in batches:
+            made = []
+            for record in batch.column("record").to_pylist():
+                gz = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                made.append(gz.compress(record.encode("utf-8", "surrogatepass") + END.encode()) + gz.flush())
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
+
+    packed = records(pages).select("record").mapInArrow(pack, "record binary")
+    packed.select(F.col("record").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY).text(path)
 
 
 def _open(uri: str):
@@ -88,21 +102,24 @@ def _headers(raw: bytes) -> dict[str, str]:
 
 
 def _scanned(file) -> Iterator[tuple[int, int, dict]]:
-    """(offset, length, headers) of each record; blocks are skipped by their stated length."""
-    size, at, held, base = file.size(), 0, b"", 0
+    """(offset, length, headers) of the member of each record. A member is read in parts, and
+    nothing of it is kept but its headers."""
+    size, at, held = file.size(), 0, b""
     while at < size:
-        while (stop := held.find(END.encode(), at - base)) < 0:
-            more = file.read_at(CHUNK, base + len(held))
-            if not more:
-                raise ValueError(f"a WARC header at {at} does not end")
-            held, base = held[max(0, at - base) :] + more, max(base, at) if at - base < len(held) else base + len(held)
-        headers = _headers(held[at - base : stop])
-        length = stop - (at - base) + len(END) + int(headers["content-length"])
-        yield at, length, headers
-        at += length + len(END)
-        if at - base >= len(held):
-            held, base = b"", at
-    return
+        gz, head, used, begun = zlib.decompressobj(31), b"", 0, False
+        while not gz.eof:
+            if not held and not (held := file.read_at(CHUNK, at + used)):
+                raise ValueError(f"the gzip member at {at} does not end")
+            out = gz.decompress(held, CHUNK)
+            begun = begun or bool(out)
+            if END.encode() not in head:
+                head += out
+            left = gz.unused_data if gz.eof else gz.unconsumed_tail
+            used += len(held) - len(left)
+            held = left
+        if begun:
+            yield at, used, _headers(head[: head.index(END.encode())])
+        at += used
 
 
 def build_index(spark: SparkSession, path: str) -> DataFrame:
@@ -171,7 +188,7 @@ def read_records(index: DataFrame, make, schema: str) -> DataFrame:
                 begin = run[0][1]
                 held = file.read_at(run[-1][1] + run[-1][2] - begin, begin)
                 for row in run:
-                    record = held[row[1] - begin : row[1] - begin + row[2]]
+                    record = zlib.decompress(held[row[1] - begin : row[1] - begin + row[2]], 31)[: -len(END)]
                     block = record[record.index(END.encode()) + len(END) :]
                     payload = block[block.index(END.encode()) + len(END) :]
                     made.append(make(dict(zip(names, row, strict=True)), payload))
