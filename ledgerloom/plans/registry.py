@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 
+def _modules():
+    from . import invoices, pages
+
+    return [invoices, pages]
+
+
 def queries() -> dict:
-    return {}
+    return {name: f for m in _modules() for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _modules() for name, sql in m.SQL.items()}
