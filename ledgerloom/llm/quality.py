@@ -78,29 +78,32 @@ def measured(texts: pa.Array) -> dict[str, np.ndarray]:
     return dict(zip(MEASURES, values, strict=True))
 
 
-def ledger(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, the columns in keep, the measurements and failed_bits, a row per row of docs.
-
-    Texts are measured whole. Null and empty texts measure 0 everywhere and fail few_words. Lines
-    count if they hold a word; a line repeats if an earlier one of the text equals it. Columns of
-    docs that are not asked for are ignored, so their names cannot clash; an empty table gives an
-    empty ledger. Rows do not depend on each other, so repeated rows get equal entries.
-    """
-    own = [key, *keep]
-    source = docs.select(F.struct(*own).alias("own"), F.col("text").alias("text"))
-    if "text" in keep:
-        source = docs.select(F.struct(*own).alias("own"))
-    schema = T.StructType([source.schema["own"], *(T.StructField(m, T.LongType()) for m in MEASURES)])
+def _entries(docs: DataFrame, own: list[str]) -> DataFrame:
+    """_own (a struct of docs' columns), the measurements and failed_bits, a row per row of docs."""
+    source = docs.select(F.struct(*own).alias("_own"), F.col("text").alias("_text"))
+    if "text" in own:  # it goes to Python once
+        source = source.drop("_text")
+    schema = T.StructType([source.schema["_own"], *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
     def measure(batches):
         for batch in batches:
-            texts = batch.column("own").field("text") if "text" in keep else batch.column("text")
+            texts = batch.column("_own").field("text") if "text" in own else batch.column("_text")
             for begin, end in slices(texts):
                 part = measured(texts[begin:end])
-                yield pa.RecordBatch.from_arrays([batch.column("own")[begin:end], *(pa.array(part[m], pa.int64()) for m in MEASURES)], names=["own", *MEASURES])
+                yield pa.RecordBatch.from_arrays([batch.column("_own")[begin:end], *(pa.array(part[m], pa.int64()) for m in MEASURES)], names=["_own", *MEASURES])
+
+    return source.mapInArrow(measure, schema).withColumn("failed_bits", failed_bits())
 
-    rows = source.mapInArrow(measure, schema).select("own.*", *MEASURES)
-    return rows.withColumn("failed_bits", failed_bits())
+
+def ledger(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, the measurements and failed_bits, a row per row of docs (key, text).
+
+    Texts are measured whole. Null and empty texts measure 0 everywhere and fail few_words. Lines
+    count if they hold a word; a line repeats if an earlier one of the text equals it. Other columns
+    of docs are ignored, so their names cannot clash; an empty table gives an empty ledger. Rows do
+    not depend on each other, so repeated rows get equal entries.
+    """
+    return _entries(docs, [key]).select(f"_own.{key}", *MEASURES, "failed_bits")
 
 
 def failed_bits() -> Column:
@@ -128,10 +131,9 @@ def ablations(entries: DataFrame, version: str) -> DataFrame:
     return tried.groupBy("rule").agg(*sums)
 
 
-def keep_good(docs: DataFrame, version: str = "strict-1", key: str = "doc_id") -> DataFrame:
-    """The rows of docs, with their columns, that the policy passes."""
-    columns = [c for c in docs.columns if c != key]
-    return ledger(docs, key, tuple(columns)).filter(passes(version)).select(*docs.columns)
+def keep_good(docs: DataFrame, version: str = "strict-1") -> DataFrame:
+    """The rows of docs, with all their columns, that the policy passes."""
+    return _entries(docs, docs.columns).filter(passes(version)).select("_own.*")
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
