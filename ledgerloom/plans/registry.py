@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import invoices, pages
+    from . import flows, invoices, pages
 
-    return [invoices, pages]
+    return [invoices, pages, flows]
 
 
 def queries() -> dict:
