@@ -33,7 +33,7 @@ def stem(path: Column) -> Column:
 
 def whole_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(stem, value) of the files below path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return files.select(stem(F.col("_metadata.file_path")).alias("stem"), "value")
 
 
