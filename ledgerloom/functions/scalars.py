@@ -63,13 +63,18 @@ def file_stem(name: Column) -> Column:
     return F.translate(F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""), " .", "__")
 
 
+def _ratio(x: str | None, y: str | None) -> float | None:
+    if x is None or y is None:
+        return None
+    return 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio()
+
+
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x, y):
-        if x is None or y is None:
-            return None
-        return 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio()
+    return pd.Series([_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def _array_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else [_ratio(p, q) for p, q in zip(x, y, strict=True)] for x, y in zip(a, b, strict=True)])
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
@@ -81,6 +86,11 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(_ratios, "double")(a, b)
 
 
+def sequence_ratios(a: Column, b: Column) -> Column:
+    """The same for two arrays of texts, element by element; a null on either side gives null."""
+    return F.pandas_udf(_array_ratios, "array<double>")(a, b)
+
+
 def trigrams(value: Column) -> Column:
     """The set of three-character runs of a text with two spaces at each end."""
     padded = F.concat(F.lit("  "), value, F.lit("  "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import as_exchange_text, sequence_ratio, stripped
+from ..functions.scalars import as_exchange_text, sequence_ratios, stripped
 from ..schemas import COMPARED, DEFAULTS, MONEY, Thresholds
 
 KEY = "invoice_id"
@@ -23,60 +23,77 @@ def _amounts_match(a: Column, b: Column, tolerance: str) -> Column:
     return F.abs(a - b) <= F.lit(tolerance).cast("decimal(5,4)") * F.greatest(F.abs(a), F.abs(b), one)
 
 
-def compare_fields(pairs: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
-    """invoice_id, field, champ, challenger, match, similarity (3 decimals), a row per compared field.
-
-    Only pairs with both engines are compared. Two nulls match. Amounts match within the tolerance
-    of the larger one; other values as stripped, lower-cased texts, exactly or by a similarity.
-    The similarity is computed in Python, and only for texts that differ.
-    """
-    both = pairs.filter("champ IS NOT NULL AND challenger IS NOT NULL")
+def _compared(pairs: DataFrame, cfg: Thresholds) -> DataFrame:
+    """pairs with fields: an array of (field, champ, challenger, match, similarity), null unless both
+    engines are there. Nothing is joined or exploded; Python sees the texts that differ."""
     rows = []
     for name in COMPARED:
         a, b = F.col(f"champ.{name}"), F.col(f"challenger.{name}")
         if name in MONEY:
             near = _amounts_match(a, b, cfg.amount_tolerance)
             apart = 1 - (F.abs(a - b) / F.greatest(F.abs(a) + F.abs(b), F.lit(1).cast("decimal(14,2)"))).cast("double")
-            near, likeness, texts = near, F.when(near, 1.0).otherwise(apart), F.lit(None).cast("string")
-            left = right = texts
+            likeness, left, right = F.when(near, 1.0).otherwise(apart), F.lit(None), F.lit(None)
         else:
             left, right = (F.lower(stripped(as_exchange_text(x))) for x in (a, b))
             near, likeness = left == right, F.when(left == right, 1.0)
         known = F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(near)
         sure = F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(likeness)
-        rows.append(F.struct(F.lit(name).alias("field"), as_exchange_text(a).alias("champ"), as_exchange_text(b).alias("challenger"), known.alias("_known"), sure.alias("_sure"), left.alias("_a"), right.alias("_b")))
-    long = both.select(KEY, F.inline(F.array(*rows)))
-    settled = long.filter("_sure IS NOT NULL").select(KEY, "field", "champ", "challenger", F.col("_known").alias("match"), F.round("_sure", 3).alias("similarity"))
-    ratio = long.filter("_sure IS NULL").withColumn("_ratio", sequence_ratio(F.col("_a"), F.col("_b")))
-    unlike = ratio.select(KEY, "field", "champ", "challenger", (F.col("_ratio") >= cfg.similarity).alias("match"), F.round("_ratio", 3).alias("similarity"))
-    return settled.unionAll(unlike)
+        unlike = lambda x, sure=sure: F.when(sure.isNull(), x).cast("string")
+        rows.append(F.struct(F.lit(name).alias("field"), as_exchange_text(a).alias("champ"), as_exchange_text(b).alias("challenger"), known.alias("known"), sure.alias("sure"), unlike(left).alias("a"), unlike(right).alias("b")))
+    both = F.col("champ").isNotNull() & F.col("challenger").isNotNull()
+    laid = pairs.withColumn("_f", F.when(both, F.array(*rows)))
+    rated = laid.withColumn("_r", sequence_ratios(F.col("_f.a"), F.col("_f.b")))
+
+    def judged(f: Column, i: Column) -> Column:
+        ratio = F.get("_r", i)
+        match = F.when(f["sure"].isNull(), ratio >= cfg.similarity).otherwise(f["known"])
+        return F.struct(f["field"].alias("field"), f["champ"].alias("champ"), f["challenger"].alias("challenger"), match.alias("match"), F.round(F.coalesce(f["sure"], ratio), 3).alias("similarity"))
 
+    return rated.withColumn("fields", F.transform("_f", judged)).drop("_f", "_r")
 
-def agreement_ratio(compared: DataFrame) -> DataFrame:
+
+def compare_fields(pairs: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
+    """invoice_id, field, champ, challenger, match, similarity (3 decimals), a row per compared field.
+
+    Only pairs with both engines are compared. Two nulls match. Amounts match within the tolerance
+    of the larger one; other values as stripped, lower-cased texts, exactly or by a similarity.
+    """
+    return _compared(pairs, cfg).select(KEY, F.inline("fields"))
+
+
+def _agreement(fields: Column) -> Column:
+    return F.size(F.filter(fields, lambda f: f["match"])) / len(COMPARED)
+
+
+def agreement_ratio(pairs: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
     """invoice_id, matches, agreement."""
-    matches = F.sum(F.col("match").cast("int"))
-    return compared.groupBy(KEY).agg(matches.alias("matches"), (matches / len(COMPARED)).alias("agreement"))
+    rows = _compared(pairs, cfg).filter("fields IS NOT NULL")
+    return rows.select(KEY, F.size(F.filter("fields", lambda f: f["match"])).cast("long").alias("matches"), _agreement(F.col("fields")).alias("agreement"))
 
 
 def line_item_sum(items: DataFrame) -> DataFrame:
     return items.groupBy(KEY).agg(F.sum("amount").cast("decimal(14,2)").alias("line_sum"), F.count("*").alias("n_items"))
 
 
+def _math(total: Column, tax: Column, cfg: Thresholds) -> dict[str, Column]:
+    """The check of one record's total, beside its line_sum and n_items."""
+    skipped = F.col("n_items").isNull() | total.isNull()
+    tax = F.coalesce(tax, F.lit(0).cast("decimal(14,2)"))
+    computed, declared = F.bround(F.col("line_sum") + tax, 2).cast("decimal(14,2)"), F.bround(total, 2).cast("decimal(14,2)")
+    limit = F.lit(cfg.amount_tolerance).cast("decimal(5,4)") * F.greatest(declared, F.lit(1).cast("decimal(14,2)"))
+    shown = lambda c: F.when(~skipped, c)
+    ok = F.when(skipped, True).otherwise(F.abs(computed - declared) <= limit)
+    return {"math_ok": ok, "skipped": skipped, "line_sum": shown(F.col("line_sum")), "tax": shown(tax), "computed_total": shown(computed), "declared_total": shown(declared)}
+
+
 def math_check(champ: DataFrame, items: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
     """invoice_id, math_ok, skipped, line_sum, tax, computed_total, declared_total.
 
     The champ's items and tax have to add up to its total. Without items or a total there is nothing
     to check, and that passes. Cents are rounded half to even.
     """
-    sums = line_item_sum(items)
-    rows = champ.select(KEY, "total_amount", "tax_amount").join(sums, KEY, "left")
-    skipped = F.col("n_items").isNull() | F.col("total_amount").isNull()
-    tax = F.coalesce("tax_amount", F.lit(0).cast("decimal(14,2)"))
-    computed, declared = F.bround(F.col("line_sum") + tax, 2).cast("decimal(14,2)"), F.bround("total_amount", 2).cast("decimal(14,2)")
-    limit = F.lit(cfg.amount_tolerance).cast("decimal(5,4)") * F.greatest(declared, F.lit(1).cast("decimal(14,2)"))
-    shown = lambda c: F.when(~skipped, c)
-    ok = F.when(skipped, True).otherwise(F.abs(computed - declared) <= limit)
-    return rows.select(KEY, ok.alias("math_ok"), skipped.alias("skipped"), shown(F.col("line_sum")).alias("line_sum"), shown(tax).alias("tax"), shown(computed).alias("computed_total"), shown(declared).alias("declared_total"))
+    rows = champ.select(KEY, "total_amount", "tax_amount").join(line_item_sum(items), KEY, "left")
+    return rows.select(KEY, *(c.alias(n) for n, c in _math(F.col("total_amount"), F.col("tax_amount"), cfg).items()))
 
 
 def merge_extractions(pairs: DataFrame) -> DataFrame:
@@ -103,10 +120,9 @@ def decide(champ: DataFrame, challenger: DataFrame, items: DataFrame, cfg: Thres
     Both engines: AUTO_APPROVED if weighted confidence, agreement and the sum of items all pass, or
     else REVIEW_REQUIRED. One engine: REVIEW_REQUIRED with its own confidence.
     """
-    pairs = pair_engines(champ, challenger)
-    agreed = agreement_ratio(compare_fields(pairs, cfg))
-    checked = math_check(champ, items, cfg)
-    rows = pairs.join(agreed, KEY, "left").join(checked, KEY, "left")
+    sums = line_item_sum(items)
+    rows = _compared(pair_engines(champ, challenger), cfg).join(sums, KEY, "left").withColumn("agreement", _agreement(F.col("fields")))
+    rows = rows.withColumns(_math(F.col("champ.total_amount"), F.col("champ.tax_amount"), cfg))
     both = F.col("champ").isNotNull() & F.col("challenger").isNotNull()
     a, b = engine_confidence("champ"), engine_confidence("challenger")
     weighted = cfg.champ_weight * a + cfg.challenger_weight * b

@@ -83,7 +83,7 @@ QUERIES["field_similarity"] = lambda spark, sf: D.compare_fields(_pairs(spark, s
 
 @query("agreement_ratio", f"WITH {_DECIDED} SELECT invoice_id, matches, agreement FROM agreed")
 def _(spark, sf):
-    return D.agreement_ratio(D.compare_fields(_pairs(spark, sf)))
+    return D.agreement_ratio(_pairs(spark, sf))
 
 
 @query("line_item_sum", "SELECT invoice_id, CAST(sum(amount) AS DECIMAL(14,2)) AS line_sum, count(*) AS n_items FROM fx_items GROUP BY invoice_id")
