@@ -23,6 +23,22 @@ PHONE = r"^\+\d{10,13}$"
 TAX_ID = r"^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]$"
 SHORT_DATE = r"^\d{1,2}-[A-Za-z]{3}-\d{2,4}$"
 AMOUNT = r"^\d{1,3}(?:,\d{3})*(?:\.\d+)?$"
+INVOICE_WORD = r"^[A-Z]{2,}/[A-Z0-9/\-]+$"
+ORDER_WORD = r"^[A-Z]{2,}/[A-Z0-9/\-]+[,]?$"
+DATE_WORD = r"^\d{1,2}-[A-Za-z]{3}-\d{2,4}[,]?$"
+MAIL_WORD = r"^[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}"
+MAIL_HEAD = r"^[\w.+-]+\.$"
+MAIL_TAIL = r"^[\w.+-]+@"
+PHONE_WORD = r"^(\+\d{10,13}|[6-9]\d{9})$"
+# Captions that rules are anchored on, and words that end a run.
+TAX_CAPTIONS = ("GSTIN/UIN:", "GSTIN/UIN")
+VENDOR_CAPTION = ["Tax", "Invoice"]
+NUMBER_CAPTION = ["Invoice", "No."]
+ORDER_CAPTION = ["Buyer's", "Order", "No."]
+TERMS_CAPTION = ["Mode/Terms", "of", "Payment"]
+SERVICE_CAPTION = ["Service", "Call", "Charge"]
+VENDOR_STOPS = ("MiQB", "Plot")
+TERMS_STOPS = ("Other", "References", "Dispatched", "Dated", "Delivery")
 
 
 def first_match(text: Column, pattern: str) -> Column:
@@ -156,26 +172,26 @@ def auto_label(pages: DataFrame) -> DataFrame:
     words = F.col("words")
     at = lambda i: F.get(words, i)
     is_like = lambda i, pattern: F.coalesce(at(i).rlike(pattern), F.lit(False))
-    tax_anchor = lambda i: at(i).isin("GSTIN/UIN:", "GSTIN/UIN") | at(i).rlike(TAX_ID)
+    tax_anchor = lambda i: at(i).isin(*TAX_CAPTIONS) | at(i).rlike(TAX_ID)
     first = lambda start, ok: F.get(F.filter("_places", lambda i: (i >= start) & ok(i)), F.lit(0))
     until = lambda start, stop, most: F.least(F.coalesce(first(start, stop), F.col("_n")), start + most, F.col("_n"))
 
     found = pages.withColumns({"_n": F.size(words), "_places": _places(words)}).withColumns(
         {
-            "_vendor": find_sequence(words, ["Tax", "Invoice"]),
-            "_number": find_sequence(words, ["Invoice", "No."]),
-            "_order": find_sequence(words, ["Buyer's", "Order", "No."]),
-            "_terms": find_sequence(words, ["Mode/Terms", "of", "Payment"]),
-            "_service": find_sequence(words, ["Service", "Call", "Charge"]),
+            "_vendor": find_sequence(words, VENDOR_CAPTION),
+            "_number": find_sequence(words, NUMBER_CAPTION),
+            "_order": find_sequence(words, ORDER_CAPTION),
+            "_terms": find_sequence(words, TERMS_CAPTION),
+            "_service": find_sequence(words, SERVICE_CAPTION),
         }
     )
     start = lambda name, size: F.when(F.col(name) >= 0, F.col(name) + size)
     found = found.withColumns({"_v": start("_vendor", 2), "_o": start("_order", 3), "_t": start("_terms", 3)})
     found = found.withColumns(
         {
-            "_v1": until(F.col("_v"), lambda i: at(i).isin("MiQB", "Plot") | tax_anchor(i) | at(i).rlike(r"^\p{Nd}"), 8),
-            "_o1": until(F.col("_o"), lambda i: ~at(i).rlike(r"^[A-Z]{2,}/[A-Z0-9/\-]+[,]?$"), 8),
-            "_t1": until(F.col("_t"), lambda i: at(i).isin("Other", "References", "Dispatched", "Dated", "Delivery"), 4),
+            "_v1": until(F.col("_v"), lambda i: at(i).isin(*VENDOR_STOPS) | tax_anchor(i) | at(i).rlike(r"^\p{Nd}"), 8),
+            "_o1": until(F.col("_o"), lambda i: ~at(i).rlike(ORDER_WORD), 8),
+            "_t1": until(F.col("_t"), lambda i: at(i).isin(*TERMS_STOPS), 4),
         }
     ).withColumn("_a1", until(F.col("_v1"), tax_anchor, 21))
 
@@ -185,7 +201,7 @@ def auto_label(pages: DataFrame) -> DataFrame:
     runs = lambda ok, make: F.transform(F.filter("_places", ok), make)
     amount_next = lambda i: is_like(i + 1, AMOUNT)
     tax_name = lambda w: F.when(w.contains("CGST"), "CGST").when(w.contains("IGST"), "IGST").when(w.contains("SGST"), "GST")
-    prefix = lambda i: is_like(i, r"^[\w.+-]+\.$") & is_like(i + 1, r"^[\w.+-]+@")
+    prefix = lambda i: is_like(i, MAIL_HEAD) & is_like(i + 1, MAIL_TAIL)
     kind = "array<struct<s:int,n:int,f:string>>"
     always = lambda *rs: F.array_compact(F.array(*rs)).cast(kind)
     found = found.withColumns(
@@ -194,15 +210,15 @@ def auto_label(pages: DataFrame) -> DataFrame:
                 span("_v", "_v1", "VENDOR_NAME"),
                 F.when(F.col("_v1") > F.col("_v"), span("_v1", "_a1", "VENDOR_ADDRESS")),
                 one(first(F.lit(0), lambda i: at(i).rlike(TAX_ID)), "VENDOR_TAX_ID"),
-                F.when((F.col("_number") >= 0) & is_like(F.col("_number") + 2, r"^[A-Z]{2,}/[A-Z0-9/\-]+$"), run(F.col("_number") + 2, 1, "INVOICE_NUMBER")),
+                F.when((F.col("_number") >= 0) & is_like(F.col("_number") + 2, INVOICE_WORD), run(F.col("_number") + 2, 1, "INVOICE_NUMBER")),
                 span("_o", "_o1", "PURCHASE_ORDER"),
-                one(first(F.lit(0), lambda i: at(i).rlike(r"^\d{1,2}-[A-Za-z]{3}-\d{2,4}[,]?$")), "INVOICE_DATE"),
+                one(first(F.lit(0), lambda i: at(i).rlike(DATE_WORD)), "INVOICE_DATE"),
             ),
             "_taxes": runs(lambda i: at(i).contains("@") & tax_name(F.upper(at(i))).isNotNull() & amount_next(i), lambda i: run(i + 1, 1, tax_name(F.upper(at(i))))).cast(kind),
             "_totals": runs(lambda i: (at(i) == "Total") & amount_next(i), lambda i: run(i + 1, 1, "TOTAL_AMOUNT")).cast(kind),
             "_split": runs(prefix, lambda i: run(i, 2, "VENDOR_EMAIL")).cast(kind),
-            "_mails": runs(lambda i: at(i).rlike(r"^[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}"), lambda i: run(i, 1, "VENDOR_EMAIL")).cast(kind),
-            "_late": F.concat(runs(lambda i: at(i).rlike(r"^(\+\d{10,13}|[6-9]\d{9})$"), lambda i: run(i, 1, "VENDOR_PHONE")).cast(kind), always(span("_t", "_t1", "TERMS_AND_CONDITIONS"))),
+            "_mails": runs(lambda i: at(i).rlike(MAIL_WORD), lambda i: run(i, 1, "VENDOR_EMAIL")).cast(kind),
+            "_late": F.concat(runs(lambda i: at(i).rlike(PHONE_WORD), lambda i: run(i, 1, "VENDOR_PHONE")).cast(kind), always(span("_t", "_t1", "TERMS_AND_CONDITIONS"))),
             "_quantity": always(F.when((F.col("_service") >= 1) & is_like(F.col("_service") - 1, r"^\p{Nd}+$"), run(F.col("_service") - 1, 1, "TOTAL_QUANTITY"))),
         }
     )
