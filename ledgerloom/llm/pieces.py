@@ -30,7 +30,7 @@ SEED = 1
 #: Probabilities are raised to this power and normalised: 0 draws all ways alike, a large number the likeliest.
 ALPHA = 1.0
 #: Bytes of text that are cut at once.
-SLICE = 4_000_000
+SLICE = 750_000
 _SPACE, _LITERAL = 0x2581, 0x110000
 _FILTER_BITS = 21
 
@@ -115,8 +115,8 @@ def _lattice(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, v: Vocabular
         found = np.minimum(np.searchsorted(v.keys, keys), len(v.keys) - 1)
         hit = v.keys[found] == keys
         at, found = at[hit], found[hit]
-        tails.append(at + n)
-        heads.append(at)
+        tails.append((at + n).astype(np.int32))
+        heads.append(at.astype(np.int32))
         kinds.append(v.ids[found])
         scores.append(alpha * v.weights[found])
     # Longer pieces first among those that end at one place: they are mostly likelier.
