@@ -28,6 +28,8 @@ WINDOW = 3
 SAMPLE, LONGEST = 3000, 60_000
 ROUNDS, EPOCHS, BATCH, RATE = 4, 3, 256, 0.3
 THRESHOLD = 0.3
+#: Bytes of text that are learnt from, and scored, at once.
+LEARN_SLICE, SCORE_SLICE = 400_000, 1_000_000
 #: Word scores are whole multiples of this, so that sums do not depend on how texts are batched.
 UNIT = 2.0**-16
 
@@ -122,7 +124,7 @@ class Model:
     empty: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        out = np.concatenate([_text_scores(texts[a:b], self.values) for a, b in slices(texts)] or [np.zeros(0)])
+        out = np.concatenate([_text_scores(texts[a:b], self.values) for a, b in slices(texts, SCORE_SLICE)] or [np.zeros(0)])
         logit = np.clip(self.slope * out + self.offset, -30, 30)
         return np.where(np.isnan(out), self.empty, 1 / (1 + np.exp(-logit)))
 
@@ -130,7 +132,7 @@ class Model:
 def _selected(texts: pa.Array, toxic: np.ndarray, values: np.ndarray, rng: np.random.Generator) -> tuple[list[bytes], list[int]]:
     """Windows to learn from: the highest of every text, and two more of those not toxic."""
     windows, labels = [], []
-    for a, b in slices(texts, 2_000_000):
+    for a, b in slices(texts, LEARN_SLICE):
         text, sums, counts, begin, end, data = _word_scores(texts[a:b], values)
         owner, first, last, mean = _window_scores(text, sums, counts, b - a)
         cuts = np.searchsorted(owner, np.arange(b - a + 1))
@@ -159,7 +161,7 @@ def _misspelt(window: bytes, rng: np.random.Generator) -> bytes:
 def _first_values(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
     """Log odds of each bucket by the documents that hold it, to find windows before the first round."""
     held = np.zeros((2, 1 << BUCKET_BITS))
-    for a, b in slices(texts, 2_000_000):
+    for a, b in slices(texts, LEARN_SLICE):
         data, at = _spaced(texts[a:b])
         pairs = [(np.searchsorted(at, s + 1, side="right") - 1) << BUCKET_BITS | g for s, g in _buckets(data)]
         pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
@@ -231,7 +233,7 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, seed:
 
 def _calibrated(values: np.ndarray, texts: pa.Array, labels: np.ndarray, share: float) -> Model:
     """A logistic curve from window values to labels, with smoothed targets, classes weighed by share."""
-    x = np.concatenate([_text_scores(texts[a:b], values) for a, b in slices(texts)])
+    x = np.concatenate([_text_scores(texts[a:b], values) for a, b in slices(texts, LEARN_SLICE)])
     some = ~np.isnan(x)
     x, y = x[some], labels[some]
     n1, n0 = max(1, y.sum()), max(1, (y == 0).sum())
@@ -266,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
     drawn = [known.filter(F.col("toxic") == k).dropDuplicates(["doc_id"]).withColumn("_at", draw).orderBy("_at", "doc_id").limit(sample) for k in (0, 1)]
     chosen = common.stored(drawn[0].unionAll(drawn[1]))
     texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= longest).join(F.broadcast(chosen), "doc_id")
-    rows = sorted((r["_at"], r["doc_id"], r["toxic"], r["text"]) for r in texts.dropDuplicates(["doc_id"]).collect())
+    rows = sorted((r["_at"], r["doc_id"], r["toxic"], r["text"]) for r in texts.dropDuplicates(["doc_id"]).toLocalIterator())
     return train([r[3] for r in rows], [r[2] for r in rows], n.get(1, 0) / max(1, sum(n.values())))
 
 
