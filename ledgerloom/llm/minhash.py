@@ -157,7 +157,9 @@ def confirmed(docs: DataFrame, pairs: DataFrame, n: int, threshold: int) -> Data
             for begin, end in slices(batch.column("text")[:whole]):
                 begin += begin % 2  # a pair's two rows stay together: the slice before took this one
                 end = min(whole, end + end % 2)
-                u, v = (batch.column(c).take(pa.array(range(begin, end, 2))) for c in ("u", "v"))
+                if begin >= end:
+                    continue
+                u, v = (batch.column(c).take(pa.array(range(begin, end, 2), pa.int64())) for c in ("u", "v"))
                 hit = _linked(batch.column("text")[begin:end], n, threshold)
                 yield pa.RecordBatch.from_arrays([u.filter(hit), v.filter(hit)], names=["u", "v"])
             rest = batch.slice(whole) if whole < batch.num_rows else None

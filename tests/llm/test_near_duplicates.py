@@ -171,3 +171,16 @@ def test_pipeline(spark, tmp_path):
     back = pieces.decode(result).collect()
     assert sorted(r["doc_id"] or -1 for r in back) == sorted(r["doc_id"] or -1 for r in mixed.collect())
     assert all(r["text"] == texts[r["doc_id"]] for r in back)
+
+
+def test_pairs_longer_than_a_slice(spark, monkeypatch):
+    """A pair's two texts stay together however texts are sliced."""
+    from ledgerloom.llm import flat
+
+    real = flat.slices
+    monkeypatch.setattr(minhash, "slices", lambda texts, limit=1: real(texts, limit))
+    rows = [(k, text(k // 2, 40) + (" end" if k % 2 else "")) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(19)], "u long, v long")
+    got = sorted((r["u"], r["v"]) for r in minhash.confirmed(df, pairs, 5, 80).collect())
+    assert got == [(k, k + 1) for k in range(0, 20, 2)]
