@@ -118,26 +118,24 @@ def weak_label(words: DataFrame, values: DataFrame, order: list[str]) -> DataFra
     """words with label from field values, found as runs of equal tokens.
 
     Fields go in `order`. A field's runs are taken greedily from the left without overlap; a run may
-    start only on a word that is O by then, but may go over labels further on. The greedy pass is a
-    fold over a document's candidate runs, which are few.
+    start only on a word that is O by then, but may go over labels further on. The greedy pass sees
+    a document's candidate runs only, and its labels are joined to the words.
     """
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("field"))
     runs = value_ngram_match(words, values).filter(rank > 0)
-    gathered = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.col("start").cast("int").alias("start"), F.col("n"), "field"))).alias("_runs"))
-    size = words.groupBy("doc_id").agg(F.count("*").cast("int").alias("_n"))
-
-    def put(state: Column, run: Column) -> Column:
-        free = F.get(state["labels"], run["start"]) == "O"
-        clear = (run["rank"] != state["rank"]) | (run["start"] >= state["end"])
-        at = lambda i: (i >= run["start"]) & (i < run["start"] + run["n"])
-        tag = lambda i: F.concat(F.when(i == run["start"], "B-").otherwise("I-"), F.upper(run["field"]))
-        labels = F.transform(state["labels"], lambda w, i: F.when(at(i), tag(i)).otherwise(w))
-        made = F.struct(labels.alias("labels"), run["rank"].alias("rank"), (run["start"] + run["n"]).alias("end"))
-        return F.when(free & clear, made).otherwise(state)
-
-    begin = F.struct(F.array_repeat(F.lit("O"), F.col("_n")).alias("labels"), F.lit(0).cast("long").alias("rank"), F.lit(0).alias("end"))
-    done = size.join(gathered, "doc_id").select("doc_id", F.posexplode(F.aggregate("_runs", begin, put)["labels"]).alias("pos", "label"))
-    return words.join(done.withColumn("pos", F.col("pos").cast("long")), ["doc_id", "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
+    gathered = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.col("start").alias("start"), F.col("n"), F.upper("field").alias("field")))).alias("_runs"))
+
+    @F.udf("array<struct<pos:bigint,label:string>>", useArrow=True)
+    def greedy(runs):
+        labels: dict[int, str] = {}
+        for run in runs:
+            if run["start"] not in labels:
+                for k in range(run["n"]):
+                    labels[run["start"] + k] = ("I-" if k else "B-") + run["field"]
+        return list(labels.items())
+
+    done = gathered.select("doc_id", F.explode(greedy("_runs")).alias("_l")).select("doc_id", "_l.pos", "_l.label")
+    return words.join(done, ["doc_id", "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
 
 
 def scale_page_words(pages: DataFrame, dpi: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import load, oracle
+from ..fixtures import add_whole, load, oracle, whole_texts
 from ..operators import extend
 from ..sources import annotations as A
 from ..storage import new_path
@@ -19,6 +19,7 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = f
         if sql:
             SQL[name] = oracle(sql)
+        add_whole(QUERIES, SQL, name, f, sql)
         return f
 
     return add
@@ -62,7 +63,8 @@ def _sroie(spark, sf):
 
 @query("read_sroie")
 def _(spark, sf):
-    _, boxes, entities = _sroie(spark, sf)
+    with whole_texts():
+        _, boxes, entities = _sroie(spark, sf)
     return A.read_sroie(boxes, entities)
 
 
@@ -110,7 +112,7 @@ def _(spark, sf):
 
 @query("append_feedback")
 def _(spark, sf):
-    words = load(spark, sf, "fx_words")
+    words = load(spark, sf, "fx_all_words")
     values = words.filter("pos = 5").select("doc_id", F.lit("vendor_name").alias("field"), F.col("word").alias("value"))
     return A.append_feedback(words, values).select("doc_id", "pos", "word", "label", "source")
 

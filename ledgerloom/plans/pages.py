@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import load, oracle
+from ..fixtures import add_whole, load, oracle, whole_texts
 from ..functions import scalars as C
 from ..operators import curate, evaluate, parse, tokens
 from ..schemas import LABELS
@@ -18,6 +18,7 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = f
         if sql:
             SQL[name] = oracle(sql)
+        add_whole(QUERIES, SQL, name, f, sql)
         return f
 
     return add
@@ -203,7 +204,9 @@ def _(spark, sf):
 
 @query("weak_label")
 def _(spark, sf):
-    return tokens.weak_label(load(spark, sf, "fx_words"), _values(spark, sf), ["vendor_name", "invoice_number"]).select("doc_id", "pos", "word", "label")
+    with whole_texts():
+        words, values = load(spark, sf, "fx_words"), _values(spark, sf)
+    return tokens.weak_label(words, values, ["vendor_name", "invoice_number"]).select("doc_id", "pos", "word", "label")
 
 
 def _captioned(spark, sf):
