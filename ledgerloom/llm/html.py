@@ -2,10 +2,14 @@
 
 The pages of a host are merged by style: elements with the same chain of tags and classes are one
 node. A node's content importance is one less the mean entropy of its texts over pages, and its
-presentation importance is the entropy of the child sequences seen there. A branch whose text and
-shape both repeat from page to page is part of the site, not of the page, and is removed. Tags and
-class names that declare their role (nav, footer, advert, comments) are removed at any host, since
-most hosts have too few pages for statistics.
+presentation importance is the entropy of the child sequences seen there. A node holds the text that
+is directly in it; if its text and shape both repeat from page to page it is part of the site, and
+that text is removed, inside and outside the main content alike. So a branch goes exactly when all of
+its nodes do. Text outside article and main stays where enough pages show that it is important; nodes
+without such figures follow the declared roles, by which only article and main count.
+
+By rule alone go tags and class names that declare noise (nav, footer, advert, comments): their texts
+often differ from page to page, so importance would keep them.
 """
 
 from __future__ import annotations
@@ -28,7 +32,9 @@ BROADCAST_NODES = 1_000_000
 
 _SPLIT = lambda s: frozenset(s.split())
 VOID = _SPLIT("area base br col embed hr img input link meta param source track wbr")
-RAW = _SPLIT("script style noscript template textarea title iframe svg math select object canvas audio video")
+RAW = _SPLIT("script style textarea title")
+#: Dropped only if they are closed by an end tag of their own.
+EMBEDDED = _SPLIT("noscript template iframe svg math select object canvas audio video")
 DROPPED = _SPLIT("head nav footer aside form button menu dialog label fieldset")
 MAIN = _SPLIT("article main")
 INLINE = _SPLIT("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr")
@@ -41,11 +47,15 @@ NOISE_WORDS = _SPLIT(
     subscription signup login share sharing social related recommended comment comments commentlist disqus respond reply replies pagination
     pager skip copyright disclaimer toolbar search form"""
 )
+#: Words that may stand beside those in a class name of several words.
+NEUTRAL_WORDS = _SPLIT("area bar block bottom box button buttons container content global icon icons inner item items left link links list outer page right section site slot top unit wrap wrapper")
+#: Never dropped by their class, id or role.
+SPARED = _SPLIT("html body article main")
 #: Such only outside the main content: an article has a header of its own.
 OUTER_WORDS = _SPLIT("header masthead topbar")
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(sorted(RAW)) + r""")\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(sorted(RAW)) + r""")(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*(?:(?<=/)>|>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
@@ -60,48 +70,65 @@ def _path(above: int, tag: str, style: str) -> int:
     return _hash(f"{above}/{tag}.{style}")
 
 
+def _noise(token: str, names: frozenset) -> bool:
+    """Whether a class token says names and nothing else but where or how much of it."""
+    parts = set(re.findall(r"[a-z]+", token))
+    return bool(parts & names) and parts <= names | NEUTRAL_WORDS
+
+
 @lru_cache(50_000)
-def _style(attrs: str) -> tuple[str, frozenset, bool]:
-    """(class and role without digits, the words of class, id and role, hidden)."""
-    style, words, hidden = [], set(), False
+def _style(attrs: str) -> tuple[str, bool, bool, bool, bool]:
+    """(class and role without digits, noise by class, id or role, such outside the main content,
+    role main, hidden)."""
+    style, tokens, main, hidden = [], set(), False, False
     for name, *values in _NAMED.findall(attrs):
         value, name = "".join(values).lower(), name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             hidden = True
         elif name in ("class", "id", "role"):
-            words.update(re.findall(r"[a-z]+", value))
+            tokens.update(value.split())
+            main = main or name == "role" and "main" in value.split()
             if name != "id":
                 style.append(re.sub(r"\d+", "0", value))
-    return " ".join(style), frozenset(words), hidden
+    noise, outer = (any(_noise(t, names) for t in tokens) for names in (NOISE_WORDS, OUTER_WORDS))
+    return " ".join(style), noise, outer, main, hidden
 
 
 class Page:
     """The text blocks of a page: (node, in main, text), in order.
 
-    Declared noise and `removed` nodes are left out, and if the page has an article or main element,
-    so is all that is in none; `whole` keeps all of this. shapes: the child tags of each kept node.
+    Declared noise and the own texts of `removed` nodes are left out. If the page has an article or
+    main element, so is what is in none, but for `kept` nodes; `whole` keeps all outside as well.
+    shapes: the child tags of each node.
     """
 
-    def __init__(self, html: str, removed: frozenset = frozenset(), whole: bool = False):
-        self.blocks: list[tuple[int, bool, str]] = []
+    def __init__(self, html: str, removed: frozenset = frozenset(), kept: frozenset = frozenset(), whole: bool = False):
         self.shapes: dict[int, list[str]] = {}
-        everything: list[tuple[int, bool, str]] = []
-        stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, dropped, in main, node
+        everything: list[tuple[int, bool, str, tuple]] = []
+        # tag, hidden, in main, node, numbers of the elements around that may be dropped
+        stack: list[tuple[str, bool, bool, int, tuple]] = [("", False, False, 0, ())]
+        dropped: set[int] = set()
         held: list[str] = []
-        owner = stack[0]
+        owner, drops, seen = stack[0], (), 0
 
         def flush():
             if held:
                 if text := " ".join(unescape("".join(held)).split()):
-                    everything.append((owner[3], owner[2], text))
+                    everything.append((owner[3], owner[2], text, drops))
                 held.clear()
 
+        def hold(text: str):
+            nonlocal owner, drops
+            if held and stack[-1][4] != drops:
+                flush()
+            if not held:
+                owner, drops = next(x for x in reversed(stack) if x[0] not in INLINE), stack[-1][4]
+            held.append(text)
+
         at = 0
         for m in _TOKEN.finditer(html):
             if m.start() > at and not stack[-1][1]:
-                if not held:
-                    owner = next(x for x in reversed(stack) if x[0] not in INLINE)
-                held.append(html[at : m.start()])
+                hold(html[at : m.start()])
             at = m.end()
             tag = m["tag"]
             if tag is None:
@@ -115,29 +142,39 @@ class Page:
             if m["end"]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
+                        if tag in EMBEDDED:
+                            dropped.add(stack[k][4][-1])
                         del stack[k:]
                         break
                 continue
             if not inline:
                 self._imply(stack, tag)
-            if tag in VOID:
+            if tag in VOID or tag in EMBEDDED and m["attrs"].endswith("/"):
                 continue
-            _, dropped, inside, above = stack[-1]
-            style, words, hidden = _style(m["attrs"]) if m["attrs"].strip() else ("", frozenset(), False)
+            _, lost, inside, above, around = stack[-1]
+            style, noise, outer, role_main, hidden = _style(m["attrs"]) if m["attrs"].strip() else ("", False, False, False, False)
             node = above if inline else _path(above, tag, style)
-            inside = inside or tag in MAIN or "main" in words and tag == "div" and m["attrs"].find("role") >= 0
-            dropped = dropped or tag == "head" or not whole and (hidden or tag in DROPPED or bool(words & NOISE_WORDS) or not inside and (tag == "header" or bool(words & OUTER_WORDS)) or node in removed)
-            if not dropped and not inline:
+            starts = not inside and (tag in MAIN or role_main and tag == "div")
+            if starts:  # what holds the main content is no noise
+                dropped.difference_update(around)
+            declared = tag in DROPPED or not inside and tag == "header" or not (starts or tag in SPARED and not inside) and (noise or not inside and outer)
+            lost = lost or tag == "head" or hidden
+            if declared or tag in EMBEDDED:
+                seen += 1
+                around = (*around, seen)
+                if declared:
+                    dropped.add(seen)
+            if not (lost or around or inline):
                 shape = self.shapes.setdefault(above, [])
                 if not shape or shape[-1] != tag:
                     shape.append(tag)
-            stack.append((tag, dropped, inside, node))
+            stack.append((tag, lost, inside or starts, node, around))
         if at < len(html) and not stack[-1][1]:
-            owner = owner if held else next(x for x in reversed(stack) if x[0] not in INLINE)
-            held.append(html[at:])
+            hold(html[at:])
         flush()
-        main = not whole and any(inside for _, inside, _ in everything)
-        self.blocks = [x for x in everything if x[1] or not main]
+        blocks = [x[:3] for x in everything if dropped.isdisjoint(x[3])]
+        main = not whole and any(inside for _, inside, _ in blocks)
+        self.blocks: list[tuple[int, bool, str]] = [x for x in blocks if x[0] not in removed and (x[1] or not main or x[0] in kept)]
 
     @staticmethod
     def _imply(stack: list, tag: str) -> None:
@@ -196,11 +233,13 @@ def importance(nodes: DataFrame) -> DataFrame:
     return both.select("host", "node", "main", "pages", (1 - share("_c")).alias("content"), (1 - share("_s")).alias("presentation"))
 
 
-def removed_nodes(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, nodes): the nodes of each host that are low in both importances. Nodes in an article or
-    main element are the page's own by declaration and stay."""
-    low = importance(style_nodes(pages)).filter(~F.col("main") & (F.greatest("content", "presentation") < least) & (F.col("pages") >= least_pages))
-    return low.groupBy("host").agg(F.collect_list("node").alias("nodes"))
+def judged_nodes(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, removed, kept): the nodes of each host on enough pages that are low in both importances,
+    and those outside article and main that are not."""
+    judged = importance(style_nodes(pages)).filter(F.col("pages") >= least_pages)
+    low = F.greatest("content", "presentation") < least
+    found = judged.filter(low & ~F.col("main")).groupBy("host")
+    return found.agg(F.collect_list(F.when(low, F.col("node"))).alias("removed"), F.collect_list(F.when(~low, F.col("node"))).alias("kept"))
 
 
 def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -210,15 +249,16 @@ def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int
     url, are merged as one host. Repeated pages count once in their host's tree, so copies do not
     turn into noise. Other columns of pages are ignored; an empty table gives an empty result.
     """
-    removed = common.stored(removed_nodes(pages, least, least_pages))
-    held = removed.agg(F.coalesce(F.sum(F.size("nodes")), F.lit(0))).first()[0]
+    judged = common.stored(judged_nodes(pages, least, least_pages))
+    held = judged.agg(F.coalesce(F.sum(F.size("removed") + F.size("kept")), F.lit(0))).first()[0]
     own = pages.select("page_id", "url", "html", _host().alias("host"))
-    joined = own.join(F.broadcast(removed) if held <= BROADCAST_NODES else removed, "host", "left").select("page_id", "url", "html", "nodes")
+    joined = own.join(F.broadcast(judged) if held <= BROADCAST_NODES else judged, "host", "left").select("page_id", "url", "html", "removed", "kept")
     page_type = joined.schema["page_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            texts = [Page(html or "", frozenset(nodes or ())).text() for html, nodes in zip(batch.column("html").to_pylist(), batch.column("nodes").to_pylist(), strict=True)]
+            columns = (batch.column(c).to_pylist() for c in ("html", "removed", "kept"))
+            texts = [Page(html or "", frozenset(removed or ()), frozenset(kept or ())).text() for html, removed, kept in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {page_type}, url string, text string, n_chars bigint")

@@ -118,3 +118,39 @@ def test_digest_is_that_of_the_payload(spark):
 
     row = spark.createDataFrame([("é",)], "t string").select(warc.payload_digest(F.col("t"))).first()
     assert row[0] == hashlib.sha1("é".encode()).hexdigest()
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<body class='right-sidebar'><p>a</p>", "a"),
+        ("<article class='no-share'><p>a</p></article>", "a"),
+        ("<div class='search-results'><p>a</p></div>", "a"),
+        ("<div class='sidebar'><article><p>a</p></article></div>", "a"),
+        ("<form><article><p>a</p></article></form>", "a"),
+        ("<div class='sidebar-right'>s</div><div class='share social'>t</div><p>a</p>", "a"),
+        ("<p>a</p><svg/><p>b</p><svg><path/><text>t</text></svg><p>c</p>", "a b c"),
+        ("<article><video src='x'><p>a</p></article>", "a"),
+        ("<article><video src='x'>old browser</video><p>a</p></article>", "a"),
+        ("<select-box>a</select-box><p>b", "a b"),
+        ("<script src='x'/><p>a</p><script>b</script>", "a"),
+        ("<p>a</p><style>.x{}</styles>b</style><p>c</p>", "a c"),
+    ],
+)
+def test_no_page_is_lost_by_a_name(page, want):
+    assert html.Page(page).text() == want
+
+
+def extracted(spark, make):
+    df = spark.createDataFrame([(k, f"http://a.org/{k}", make(k)) for k in range(20)], "page_id long, url string, html string")
+    return [r["text"] for r in html.extract(df).orderBy("page_id").collect()]
+
+
+def test_a_repeated_text_takes_no_page_with_it(spark):
+    got = extracted(spark, lambda k: f"<body>Skip to content<div class='wrap'>Menu<article><p>page {k}</p></article></div></body>")
+    assert got == [f"page {k}" for k in range(20)]
+
+
+def test_few_pages_follow_declared_roles(spark):
+    df = spark.createDataFrame([(1, "http://a.org", "<div>out</div><article>in</article>")], "page_id long, url string, html string")
+    assert [r["text"] for r in html.extract(df).collect()] == ["in"]
