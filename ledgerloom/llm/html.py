@@ -238,7 +238,7 @@ def judged_nodes(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages:
     and those outside article and main that are not."""
     judged = importance(style_nodes(pages)).filter(F.col("pages") >= least_pages)
     low = F.greatest("content", "presentation") < least
-    found = judged.filter(low & ~F.col("main")).groupBy("host")
+    found = judged.filter(low | ~F.col("main")).groupBy("host")
     return found.agg(F.collect_list(F.when(low, F.col("node"))).alias("removed"), F.collect_list(F.when(~low, F.col("node"))).alias("kept"))
 
 

@@ -151,6 +151,11 @@ def test_a_repeated_text_takes_no_page_with_it(spark):
     assert got == [f"page {k}" for k in range(20)]
 
 
+def test_importance_decides_inside_and_outside_of_the_article(spark):
+    got = extracted(spark, lambda k: f"<div class='lead'>lead {k}</div><div class='top'>same</div><article><p>page {k}</p><div class='more'>Read more here</div></article><nav>n {k}</nav>")
+    assert got == [f"lead {k} page {k}" for k in range(20)]
+
+
 def test_few_pages_follow_declared_roles(spark):
     df = spark.createDataFrame([(1, "http://a.org", "<div>out</div><article>in</article>")], "page_id long, url string, html string")
     assert [r["text"] for r in html.extract(df).collect()] == ["in"]
