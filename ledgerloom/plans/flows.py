@@ -203,6 +203,13 @@ def _(spark, sf):
     return made.groupBy("doc_id").agg(F.count("*").alias("words"))
 
 
+@query("stream_feedback_whole", "SELECT doc_id, count(*) AS words FROM fx_all_words GROUP BY 1")
+def _(spark, sf):
+    corrections = _stream(spark, sf, "documents").select("doc_id", F.lit("vendor_name").alias("field"), F.substring_index("text", " ", 1).alias("value"))
+    made = _finished(lambda p, c: S.stream_feedback(corrections, load(spark, sf, "fx_all_words"), p, c), spark)
+    return made.groupBy("doc_id").agg(F.count("*").alias("words"))
+
+
 # ---- models of one's own ----
 
 
@@ -220,6 +227,11 @@ def _(spark, sf):
     return extend.apply_extractor(load(spark, sf, "documents").filter("lang = 'en'"), "shout", _shout).drop("duration_ms")
 
 
+@query("apply_extractor_whole")
+def _(spark, sf):
+    return extend.apply_extractor(load(spark, sf, "documents"), "shout", _shout).drop("duration_ms")
+
+
 def _batch(spark, sf):
     lines = load(spark, sf, "fx_text").select(F.col("invoice_id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"), F.lit(0.95).alias("confidence"))
     return extend.run_pipeline_batch(load(spark, sf, "fx_champ"), lines, load(spark, sf, "fx_items"))

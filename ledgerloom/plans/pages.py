@@ -174,6 +174,18 @@ def _(spark, sf):
     return load(spark, sf, "fx_labels").groupBy("gold").agg(F.count("*").alias("n")).select("gold", "n", C.label_id(F.col("gold")).alias("id"))
 
 
+_NAMED = "(doc_id + pos) % 47"
+
+
+@query("label_id_whole", f"SELECT label, count(*) AS n, id FROM (SELECT CASE WHEN {_NAMED} < 45 THEN list_extract([{', '.join(repr(x) for x in LABELS)}], CAST({_NAMED} + 1 AS BIGINT)) ELSE gold END AS label, CASE WHEN {_NAMED} < 45 THEN CAST({_NAMED} AS INT) ELSE 0 END AS id FROM fx_all_labels) GROUP BY label, id")
+def _(spark, sf):
+    # Labels of the vocabulary in turn, and the view's own, which are unknown to it.
+    k = (F.col("doc_id") + F.col("pos")) % 47
+    label = F.when(k < len(LABELS), F.get(F.array(*map(F.lit, LABELS)), k.cast("int"))).otherwise(F.col("gold"))
+    made = load(spark, sf, "fx_all_labels").select(label.alias("label"))
+    return made.groupBy("label", C.label_id(F.col("label")).alias("id")).agg(F.count("*").alias("n"))
+
+
 @query("word_size", "SELECT doc_id, pos, greatest(x1 - x0, 0) AS width, greatest(y1 - y0, 0) AS height FROM fx_labels")
 def _(spark, sf):
     return load(spark, sf, "fx_labels").select("doc_id", "pos", C.word_size(F.array("x0", "y0", "x1", "y1")).alias("s")).select("doc_id", "pos", "s.*")
@@ -343,6 +355,14 @@ def _(spark, sf):
     return load(spark, sf, "fx_invoices").filter("currency = 'USD'").select("invoice_id", C.format_money(F.col("total_amount"), F.col("currency"), F.lit("USD")).alias("shown"))
 
 
+_OWN = f"CAST(total_amount AS DOUBLE) * {_RATE.format('currency')} / {_RATE.format('currency')}"
+
+
+@query("format_money_whole", f"SELECT invoice_id, coalesce(CASE currency WHEN 'JPY' THEN '¥' || format('{{:,.0f}}', {_OWN}) ELSE CASE currency WHEN 'EUR' THEN '€' WHEN 'INR' THEN '₹' ELSE '$' END || format('{{:,.2f}}', {_OWN}) END, '—') AS shown FROM fx_invoices")
+def _(spark, sf):
+    return load(spark, sf, "fx_invoices").select("invoice_id", C.format_money(F.col("total_amount"), F.col("currency"), F.col("currency")).alias("shown"))
+
+
 @query("retry_delay", "SELECT invoice_id, least(60.0, pow(2, invoice_id % 10 + 1)) AS delay FROM fx_invoices")
 def _(spark, sf):
     return load(spark, sf, "fx_invoices").select("invoice_id", C.retry_delay(F.col("invoice_id") % 10).alias("delay"))

@@ -162,3 +162,26 @@ def test_mail_addresses_of_whole_texts(spark, captioned):
                 break
     got = {r["doc_id"]: r["value"] for r in entry.queries()["postprocess_fields_mail"](spark, DATA).filter("field = 'vendor_email'").collect()}
     assert got == want
+
+
+@needs_data
+def test_extractor_meets_every_language(spark):
+    want = {}
+    for r in load(spark, DATA, "documents").collect():
+        text = r["text"]
+        error = "TypeError" if text is None else "ValueError: too short" if len(text) < 100 else None
+        want[r["doc_id"]] = (error is None, None if error else text[:10].upper(), error)
+    assert load(spark, DATA, "documents").select("lang").distinct().count() > 1
+    got = {r["doc_id"]: (r["success"], r["output"], r["error"] and r["error"].split(":")[0] if r["error"] and r["error"].startswith("TypeError") else r["error"]) for r in entry.queries()["apply_extractor_whole"](spark, DATA).collect()}
+    assert got == want
+
+
+@needs_data
+def test_money_of_every_currency(spark):
+    shown = {r["shown"][:1] for r in entry.queries()["format_money_whole"](spark, DATA).collect()}
+    assert {"$", "€", "¥", "₹"} <= shown
+
+
+@needs_data
+def test_ids_of_the_whole_vocabulary(spark):
+    assert {r["id"] for r in entry.queries()["label_id_whole"](spark, DATA).collect()} == set(range(45))
