@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import uncertainty
+from ..storage import new_path
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -23,11 +25,34 @@ def sample_pool(df: DataFrame, k: int, seed: int, key: str = "doc_id") -> DataFr
     return df.orderBy(draw(F.col(key), seed), key).limit(k)
 
 
+def _last_of(rows: DataFrame, k: int) -> tuple:
+    """The k-th of rows (hash, key) in order, k from 1, without one task seeing all rows or k of them:
+    rows are dealt by range and stored, and only the counts of the ranges come to the driver."""
+    spark = rows.sparkSession
+    path = new_path(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(n, *rows.columns).withColumn("range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    for part, count in sorted(tuple(r) for r in ranged.groupBy("range").count().collect()):
+        if k <= count:
+            place = F.row_number().over(Window.partitionBy("range").orderBy(*rows.columns))
+            return tuple(ranged.filter(F.col("range") == part).withColumn("place", place).filter(F.col("place") == k).select(*rows.columns).first())
+        k -= count
+    raise ValueError("fewer rows than k")
+
+
 def train_eval_split(df: DataFrame, ratio: float = 0.1, seed: int = 42, key: str = "doc_id") -> DataFrame:
-    """df with split: exactly max(1, n * ratio) rows are 'eval', none if there is one row or none."""
+    """df with split: exactly max(1, n * ratio) rows are 'eval', none if there is one row or none.
+
+    Rows that repeat the last key drawn are all 'eval'.
+    """
     n = df.count()
-    held = sample_pool(df.select(key), max(1, int(n * ratio)) if n > 1 else 0, seed, key).withColumn("_held", F.lit(True))
-    return df.join(held, key, "left").withColumn("split", F.when(F.col("_held"), "eval").otherwise("train")).drop("_held")
+    if n <= 1:
+        return df.withColumn("split", F.lit("train"))
+    hashed = F.coalesce(draw(F.col(key), seed), F.lit(""))
+    last, last_key = _last_of(df.select(hashed.alias("hash"), F.col(key).alias("key")), max(1, int(n * ratio)))
+    held = (hashed < last) | ((hashed == last) & (F.lit(last_key is None) | F.coalesce(F.col(key) <= F.lit(last_key), F.lit(True))))
+    return df.withColumn("split", F.when(held, "eval").otherwise("train"))
 
 
 def finetune_mix(new: DataFrame, pool: DataFrame, k: int, seed: int) -> DataFrame:

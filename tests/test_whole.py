@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from ledgerloom.fixtures import load
 from ledgerloom.functions.scalars import loose_token
-from ledgerloom.operators import parse, tokens
+from ledgerloom.operators import curate, parse, tokens
 from ledgerloom.plans import pages
 
 DATA = "/root/testdata/sf0.001"
@@ -185,3 +185,19 @@ def test_money_of_every_currency(spark):
 @needs_data
 def test_ids_of_the_whole_vocabulary(spark):
     assert {r["id"] for r in entry.queries()["label_id_whole"](spark, DATA).collect()} == set(range(45))
+
+
+def test_split_draws_without_a_top_k_in_one_task(spark):
+    import hashlib
+
+    rows = spark.range(1000).withColumnRenamed("id", "doc_id")
+    made = curate.train_eval_split(rows)
+    assert "Limit" not in made._jdf.queryExecution().toString() and "TakeOrdered" not in made._jdf.queryExecution().toString()
+    want = sorted(range(1000), key=lambda k: hashlib.sha256(f"42:{k}".encode()).hexdigest())[:100]
+    assert {r["doc_id"] for r in made.filter("split = 'eval'").collect()} == set(want)
+
+
+def test_split_keeps_repeated_and_null_keys(spark):
+    rows = spark.createDataFrame([(k % 20 or None,) for k in range(200)], "doc_id long")
+    got = curate.train_eval_split(rows).collect()
+    assert len(got) == 200 and sum(r["split"] == "eval" for r in got) >= 20
