@@ -7,8 +7,6 @@ common table expressions, so nothing is registered in the session.
 from __future__ import annotations
 
 import re
-from contextlib import contextmanager
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,7 +53,7 @@ FROM fx_invoices WHERE invoice_id % 37 <> 0""",
        ELSE total_amount END AS DECIMAL(14,2)) AS total_amount,
   purchase_order, CAST(80 + (invoice_id % 5) AS DOUBLE) / 100 AS conf_vendor, CAST(75 + (invoice_id % 13) AS DOUBLE) / 100 AS conf_total
 FROM fx_invoices WHERE invoice_id % 41 <> 0""",
-    "fx_words": """SELECT doc_id, CAST(pos AS BIGINT) AS pos, word FROM (SELECT doc_id, slice(filter(split(text, '\\\\s+'), w -> w <> ''), 1, 200) AS ws FROM documents) LATERAL VIEW posexplode(ws) AS pos, word""",
+    "fx_words": """SELECT doc_id, CAST(pos AS BIGINT) AS pos, word FROM (SELECT doc_id, filter(split(text, '\\\\s+'), w -> w <> '') AS ws FROM documents) LATERAL VIEW OUTER posexplode(ws) AS pos, word WHERE word IS NOT NULL""",
     "fx_labels": """SELECT doc_id, pos, word,
   CASE WHEN (doc_id * 31 + CAST(floor(pos / 3.0) AS BIGINT) * 7) % 30 < 22
     THEN concat(CASE WHEN pos % 3 = 0 THEN 'B-F' ELSE 'I-F' END, (doc_id * 31 + CAST(floor(pos / 3.0) AS BIGINT) * 7) % 30)
@@ -89,40 +87,9 @@ FROM documents d CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2
 }
 
 DUCK = {
-    "fx_words": """SELECT doc_id, CAST(unnest(range(len(ws))) AS BIGINT) AS pos, unnest(ws) AS word FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:200] AS ws FROM documents)""",
+    "fx_words": """SELECT doc_id, CAST(unnest(range(len(ws))) AS BIGINT) AS pos, unnest(ws) AS word FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM documents)""",
 }
 
-# The views above stop at word 200, as their queries' SQL does; these go through whole texts.
-VIEWS["fx_all_words"] = VIEWS["fx_words"].replace("slice(filter(split(text, '\\\\s+'), w -> w <> ''), 1, 200)", "filter(split(text, '\\\\s+'), w -> w <> '')")
-DUCK["fx_all_words"] = DUCK["fx_words"].replace("[1:200]", "")
-VIEWS["fx_all_labels"] = VIEWS["fx_labels"].replace("fx_words", "fx_all_words")
-
-_WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
-_CUT = re.compile(r"\bfx_(words|labels)\b")
-
-
-@contextmanager
-def whole_texts():
-    """Views of words and labels that are loaded inside are those of whole texts."""
-    token = _WHOLE.set(True)
-    try:
-        yield
-    finally:
-        _WHOLE.reset(token)
-
-
-def add_whole(queries: dict, sqls: dict[str, str], name: str, f, sql: str | None) -> None:
-    """Register name_whole, the same query and SQL over whole texts, if it reads words or labels."""
-    if not sql or not _CUT.search(_with(sql, VIEWS)):
-        return
-
-    def run(spark, sf_dir):
-        with whole_texts():
-            return f(spark, sf_dir)
-
-    queries[f"{name}_whole"] = run
-    sqls[f"{name}_whole"] = oracle(_CUT.sub(r"fx_all_\1", sql))
-
 
 def _duck(name: str) -> str:
     sql = DUCK.get(name, VIEWS[name])
@@ -162,7 +129,5 @@ def oracle(sql: str) -> str:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or view as a DataFrame."""
-    if _WHOLE.get():
-        name = _CUT.sub(r"fx_all_\1", name)
     sql = _with(f"SELECT * FROM {name}", VIEWS)
     return spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", rf"\1 parquet.`{sf_dir}/\2.parquet`", sql))

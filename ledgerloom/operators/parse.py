@@ -105,17 +105,26 @@ def _places(words: Column) -> Column:
     return F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value worked out once; inside a lambda a bare expression is at every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def grand_total(words: Column) -> Column:
     """The amount after the last "Total" before "Amount Chargeable" (or the end), or else the largest
     amount among the 30 words before it."""
     at = lambda i: F.get(words, i)
     places = _places(words)
-    end = F.coalesce(F.get(F.filter(places, lambda i: (at(i) == "Amount") & F.coalesce(at(i + 1) == "Chargeable", F.lit(False))), F.lit(0)), F.size(words))
-    totals = F.filter(places, lambda i: (i > 0) & (i < end) & (at(i) == "Total") & F.coalesce(at(i + 1).rlike(AMOUNT), F.lit(False)))
-    near = F.filter(F.slice(words, F.greatest(end - 30, F.lit(0)) + 1, F.least(end, F.lit(30))), lambda w: w.rlike(AMOUNT))
+    chargeable = lambda i: (at(i) == "Amount") & F.coalesce(at(i + 1) == "Chargeable", F.lit(False))
     number = lambda w: F.replace(w, F.lit(","), F.lit("")).cast("double")
-    largest = F.aggregate(near, F.lit(None).cast("string"), lambda a, w: F.when(a.isNull() | (number(w) > number(a)), w).otherwise(a))
-    return F.coalesce(at(F.array_max(totals) + 1), largest)
+
+    def before(end: Column) -> Column:
+        totals = F.filter(places, lambda i: (i > 0) & (i < end) & (at(i) == "Total") & F.coalesce(at(i + 1).rlike(AMOUNT), F.lit(False)))
+        near = F.filter(F.slice(words, F.greatest(end - 30, F.lit(0)) + 1, F.least(end, F.lit(30))), lambda w: w.rlike(AMOUNT))
+        largest = F.aggregate(near, F.lit(None).cast("string"), lambda a, w: F.when(a.isNull() | (number(w) > number(a)), w).otherwise(a))
+        return F.coalesce(at(F.array_max(totals) + 1), largest)
+
+    return _let(F.coalesce(F.get(F.filter(places, chargeable), F.lit(0)), F.size(words)), before)
 
 
 def _amount_after(words: Column, name: str) -> Column:

@@ -100,42 +100,73 @@ def words_in_rectangles(words: DataFrame, rects: DataFrame, tolerance: float = 0
     return words.select("doc_id", "pos", "word").join(last, ["doc_id", "pos"], "left").select("doc_id", "pos", "word", F.coalesce("_label", F.lit("O")).alias("label"))
 
 
+def _runs_by_page(words: DataFrame, values: DataFrame) -> DataFrame:
+    """doc_id, _words (structs by pos) and _runs: (rank, start, n, field), in that order.
+
+    values: doc_id, field, value, rank. A page's words and its values are gathered once each, so a
+    word is shuffled once however many values its page has. A place is compared in full only where
+    the first token fits.
+    """
+    tokens = F.transform(F.filter(F.split("value", r"(?U)\s+"), lambda w: w != ""), loose_token)
+    wanted = values.select("doc_id", F.col("rank").cast("long").alias("rank"), "field", tokens.alias("tokens"))
+    wanted = wanted.filter((F.size("tokens") > 0) & F.col("rank").isNotNull())
+    held = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("rank", "field", "tokens")).alias("_values"))
+    row = F.struct("pos", *(c for c in words.columns if c not in ("doc_id", "pos", "label")))
+    pages = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("_words"))
+    joined = pages.join(held, "doc_id", "left").withColumn("_tokens", F.transform("_words", lambda w: loose_token(w["word"])))
+
+    def of_value(v: Column) -> Column:
+        n = F.size(v["tokens"])
+        first, last = F.get(v["tokens"], F.lit(0)), F.size("_tokens") - n
+        places = F.when(last >= 0, F.sequence(F.lit(0), last))
+        fits = lambda i: F.when(F.get("_tokens", i) == first, F.slice("_tokens", i + 1, n) == v["tokens"])
+        run = lambda i: F.struct(v["rank"].alias("rank"), i.alias("start"), n.alias("n"), v["field"].alias("field"))
+        return F.transform(F.coalesce(F.filter(places, fits), F.array().cast("array<int>")), run)
+
+    runs = F.array_sort(F.flatten(F.transform("_values", of_value)))
+    empty = F.array().cast("array<struct<rank:bigint,start:int,n:int,field:string>>")
+    return joined.select("doc_id", "_words", F.coalesce(runs, empty).alias("_runs"))
+
+
 def value_ngram_match(words: DataFrame, values: DataFrame) -> DataFrame:
     """doc_id, field, start, n: runs of words that equal a field's value, token by loose token.
 
-    values: doc_id, field, value. Runs are gathered only as long as the document's longest value.
+    values: doc_id, field, value.
     """
-    tokens = F.transform(F.filter(F.split("value", r"(?U)\s+"), lambda w: w != ""), loose_token)
-    wanted = values.select("doc_id", "field", tokens.alias("_tokens")).filter(F.size("_tokens") > 0)
-    pages = words.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda w: loose_token(w["word"])).alias("_words"))
-    pairs = wanted.join(pages, "doc_id").withColumn("n", F.size("_tokens"))
-    places = F.when(F.size("_words") >= F.col("n"), F.sequence(F.lit(0), F.size("_words") - F.col("n")))
-    hits = F.filter(places, lambda i: F.slice("_words", i + 1, F.col("n")) == F.col("_tokens"))
-    return pairs.select("doc_id", "field", F.explode(hits).alias("start"), "n").withColumn("start", F.col("start").cast("long"))
+    found = _runs_by_page(words, values.select("doc_id", "field", "value", F.lit(0).alias("rank")))
+    # An outer generator: for an inner one Spark would look for the runs a second time, to filter by.
+    rows = found.select("doc_id", F.inline_outer("_runs")).filter("n IS NOT NULL")
+    return rows.select("doc_id", "field", F.col("start").cast("long").alias("start"), "n")
 
 
-def weak_label(words: DataFrame, values: DataFrame, order: list[str]) -> DataFrame:
+def weak_label(words: DataFrame, values: DataFrame, order: list[str] | None = None) -> DataFrame:
     """words with label from field values, found as runs of equal tokens.
 
-    Fields go in `order`. A field's runs are taken greedily from the left without overlap; a run may
-    start only on a word that is O by then, but may go over labels further on. The greedy pass sees
-    a document's candidate runs only, and its labels are joined to the words.
+    Fields go in `order`, or by the rank that each row of values (doc_id, field, value) has; a value
+    without either is ignored. A field's runs are taken greedily from the left without overlap; a run
+    may start only on a word that is O by then, but may go over labels further on. Only the greedy
+    pass leaves the JVM; it sees the runs and the number of words of a page.
     """
-    rank = F.array_position(F.array(*map(F.lit, order)), F.col("field"))
-    runs = value_ngram_match(words, values).filter(rank > 0)
-    gathered = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.col("start").alias("start"), F.col("n"), F.upper("field").alias("field")))).alias("_runs"))
-
-    @F.udf("array<struct<pos:bigint,label:string>>", useArrow=True)
-    def greedy(runs):
-        labels: dict[int, str] = {}
+    if order is not None:
+        place = F.array_position(F.array(*map(F.lit, order)), F.col("field"))
+        values = values.withColumn("rank", F.when(place > 0, place))
+    pages = _runs_by_page(words, values)
+
+    @F.udf("array<string>", useArrow=True)
+    def greedy(n, runs, n_runs):
+        labels = ["O"] * n
         for run in runs:
-            if run["start"] not in labels:
-                for k in range(run["n"]):
-                    labels[run["start"] + k] = ("I-" if k else "B-") + run["field"]
-        return list(labels.items())
-
-    done = gathered.select("doc_id", F.explode(greedy("_runs")).alias("_l")).select("doc_id", "_l.pos", "_l.label")
-    return words.join(done, ["doc_id", "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
+            begin, field = run["start"], run["field"].upper()
+            if labels[begin] == "O":
+                labels[begin : begin + run["n"]] = ["B-" + field] + ["I-" + field] * (run["n"] - 1)
+        return labels
+
+    # A column that is used twice stays one; folded into the call, its lambdas would keep Spark from
+    # sending it to Python.
+    labelled = pages.withColumn("_labels", greedy(F.size("_words"), "_runs", F.size("_runs")))
+    rows = labelled.select("doc_id", F.explode_outer(F.arrays_zip(F.col("_words").alias("w"), F.col("_labels").alias("label"))).alias("r"))
+    columns = [c for c in words.columns if c != "label"]
+    return rows.select(*("doc_id" if c == "doc_id" else F.col(f"r.w.{c}").alias(c) for c in columns), "r.label")
 
 
 def scale_page_words(pages: DataFrame, dpi: Column) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import add_whole, load, oracle, whole_texts
+from ..fixtures import load, oracle
 from ..operators import extend
+from ..schemas import TRANSITIONS
 from ..sources import annotations as A
 from ..storage import new_path
 from ..streaming import flows as S
+from .pages import _LOOSE
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -19,7 +21,6 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = f
         if sql:
             SQL[name] = oracle(sql)
-        add_whole(QUERIES, SQL, name, f, sql)
         return f
 
     return add
@@ -61,28 +62,42 @@ def _sroie(spark, sf):
     return pages, boxes, pages.select("stem", entity.alias("value"))
 
 
-@query("read_sroie")
+_ENTITY = "regexp_replace(word, '^.*,', '')"
+
+
+@query("read_sroie", f"""WITH known AS (SELECT doc_id, {_LOOSE.format(_ENTITY)} AS t FROM fx_words WHERE pos = 2 AND {_ENTITY} <> '')
+SELECT CAST(w.doc_id AS VARCHAR) AS doc_id, pos, word, {_BOX}, CASE WHEN {_LOOSE.format('word')} = t THEN 'B-VENDOR_NAME' ELSE 'O' END AS label FROM fx_labels w LEFT JOIN known k ON w.doc_id = k.doc_id""")
 def _(spark, sf):
-    with whole_texts():
-        _, boxes, entities = _sroie(spark, sf)
+    _, boxes, entities = _sroie(spark, sf)
     return A.read_sroie(boxes, entities)
 
 
-@query("stem_join", "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS stem FROM fx_words WHERE doc_id % 3 = 0 AND doc_id % 2 = 0")
+@query("stem_join", f"""SELECT CAST(doc_id AS VARCHAR) AS stem, count(*) + 2 AS lines, coalesce(max(CASE WHEN pos = 2 THEN {_ENTITY} END), '') AS company FROM fx_words
+WHERE doc_id % 3 = 0 AND doc_id % 2 = 0 GROUP BY 1""")
 def _(spark, sf):
     pages, boxes, entities = _sroie(spark, sf)
-    return A.stem_join(pages.filter("CAST(stem AS INT) % 3 = 0"), boxes.filter("CAST(stem AS INT) % 2 = 0"), entities).select("stem")
+    joined = A.stem_join(pages.filter("CAST(stem AS INT) % 3 = 0"), boxes.filter("CAST(stem AS INT) % 2 = 0"), entities)
+    company = F.coalesce(F.get_json_object("entities", "$.company"), F.lit(""))
+    return joined.select("stem", F.size(F.split("boxes", "\n")).cast("long").alias("lines"), company.alias("company"))
+
 
+_ALL_WORDS = "string_agg(word, ' ' ORDER BY pos)"
 
-@query("require_image", "SELECT CAST(doc_id AS VARCHAR) AS stem, count(*) AS n FROM fx_words WHERE doc_id % 3 = 0 GROUP BY 1")
+
+@query("require_image", f"SELECT CAST(doc_id AS VARCHAR) AS stem, count(*) AS n, sha256({_ALL_WORDS}) AS words FROM fx_words WHERE doc_id % 3 = 0 GROUP BY doc_id")
 def _(spark, sf):
     pages = _pages(spark, sf, F.col("word"))
     images = load(spark, sf, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("stem"))
-    return A.require_image(pages, images).select("stem", F.size("list").cast("long").alias("n"))
+    kept = A.require_image(pages, images)
+    return kept.select("stem", F.size("list").cast("long").alias("n"), _digest(F.col("list")).alias("words"))
+
+
+def _digest(words):
+    return F.sha2(F.array_join(words, " "), 256)
 
 
-@query("import_labeling_results", """WITH w AS (SELECT *, (x0 + x1) / 2.0 AS cx, (y0 + y1) / 2.0 AS cy FROM fx_labels), h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM w WHERE cx BETWEEN -25 AND 225 AND cy BETWEEN -3.75 AND 33.75)
-SELECT CAST(w.doc_id AS VARCHAR) AS doc_id, w.pos, w.word, CASE WHEN h.k = 1 THEN 'B-VENDOR_NAME' WHEN h.k > 1 THEN 'I-VENDOR_NAME' ELSE 'O' END AS label FROM w LEFT JOIN h ON w.doc_id = h.doc_id AND w.pos = h.pos""")
+@query("import_labeling_results", """WITH w AS (SELECT *, (x0 + x1) / 2.0 BETWEEN -25 AND 225 AND (y0 + y1) / 2.0 BETWEEN -3.75 AND 33.75 AS hit FROM fx_labels)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, pos, word, CASE WHEN NOT hit THEN 'O' WHEN row_number() OVER (PARTITION BY doc_id, hit ORDER BY pos) = 1 THEN 'B-VENDOR_NAME' ELSE 'I-VENDOR_NAME' END AS label FROM w""")
 def _(spark, sf):
     pages = _pages(spark, sf, F.struct("word", F.array("x0", "y0", "x1", "y1").alias("box")))
     data = F.struct(F.lit("i.png").alias("image"), F.transform("list", lambda w: w["word"]).alias("words"), F.transform("list", lambda w: w["box"]).alias("bboxes"))
@@ -98,21 +113,50 @@ def _examples(spark, sf):
     return pages.select("stem", F.concat("stem", F.lit(".png")).alias("image"), part("word").alias("words"), part("box").alias("bboxes"), labels.alias("labels"), F.array(F.lit(1000), F.lit(500)).alias("image_size"))
 
 
-@query("write_examples", "SELECT CAST(doc_id AS VARCHAR) AS stem, count(*) AS n FROM fx_words WHERE doc_id % 4 <> 0 GROUP BY 1")
+_WRITTEN = """SELECT CAST(doc_id AS VARCHAR) AS stem, count(*) AS n, sha256(string_agg(word, ' ' ORDER BY pos)) AS words,
+sum(x0 + 3 * y0 + 5 * x1 + 7 * y1) AS boxes, 'O' AS labels FROM fx_labels WHERE doc_id % 4 <> 0 GROUP BY doc_id"""
+
+
+def _summary(df):
+    """What an example holds, in columns that SQL can make too."""
+    boxes = F.aggregate("bboxes", F.lit(0).cast("long"), lambda a, b: a + b[0] + 3 * b[1] + 5 * b[2] + 7 * b[3])
+    labels = F.array_join(F.array_distinct("labels"), ",")
+    return df.select("stem", F.size("words").cast("long").alias("n"), _digest(F.col("words")).alias("words"), boxes.alias("boxes"), labels.alias("labels"))
+
+
+@query("write_examples", _WRITTEN)
 def _(spark, sf):
     path = new_path(spark)
     A.write_examples(_examples(spark, sf), path)
-    return spark.read.schema("stem string, words array<string>").json(path).select("stem", F.size("words").cast("long").alias("n"))
+    return _summary(spark.read.schema("stem string, words array<string>, bboxes array<array<int>>, labels array<string>").json(path))
+
+
+@query("read_examples", _WRITTEN + " HAVING doc_id % 3 <> 0")
+def _(spark, sf):
+    # Written without a check, so that the reader meets bad examples; images of some are missing.
+    path = new_path(spark)
+    made = _examples(spark, sf)
+    one = F.to_json(F.struct("image", "words", "bboxes", "labels", "image_size"))
+    made.select(one.alias("value")).write.text(path)
+    images = made.filter("CAST(stem AS INT) % 3 <> 0").select(F.concat(F.lit("in/"), "image").alias("path"))
+    stems = A.stem(F.get_json_object("value", "$.image"))
+    good, _ = A.parse_examples(spark.read.text(path).select(stems.alias("stem"), F.lit("in/").alias("folder"), "value"), images)
+    return _summary(good)
 
 
-@query("export_labeling_tasks", "SELECT '/data/' || doc_id || '.png' AS image, count(*) AS n FROM fx_words GROUP BY 1")
+@query("export_labeling_tasks", "SELECT '/data/' || doc_id || '.png' AS image, CAST(doc_id AS VARCHAR) AS source_file, count(*) AS n, sha256(string_agg(word, ' ' ORDER BY pos)) AS words, CASE WHEN doc_id % 4 = 0 THEN 'B-OTHER' ELSE 'O' END AS labels FROM fx_words GROUP BY doc_id")
 def _(spark, sf):
-    return A.export_labeling_tasks(_examples(spark, sf), "/data/").select("data.image", F.size("data.words").cast("long").alias("n"))
+    tasks = A.export_labeling_tasks(_examples(spark, sf), "/data/")
+    return tasks.select("data.image", "meta.source_file", F.size("data.words").cast("long").alias("n"), _digest(F.col("data.words")).alias("words"), F.array_join(F.array_distinct("data.suggested_labels"), ",").alias("labels"))
 
 
-@query("append_feedback")
+_FEEDBACK = f"""SELECT w.doc_id, w.pos, w.word, CASE WHEN {_LOOSE.format('w.word')} = {_LOOSE.format('v.word')} THEN 'B-VENDOR_NAME' ELSE 'O' END AS label, 'human_correction' AS source
+FROM fx_words w LEFT JOIN fx_words v ON v.pos = 5 AND v.doc_id = w.doc_id"""
+
+
+@query("append_feedback", _FEEDBACK)
 def _(spark, sf):
-    words = load(spark, sf, "fx_all_words")
+    words = load(spark, sf, "fx_words")
     values = words.filter("pos = 5").select("doc_id", F.lit("vendor_name").alias("field"), F.col("word").alias("value"))
     return A.append_feedback(words, values).select("doc_id", "pos", "word", "label", "source")
 
@@ -165,7 +209,14 @@ def _(spark, sf):
 _TARGETS = ("PROCESSING", "REVIEW_REQUIRED", "APPROVED", "POSTED", "FAILED")
 
 
-@query("stream_status_machine")
+_LEGAL = " OR ".join(f"({{0}} = '{a}' AND {{1}} IN ({', '.join(map(repr, b))}))" for a, b in TRANSITIONS.items() if b)
+_ASKED = f"SELECT user_id AS id, event_id AS seq, list_extract({list(_TARGETS)}, CAST(event_id % 5 + 1 AS BIGINT)) AS target, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events"
+
+
+@query("stream_status_machine", f"""WITH RECURSIVE asked AS MATERIALIZED ({_ASKED}),
+steps AS (SELECT id, seq, k, 'UPLOADED' AS current, target, {_LEGAL.format("'UPLOADED'", "target")} AS accepted FROM asked WHERE k = 1
+  UNION ALL SELECT id, seq, k, current, target, {_LEGAL.format("current", "target")} FROM (SELECT a.id, a.seq, a.k, CASE WHEN s.accepted THEN s.target ELSE s.current END AS current, a.target FROM steps s JOIN asked a ON a.id = s.id AND a.k = s.k + 1))
+SELECT id, seq, current, target, accepted FROM steps""")
 def _(spark, sf):
     target = F.element_at(F.array(*map(F.lit, _TARGETS)), (F.col("event_id") % 5 + 1).cast("int"))
     asked = _stream(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), target.alias("target"))
@@ -196,40 +247,35 @@ def _(spark, sf):
     return _finished(lambda p, c: S.stream_dashboard(changes, p, c), spark)
 
 
-@query("stream_feedback", "SELECT doc_id, count(*) AS words FROM fx_words WHERE doc_id % 9 = 0 GROUP BY 1")
-def _(spark, sf):
-    corrections = _stream(spark, sf, "documents").filter("doc_id % 9 = 0").select("doc_id", F.lit("vendor_name").alias("field"), F.substring_index("text", " ", 1).alias("value"))
-    made = _finished(lambda p, c: S.stream_feedback(corrections, load(spark, sf, "fx_words"), p, c), spark)
-    return made.groupBy("doc_id").agg(F.count("*").alias("words"))
+_FIRST_WORD = f"SELECT w.doc_id, w.pos, w.word, CASE WHEN {_LOOSE.format('w.word')} = {_LOOSE.format('v.word')} THEN 'B-VENDOR_NAME' ELSE 'O' END AS label FROM fx_words w JOIN fx_words v ON v.pos = 0 AND v.doc_id = w.doc_id"
 
 
-@query("stream_feedback_whole", "SELECT doc_id, count(*) AS words FROM fx_all_words GROUP BY 1")
+@query("stream_feedback", _FIRST_WORD)
 def _(spark, sf):
-    corrections = _stream(spark, sf, "documents").select("doc_id", F.lit("vendor_name").alias("field"), F.substring_index("text", " ", 1).alias("value"))
-    made = _finished(lambda p, c: S.stream_feedback(corrections, load(spark, sf, "fx_all_words"), p, c), spark)
-    return made.groupBy("doc_id").agg(F.count("*").alias("words"))
+    first = F.regexp_extract("text", r"^\s*(\S+)", 1)
+    corrections = _stream(spark, sf, "documents").select("doc_id", F.lit("vendor_name").alias("field"), first.alias("value"))
+    made = _finished(lambda p, c: S.stream_feedback(corrections, load(spark, sf, "fx_words"), p, c), spark)
+    return made.select("doc_id", "pos", "word", "label")
 
 
 # ---- models of one's own ----
 
 
-def _shout():
+def _opening():
     def call(text):
         if len(text) < 100:
             raise ValueError("too short")
-        return text[:10].upper()
+        return f"{len(text)} {text[:10]}"
 
     return call
 
 
-@query("apply_extractor", "SELECT doc_id, length(text) >= 100 AS success, CASE WHEN length(text) >= 100 THEN upper(substr(text, 1, 10)) END AS output, 'shout' AS agent, CASE WHEN length(text) < 100 THEN 'ValueError: too short' END AS error FROM documents WHERE lang = 'en'")
-def _(spark, sf):
-    return extend.apply_extractor(load(spark, sf, "documents").filter("lang = 'en'"), "shout", _shout).drop("duration_ms")
+_NONE = "TypeError: object of type ''NoneType'' has no len()"
 
 
-@query("apply_extractor_whole")
+@query("apply_extractor", f"SELECT doc_id, coalesce(length(text) >= 100, false) AS success, CASE WHEN length(text) >= 100 THEN length(text) || ' ' || substr(text, 1, 10) END AS output, 'opening' AS agent, CASE WHEN text IS NULL THEN '{_NONE}' WHEN length(text) < 100 THEN 'ValueError: too short' END AS error FROM documents")
 def _(spark, sf):
-    return extend.apply_extractor(load(spark, sf, "documents"), "shout", _shout).drop("duration_ms")
+    return extend.apply_extractor(load(spark, sf, "documents"), "opening", _opening).drop("duration_ms")
 
 
 def _batch(spark, sf):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import stripped
 from ..operators.tokens import cord_bio, validate_example, weak_label, words_in_rectangles
 from ..schemas import EXAMPLE, FIELDS
 
@@ -53,12 +54,28 @@ def stem_join(images: DataFrame, boxes: DataFrame, entities: DataFrame) -> DataF
     return a.join(b, "stem").join(images.select("stem").distinct(), "stem", "left_semi")
 
 
-def read_examples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(good, bad) labelled examples of the JSON files below path."""
-    rows = whole_files(spark, path, "*.json").select("stem", "value", F.from_json("value", EXAMPLE).alias("e"))
-    checked = validate_example(rows.select("stem", "value", "e.*"))
+def parse_examples(rows: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) labelled examples of rows (stem, folder, value: JSON).
+
+    Bad ones are not valid, or their image is not among images (path: its folder and name).
+    """
+    read = rows.select("stem", "folder", "value", F.from_json("value", EXAMPLE).alias("e")).select("stem", "folder", "value", "e.*")
+    there = images.select("path").distinct().withColumn("_there", F.lit(True))
+    found = validate_example(read).withColumn("path", F.concat("folder", "image")).join(there, "path", "left")
+    lost = F.array(F.concat(F.lit("image not found: "), F.coalesce("image", F.lit("null"))))
+    checked = found.withColumn("errors", F.when((F.size("errors") == 0) & F.col("_there").isNull(), lost).otherwise(F.col("errors")))
     good = F.size("errors") == 0
-    return checked.filter(good).drop("value", "errors"), checked.filter(~good).select("stem", "value", "errors")
+    names = [c for c in read.columns if c not in ("folder", "value")]
+    return checked.filter(good).select(*names), checked.filter(~good).select("stem", "value", "errors")
+
+
+def read_examples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) labelled examples of the JSON files below path. Images are looked for in the folder
+    of their example; they are listed, not read."""
+    own, files = F.col("_metadata.file_path"), {"recursiveFileLookup": True}
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.json", **files)
+    images = spark.read.format("binaryFile").options(**files).load(path).select(own.alias("path"))
+    return parse_examples(texts.select(stem(own).alias("stem"), F.regexp_replace(own, r"[^/]*$", "").alias("folder"), "value"), images)
 
 
 def write_examples(examples: DataFrame, path: str) -> DataFrame:
@@ -78,20 +95,21 @@ def _box(xs: Column, ys: Column) -> dict[str, Column]:
 
 def read_sroie(boxes: DataFrame, entities: DataFrame) -> DataFrame:
     """doc_id, pos, word, x0..y1, label of receipts: text boxes by line, and the entities' values,
-    with which words are labelled. Words of a line share its box."""
+    with which words are labelled in the order of the entities' file. Words of a line share its box;
+    coordinates may have decimals, which are cut off."""
     lines = boxes.select("stem", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     parts = F.split("text", ",", 9)
-    number = lambda k: F.try_element_at(parts, F.lit(k + 1)).try_cast("int")
-    read = lines.select("stem", "line", F.trim(F.try_element_at(parts, F.lit(9))).alias("text"), F.array(*(number(k) for k in (0, 2, 4, 6))).alias("xs"), F.array(*(number(k) for k in (1, 3, 5, 7))).alias("ys"))
+    number = lambda k: F.try_element_at(parts, F.lit(k + 1)).try_cast("double").try_cast("int")
+    read = lines.select("stem", "line", stripped(F.try_element_at(parts, F.lit(9))).alias("text"), F.array(*(number(k) for k in (0, 2, 4, 6))).alias("xs"), F.array(*(number(k) for k in (1, 3, 5, 7))).alias("ys"))
     whole = read.filter((F.col("text") != "") & ~F.exists("xs", lambda x: x.isNull()) & ~F.exists("ys", lambda y: y.isNull()))
     tokens = F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
     boxed = F.transform(tokens, lambda w: F.struct(w.alias("word"), *(c.alias(n) for n, c in _box(F.col("xs"), F.col("ys")).items())))
     pages = whole.groupBy("stem").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", boxed.alias("ws")))), lambda x: x["ws"])).alias("ws"))
     words = _words(pages, F.col("ws"))
-    known = entities.select(F.col("stem").alias("doc_id"), F.explode(F.from_json("value", "map<string,string>")).alias("entity", "value"))
+    known = entities.select(F.col("stem").alias("doc_id"), F.posexplode(F.from_json("value", "map<string,string>")).alias("rank", "entity", "value"))
     names = F.create_map(*(F.lit(x) for pair in SROIE_FIELDS.items() for x in pair))
-    values = known.select("doc_id", F.try_element_at(names, F.col("entity")).alias("field"), "value").filter("field IS NOT NULL AND value <> ''")
-    return weak_label(words, values, list(SROIE_FIELDS.values()))
+    values = known.select("doc_id", "rank", F.try_element_at(names, F.col("entity")).alias("field"), "value")
+    return weak_label(words, values.filter("field IS NOT NULL AND value <> ''"))
 
 
 FUNSD = "form array<struct<words:array<struct<text:string,box:array<int>>>>>"
@@ -100,8 +118,8 @@ FUNSD = "form array<struct<words:array<struct<text:string,box:array<int>>>>>"
 def read_funsd(files: DataFrame) -> DataFrame:
     """doc_id, pos, word, x0..y1, label (always O) of forms."""
     words = F.flatten(F.transform(F.from_json("value", FUNSD)["form"], lambda f: f["words"]))
-    good = F.filter(words, lambda w: (F.trim(w["text"]) != "") & (F.size(w["box"]) == 4))
-    made = F.transform(good, lambda w: F.struct(F.trim(w["text"]).alias("word"), *(F.get(w["box"], F.lit(k)).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1")))))
+    good = F.filter(words, lambda w: (stripped(w["text"]) != "") & (F.size(w["box"]) == 4))
+    made = F.transform(good, lambda w: F.struct(stripped(w["text"]).alias("word"), *(F.get(w["box"], F.lit(k)).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1")))))
     return _words(files, made).withColumn("label", F.lit("O"))
 
 
@@ -116,7 +134,7 @@ def read_cord(files: DataFrame) -> DataFrame:
     def of_line(line: Column) -> Column:
         corner = lambda w, a: F.array(*(w["quad"][f"{a}{k}"] for k in range(1, 5)))
         field = F.try_element_at(names, line["category"])
-        return F.transform(line["words"], lambda w: F.struct(F.trim(w["text"]).alias("word"), *(c.alias(n) for n, c in _box(corner(w, "x"), corner(w, "y")).items()), field.alias("field")))
+        return F.transform(line["words"], lambda w: F.struct(stripped(w["text"]).alias("word"), *(c.alias(n) for n, c in _box(corner(w, "x"), corner(w, "y")).items()), field.alias("field")))
 
     words = F.flatten(F.transform(F.from_json("value", CORD)["valid_line"], of_line))
     rows = _words(files, F.filter(words, lambda w: w["word"] != ""))

@@ -43,13 +43,15 @@ def test_example_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"image": "a.png", "words": ["x"], "bboxes": [[0, 0, 1, 1]], "labels": ["O"]}')
     (tmp_path / "sub/b.json").write_text('{"words": ["x", "y"],\n "bboxes": [[0, 0, 1, 1]], "labels": ["O"]}')
     (tmp_path / "sub/c.json").write_text("not json")
+    (tmp_path / "sub/d.json").write_text('{"image": "a.png", "words": ["x"], "bboxes": [[0, 0, 1, 1]], "labels": ["O"]}')
+    (tmp_path / "a.png").write_bytes(b"1")
     good, bad = annotations.read_examples(spark, str(tmp_path))
     assert [r["stem"] for r in good.collect()] == ["a"]
-    assert {r["stem"]: r["errors"] for r in bad.collect()} == {"b": ["length mismatch"], "c": ["missing keys: words, bboxes, labels"]}
+    assert {r["stem"]: r["errors"] for r in bad.collect()} == {"b": ["length mismatch"], "c": ["missing keys: words, bboxes, labels"], "d": ["image not found: a.png"]}
     images = spark.createDataFrame([("a",)], "stem string")
     assert annotations.require_image(good, images).count() == 1 and annotations.require_image(good, images.limit(0)).count() == 0
     left = annotations.write_examples(bad.select("stem", F.array(F.lit("q")).alias("words"), F.array(F.array(F.lit(1))).alias("bboxes"), F.array(F.lit("O")).alias("labels")), f"{tmp_path}/out")
-    assert left.count() == 2
+    assert left.count() == 3
 
 
 def test_receipt_lines(spark):

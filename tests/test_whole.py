@@ -24,7 +24,7 @@ def texts(spark):
 def test_views_hold_whole_texts(spark):
     want = {k: len(ws) for k, ws in texts(spark).items() if ws}
     assert max(want.values()) > 200
-    for view in ("fx_all_words", "fx_all_labels"):
+    for view in ("fx_words", "fx_labels"):
         assert {r["doc_id"]: r["count"] for r in load(spark, DATA, view).groupBy("doc_id").count().collect()} == want
 
 
@@ -34,7 +34,7 @@ def test_a_sequence_after_word_200_is_found(spark):
     for k, ws in texts(spark).items():
         bare = [w.lower().rstrip(":,.") for w in ws]
         want[k] = next((i for i in range(len(bare) - 1) if bare[i : i + 2] == ["of", "the"]), -1)
-    got = {r["doc_id"]: r["place"] for r in entry.queries()["find_sequence_whole"](spark, DATA).collect()}
+    got = {r["doc_id"]: r["place"] for r in entry.queries()["find_sequence"](spark, DATA).collect()}
     assert got == {k: p for k, p in want.items() if k in got} and set(want) - set(got) == {k for k, ws in texts(spark).items() if not ws}
 
 
@@ -54,7 +54,7 @@ def greedy(words, values, order):
 @needs_data
 def test_weak_labels_of_whole_texts(spark):
     loose = {}
-    for r in load(spark, DATA, "fx_all_words").select("doc_id", "pos", loose_token("word").alias("w")).orderBy("doc_id", "pos").collect():
+    for r in load(spark, DATA, "fx_words").select("doc_id", "pos", loose_token("word").alias("w")).orderBy("doc_id", "pos").collect():
         loose.setdefault(r["doc_id"], []).append(r["w"])
     got = {}
     for r in entry.queries()["weak_label"](spark, DATA).orderBy("doc_id", "pos").collect():
@@ -160,7 +160,7 @@ def test_mail_addresses_of_whole_texts(spark, captioned):
             if is_like(ws, i, parse.EMAIL) or ws[i].endswith(".") and "@" in "".join(ws[i + 1 : i + 2]) and re.search(parse.EMAIL, pair, re.ASCII):
                 want[k] = ws[i] if is_like(ws, i, parse.EMAIL) else pair
                 break
-    got = {r["doc_id"]: r["value"] for r in entry.queries()["postprocess_fields_mail"](spark, DATA).filter("field = 'vendor_email'").collect()}
+    got = {r["doc_id"]: r["value"] for r in entry.queries()["postprocess_fields"](spark, DATA).filter("field = 'vendor_email'").collect()}
     assert got == want
 
 
@@ -170,21 +170,21 @@ def test_extractor_meets_every_language(spark):
     for r in load(spark, DATA, "documents").collect():
         text = r["text"]
         error = "TypeError" if text is None else "ValueError: too short" if len(text) < 100 else None
-        want[r["doc_id"]] = (error is None, None if error else text[:10].upper(), error)
+        want[r["doc_id"]] = (error is None, None if error else f"{len(text)} {text[:10]}", error)
     assert load(spark, DATA, "documents").select("lang").distinct().count() > 1
-    got = {r["doc_id"]: (r["success"], r["output"], r["error"] and r["error"].split(":")[0] if r["error"] and r["error"].startswith("TypeError") else r["error"]) for r in entry.queries()["apply_extractor_whole"](spark, DATA).collect()}
+    got = {r["doc_id"]: (r["success"], r["output"], r["error"] and r["error"].split(":")[0] if r["error"] and r["error"].startswith("TypeError") else r["error"]) for r in entry.queries()["apply_extractor"](spark, DATA).collect()}
     assert got == want
 
 
 @needs_data
 def test_money_of_every_currency(spark):
-    shown = {r["shown"][:1] for r in entry.queries()["format_money_whole"](spark, DATA).collect()}
+    shown = {r["shown"][:1] for r in entry.queries()["format_money"](spark, DATA).collect()}
     assert {"$", "€", "¥", "₹"} <= shown
 
 
 @needs_data
 def test_ids_of_the_whole_vocabulary(spark):
-    assert {r["id"] for r in entry.queries()["label_id_whole"](spark, DATA).collect()} == set(range(45))
+    assert {r["id"] for r in entry.queries()["label_id"](spark, DATA).collect()} == set(range(45))
 
 
 def test_split_draws_without_a_top_k_in_one_task(spark):
