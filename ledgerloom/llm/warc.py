@@ -1,36 +1,43 @@
-"""WARC: write archives, index them, and read selected records by coalesced byte ranges.
+"""WARC: write archives and their index, and read selected records by coalesced byte ranges.
 
-Archives are WARC/1.1 files with a gzip member for each record, as is usual. Spark's text writer
-makes them: a row is a member's bytes, and the line separator is an empty member, which decompresses
-to nothing. So writing is distributed, committed by Spark, and goes to any file system it knows. The
-index has offset, length, URL and digest for every record; a reader sorts the records it wants by
-file and offset, joins neighbouring ranges and reads each joined range at once.
+Archives are WARC/1.1 files with a gzip member for each record, as is usual. A task writes whole
+archives of its own, under names that no other attempt of it has, and gives out their index: offset,
+length, URL and digest of every record, known as it writes them. Spark commits the index, so it names
+complete archives only; what a lost attempt leaves behind is in no index. A reader sorts the records
+it wants by file and offset, joins neighbouring ranges and reads each joined range at once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 END = "\r\n\r\n"
-#: A gzip member of nothing, as the line separator (one character for each byte).
-EMPTY = bytes.fromhex("1f8b08000000000000030300000000000000" "0000").decode("latin-1")
 LEVEL = 6
 #: Payloads below this are always stored, never revisits.
 LEAST_SHARED = 1000
+#: A task begins another archive after so many bytes.
+ARCHIVE = 256 << 20
+#: Revisits are broadcast up to this many (page, digest and response, about 100 bytes each).
+BROADCAST_REVISITS = 500_000
 #: Ranges with a smaller gap between them are read together, up to so many bytes at once.
 GAP, CHUNK = 64 << 10, 8 << 20
 
-INDEX = "file string, offset long, length long, record_id string, url string, record_type string, digest string, refers_to string"
+INDEX = (
+    "file string, offset long, length long, record_id string, url string, record_type string, digest string, "
+    "refers_to string"
+)
 
 
 def payload_digest(payload: Column) -> Column:
@@ -38,31 +45,38 @@ def payload_digest(payload: Column) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """(page_id, record): WARC records of rows (page_id, url, html), without END.
+    """(record_id, url, record_type, digest, refers_to, record): WARC records of rows (page_id, url,
+    html), without END.
 
     Of rows with equal payloads of LEAST_SHARED bytes or more, that with the largest page_id is a
     response and the others revisits of it, without a payload of their own. Rows that share the
     largest page_id are all responses, as are rows whose ids are all null; smaller payloads are
     always responses. Null html is an empty payload. A null url has no target header, and control
-    characters in a url are percent-encoded. Revisits are found among digests; texts of pages are
-    shuffled once, by page, so a page that thousands copy burdens no task.
+    characters in a url are percent-encoded. Revisits are found among digests, so a page that
+    thousands copy burdens no task; pages are shuffled only if there are very many revisits.
     """
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    narrow = own.select("page_id", payload_digest(F.col("html")).alias("digest"), F.octet_length("html").alias("size")).filter(F.col("size") >= LEAST_SHARED)
-    firsts = narrow.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1")
-    later = narrow.join(firsts, "digest").filter(~F.col("page_id").eqNullSafe(F.col("response")))
-    revisits = later.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "response").distinct()
+    narrow = own.select("page_id", payload_digest(F.col("html")).alias("digest"), F.octet_length("html").alias("size"))
+    shared = common.stored(narrow.filter(F.col("size") >= LEAST_SHARED).drop("size"))
+    firsts = shared.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1")
+    later = shared.join(firsts, "digest").filter(~F.col("page_id").eqNullSafe(F.col("response")))
+    revisits = common.stored(later.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "response").distinct())
+    if revisits.count() <= BROADCAST_REVISITS:
+        revisits = F.broadcast(revisits)
     with_digest = own.withColumn("digest", payload_digest(F.col("html")))
-    joined = with_digest.join(revisits, with_digest["page_id"].eqNullSafe(revisits["_page"]) & (with_digest["digest"] == revisits["_digest"]), "left")
+    same = with_digest["page_id"].eqNullSafe(revisits["_page"]) & (with_digest["digest"] == revisits["_digest"])
+    joined = with_digest.join(revisits, same, "left")
     again = F.col("response").isNotNull()
+    kind = F.when(again, "revisit").otherwise("response")
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     name = lambda key: F.concat(F.lit("<urn:page:"), F.coalesce(key.cast("string"), F.lit("null")), F.lit(">"))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit(END))
+    fixed = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
+    http = F.concat(F.lit(fixed), F.octet_length("html").cast("string"), F.lit(END))
     block = F.when(again, http).otherwise(F.concat(http, F.col("html")))
     head = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response")),
+        F.concat(F.lit("WARC-Type: "), kind),
         F.concat(F.lit("WARC-Record-ID: "), name(F.col("page_id"))),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z"),
         F.concat(F.lit("WARC-Target-URI: "), uri),
@@ -72,27 +86,64 @@ def records(pages: DataFrame) -> DataFrame:
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
-    return joined.select("page_id", F.concat(head, F.lit(END), block).alias("record"))
+    return joined.select(
+        name(F.col("page_id")).alias("record_id"),
+        uri.alias("url"),
+        kind.alias("record_type"),
+        "digest",
+        F.when(again, name(F.col("response"))).alias("refers_to"),
+        F.concat(head, F.lit(END), block).alias("record"),
+    )
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Write all pages to archives below path, one for each task of the last shuffle."""
+def write_archives(pages: DataFrame, path: str) -> DataFrame:
+    """Write all pages to archives below path, and return their index (INDEX), which is stored too."""
+    columns = ("record_id", "url", "record_type", "digest", "refers_to")
 
     def pack(batches):
-        for batch in batches:
-            made = []
-            for record in batch.column("record").to_pylist():
-                gz = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                made.append(gz.compress(record.encode("utf-8", "surrogatepass") + END.encode()) + gz.flush())
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
+        out = uri = None
+        rows: list[list] = [[] for _ in range(8)]
+        try:
+            for batch in batches:
+                own = [batch.column(c).to_pylist() for c in columns]
+                for k, record in enumerate(batch.column("record")):
+                    if out is None:
+                        uri = f"{path}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
+                        out, rows = _create(uri), [[] for _ in range(8)]
+                    gz = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                    offset = out.tell()
+                    out.write(gz.compress(record.as_buffer()) + gz.compress(END.encode()) + gz.flush())
+                    for column, value in zip(rows, (uri, offset, out.tell() - offset, *(c[k] for c in own)), strict=True):
+                        column.append(value)
+                    if out.tell() >= ARCHIVE:
+                        out.close()
+                        out = None
+                        yield _index_batch(rows)
+            if out is not None:
+                out.close()
+                out = None
+                yield _index_batch(rows)
+        finally:
+            if out is not None:
+                out.close()
+
+    return common.stored(records(pages).mapInArrow(pack, INDEX))
+
+
+def _file_system(uri: str):
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+
 
-    packed = records(pages).select("record").mapInArrow(pack, "record binary")
-    packed.select(F.col("record").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY).text(path)
+def _create(uri: str):
+    """A new file by its URI, on any store that executors reach."""
+    system, path = _file_system(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(path, compression=None)
 
 
 def _open(uri: str):
     """A random-access file by its URI, on any store that executors reach."""
-    system, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    system, path = _file_system(uri)
     return system.open_input_file(path)
 
 
@@ -123,7 +174,8 @@ def _scanned(file) -> Iterator[tuple[int, int, dict]]:
 
 
 def build_index(spark: SparkSession, path: str) -> DataFrame:
-    """One row of INDEX per record below path. Files are listed by Spark and scanned in tasks."""
+    """One row of INDEX per record below path, for archives that came without an index. Files are
+    listed by Spark and scanned in tasks."""
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -212,22 +264,24 @@ def payloads(index: DataFrame) -> DataFrame:
 
 
 def op1_warc_round_trip(spark, sf_dir: str) -> DataFrame:
-    path = common.shared_dir(spark)
-    write_archives(common.table(spark, sf_dir, "pages"), path)
-    index = common.stored(build_index(spark, path))
-    digests = common.stored(read_records(index, lambda r, p: (r["record_id"], r["record_type"], r["refers_to"], len(p), hashlib.sha1(p).hexdigest()), "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string"))
+    """What the archives say of each page. Only responses are read: the index knows revisits, and
+    their payloads are those of the responses they refer to."""
+    index = write_archives(common.table(spark, sf_dir, "pages"), common.shared_dir(spark))
+    read = lambda r, p: (r["record_id"], len(p), hashlib.sha1(p).hexdigest())
+    again = F.col("record_type") == "revisit"
+    found = common.stored(read_records(index.filter(~again), read, "record_id string, payload_bytes long, payload_digest string"))
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     of = lambda c: F.when(page(c) != "", page(c)).cast("long")
-    # A revisit has the payload of the response it refers to, found by the record's name. Names of pages
-    # that are revisited are unique among responses but for repeated rows.
-    wanted = F.col("record_type") == "revisit"
-    stored = digests.filter(~wanted).groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("_bytes"))
-    index_digest = index.filter(wanted).select("record_id", "refers_to", F.col("digest").alias("payload_digest"))
-    revisits = index_digest.join(stored, ["refers_to", "payload_digest"])
-    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    responses = digests.filter(~wanted).select(of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    others = revisits.select(of("record_id").alias("page_id"), F.col("_bytes").alias("payload_bytes"), "payload_digest", F.lit("revisit").alias("record_type"), of("refers_to").alias("refers_to"))
-    return responses.select(*columns).unionByName(others.select(*columns))
+    responses = found.select(
+        of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")
+    )
+    # Names of pages that are revisited are unique among responses but for repeated rows.
+    payloads = found.groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    revisits = index.filter(again).select("record_id", "refers_to", F.col("digest").alias("payload_digest"))
+    others = revisits.join(payloads, ["refers_to", "payload_digest"]).select(
+        of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), of(F.col("refers_to")).alias("refers_to")
+    )
+    return responses.unionByName(others)
 
 
 OP1_SQL = f"""

@@ -20,9 +20,11 @@ def pages(spark):
 def test_warc_round_trip(spark, monkeypatch):
     path = common.shared_dir(spark)
     monkeypatch.setattr(warc, "CHUNK", 700)
-    warc.write_archives(pages(spark), path)
-    index = common.stored(warc.build_index(spark, path))
+    monkeypatch.setattr(warc, "ARCHIVE", 900)
+    index = warc.write_archives(pages(spark), path)
     assert index.count() == 8
+    scanned = [tuple(r)[1:] for r in warc.build_index(spark, path).orderBy("file", "offset").collect()]
+    assert [tuple(r)[1:] for r in index.orderBy("file", "offset").collect()] == [x[:4] + (x[4],) + x[5:] for x in scanned]
     got = {r["record_id"]: r for r in warc.payloads(index).collect()}
     assert {k: r["record_type"] for k, r in got.items()} == {f"<urn:page:{k}>": "revisit" if k in (1, "null") else "response" for k in (1, 2, 3, 4, 5, 6, 7, "null")}
     want = {f"<urn:page:{r['page_id'] or 'null'}>": (r["html"] or "").encode() for r in pages(spark).collect()}
@@ -35,16 +37,26 @@ def test_warc_round_trip(spark, monkeypatch):
 
 def test_warc_files_are_gzip_members(spark):
     path = common.shared_dir(spark)
-    warc.write_archives(pages(spark).limit(2), path)
+    index = warc.write_archives(pages(spark).limit(2), path)
+    assert sorted({r["file"].rpartition("/")[2] for r in index.collect()}) == sorted(p.rpartition("/")[2] for p, in spark.read.format("binaryFile").load(path).select("path").collect())
     data = b"".join(bytes(r["content"]) for r in spark.read.format("binaryFile").load(path).collect())
     whole = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
     assert whole.count(b"WARC/1.1\r\n") == 2 and whole.endswith(b"\r\n\r\n")
 
 
 def test_warc_of_an_empty_table(spark):
-    path = common.shared_dir(spark)
-    warc.write_archives(spark.createDataFrame([], PAGES), path)
-    assert warc.build_index(spark, path).count() == 0
+    assert warc.write_archives(spark.createDataFrame([], PAGES), common.shared_dir(spark)).count() == 0
+
+
+def test_warc_of_repeated_rows_and_a_long_page(spark):
+    """Rows that repeat the largest page_id are all responses; a page longer than what is read at once is whole."""
+    long = "<p>" + "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(300_000)) + "</p>"
+    rows = [(1, None, long), (1, None, long), (2, None, "y" * 2000), (2, None, "y" * 2000), (0, None, "y" * 2000)]
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), common.shared_dir(spark))
+    assert max(r["length"] for r in index.collect()) > warc.CHUNK
+    got = sorted((r["record_id"], r["record_type"], hashlib.sha1(bytes(r["payload"])).hexdigest()) for r in warc.payloads(index).collect())
+    of = lambda k, t, kind: (f"<urn:page:{k}>", kind, hashlib.sha1(t.encode()).hexdigest())
+    assert got == sorted([of(1, long, "response")] * 2 + [of(2, "y" * 2000, "response")] * 2 + [of(0, "", "revisit")])
 
 
 @pytest.mark.parametrize(
