@@ -5,8 +5,9 @@ node. A node's content importance is one less the mean entropy of its texts over
 presentation importance is the entropy of the child sequences seen there. A node holds the text that
 is directly in it; if its text and shape both repeat from page to page it is part of the site, and
 that text is removed, inside and outside the main content alike. So a branch goes exactly when all of
-its nodes do. Text outside article and main stays where enough pages show that it is important; nodes
-without such figures follow the declared roles, by which only article and main count.
+its nodes do. Hosts with few pages are merged with each other, where the texts of a template repeat.
+Text outside article and main stays where enough pages show that it is important. Nodes without such
+figures follow the declared roles: what is in article and main counts, if it is a quarter of the text.
 
 By rule alone go tags and class names that declare noise (nav, footer, advert, comments): their texts
 often differ from page to page, so importance would keep them.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -27,6 +29,8 @@ from . import common
 
 #: A node is removed below this importance, if so many different pages of its host have it.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.5, 8
+#: Stands for all hosts with fewer pages than that; no host has such a name.
+FEW = "(few pages)"
 #: Lists of removed nodes are broadcast up to so many nodes in all (8 bytes each).
 BROADCAST_NODES = 1_000_000
 
@@ -34,8 +38,8 @@ _SPLIT = lambda s: frozenset(s.split())
 VOID = _SPLIT("area base br col embed hr img input link meta param source track wbr")
 RAW = _SPLIT("script style textarea title")
 #: Dropped only if they are closed by an end tag of their own.
-EMBEDDED = _SPLIT("noscript template iframe svg math select object canvas audio video")
-DROPPED = _SPLIT("head nav footer aside form button menu dialog label fieldset")
+EMBEDDED = _SPLIT("noscript template iframe svg select object canvas audio video")
+DROPPED = _SPLIT("head nav footer aside form button menu dialog fieldset")
 MAIN = _SPLIT("article main")
 INLINE = _SPLIT("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr")
 #: Closed by the start of one of the same group.
@@ -97,9 +101,9 @@ def _style(attrs: str) -> tuple[str, bool, bool, bool, bool]:
 class Page:
     """The text blocks of a page: (node, in main, text), in order.
 
-    Declared noise and the own texts of `removed` nodes are left out. If the page has an article or
-    main element, so is what is in none, but for `kept` nodes; `whole` keeps all outside as well.
-    shapes: the child tags of each node.
+    Declared noise and the own texts of `removed` nodes are left out. If article and main elements
+    hold a quarter of the rest, so is what is in none, but for `kept` nodes; `whole` keeps all outside as
+    well. shapes: the child tags of each node.
     """
 
     def __init__(self, html: str, removed: frozenset = frozenset(), kept: frozenset = frozenset(), whole: bool = False):
@@ -108,6 +112,7 @@ class Page:
         # tag, hidden, in main, node, numbers of the elements around that may be dropped
         stack: list[tuple[str, bool, bool, int, tuple]] = [("", False, False, 0, ())]
         dropped: set[int] = set()
+        is_open: Counter[str] = Counter()
         held: list[str] = []
         owner, drops, seen = stack[0], (), 0
 
@@ -140,15 +145,17 @@ class Page:
             if not inline:
                 flush()
             if m["end"]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        if tag in EMBEDDED:
-                            dropped.add(stack[k][4][-1])
-                        del stack[k:]
-                        break
+                k = len(stack) - 1 if is_open[tag] > 0 else 0
+                while k and stack[k][0] != tag:
+                    k -= 1
+                if k:
+                    if tag in EMBEDDED:
+                        dropped.add(stack[k][4][-1])
+                    is_open.subtract(x[0] for x in stack[k:])
+                    del stack[k:]
                 continue
             if not inline:
-                self._imply(stack, tag)
+                self._imply(stack, tag, is_open)
             if tag in VOID or tag in EMBEDDED and m["attrs"].endswith("/"):
                 continue
             _, lost, inside, above, around = stack[-1]
@@ -169,19 +176,28 @@ class Page:
                 if not shape or shape[-1] != tag:
                     shape.append(tag)
             stack.append((tag, lost, inside or starts, node, around))
+            is_open[tag] += 1
         if at < len(html) and not stack[-1][1]:
             hold(html[at:])
         flush()
-        blocks = [x[:3] for x in everything if dropped.isdisjoint(x[3])]
-        main = not whole and any(inside for _, inside, _ in blocks)
-        self.blocks: list[tuple[int, bool, str]] = [x for x in blocks if x[0] not in removed and (x[1] or not main or x[0] in kept)]
+        self.blocks: list[tuple[int, bool, str]] = [x[:3] for x in everything if dropped.isdisjoint(x[3]) and x[0] not in removed]
+        inner = sum(len(text) for _, inside, text in self.blocks if inside)
+        outer = sum(len(text) for node, inside, text in self.blocks if not inside and node not in kept)
+        if not whole and 3 * inner >= outer:
+            self.blocks = [x for x in self.blocks if x[1] or not inner or x[0] in kept]
+
+    def identity(self) -> int:
+        """Equal for pages with the same main content, or all content where none is declared."""
+        main = any(inside for _, inside, _ in self.blocks)
+        return _hash("\n".join(text for _, inside, text in self.blocks if inside or not main))
 
     @staticmethod
-    def _imply(stack: list, tag: str) -> None:
+    def _imply(stack: list, tag: str, is_open: Counter) -> None:
         """Close what the start of a block element ends: an open paragraph, or a like item."""
         for k in range(len(stack) - 1, 0, -1):
             name = stack[k][0]
             if name == "p" and tag not in VOID or name in IMPLIED.get(tag, ()):
+                is_open.subtract(x[0] for x in stack[k:])
                 del stack[k:]
                 return
             if name not in INLINE and name != "p":
@@ -197,36 +213,42 @@ def _host() -> Column:
 
 def style_nodes(pages: DataFrame) -> DataFrame:
     """(host, page, node, main, content, shape): the hashed text and child sequence of each node
-    that holds text, for each page, and whether the node is in an article or main element."""
-    source = pages.select(_host().alias("host"), F.coalesce("html", F.lit("")).alias("html")).withColumn("page", F.xxhash64("html"))
+    that holds text, for each page, and whether the node is in an article or main element.
+
+    page is the page's identity: copies of a page's content are one page, whatever is around it.
+    """
+    source = pages.select(_host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    names = ("host", "page", "node", "main", "content", "shape")
 
     def parse(batches):
         for batch in batches:
-            out = [[] for _ in range(6)]
-            for host, html, page in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "page")), strict=True):
+            out = [[] for _ in names]
+            for host, html in zip(*(batch.column(c).to_pylist() for c in ("host", "html")), strict=True):
                 found = Page(html, whole=True)
                 texts: dict[tuple[int, bool], list[str]] = {}
                 for node, main, text in found.blocks:
                     texts.setdefault((node, main), []).append(text)
+                page = found.identity() if texts else 0
                 for (node, main), parts in texts.items():
-                    for column, value in zip(out, (host, page, node, main, _hash("\n".join(parts)), _hash(" ".join(found.shapes.get(node, ())))), strict=True):
+                    shape = _hash(" ".join(found.shapes.get(node, ())))
+                    for column, value in zip(out, (host, page, node, main, _hash("\n".join(parts)), shape), strict=True):
                         column.append(value)
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, out, kinds)), names=["host", "page", "node", "main", "content", "shape"])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, out, kinds)), names=list(names))
 
     return source.mapInArrow(parse, "host string, page bigint, node bigint, main boolean, content bigint, shape bigint")
 
 
 def importance(nodes: DataFrame) -> DataFrame:
-    """(host, node, main, pages, content, presentation) of rows of style_nodes; importances are from
-    0 to 1. Pages that are equal count once."""
+    """(host, node, main, pages, content, presentation) of stored rows of style_nodes; importances are
+    from 0 to 1. Of pages with one identity, one counts."""
+    nodes = nodes.groupBy("host", "node", "main", "page").agg(F.min("content").alias("content"), F.min("shape").alias("shape"))
 
     def spread(column: str, name: str) -> DataFrame:
         """pages m, and sum of n log n over the values' page counts n: the entropy is log m less its m-th."""
         seen = nodes.groupBy("host", "node", "main", column).agg(F.count("*").alias("n"))
         return seen.groupBy("host", "node", "main").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias(name))
 
-    nodes = common.stored(nodes.distinct())
     both = spread("content", "_c").join(spread("shape", "_s").drop("pages"), ["host", "node", "main"])
     share = lambda c: F.when(F.col("pages") > 1, F.col(c) / F.col("pages") / F.log("pages")).otherwise(F.lit(0.0))
     # A text on n of m pages has entropy log n / log m, so both measures are 1 less a mean of log n / log m.
@@ -235,24 +257,36 @@ def importance(nodes: DataFrame) -> DataFrame:
 
 def judged_nodes(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, removed, kept): the nodes of each host on enough pages that are low in both importances,
-    and those outside article and main that are not."""
-    judged = importance(style_nodes(pages)).filter(F.col("pages") >= least_pages)
+    and those outside article and main that are not. The row of FEW is for hosts that have none."""
+    nodes = common.stored(style_nodes(pages).distinct())
+    own = nodes.groupBy("host").agg(F.count_distinct("page").alias("_n"))
+    few = own.filter(F.col("_n") < least_pages).select("host")
+    merged = nodes.join(few, "host", "left_semi").withColumn("host", F.lit(FEW)).distinct()
+    large = nodes.join(few, "host", "left_anti")
+    judged = importance(large.unionByName(merged)).filter(F.col("pages") >= least_pages)
     low = F.greatest("content", "presentation") < least
-    found = judged.filter(low | ~F.col("main")).groupBy("host")
-    return found.agg(F.collect_list(F.when(low, F.col("node"))).alias("removed"), F.collect_list(F.when(~low, F.col("node"))).alias("kept"))
+    # Of different hosts, texts of one place differ even if they are no content: FEW keeps nothing.
+    kept = F.when(~low & ~F.col("main") & (F.col("host") != FEW), F.col("node"))
+    return judged.groupBy("host").agg(F.collect_list(F.when(low, F.col("node"))).alias("removed"), F.collect_list(kept).alias("kept"))
 
 
 def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html).
 
     Null html, and pages without content, give an empty text. Pages without a host, or with a null
-    url, are merged as one host. Repeated pages count once in their host's tree, so copies do not
-    turn into noise. Other columns of pages are ignored; an empty table gives an empty result.
+    url, are merged as one host. Copies of a page's content count once in their host's tree, so they
+    do not turn into noise. Repeated rows and page_ids are extracted each by itself. Other columns of
+    pages are ignored; an empty table gives an empty result.
     """
     judged = common.stored(judged_nodes(pages, least, least_pages))
     held = judged.agg(F.coalesce(F.sum(F.size("removed") + F.size("kept")), F.lit(0))).first()[0]
     own = pages.select("page_id", "url", "html", _host().alias("host"))
-    joined = own.join(F.broadcast(judged) if held <= BROADCAST_NODES else judged, "host", "left").select("page_id", "url", "html", "removed", "kept")
+    if held <= BROADCAST_NODES:
+        judged = F.broadcast(judged)
+    by_host = own.join(judged, "host", "left")
+    other = judged.filter(F.col("host") == FEW).select(F.col("host").alias("_few"), F.col("removed").alias("_removed"))
+    key = F.when(F.col("removed").isNull(), F.lit(FEW))
+    joined = by_host.join(other, key == F.col("_few"), "left").select("page_id", "url", "html", F.coalesce("removed", "_removed").alias("removed"), "kept")
     page_type = joined.schema["page_id"].dataType.simpleString()
 
     def run(batches):

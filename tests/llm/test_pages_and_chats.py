@@ -171,3 +171,114 @@ def test_importance_decides_inside_and_outside_of_the_article(spark):
 def test_few_pages_follow_declared_roles(spark):
     df = spark.createDataFrame([(1, "http://a.org", "<div>out</div><article>in</article>")], "page_id long, url string, html string")
     assert [r["text"] for r in html.extract(df).collect()] == ["in"]
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p>One.</p><svg class='i'/><p>Two must stay.</p>", "One. Two must stay."),
+        ("<title-card>Inside</title-card><p>a</p>", "Inside a"),
+        ("<article><p class='share-prices'>a</p><p class='search-results-study'>b</p><p class='form-guide'>c</p><p class='social-policy'>d</p></article>", "a b c d"),
+        ("<article class='teaser'>t</article><div id='content'>" + "the main story " * 9 + "</div>", "t " + "the main story " * 8 + "the main story"),
+        ("<article>a <math><mi>x</mi></math> <label>b</label></article>", "a x b"),
+        ("<i>" * 3000 + "<div>" * 3000 + "deep" + "</b>" * 3000 + "</div>" * 3000 + "<p>a", "deep a"),
+        ("<p>" + "long words " * 400_000, ("long words " * 400_000).strip()),
+    ],
+)
+def test_nothing_of_a_page_is_lost(page, want):
+    assert html.Page(page).text() == want
+
+
+def test_only_repeated_texts_of_a_branch_go(spark):
+    got = extracted(spark, lambda k: f"<div class='c'>Read more: <p>Unique story number {k} of many</p></div>")
+    assert got == [f"Unique story number {k} of many" for k in range(20)]
+
+
+def plain_blocks(element, chain, inside, out, shapes):
+    """(chain of tags and classes, in main, text) of well-formed pages, by recursion."""
+    held = []
+
+    def flush():
+        if words := "".join(held).split():
+            out.append((chain, inside, " ".join(words)))
+        held.clear()
+
+    def content(e):
+        held.append(e.text or "")
+        for child in e:
+            if child.tag in html.INLINE:
+                content(child)
+            else:
+                flush()
+                names = shapes.setdefault(chain, [])
+                if names[-1:] != [child.tag]:
+                    names.append(child.tag)
+                own = (*chain, (child.tag, child.get("class", "")))
+                plain_blocks(child, own, inside or child.tag in html.MAIN, out, shapes)
+            held.append(child.tail or "")
+
+    content(element)
+    flush()
+
+
+def plain_extract(rows):
+    """The texts of rows (page_id, host, html) by the importance of nodes, computed page by page."""
+    import math
+    import xml.etree.ElementTree as ET
+    from collections import Counter
+
+    read = []
+    for page_id, host, page in rows:
+        out, shapes = [], {}
+        plain_blocks(ET.fromstring(f"<x>{page}</x>"), (), False, out, shapes)
+        main = any(i for _, i, _ in out)
+        read.append((page_id, host, out, shapes, tuple(t for _, i, t in out if i or not main)))
+    many = {h for h in {r[1] for r in read} if len({r[4] for r in read if r[1] == h}) >= html.LEAST_PAGES}
+    seen = {}
+    for _, host, out, shapes, identity in read:
+        for chain in {c for c, _, _ in out}:
+            for inside in {i for c, i, _ in out if c == chain}:
+                mine = tuple(t for c, i, t in out if c == chain and i == inside), tuple(shapes.get(chain, ()))
+                seen.setdefault((host if host in many else None, chain, inside), {})[identity] = mine
+
+    def spread(values):
+        m, n = len(values), Counter(values)
+        return -sum(x / m * math.log(x / m, m) for x in n.values()) if m > 1 else 1.0
+
+    low, high = set(), set()
+    for key, by_page in seen.items():
+        if len(by_page) >= html.LEAST_PAGES:
+            repeats = all(spread([v[k] for v in by_page.values()]) < html.LEAST_IMPORTANCE for k in (0, 1))
+            (low if repeats else high).add(key)
+    made = {}
+    for page_id, host, out, _, _ in read:
+        group = host if host in many else None
+        gone = {c for h, c, _ in low if h == group}
+        stays = {c for h, c, i in high if h == group and not i and group is not None}
+        left = [x for x in out if x[0] not in gone]
+        inner, outer = (sum(len(t) for c, i, t in left if i == side and (i or c not in stays)) for side in (True, False))
+        made[page_id] = " ".join(t for c, i, t in left if i or not inner or 3 * inner < outer or c in stays)
+    return made
+
+
+def test_extraction_against_a_plain_version(spark):
+    import random
+
+    r = random.Random(6)
+    word = lambda n: " ".join(r.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(r.randrange(40)) for _ in range(n))
+    rows = []
+    for host, n in (("a.org", 30), ("b.org", 12), *((f"small{k}.org", 2) for k in range(9))):
+        same = word(3)
+        for _ in range(n):
+            body = "".join(f"<p>{word(r.randrange(1, 9))}<b>{word(1)}</b></p>" for _ in range(r.randrange(1, 4)))
+            top = same if r.random() < 0.8 else word(2)
+            rows.append((len(rows), host, f"<div class='t'>{top}</div><div class='u'>{word(r.choice([1, 2]))}<ul>Powered by it</ul></div><article>{body}<div class='m'>{r.choice(['Read on', 'More'])}</div></article>"))
+    rows += [(1000 + k, "a.org", f"<div class='t'>{word(2)}</div>{rows[0][2][rows[0][2].index('<article>'):]}") for k in range(40)]
+    df = spark.createDataFrame([(k, f"http://{h}/{k}", p) for k, h, p in rows], "page_id long, url string, html string")
+    got = {x["page_id"]: x["text"] for x in html.extract(df).collect()}
+    assert got == plain_extract(rows)
+
+
+def test_rows_that_repeat_a_page(spark):
+    df = spark.createDataFrame([(1, "http://a.org", "<p>a</p>"), (1, "http://a.org", "<p>a</p>"), (1, None, "<p>b</p>")], "page_id long, url string, html string")
+    assert sorted(r["text"] for r in html.extract(df).collect()) == ["a", "a", "b"]
