@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Keys with more rows than one in so many are hot, if they have so many rows at all.
+HOT_KEYS, LEAST_HOT = 10_000, 1000
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below the folder that driver and executors share.
+    """A new path below the folder that driver and executors share, which spark.checkpoint.dir names.
 
-    The cluster names it in spark.checkpoint.dir. Only a session without that setting, as in
-    tests on one machine, gets a folder of its own.
+    A session on one machine that has no such setting, as in tests, gets a folder of its own; on a
+    cluster that would be a folder which others do not see, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -38,6 +42,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_spread(rows: DataFrame, lookup: DataFrame, keys: list[str], matches: str, total: int) -> DataFrame:
+    """rows inner-joined with lookup, in which keys are unique and `matches` says how many of the
+    `total` rows have them; that column is dropped.
+
+    Entries that a large share of rows match are broadcast, so that their rows stay where they are
+    instead of meeting in one task. There are less than HOT_KEYS of these, however long the table.
+    """
+    least = max(LEAST_HOT, total // HOT_KEYS + 1)
+    hot = F.broadcast(lookup.filter(F.col(matches) >= least).drop(matches))
+    cold = lookup.filter(F.col(matches) < least).drop(matches)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 

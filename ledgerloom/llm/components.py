@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import join_spread, stored
 
 
-def _least(both: DataFrame) -> DataFrame:
-    return both.groupBy("u").agg(F.min("v").alias("m"))
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with m, the least v of u. A u that very many edges share, as the smallest id of a
+    large group does, is in no single task."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+    return join_spread(edges, least, ["u"], "_n", total)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Join each node's larger neighbours to its smallest one."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    joined = both.join(_least(both), "u").filter("v > u")
-    return joined.select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+    return _with_least(both, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Join each node and its smaller neighbours to the smallest of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
-    near = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return near.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+    found = _with_least(down, total)
+    near = found.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return near.unionAll(found.filter("v = m").select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,6 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            break
         before = mark
-        now = stored(_small_star(_large_star(now)))
+        now = stored(_small_star(stored(_large_star(now, mark[0]).distinct()), mark[0]))
+    ids = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return ids.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

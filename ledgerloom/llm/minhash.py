@@ -30,8 +30,11 @@ BANDS, ROWS = 32, 4
 BITS = 2
 #: A pair is confirmed on its sets if its estimate is no more than this below the threshold, six standard errors.
 MARGIN = 0.25
-#: Classes are compared all with all in blocks of so many, by their bits and on their sets.
-BLOCK, EXACT_BLOCK = 512, 256
+#: Classes are compared all with all in blocks of so many by their bits.
+BLOCK = 512
+#: On their sets, blocks have at least and at most so many, to deal a family to SPREAD blocks: a
+#: member is sent to as many tasks as there are blocks. In a task, EXACT_BLOCK by EXACT_BLOCK meet at once.
+EXACT_BLOCK, EXACT_MOST, SPREAD = 256, 4096, 16
 #: A set of ids up to this many (8 bytes each) may be broadcast.
 BROADCAST_IDS = 500_000
 SHINGLE, THRESHOLD = 5, 80
@@ -138,13 +141,13 @@ def _few(ids: DataFrame) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, n: int, threshold: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets reach the threshold, as u, v.
+    """The pairs (u, v) whose full shingle sets reach the threshold, as u, v. Ids of docs are unique.
 
     Texts of documents in no pair are left out before anything is shuffled.
     """
     sides = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("doc_id"))
     ids = _few(stored(sides.select("doc_id").distinct()))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = sides.join(texts, "doc_id").select("u", "v", "text").repartition(parts, "u", "v").sortWithinPartitions("u", "v")
 
@@ -180,15 +183,17 @@ def _linked(texts: pa.Array, n: int, threshold: int) -> pa.Array:
     return pa.array((100 * both >= threshold * either) & (either > 0))
 
 
-def _cross_blocks(members: DataFrame, block: int) -> DataFrame:
+def _cross_blocks(members: DataFrame, block: int, most: int | None = None) -> DataFrame:
     """Deal members (group, doc_id, component, ...) so that any two of a group but of different
     components meet: rows get i, j and their own block b, and meet within (group, i, j).
 
     A group's largest component is compared with the others only, and the others with each other
-    too, in blocks of about so many members by hash. Groups of one component are left out.
+    too, in blocks of about so many members by hash; with `most`, blocks of larger groups grow up to
+    that. Groups of one component are left out.
     """
     sizes = members.groupBy("group", "component").count().groupBy("group").agg(F.max_by("component", "count").alias("_main"), F.max("count").alias("_n_main"), F.sum("count").alias("_n"))
-    blocks = lambda n: F.ceil(n / block).cast("int")
+    size = F.lit(block) if most is None else F.greatest(F.lit(block), F.least(F.lit(most), F.ceil(F.col("_n") / SPREAD)))
+    blocks = lambda n: F.ceil(n / size).cast("int")
     several = sizes.filter("_n > _n_main").select("group", "_main", blocks(F.col("_n") - F.col("_n_main")).alias("_others"), blocks(F.col("_n_main")).alias("_mains"))
     is_main, h = F.col("component") == F.col("_main"), F.xxhash64("doc_id")
     own = F.when(is_main, F.col("_others") + F.pmod(h, F.col("_mains"))).otherwise(F.pmod(h, F.col("_others"))).cast("int")
@@ -292,22 +297,54 @@ def _exact(members: DataFrame, n: int, threshold: int) -> DataFrame:
         hashes, ends = shingle_sets(table.column("text"), n)
         sizes = np.diff(ends, prepend=0)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        _, code, count = np.unique(hashes, return_inverse=True, return_counts=True)
-        shared = count[code] > 1  # the others are in no intersection
-        owner, code = owner[shared], np.unique(code[shared], return_inverse=True)[1]
+        order = np.argsort(hashes, kind="stable")
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = hashes[order][1:] != hashes[order][:-1]
+        code = np.empty(len(order), np.int64)
+        code[order] = np.cumsum(fresh) - 1
+        shared = np.bincount(code)[code] > 1  # the others are in no intersection
+        owner, code = owner[shared], code[shared]
+        cuts = np.searchsorted(owner, np.arange(len(sizes) + 1))
 
         def alike(left, right):
+            out = np.zeros((len(left), len(right)), bool)
+            for x in range(0, len(left), EXACT_BLOCK):
+                for y in range(0, len(right), EXACT_BLOCK):
+                    out[x : x + EXACT_BLOCK, y : y + EXACT_BLOCK] = some(left[x : x + EXACT_BLOCK], right[y : y + EXACT_BLOCK])
+            return out
+
+        def some(left, right):
+            held = [np.concatenate([code[cuts[k] : cuts[k + 1]] for k in side]) for side in (left, right)]
+            rows = [np.repeat(np.arange(len(side)), cuts[side + 1] - cuts[side]) for side in (left, right)]
+            common = np.intersect1d(*held)
             both = np.zeros((len(left), len(right)), np.float32)
-            for low in range(0, code.max(initial=-1) + 1, 4096):
-                mine = (code >= low) & (code < low + 4096)
-                there = np.zeros((len(sizes), 4096), np.float32)
-                there[owner[mine], code[mine] - low] = 1
-                both += there[left] @ there[right].T
+            for low in range(0, len(common), 4096):
+                part = common[low : low + 4096]
+                there = []
+                for side, c, r in zip((left, right), held, rows, strict=True):
+                    at = np.searchsorted(part, c)
+                    mine = (at < len(part)) & (part[np.minimum(at, len(part) - 1)] == c)
+                    matrix = np.zeros((len(side), len(part)), np.float32)
+                    matrix[r[mine], at[mine]] = 1
+                    there.append(matrix)
+                both += there[0] @ there[1].T
             return 100 * both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both)
 
         return _forest(table, alike)
 
-    return _joined_by(_cross_blocks(members, EXACT_BLOCK), find)
+    return _joined_by(_cross_blocks(members, EXACT_BLOCK, EXACT_MOST), find)
+
+
+def _one_row_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with one row per doc_id but null ones, and how many rows there were of the ids
+    that repeat (doc_id, rows), None if none does."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = stored(own.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1"))
+    if again.isEmpty():
+        return own, None
+    ids = _few(again.select("doc_id"))
+    least = own.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return own.join(ids, "doc_id", "left_anti").unionByName(least), again
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -315,18 +352,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
 
     Documents link if their sets of `shingle`-word shingles have a Jaccard similarity of `threshold`
     per cent or more; component_id is the smallest doc_id reachable by links. Null, empty and
-    wordless texts have empty sets and link with nothing. Rows that repeat a doc_id are one
-    document, taken by any of their texts. Rows with a null doc_id are not linked: their
-    component_id is null and they are kept. Other columns of docs are ignored.
+    wordless texts have empty sets and link with nothing. Rows that repeat a doc_id are one document,
+    whose text is the smallest of theirs. Rows with a null doc_id are not linked: their component_id
+    is null and they are kept. Other columns of docs are ignored.
     """
+    docs, again = _one_row_each(docs)
     sketches = stored(sketch(docs, shingle))
     full = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # Classes of equal sets, of which there may be huge ones; each is represented by its smallest id.
     same = ["s1", "s2", "n_shingles"]
-    groups = full.groupBy(*same).agg(F.min("doc_id").alias("class"), F.count("*").alias("_n"))
-    classes = stored(groups.drop("_n"))
-    copies = stored(groups.filter("_n > 1").drop("_n"))
-    reps = full.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    classes = stored(full.groupBy(*same).agg(F.min("doc_id").alias("class"), F.count("*").alias("_n")))
+    reps = full.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
     banded = reps.select(F.explode("bands").alias("key"), "doc_id")
     # A bucket's leader is the least of its ids after a XOR with the bucket's key, so leaders differ by bucket.
     buckets = banded.groupBy("key").agg(F.count("*").alias("_n"), F.min(F.col("doc_id").bitwiseXOR(F.col("key"))).alias("_least"))
@@ -339,23 +375,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     first = led.join(bits, "doc_id").join(of_leader, "leader").filter(_may_link(estimate(F.col("bits"), F.col("_bits")), F.col("n_shingles"), F.col("_m"), threshold))
     star = stored(first.select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v")).distinct())
     links = stored(confirmed(docs, star, shingle, threshold))
-    joined = components(links)
     # Then components that share a bucket and look alike form families, and all of a family's
     # components are compared on their sets, since one true link between them is enough.
-    joined = stored(joined.withColumnRenamed("id", "doc_id"))
+    joined = stored(components(links).withColumnRenamed("id", "doc_id"))
     placed = members.select(F.col("key").alias("group"), "doc_id").join(bits, "doc_id").join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     likely = stored(_likely(placed, threshold))
     families = stored(components(likely.unionByName(links)).select(F.col("id").alias("doc_id"), F.col("component").alias("group")))
     mixed_up = families.join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = mixed_up.groupBy("group").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a < _b").select("group")
     to_compare = stored(mixed_up.join(several, "group", "left_semi"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(_few(to_compare.select("doc_id")), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.join(_few(to_compare.select("doc_id")), "doc_id", "left_semi")
     more = stored(_exact(to_compare.join(texts, "doc_id").select("group", "doc_id", "component", "text"), shingle, threshold))
-    whole = components(links.unionByName(more))
-    own = sketches.select("doc_id", *same).join(copies, same, "left").withColumn("_class", F.when(F.col("n_shingles") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")))
-    found = own.join(whole.withColumnRenamed("id", "_class"), "_class", "left").withColumn("component_id", F.coalesce("component", "_class"))
-    found = found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    whole = components(links.unionByName(more)).withColumnRenamed("id", "class")
+    # A document's component is that of its class, which is looked up by the digest of its set.
+    of_class = stored(classes.join(whole, "class", "left").select(*same, "_n", F.coalesce("component", "class").alias("component_id")))
+    linked = common.join_spread(full.select("doc_id", *same), of_class, same, "_n", full.count())
+    alone = sketches.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", *same, F.col("doc_id").alias("component_id"))
+    found = linked.unionByName(alone)
+    if again is not None:
+        counted = found.join(again, "doc_id", "left")
+        found = counted.withColumn("_", F.explode(F.sequence(F.lit(1), F.coalesce("rows", F.lit(1).cast("long")))))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:

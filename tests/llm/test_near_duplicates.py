@@ -184,3 +184,24 @@ def test_pairs_longer_than_a_slice(spark, monkeypatch):
     pairs = spark.createDataFrame([(k, k + 1) for k in range(19)], "u long, v long")
     got = sorted((r["u"], r["v"]) for r in minhash.confirmed(df, pairs, 5, 80).collect())
     assert got == [(k, k + 1) for k in range(0, 20, 2)]
+
+
+def test_repeated_ids_have_one_text(spark):
+    """Rows of one doc_id are one document, with the smallest of their texts, and links of no other."""
+    a, b = text(1, 60), text(2, 60)
+    small, large = sorted((a, b))
+    rows = [(1, large), (1, small), (1, None), (2, small), (3, large)]
+    for order in (rows, rows[::-1]):
+        found = minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3), shingle=4).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 3)]
+
+
+def test_hot_classes_and_hot_nodes(spark, monkeypatch):
+    """A class and a node with most of the rows, beside small ones, when hot ones are set apart."""
+    from ledgerloom.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = [(k, text(1, 50)) for k in range(40)] + [(100 + k, text(1, 50) + f" end{k}") for k in range(30)] + [(200 + k, text(k // 2 + 9, 40)) for k in range(20)] + [(300 + k, "") for k in range(30)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows, 5, 80)
