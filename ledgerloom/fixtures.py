@@ -104,7 +104,7 @@ def _used(sql: str, views: dict[str, str]) -> list[str]:
 
     def add(text: str) -> None:
         for name in re.findall(r"\bfx_\w+", text):
-            if name not in need:
+            if name in views and name not in need:
                 need.add(name)
                 add(views[name])
 

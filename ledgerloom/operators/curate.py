@@ -20,11 +20,6 @@ def top_k_uncertain(df: DataFrame, k: int, strategy: str = "entropy") -> DataFra
     return scored.orderBy(F.desc("score"), "doc_id").limit(max(0, k))
 
 
-def sample_pool(df: DataFrame, k: int, seed: int, key: str = "doc_id") -> DataFrame:
-    """k rows, or all if there are fewer, without replacement."""
-    return df.orderBy(draw(F.col(key), seed), key).limit(k)
-
-
 def _last_of(rows: DataFrame, k: int) -> tuple:
     """The k-th of rows (hash, key) in order, k from 1, without one task seeing all rows or k of them:
     rows are dealt by range and stored, and only the counts of the ranges come to the driver."""
@@ -41,6 +36,22 @@ def _last_of(rows: DataFrame, k: int) -> tuple:
     raise ValueError("fewer rows than k")
 
 
+def _is_drawn(df: DataFrame, k: int, seed: int, key: str) -> Column:
+    """Whether a row is one of the first k, 1 at least, by the hash of its key."""
+    hashed = F.coalesce(draw(F.col(key), seed), F.lit(""))
+    last, last_key = _last_of(df.select(hashed.alias("hash"), F.col(key).alias("key")), k)
+    before = F.lit(last_key is None) | F.coalesce(F.col(key) <= F.lit(last_key), F.lit(True))
+    return (hashed < last) | ((hashed == last) & before)
+
+
+def sample_pool(df: DataFrame, k: int, seed: int, key: str = "doc_id") -> DataFrame:
+    """k rows, or all if there are fewer, without replacement. Rows that repeat the last key drawn are
+    all taken."""
+    if k <= 0:
+        return df.limit(0)
+    return df.filter(_is_drawn(df, k, seed, key)) if df.count() > k else df
+
+
 def train_eval_split(df: DataFrame, ratio: float = 0.1, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """df with split: exactly max(1, n * ratio) rows are 'eval', none if there is one row or none.
 
@@ -49,9 +60,7 @@ def train_eval_split(df: DataFrame, ratio: float = 0.1, seed: int = 42, key: str
     n = df.count()
     if n <= 1:
         return df.withColumn("split", F.lit("train"))
-    hashed = F.coalesce(draw(F.col(key), seed), F.lit(""))
-    last, last_key = _last_of(df.select(hashed.alias("hash"), F.col(key).alias("key")), max(1, int(n * ratio)))
-    held = (hashed < last) | ((hashed == last) & (F.lit(last_key is None) | F.coalesce(F.col(key) <= F.lit(last_key), F.lit(True))))
+    held = _is_drawn(df, max(1, int(n * ratio)), seed, key)
     return df.withColumn("split", F.when(held, "eval").otherwise("train"))
 
 

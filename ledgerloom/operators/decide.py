@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import as_exchange_text, sequence_ratios, stripped
+from ..functions.scalars import as_exchange_text, mean_confidence, sequence_ratios, stripped
 from ..schemas import COMPARED, DEFAULTS, MONEY, Thresholds
 
 KEY = "invoice_id"
@@ -23,31 +23,52 @@ def _amounts_match(a: Column, b: Column, tolerance: str) -> Column:
     return F.abs(a - b) <= F.lit(tolerance).cast("decimal(5,4)") * F.greatest(F.abs(a), F.abs(b), one)
 
 
-def _compared(pairs: DataFrame, cfg: Thresholds) -> DataFrame:
+def _ratio_bound(a: Column, b: Column) -> Column:
+    """What the sequence similarity of two texts cannot exceed: only characters that the other text
+    has can match, and no more than the shorter text has."""
+    left, right = F.char_length(a), F.char_length(b)
+    of_other = lambda x, n, y: n - F.char_length(F.call_function("translate", x, y, F.lit("")))
+    return 2.0 * F.least(left, right, of_other(a, left, b), of_other(b, right, a)) / (left + right)
+
+
+def _compared(pairs: DataFrame, cfg: Thresholds, exact: bool = True) -> DataFrame:
     """pairs with fields: an array of (field, champ, challenger, match, similarity), null unless both
-    engines are there. Nothing is joined or exploded; Python sees the texts that differ."""
+    engines are there. Nothing is joined or exploded; Python sees only texts that differ, and unless
+    similarities have to be exact only those that may match. Else a similarity may be a bound."""
     rows = []
     for name in COMPARED:
         a, b = F.col(f"champ.{name}"), F.col(f"challenger.{name}")
+        one, both = a.isNull() | b.isNull(), a.isNull() & b.isNull()
         if name in MONEY:
             near = _amounts_match(a, b, cfg.amount_tolerance)
             apart = 1 - (F.abs(a - b) / F.greatest(F.abs(a) + F.abs(b), F.lit(1).cast("decimal(14,2)"))).cast("double")
             likeness, left, right = F.when(near, 1.0).otherwise(apart), F.lit(None), F.lit(None)
         else:
             left, right = (F.lower(stripped(as_exchange_text(x))) for x in (a, b))
+            bound = _ratio_bound(left, right)
             near, likeness = left == right, F.when(left == right, 1.0)
-        known = F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(near)
-        sure = F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(likeness)
+            if not exact:
+                likeness = likeness.when(bound < cfg.similarity, bound)
+        known = F.when(both, True).when(one, False).otherwise(near)
+        sure = F.when(both, 1.0).when(one, 0.0).otherwise(likeness)
         unlike = lambda x, sure=sure: F.when(sure.isNull(), x).cast("string")
-        rows.append(F.struct(F.lit(name).alias("field"), as_exchange_text(a).alias("champ"), as_exchange_text(b).alias("challenger"), known.alias("known"), sure.alias("sure"), unlike(left).alias("a"), unlike(right).alias("b")))
+        rows.append(
+            F.struct(
+                F.lit(name).alias("field"), as_exchange_text(a).alias("champ"), as_exchange_text(b).alias("challenger"),
+                known.alias("known"), sure.alias("sure"), unlike(left).alias("a"), unlike(right).alias("b"),
+            )
+        )
     both = F.col("champ").isNotNull() & F.col("challenger").isNotNull()
     laid = pairs.withColumn("_f", F.when(both, F.array(*rows)))
-    rated = laid.withColumn("_r", sequence_ratios(F.col("_f.a"), F.col("_f.b")))
+    # Pairs without an open field cost Python no more than a null.
+    is_open = F.exists("_f", lambda f: f["a"].isNotNull())
+    rated = laid.withColumn("_r", sequence_ratios(F.when(is_open, F.col("_f.a")), F.when(is_open, F.col("_f.b"))))
 
     def judged(f: Column, i: Column) -> Column:
         ratio = F.get("_r", i)
         match = F.when(f["sure"].isNull(), ratio >= cfg.similarity).otherwise(f["known"])
-        return F.struct(f["field"].alias("field"), f["champ"].alias("champ"), f["challenger"].alias("challenger"), match.alias("match"), F.round(F.coalesce(f["sure"], ratio), 3).alias("similarity"))
+        similarity = F.round(F.coalesce(f["sure"], ratio), 3)
+        return F.struct(f["field"].alias("field"), f["champ"].alias("champ"), f["challenger"].alias("challenger"), match.alias("match"), similarity.alias("similarity"))
 
     return rated.withColumn("fields", F.transform("_f", judged)).drop("_f", "_r")
 
@@ -67,7 +88,7 @@ def _agreement(fields: Column) -> Column:
 
 def agreement_ratio(pairs: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
     """invoice_id, matches, agreement."""
-    rows = _compared(pairs, cfg).filter("fields IS NOT NULL")
+    rows = _compared(pairs, cfg, exact=False).filter("fields IS NOT NULL")
     return rows.select(KEY, F.size(F.filter("fields", lambda f: f["match"])).cast("long").alias("matches"), _agreement(F.col("fields")).alias("agreement"))
 
 
@@ -96,10 +117,25 @@ def math_check(champ: DataFrame, items: DataFrame, cfg: Thresholds = DEFAULTS) -
     return rows.select(KEY, *(c.alias(n) for n, c in _math(F.col("total_amount"), F.col("tax_amount"), cfg).items()))
 
 
+def _has(pairs: DataFrame, side: str, name: str) -> bool:
+    return name in pairs.schema[side].dataType.names
+
+
 def merge_extractions(pairs: DataFrame) -> DataFrame:
-    """invoice_id and the compared fields and currency: the champ's value, or else the challenger's."""
-    names = [*COMPARED, "currency"]
-    return pairs.select(KEY, *(F.coalesce(f"champ.{n}", f"challenger.{n}").alias(n) for n in names))
+    """invoice_id and the compared fields, currency and due_date: the champ's value, or else the
+    challenger's. raw (JSON) has both engines' raw results, or that of the only one.
+
+    Fields that neither side has are left out.
+    """
+    held = lambda n: [F.col(f"{s}.{n}") for s in ("champ", "challenger") if _has(pairs, s, n)]
+    names = [n for n in (*COMPARED, "currency", "due_date") if held(n)]
+    merged = [F.coalesce(*held(n)).alias(n) for n in names]
+    if held("raw"):
+        raw = lambda s: F.coalesce(F.col(f"{s}.raw") if _has(pairs, s, "raw") else F.lit(None), F.lit("null"))
+        both = F.concat(F.lit('{"champ":'), raw("champ"), F.lit(',"challenger":'), raw("challenger"), F.lit("}"))
+        two = F.col("champ").isNotNull() & F.col("challenger").isNotNull()
+        merged.append(F.when(two, both).otherwise(F.coalesce(*held("raw"))).alias("raw"))
+    return pairs.select(KEY, *merged)
 
 
 def merge_items(champ_items: DataFrame, challenger_items: DataFrame) -> DataFrame:
@@ -107,37 +143,65 @@ def merge_items(champ_items: DataFrame, challenger_items: DataFrame) -> DataFram
     return champ_items.unionByName(challenger_items.join(champ_items.select(KEY).distinct(), KEY, "left_anti"))
 
 
-def engine_confidence(side: str) -> Column:
-    """Mean of an engine's confidences that are not null, 0 if it has none."""
-    scores = [F.col(f"{side}.conf_vendor"), F.col(f"{side}.conf_total")]
+def engine_confidence(pairs: DataFrame, side: str) -> Column:
+    """Mean of an engine's confidences that are not null, 0 if it has none: those of its map
+    confidence_scores, or of its columns conf_*."""
+    if _has(pairs, side, "confidence_scores"):
+        return mean_confidence(F.col(f"{side}.confidence_scores"))
+    scores = [F.col(f"{side}.{n}") for n in pairs.schema[side].dataType.names if n.startswith("conf_")]
     n = sum((s.isNotNull().cast("int") for s in scores), F.lit(0))
     return F.when(n > 0, sum((F.coalesce(s, F.lit(0.0)) for s in scores), F.lit(0.0)) / n).otherwise(0.0)
 
 
-def decide(champ: DataFrame, challenger: DataFrame, items: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
-    """invoice_id, decision, confidence (4 decimals), agreement, math_ok, reasons.
-
-    Both engines: AUTO_APPROVED if weighted confidence, agreement and the sum of items all pass, or
-    else REVIEW_REQUIRED. One engine: REVIEW_REQUIRED with its own confidence.
-    """
-    sums = line_item_sum(items)
-    rows = _compared(pair_engines(champ, challenger), cfg).join(sums, KEY, "left").withColumn("agreement", _agreement(F.col("fields")))
+def _judged(champ: DataFrame, challenger: DataFrame, items: DataFrame, cfg: Thresholds, exact: bool) -> DataFrame:
+    """Pairs with fields, agreement, the check of the total, and decision, confidence (not rounded),
+    champ_confidence, challenger_confidence, reasons."""
+    pairs = pair_engines(champ, challenger)
+    rows = _compared(pairs, cfg, exact).join(line_item_sum(items), KEY, "left").withColumn("agreement", _agreement(F.col("fields")))
     rows = rows.withColumns(_math(F.col("champ.total_amount"), F.col("champ.tax_amount"), cfg))
     both = F.col("champ").isNotNull() & F.col("challenger").isNotNull()
-    a, b = engine_confidence("champ"), engine_confidence("challenger")
+    a, b = engine_confidence(pairs, "champ"), engine_confidence(pairs, "challenger")
     weighted = cfg.champ_weight * a + cfg.challenger_weight * b
     confidence = F.when(both, weighted).when(F.col("champ").isNotNull(), a).otherwise(b)
     sure, alike = weighted >= cfg.confidence, F.col("agreement") >= cfg.field_match
     decision = F.when(both & sure & alike & F.col("math_ok"), "AUTO_APPROVED").otherwise("REVIEW_REQUIRED")
-    return rows.select(KEY, decision.alias("decision"), F.round(confidence.cast("decimal(12,8)"), 4).cast("double").alias("confidence"), F.when(both, F.col("agreement")).alias("agreement"), F.when(both, F.col("math_ok")).alias("math_ok"), decision_reasons(both, sure, alike).alias("reasons"))
+    return rows.withColumns(
+        {
+            "_both": both,
+            "decision": decision,
+            "confidence": confidence,
+            "champ_confidence": F.when(F.col("champ").isNotNull(), a),
+            "challenger_confidence": F.when(F.col("challenger").isNotNull(), b),
+            "reasons": decision_reasons(both, sure, alike),
+        }
+    )
+
+
+def decide(champ: DataFrame, challenger: DataFrame, items: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
+    """invoice_id, decision, confidence (4 decimals), agreement, math_ok, reasons.
+
+    Both engines: AUTO_APPROVED if weighted confidence, agreement and the sum of items all pass, or
+    else REVIEW_REQUIRED. One engine: REVIEW_REQUIRED with its own confidence.
+    """
+    rows = _judged(champ, challenger, items, cfg, exact=False)
+    two = lambda c: F.when(F.col("_both"), F.col(c)).alias(c)
+    return rows.select(KEY, "decision", _rounded("confidence", 4).alias("confidence"), two("agreement"), two("math_ok"), "reasons")
 
 
 def decision_reasons(both: Column, sure: Column, alike: Column) -> Column:
     """Why an invoice was not approved, in order; one text if all passed or an engine is missing."""
-    mismatch = F.concat(F.lit("Total mismatch: computed="), F.col("computed_total").cast("string"), F.lit(" declared="), F.col("declared_total").cast("string"))
-    found = F.array_compact(F.array(F.when(~sure, "Confidence below threshold"), F.when(~alike, "Field agreement below threshold"), F.when(~F.col("math_ok"), mismatch)))
+    shown = lambda c: F.col(c).cast("string")
+    mismatch = F.concat(F.lit("Total mismatch: computed="), shown("computed_total"), F.lit(" declared="), shown("declared_total"))
+    found = F.array_compact(
+        F.array(
+            F.when(~sure, "Confidence below threshold"),
+            F.when(~alike, "Field agreement below threshold"),
+            F.when(~F.col("math_ok"), mismatch),
+        )
+    )
     found = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("All checks passed")))
-    return F.when(both, found).when(F.col("champ").isNull(), F.array(F.lit("Champ OCR unavailable"))).otherwise(F.array(F.lit("Challenger OCR unavailable")))
+    alone = lambda name: F.array(F.lit(f"{name} OCR unavailable"))
+    return F.when(both, found).when(F.col("champ").isNull(), alone("Champ")).otherwise(alone("Challenger"))
 
 
 def overall_status(invoices: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -145,12 +209,35 @@ def overall_status(invoices: DataFrame, decisions: DataFrame) -> DataFrame:
     return invoices.select(KEY).join(decisions, KEY, "left").select(KEY, F.coalesce("decision", F.lit("FAILED")).alias("status"))
 
 
-def validation_report(decisions: DataFrame, compared: DataFrame) -> DataFrame:
-    """invoice_id and report: decision, agreement, confidence, reasons, and a map of fields."""
-    entry = F.struct("field", F.struct("champ", "challenger", "match", "similarity").alias("value"))
-    fields = compared.groupBy(KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("fields"))
-    report = F.struct("decision", F.round("agreement", 3).alias("agreement_ratio"), F.round("confidence", 3).alias("weighted_confidence"), "math_ok", "fields", "reasons")
-    return decisions.join(fields, KEY, "left").select(KEY, report.alias("report"))
+def _rounded(name: str, digits: int) -> Column:
+    return F.round(F.col(name).cast("decimal(12,8)"), digits).cast("double")
+
+
+def validation_report(champ: DataFrame, challenger: DataFrame, items: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
+    """invoice_id, decision, confidence (4 decimals) and report: decision, agreement_ratio, weighted_confidence, confidence_by_engine,
+    thresholds, math_check, a map of fields, and reasons. With one engine only decision and reasons
+    are there. One pass over the pairs: nothing is regrouped."""
+    rows = _judged(champ, challenger, items, cfg, exact=True)
+    entry = lambda f: F.struct(f["field"].alias("key"), F.struct(*(f[n].alias(n) for n in ("champ", "challenger", "match", "similarity"))).alias("value"))
+    text = lambda c: F.when(~F.col("skipped"), F.col(c).cast("string")).alias(c)
+    math = F.struct(
+        F.col("skipped"), F.when(F.col("skipped"), "insufficient data").alias("reason"), *map(text, ("line_sum", "tax", "computed_total", "declared_total")),
+        F.when(~F.col("skipped"), F.col("math_ok")).alias("within_tolerance"),
+    )
+    limits = {"confidence": F.lit(cfg.confidence), "field_match": F.lit(cfg.field_match), "amount_tolerance": F.lit(float(cfg.amount_tolerance))}
+    engines = F.struct(*(_rounded(f"{s}_confidence", 3).alias(s) for s in ("champ", "challenger")))
+    two = lambda c: F.when(F.col("_both"), c)
+    report = F.struct(
+        F.col("decision"),
+        two(F.round("agreement", 3)).alias("agreement_ratio"),
+        two(_rounded("confidence", 3)).alias("weighted_confidence"),
+        two(engines).alias("confidence_by_engine"),
+        two(F.struct(*(v.alias(k) for k, v in limits.items()))).alias("thresholds"),
+        two(math).alias("math_check"),
+        F.map_from_entries(F.transform("fields", entry)).alias("fields"),
+        F.col("reasons"),
+    )
+    return rows.select(KEY, "decision", _rounded("confidence", 4).alias("confidence"), report.alias("report"))
 
 
 def mismatch_flags(reports: DataFrame) -> DataFrame:

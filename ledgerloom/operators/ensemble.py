@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.scalars import fields_agree
 
 
+def _zipped(champ: DataFrame, challenger: DataFrame) -> DataFrame:
+    """doc_id, _a and _b (mean confidences) and _pairs: (field, champ, challenger) over all fields that
+    either side has, by name. One join; fields are paired within a row."""
+    side = lambda df, f, c: df.select("doc_id", F.col("fields").alias(f), F.col("mean_confidence").alias(c))
+    rows = side(champ, "_fa", "_a").join(side(challenger, "_fb", "_b"), "doc_id", "full_outer")
+    none = F.create_map().cast("map<string,string>")
+    both = F.map_zip_with(F.coalesce("_fa", none), F.coalesce("_fb", none), lambda _, x, y: F.struct(x.alias("champ"), y.alias("challenger")))
+    pair = lambda e: F.struct(e["key"].alias("field"), e["value"]["champ"].alias("champ"), e["value"]["challenger"].alias("challenger"))
+    return rows.select("doc_id", "_a", "_b", F.array_sort(F.transform(F.map_entries(both), pair)).alias("_pairs"))
+
+
 def field_key_union(champ: DataFrame, challenger: DataFrame) -> DataFrame:
     """doc_id, field, champ, challenger over all fields that either side has.
 
-    Sides have doc_id, fields (map<string,string>) and mean_confidence.
+    Sides have doc_id (once each), fields (map<string,string>) and mean_confidence.
     """
-    a = champ.select("doc_id", F.explode("fields").alias("field", "champ"))
-    b = challenger.select("doc_id", F.explode("fields").alias("field", "challenger"))
-    return a.join(b, ["doc_id", "field"], "full_outer")
+    return _zipped(champ, challenger).select("doc_id", F.inline_outer("_pairs")).filter("field IS NOT NULL")
 
 
 def ensemble_decide(champ: DataFrame, challenger: DataFrame, auto: float = 0.9, min_conf: float = 0.75) -> DataFrame:
@@ -24,18 +33,15 @@ def ensemble_decide(champ: DataFrame, challenger: DataFrame, auto: float = 0.9,
     A field that agrees keeps the champ's value, or else the challenger's; one that does not gets
     the value of the more confident side, the champ's on a tie, and '' for a null.
     """
-    conf = champ.select("doc_id", F.col("mean_confidence").alias("_a")).join(challenger.select("doc_id", F.col("mean_confidence").alias("_b")), "doc_id", "full_outer")
     a, b = F.coalesce("_a", F.lit(0.0)), F.coalesce("_b", F.lit(0.0))
-    pairs = field_key_union(champ, challenger).join(conf, "doc_id")
-    agree = fields_agree(F.col("field"), F.col("champ"), F.col("challenger"))
-    kept = F.when(F.col("_ok"), F.coalesce(F.nullif("champ", F.lit("")), "challenger")).otherwise(F.when(a >= b, F.col("champ")).otherwise(F.col("challenger")))
-    judged = pairs.withColumn("_ok", agree).withColumn("_value", F.coalesce(kept, F.lit("")))
-    entries = judged.groupBy("doc_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "_value")))).alias("fields"),
-        F.array_sort(F.collect_list(F.when(~F.col("_ok"), F.col("field")))).alias("mismatches"),
-        F.avg(F.col("_ok").cast("double")).alias("agreement"),
-    )
-    rows = conf.join(entries, "doc_id", "left").withColumn("confidence", (a + b) / 2).withColumn("agreement", F.coalesce("agreement", F.lit(0.0)))
+    better = lambda p: F.when(a >= b, p["champ"]).otherwise(p["challenger"])
+    kept = lambda p: F.when(p["ok"], F.coalesce(F.nullif(p["champ"], F.lit("")), p["challenger"])).otherwise(better(p))
+    agreed = F.transform("_pairs", lambda p: F.struct(p["field"].alias("field"), p["champ"].alias("champ"), p["challenger"].alias("challenger"), fields_agree(p["field"], p["champ"], p["challenger"]).alias("ok")))
+    judged = _zipped(champ, challenger).withColumn("_judged", agreed)
+    wrong = F.transform(F.filter("_judged", lambda p: ~p["ok"]), lambda p: p["field"])
+    rows = judged.withColumns({"_n": F.size("_judged"), "mismatches": wrong, "confidence": (a + b) / 2})
+    rows = rows.withColumn("fields", F.when(F.col("_n") > 0, F.map_from_entries(F.transform("_judged", lambda p: F.struct(p["field"], F.coalesce(kept(p), F.lit("")))))))
+    rows = rows.withColumn("agreement", F.when(F.col("_n") > 0, (F.col("_n") - F.size("mismatches")) / F.col("_n")).otherwise(0.0))
     none = F.col("fields").isNull()
     auto_ok = ~none & (F.col("agreement") >= auto) & (F.col("confidence") >= min_conf)
     low = F.format_string("Low agreement: %.0f%%", F.col("agreement") * 100)
@@ -44,7 +50,7 @@ def ensemble_decide(champ: DataFrame, challenger: DataFrame, auto: float = 0.9,
     empty = F.array().cast("array<string>")
     reasons = F.when(none, F.array(F.lit("Both engines returned no fields."))).when(auto_ok, empty).when(F.col("agreement") < 0.5, F.array(low)).otherwise(others)
     decision = F.when(auto_ok, "AUTO_APPROVE").otherwise("REVIEW_REQUIRED")
-    return rows.select("doc_id", decision.alias("decision"), "fields", F.coalesce("mismatches", F.array().cast("array<string>")).alias("mismatches"), "agreement", "confidence", reasons.alias("reasons"))
+    return rows.select("doc_id", decision.alias("decision"), "fields", "mismatches", "agreement", "confidence", reasons.alias("reasons"))
 
 
 def promote_challenger(prf_by_model: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..schemas import DEFAULTS, Thresholds
 from . import decide as D
 from .parse import parse_lines
+from .workflow import reference_data_check
 
 
 def safe_apply(agent: str, call: Callable[[str], str | None]) -> Callable[[str], tuple]:
@@ -44,16 +45,51 @@ def apply_extractor(docs: DataFrame, agent: str, factory: Callable[[], Callable[
     return docs.select(F.col(key).alias("k"), F.col(column).alias("v")).mapInPandas(run, f"k {kind}, {RESULT}").withColumnRenamed("k", key)
 
 
-def run_pipeline_batch(champ: DataFrame, lines: DataFrame, items: DataFrame, cfg: Thresholds = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """(decisions, logs): a champ's extractions against fields parsed from recognized lines.
+#: Fields that recognized lines give a confidence for, all the same one.
+LINE_FIELDS = ("vendor_name", "invoice_number", "total_amount", "subtotal", "tax_amount")
 
-    logs has a row per document and stage.
+
+def challenger_of(lines: DataFrame) -> DataFrame:
+    """The challenger's extractions: fields parsed from recognized lines (doc_id, line, text,
+    confidence), with a confidence for each of LINE_FIELDS and the raw result (JSON)."""
+    parsed = parse_lines(lines).withColumnRenamed("doc_id", D.KEY)
+    scores = F.create_map(*(x for n in LINE_FIELDS for x in (F.lit(n), F.col("confidence"))))
+    raw = F.to_json(F.struct(F.lit("lines").alias("engine"), "line_count"))
+    return parsed.withColumns({"confidence_scores": scores, "raw": raw}).drop("confidence", "line_count")
+
+
+def run_pipeline_batch(
+    uploads: DataFrame, champ: DataFrame, lines: DataFrame, items: DataFrame, vendors: DataFrame, orders: DataFrame, cfg: Thresholds = DEFAULTS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(invoices, items, logs) of a batch of uploads (invoice_id): a champ's extractions and items
+    against fields parsed from recognized lines.
+
+    invoices have the merged fields, confidence (4 decimals), status, the report as JSON and what is
+    known of the vendor; an upload that neither engine read is FAILED. items are those of invoices
+    that were read. logs have a row per upload and stage that ran: after both engines failed nothing
+    else runs, and what is not known of a vendor is a warning.
     """
-    parsed = parse_lines(lines).withColumnsRenamed({"doc_id": "invoice_id"})
-    challenger = parsed.withColumns({"conf_vendor": F.col("confidence"), "conf_total": F.col("confidence")}).select(*champ.columns)
-    decisions = D.decide(champ, challenger, items, cfg)
-    stages = F.array(*(F.struct(F.lit(k).alias("step"), F.lit(s).alias("agent")) for k, s in enumerate(("champ", "challenger", "validation"))))
-    ran = champ.select("invoice_id", F.lit(True).alias("_a")).join(challenger.select("invoice_id", F.lit(True).alias("_b")), "invoice_id", "full_outer")
-    ok = F.when(F.col("agent") == "champ", F.col("_a")).when(F.col("agent") == "challenger", F.col("_b")).otherwise(True)
-    logs = ran.select("*", F.inline(stages)).select("invoice_id", "step", "agent", F.when(F.coalesce(ok, F.lit(False)), "INFO").otherwise("ERROR").alias("level"))
-    return decisions, logs
+    challenger = challenger_of(lines)
+    ids = uploads.select(D.KEY).distinct()
+    merged = ids.join(D.merge_extractions(D.pair_engines(champ, challenger)), D.KEY)
+    judged = D.validation_report(champ, challenger, items, cfg)
+    judged = judged.select(D.KEY, F.col("decision").alias("status"), "confidence", F.to_json("report").alias("report"))
+    known = reference_data_check(merged, vendors, orders).withColumnRenamed("message", "vendor_message")
+    read = merged.join(judged, D.KEY).join(known, D.KEY)
+    invoices = ids.join(read, D.KEY, "left").withColumn("status", F.coalesce("status", F.lit("FAILED")))
+    kept = items.join(ids, D.KEY, "left_semi")
+
+    ran = ids.join(champ.select(D.KEY, F.lit(True).alias("_a")), D.KEY, "left").join(challenger.select(D.KEY, F.lit(True).alias("_b")), D.KEY, "left")
+    ran = ran.join(known.select(D.KEY, "vendor_valid"), D.KEY, "left")
+    some = F.col("_a").isNotNull() | F.col("_b").isNotNull()
+    level = lambda ok, bad: F.when(F.coalesce(ok, F.lit(False)), "INFO").otherwise(bad)
+    stage = lambda k, agent, grade: F.struct(F.lit(k).alias("step"), F.lit(agent).alias("agent"), grade.alias("level"))
+    stages = F.array_compact(
+        F.array(
+            stage(0, "champ", level(F.col("_a"), "ERROR")),
+            stage(1, "challenger", level(F.col("_b"), "ERROR")),
+            stage(2, "validation", level(some, "ERROR")),
+            F.when(some, stage(3, "vendor_check", level(F.col("vendor_valid"), "WARNING"))),
+        )
+    )
+    return invoices, kept, ran.select(D.KEY, F.inline(stages))

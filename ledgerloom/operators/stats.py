@@ -91,7 +91,10 @@ def daily_counts(df: DataFrame, end: Column, days: int = 7) -> DataFrame:
     """day, n for the days up to end, empty ones too."""
     last = F.to_date(end)
     spine = df.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(last, days - 1), last)).alias("day"))
-    counts = df.groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("n"))
+    # The bounds are on the column itself, so that files can be passed over by them.
+    when = F.col("created_at")
+    recent = df.filter((when >= F.date_sub(last, days - 1).cast("timestamp_ntz")) & (when < F.date_add(last, 1).cast("timestamp_ntz")))
+    counts = recent.groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("n"))
     return F.broadcast(spine).join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 

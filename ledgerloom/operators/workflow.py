@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..schemas import ACTIONS, EXTENSIONS, MAX_BYTES, POSTABLE, TRANSITIONS
 
@@ -62,24 +61,46 @@ def _action_target() -> Column:
     return target
 
 
+# What a reviewer may set.
+EDITABLE = ("vendor_name", "invoice_number", "invoice_date", "due_date", "currency", "subtotal", "tax_amount", "total_amount", "purchase_order")
+
+
 def apply_review(invoices: DataFrame, actions: DataFrame) -> DataFrame:
-    """invoice_id, vendor_name, status, reviewer_id, review_notes, conflict after review.
+    """invoices with their editable columns, status, reviewer_id, review_notes and conflicts after review.
 
-    An action first edits (a field that is set may be set to null), then moves the status if that is
-    legal; if not, conflict is true and nothing of the action is kept. Blank notes are ignored.
+    actions: invoice_id, seq, action, set_fields (names), edits (a struct of new values), reviewer_id,
+    notes; an invoice's actions are taken by seq. An action first edits the fields that it sets, to
+    null too, and edits stay whatever comes of the action. Then it moves the status if that is legal;
+    if not, that is counted in conflicts. Who edits or moves is the reviewer, else the earlier one
+    stays; notes count with a move, unless blank. Items are replaced by replace_items.
     """
-    joined = invoices.select(KEY, "vendor_name", "status").join(actions, KEY, "left")
-    asked = joined.withColumns({"current": F.col("status"), "target": _action_target()})
-    checked = check_transitions(asked)
-    taken = F.col("action").isNotNull() & F.col("legal")
-    return checked.select(
-        KEY,
-        F.when(taken & F.col("sets_vendor"), F.col("new_vendor")).otherwise(F.col("vendor_name")).alias("vendor_name"),
-        F.when(taken, F.col("target")).otherwise(F.col("status")).alias("status"),
-        F.when(taken, F.col("reviewer_id")).alias("reviewer_id"),
-        F.when(taken, F.nullif(F.col("notes"), F.lit(""))).alias("review_notes"),
-        (F.col("action").isNotNull() & ~F.col("legal")).alias("conflict"),
-    )
+    kinds = {"status": "string", "reviewer_id": "bigint", "review_notes": "string"}
+    fields = [f for f in EDITABLE if f in invoices.columns]
+    edited = [f for f in fields if f in actions.schema["edits"].dataType.names]
+    one = F.struct("seq", _action_target().alias("target"), "set_fields", "edits", "reviewer_id", "notes")
+    steps = actions.groupBy(KEY).agg(F.array_sort(F.collect_list(one)).alias("_steps"))
+    own = {n: F.col(n).cast(k) if n in invoices.columns else F.lit(None).cast(k) for n, k in kinds.items()}
+    start = F.struct(*fields, *(c.alias(n) for n, c in own.items()), F.lit(0).alias("conflicts"))
+    allowed = F.create_map(*(x for a, then in TRANSITIONS.items() for x in (F.lit(a), F.array(*map(F.lit, then)).cast("array<string>"))))
+
+    def step(s: Column, a: Column) -> Column:
+        sets = lambda f: F.coalesce(F.array_contains(a["set_fields"], f), F.lit(False))
+        legal = F.coalesce(F.array_contains(F.try_element_at(allowed, s["status"]), a["target"]), F.lit(False))
+        acts = legal | (F.coalesce(F.size(a["set_fields"]), F.lit(0)) > 0)
+        said = legal & F.coalesce(a["notes"] != "", F.lit(False))
+        return F.struct(
+            *(F.when(sets(f), a["edits"][f]).otherwise(s[f]).alias(f) if f in edited else s[f].alias(f) for f in fields),
+            F.when(legal, a["target"]).otherwise(s["status"]).alias("status"),
+            F.when(acts, a["reviewer_id"].cast("bigint")).otherwise(s["reviewer_id"]).alias("reviewer_id"),
+            F.when(said, a["notes"]).otherwise(s["review_notes"]).alias("review_notes"),
+            (s["conflicts"] + F.when(legal, 0).otherwise(1)).alias("conflicts"),
+        )
+
+    joined = invoices.join(steps, KEY, "left")
+    done = F.when(F.col("_steps").isNull(), start).otherwise(F.aggregate("_steps", start, step))
+    names = [*fields, *kinds, "conflicts"]
+    others = [c for c in invoices.columns if c not in names]
+    return joined.select(*others, done.alias("_done")).select(*others, *(F.col(f"_done.{n}").alias(n) for n in names))
 
 
 def replace_items(items: DataFrame, new: DataFrame) -> DataFrame:
@@ -87,18 +108,25 @@ def replace_items(items: DataFrame, new: DataFrame) -> DataFrame:
     return items.join(new.select(KEY).distinct(), KEY, "left_anti").unionByName(new)
 
 
+def _vendor_ids(vendors: DataFrame) -> DataFrame:
+    """vendor_name, vendor_id: of a name that is listed again, the smallest id."""
+    return vendors.groupBy("vendor_name").agg(F.min("vendor_id").alias("vendor_id"))
+
+
 def reference_data_check(invoices: DataFrame, vendors: DataFrame, orders: DataFrame) -> DataFrame:
     """invoice_id, vendor_id, vendor_valid, po_valid, message; no purchase order is a valid one."""
     known = orders.select("purchase_order").distinct().withColumn("_known", F.lit(True))
-    joined = invoices.select(KEY, "vendor_name", "purchase_order").join(vendors, "vendor_name", "left").join(known, "purchase_order", "left")
+    own = invoices.select(KEY, "vendor_name", "purchase_order")
+    joined = own.join(_vendor_ids(vendors), "vendor_name", "left").join(known, "purchase_order", "left")
     vendor_ok = F.col("vendor_id").isNotNull()
     po_ok = F.col("purchase_order").isNull() | F.coalesce("_known", F.lit(False))
-    return joined.select(KEY, "vendor_id", vendor_ok.alias("vendor_valid"), po_ok.alias("po_valid"), F.when(vendor_ok & po_ok, "ok").otherwise("partial").alias("message"))
+    message = F.when(vendor_ok & po_ok, "ok").otherwise("partial")
+    return joined.select(KEY, "vendor_id", vendor_ok.alias("vendor_valid"), po_ok.alias("po_valid"), message.alias("message"))
 
 
 def posting_payload(invoices: DataFrame, vendors: DataFrame) -> DataFrame:
     """A row per invoice: what would be posted, or why it is skipped."""
-    joined = invoices.join(vendors, "vendor_name", "left")
+    joined = invoices.join(_vendor_ids(vendors), "vendor_name", "left")
     ok = F.col("status").isin(*POSTABLE)
     shown = lambda c, name: F.when(ok, c).alias(name)
     return joined.select(
@@ -126,8 +154,3 @@ def item_constraints(items: DataFrame) -> DataFrame:
     broken = [F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]
     return items.withColumn("violations", F.array_compact(F.array(*broken)))
 
-
-def newest(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return df.withColumn("_n", place).filter("_n = 1").drop("_n")

@@ -369,7 +369,14 @@ def _(spark, sf):
     return load(spark, sf, "fx_invoices").select("invoice_id", parse.parse_decimal(grouped).alias("value"))
 
 
-@query("parse_lines", "SELECT invoice_id AS doc_id, " + ", ".join(f"{_GOT[e]} AS {c}" for c, e in (("vendor_name", "extract_vendor"), ("invoice_number", "extract_invoice_number"), ("invoice_date", "extract_date"), ("subtotal", "extract_subtotal"), ("tax_amount", "extract_tax"), ("total_amount", "extract_total"), ("purchase_order", "extract_purchase_order"))) + ", 'USD' AS currency FROM fx_text")
+_PARSED = {
+    "vendor_name": "extract_vendor", "invoice_number": "extract_invoice_number", "invoice_date": "extract_date", "subtotal": "extract_subtotal",
+    "tax_amount": "extract_tax", "total_amount": "extract_total", "purchase_order": "extract_purchase_order",
+}
+PARSED_SQL = f"SELECT invoice_id AS doc_id, {', '.join(f'{_GOT[e]} AS {c}' for c, e in _PARSED.items())}, 'USD' AS currency FROM fx_text"
+
+
+@query("parse_lines", PARSED_SQL)
 def _(spark, sf):
     lines = load(spark, sf, "fx_text").select(F.col("invoice_id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"), F.lit(0.9).alias("confidence"))
     return parse.parse_lines(lines).drop("confidence", "line_count")

@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def new_path(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir; a folder of its own
-    only where that is unset, as in tests)."""
+    """A new path in the folder that driver and executors share, which spark.checkpoint.dir names.
+
+    A session on one machine without that setting, as in tests, gets a folder of its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
