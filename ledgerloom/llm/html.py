@@ -259,7 +259,7 @@ def judged_nodes(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages:
     """(host, removed, kept): the nodes of each host on enough pages that are low in both importances,
     and those outside article and main that are not. The row of FEW is for hosts that have none."""
     nodes = common.stored(style_nodes(pages).distinct())
-    own = nodes.groupBy("host").agg(F.count_distinct("page").alias("_n"))
+    own = nodes.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("_n"))
     few = own.filter(F.col("_n") < least_pages).select("host")
     merged = nodes.join(few, "host", "left_semi").withColumn("host", F.lit(FEW)).distinct()
     large = nodes.join(few, "host", "left_anti")
