@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,6 +42,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_and(df: DataFrame, *figures: Column) -> tuple[DataFrame, tuple]:
+    """stored(df), and aggregates of it that are taken while it is written."""
+    seen = Observation()
+    table = stored(df.observe(seen, *(f.alias(f"_{k}") for k, f in enumerate(figures))))
+    return table, tuple(seen.get.get(f"_{k}") for k in range(len(figures)))
+
+
 def join_spread(rows: DataFrame, lookup: DataFrame, keys: list[str], matches: str, total: int) -> DataFrame:
     """rows inner-joined with lookup, in which keys are unique and `matches` says how many of the
     `total` rows have them; that column is dropped.

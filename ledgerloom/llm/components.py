@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_spread, stored
+from .common import join_spread, stored, stored_and
 
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
@@ -22,11 +22,10 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
-    """Join each node and its smaller neighbours to the smallest of these."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    found = _with_least(down, total)
-    near = found.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return near.unionAll(found.filter("v = m").select("u", F.col("m").alias("v"))).distinct()
+    """Join each node and its smaller neighbours to the smallest of these. edges: u > v."""
+    found = _with_least(edges, total)
+    near = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+    return found.select(near.alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,13 +35,12 @@ def components(edges: DataFrame) -> DataFrame:
     ignored. Each round is a few joins on nodes, stored in the shared folder; the number of rounds
     grows with the logarithm of the longest path. Nothing but a checksum comes to the driver.
     """
-    now = stored(edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).filter("u <> v").distinct())
+    figures = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    larger, smaller = F.greatest("u", "v").cast("long"), F.least("u", "v").cast("long")
+    now, mark = stored_and(edges.select(larger.alias("u"), smaller.alias("v")).filter("u <> v").distinct(), *figures)
     before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
+    while mark != before and mark[0]:
         before = mark
-        now = stored(_small_star(stored(_large_star(now, mark[0]).distinct()), mark[0]))
+        now, mark = stored_and(_small_star(stored(_large_star(now, mark[0])), mark[0]), *figures)
     ids = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ids.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

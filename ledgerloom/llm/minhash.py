@@ -223,14 +223,14 @@ def _groups(batches):
 
 
 def _forest(table: pa.RecordBatch, alike) -> list[tuple[int, int]]:
-    """Links of one meeting of blocks, as many as join its components and no more.
+    """Links between components, by their ids, of one meeting of blocks: as many as join them, no more.
 
     alike(left rows, right rows) gives a boolean matrix.
     """
     b, i, j = (table.column(c).to_numpy(zero_copy_only=False) for c in ("b", "i", "j"))
     left, right = np.flatnonzero(b == i), np.flatnonzero(b == j)
-    ids = table.column("doc_id").to_numpy(zero_copy_only=False)
-    _, component = np.unique(table.column("component").to_numpy(zero_copy_only=False), return_inverse=True)
+    names, component = np.unique(table.column("component").to_numpy(zero_copy_only=False), return_inverse=True)
+    own = component.copy()
     if not len(left) or not len(right) or component.max(initial=0) == 0:
         return []
     hits = alike(left, right) & (component[left][:, None] != component[right][None, :])
@@ -242,7 +242,7 @@ def _forest(table: pa.RecordBatch, alike) -> list[tuple[int, int]]:
             old, new = component[right[y]], component[left[x]]
             if old != new:
                 component[component == old] = new
-                out.append((int(ids[left[x]]), int(ids[right[y]])))
+                out.append((int(names[own[left[x]]]), int(names[own[right[y]]])))
     return out
 
 
@@ -251,7 +251,7 @@ def _linked_pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _joined_by(dealt: DataFrame, of_table) -> DataFrame:
-    """The links (u, v) that of_table(table) finds in each meeting of blocks."""
+    """The links (u, v) between components that of_table(table) finds in each meeting of blocks."""
 
     def run(batches):
         found = []
@@ -379,16 +379,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     # components are compared on their sets, since one true link between them is enough.
     joined = stored(components(links).withColumnRenamed("id", "doc_id"))
     placed = members.select(F.col("key").alias("group"), "doc_id").join(bits, "doc_id").join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    likely = stored(_likely(placed, threshold))
-    families = stored(components(likely.unionByName(links)).select(F.col("id").alias("doc_id"), F.col("component").alias("group")))
-    mixed_up = families.join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = mixed_up.groupBy("group").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a < _b").select("group")
-    to_compare = stored(mixed_up.join(several, "group", "left_semi"))
+    families = stored(components(_likely(placed, threshold)).select(F.col("id").alias("component"), F.col("component").alias("group")))
+    single = families.join(joined.select("component").distinct(), "component", "left_anti").select("component", F.col("component").alias("doc_id"))
+    to_compare = stored(joined.unionByName(single).join(_few(families), "component"))
     texts = docs.join(_few(to_compare.select("doc_id")), "doc_id", "left_semi")
-    more = stored(_exact(to_compare.join(texts, "doc_id").select("group", "doc_id", "component", "text"), shingle, threshold))
-    whole = components(links.unionByName(more)).withColumnRenamed("id", "class")
+    more = components(_exact(to_compare.join(texts, "doc_id").select("group", "doc_id", "component", "text"), shingle, threshold))
+    more = stored(more.select(F.col("id").alias("component"), F.col("component").alias("_whole")))
     # A document's component is that of its class, which is looked up by the digest of its set.
-    of_class = stored(classes.join(whole, "class", "left").select(*same, "_n", F.coalesce("component", "class").alias("component_id")))
+    whole = joined.withColumnRenamed("doc_id", "class")
+    placed = classes.join(whole, "class", "left").withColumn("component", F.coalesce("component", "class")).join(_few(more), "component", "left")
+    of_class = stored(placed.select(*same, "_n", F.coalesce("_whole", "component").alias("component_id")))
     linked = common.join_spread(full.select("doc_id", *same), of_class, same, "_n", full.count())
     alone = sketches.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", *same, F.col("doc_id").alias("component_id"))
     found = linked.unionByName(alone)
