@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 #: Keys with more rows than one in so many are hot, if they have so many rows at all.
 HOT_KEYS, LEAST_HOT = 10_000, 1000
+#: Lookups of narrow rows are broadcast up to this many.
+BROADCAST_ROWS = 500_000
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,7 +57,10 @@ def join_spread(rows: DataFrame, lookup: DataFrame, keys: list[str], matches: st
 
     Entries that a large share of rows match are broadcast, so that their rows stay where they are
     instead of meeting in one task. There are less than HOT_KEYS of these, however long the table.
+    Of up to BROADCAST_ROWS rows, which have no more entries than that, all entries are.
     """
+    if total <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(lookup.drop(matches)), keys)
     least = max(LEAST_HOT, total // HOT_KEYS + 1)
     hot = F.broadcast(lookup.filter(F.col(matches) >= least).drop(matches))
     cold = lookup.filter(F.col(matches) < least).drop(matches)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_spread, stored, stored_and
+from .common import BROADCAST_ROWS, join_spread, stored, stored_and
 
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
@@ -41,6 +41,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while mark != before and mark[0]:
         before = mark
-        now, mark = stored_and(_small_star(stored(_large_star(now, mark[0])), mark[0]), *figures)
+        star = _large_star(now, mark[0])
+        if mark[0] > BROADCAST_ROWS:  # read twice then
+            star = stored(star)
+        now, mark = stored_and(_small_star(star, mark[0]), *figures)
     ids = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ids.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

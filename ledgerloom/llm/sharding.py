@@ -20,12 +20,8 @@ OVERHEAD = 16
 BINS = 2048
 #: A median may be off by this share of a leaf's weight; beyond that it is exact to one row.
 TOLERANCE = 1e-3
-
-
-def _code(value: Column) -> Column:
-    """The first six bytes as a number that keeps code point order; null is below everything."""
-    prefix = F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(prefix, 16, 10).cast("double"), F.lit(-1.0))
+#: Rows of equal texts stay together up to this share of a shard's bytes.
+KEPT_TOGETHER = 0.1
 
 
 def byte_size(text: Column) -> Column:
@@ -33,10 +29,11 @@ def byte_size(text: Column) -> Column:
 
 
 def metadata() -> dict[str, Column]:
-    """The dimensions of a document, in the order that breaks ties of width."""
+    """The dimensions of a document, in the order that breaks ties of width. Texts among them are
+    taken by their rank among all distinct values."""
     return {
-        "source": _code(F.col("source")),
-        "lang": _code(F.col("lang")),
+        "source": F.col("source"),
+        "lang": F.col("lang"),
         "length": F.log2(byte_size(F.col("text")).cast("double")),
         "id": F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)),
     }
@@ -133,31 +130,66 @@ def kd_tree(rows: DataFrame, dims: list[str], shards: int) -> _Node:
     return root
 
 
-def _numbers(docs: DataFrame, key: str, dimensions: dict[str, Column], *more: Column) -> DataFrame:
-    values = [v.alias(f"_d_{k}") for k, v in dimensions.items()]
-    tie = F.coalesce(F.col(key).cast("long"), F.lit(-(2**53)).cast("long"))
-    return docs.select(F.col(key), byte_size(F.col("text")).alias("_size"), tie.alias("_tie"), *values, *more)
+def _few(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= common.BROADCAST_ROWS else table
 
 
-def _tree(numbers: DataFrame, dimensions: dict, shards: int | None, target_bytes: int | None) -> _Node:
-    if shards is None:
-        shards = max(1, math.ceil((numbers.agg(F.sum("_size")).first()[0] or 0) / target_bytes))
-    return kd_tree(numbers, [f"_d_{k}" for k in dimensions], shards)
+def _ranked(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a text column replaced by its rank in code point order; null is below everything."""
+    values = common.global_rank(rows.select(F.col(name).alias("_value")).filter("_value IS NOT NULL").distinct(), [F.col("_value")], "_rank")
+    joined = rows.join(_few(common.stored(values)), F.col(name) == F.col("_value"), "left")
+    return joined.withColumn(name, F.coalesce(F.col("_rank").cast("double"), F.lit(-1.0))).drop("_value", "_rank")
+
+
+def _together(numbers: DataFrame, places: list[str], most: float) -> DataFrame:
+    """numbers with the place of the smallest key of their text, for rows of equal texts that have at
+    most so many bytes together. A text with more rows than that keeps each row's own place: there
+    are less of them than bytes in all over `most`, so they are set apart by a broadcast."""
+    same = ["_hash", "_size"]
+    place = F.min(F.struct("_tie", *(p for p in places if p != "_tie")))
+    groups = common.stored(numbers.groupBy(*same).agg(F.count("*").alias("_n"), place.alias("_place")).filter("_n > 1"))
+    large = F.broadcast(groups.filter(F.col("_n") * F.col("_size") > most).select(*same))
+    small = _few(groups.filter(F.col("_n") * F.col("_size") <= most).select(*same, "_place"))
+    moved = numbers.join(large, same, "left_anti").join(small, same, "left")
+    moved = moved.withColumns({p: F.coalesce(f"_place.{p}", p) for p in places}).drop("_place")
+    return moved.unionByName(numbers.join(large, same, "left_semi"))
+
+
+def _placed(docs: DataFrame, key: str, dimensions: dict[str, Column], shards: int | None, target_bytes: int | None, *more: Column) -> DataFrame:
+    """key, _size, _hash (of the text), shard and more columns of every row."""
+    names = {k: f"_d_{k}" for k in dimensions}
+    tie = F.coalesce(F.col(key).cast("long"), F.lit(-(2**53)).cast("long"))
+    text = F.coalesce("text", F.lit(""))
+    values = [v.alias(names[k]) for k, v in dimensions.items()]
+    rows = docs.select(F.col(key), byte_size(F.col("text")).alias("_size"), tie.alias("_tie"), F.xxhash64(text).alias("_hash"), *values, *more)
+    for name in names.values():
+        if rows.schema[name].dataType.simpleString() == "string":
+            rows = _ranked(rows, name)
+        else:
+            rows = rows.withColumn(name, F.col(name).cast("double"))
+    numbers = common.stored(rows)
+    total = numbers.agg(F.sum("_size")).first()[0] or 0
+    shards = shards or max(1, math.ceil(total / target_bytes))
+    numbers = common.stored(_together(numbers, ["_tie", *names.values()], KEPT_TOGETHER * total / shards))
+    root = kd_tree(numbers, list(names.values()), shards)
+    place = root.place({n: F.col(n) for n in names.values()}, F.col("_tie"))
+    return numbers.withColumn("shard", place).drop("_tie", *names.values())
 
 
 def assign_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, key: str = "doc_id", dimensions: dict[str, Column] | None = None) -> DataFrame:
     """docs with a column shard (replaced if there is one): a leaf of the tree for every row.
 
     Give the number of shards, or the bytes a leaf should reach. Sizes of shards differ by a few
-    rows' sizes at most. Rows of one place in all dimensions are parted by key; rows that repeat a
-    key stay together, and null keys are one place. Null texts have no bytes. An empty table gives
-    an empty result.
+    rows' sizes at most. Equal texts stay together while they have no more than KEPT_TOGETHER of a
+    shard's bytes; larger groups, and other rows of one place in all dimensions, are parted by key.
+    Rows that repeat a key and text stay together; null keys are one place. Null texts have no bytes
+    and are equal to empty ones. An empty table gives an empty result.
     """
-    dimensions = dimensions or metadata()
     docs = docs.drop("shard")
-    root = _tree(common.stored(_numbers(docs, key, dimensions)), dimensions, shards, target_bytes)
-    tie = F.coalesce(F.col(key).cast("long"), F.lit(-(2**53)).cast("long"))
-    return docs.withColumn("shard", root.place({f"_d_{k}": v for k, v in dimensions.items()}, tie))
+    own = _placed(docs, key, dimensions or metadata(), shards, target_bytes).select(F.col(key).alias("_key"), "_hash", "shard").distinct()
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    joined = docs.withColumn("_text", text).join(own, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_hash")))
+    return joined.select(*docs.columns, "shard")
 
 
 def write_shards(docs: DataFrame, path: str, **how) -> None:
@@ -167,23 +199,29 @@ def write_shards(docs: DataFrame, path: str, **how) -> None:
 
 
 def with_slots(placed: DataFrame, key: str, rows_per_bucket: int = 100_000) -> DataFrame:
-    """Add slot: 0, 1, ... in each shard. A shard's rows are numbered in buckets of their key's hash."""
+    """placed (key, shard, _size, _hash, ...) with slot (replaced if there is one): 0, 1, ... in each
+    shard.
+
+    A shard's rows are numbered in buckets of their key's hash, by key, size and text, null keys
+    first; rows that are equal in all of these are alike.
+    """
+    placed = placed.drop("slot")
     shards, rows = placed.agg(F.countDistinct("shard"), F.count("*")).first()
     buckets = max(16, math.ceil(rows / max(1, shards) / rows_per_bucket))
-    dealt = placed.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    dealt = placed.withColumn("_bucket", F.pmod(F.xxhash64(key, "_hash"), F.lit(buckets)))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("shard", "_bucket").count()
     offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(key, "_size")) - 1
-    return dealt.withColumn("_place", place).join(offsets, ["shard", "_bucket"]).withColumn("slot", (F.col("_before") + F.col("_place")).cast("long")).drop("_bucket", "_before", "_place")
+    place = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(key, "_size", "_hash")) - 1
+    numbered = dealt.withColumn("_place", place).join(offsets, ["shard", "_bucket"])
+    return numbered.withColumn("slot", (F.col("_before") + F.col("_place")).cast("long")).drop("_bucket", "_before", "_place")
 
 
 def op2_kd_shards(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32")
-    dimensions = metadata()
-    numbers = common.stored(_numbers(docs, "doc_id", dimensions, crc))
-    root = _tree(numbers, dimensions, 40, None)
-    placed = numbers.withColumn("shard", root.place({f"_d_{k}": F.col(f"_d_{k}") for k in dimensions}, F.col("_tie")))
-    slots = with_slots(placed, "doc_id")
-    return slots.select("doc_id", F.col("_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    slots = with_slots(_placed(docs, "doc_id", metadata(), 40, None, crc), "doc_id")
+    return slots.select(
+        "doc_id", F.col("_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

@@ -33,23 +33,28 @@ LEARN_SLICE, SCORE_SLICE = 400_000, 1_000_000
 #: Word scores are whole multiples of this, so that sums do not depend on how texts are batched.
 UNIT = 2.0**-16
 
-_STANDINS = np.frombuffer(b"0134567@aeiou*xz", np.uint8)
-_MIX = np.random.Generator(np.random.PCG64(9)).integers(1, 2**32, 256, dtype=np.uint32)
+_STANDINS = "0134567@aeiou*xz"
+_MIX = np.random.Generator(np.random.PCG64(9)).integers(1, 2**32, 1 << 16, dtype=np.uint32)
+
+
+def _codes(data: np.ndarray) -> np.ndarray:
+    """A number for each code point."""
+    return _MIX[data & np.uint32(0xFFFF)] ^ ((data >> np.uint32(16)) * np.uint32(0x9E3779B1))
 
 
 def _buckets(data: np.ndarray):
-    """(starts, bucket) of the valid n-grams of each length over bytes with a space at both ends.
+    """(starts, bucket) of the valid n-grams of each length over code points with a space at both ends.
 
     An n-gram may begin and end with one space, as a word's edge, and holds none between. Whole
     words with their edges follow as one more kind.
     """
     space = (data == 32) | ((data >= 9) & (data <= 13))
-    data = np.where(space, np.uint8(32), data)
+    data = np.where(space, np.uint32(32), data)
     place = np.arange(len(data), dtype=np.int64)
     ahead = np.where(space, place, len(data))
     ahead = np.minimum.accumulate(ahead[::-1])[::-1]
     following = np.append(ahead[1:], len(data))
-    codes = _MIX[data]
+    codes = _codes(data)
     value = codes.copy()
     shift = np.uint32(32 - BUCKET_BITS)
     for n in range(2, max(GRAMS) + 1):
@@ -67,11 +72,26 @@ def _buckets(data: np.ndarray):
     yield first, (mixed ^ (mixed >> np.uint32(13))) * np.uint32(0xC2B2AE35) >> shift
 
 
+def _points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and the byte that each begins at."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    ahead = np.concatenate([data, np.zeros(3, np.uint8)])
+    lead, second, third, fourth = (ahead[at + k].astype(np.uint32) for k in range(4))
+    second, third, fourth = second & 0x3F, third & 0x3F, fourth & 0x3F
+    two = (lead & 0x1F) << 6 | second
+    three = (lead & 0x0F) << 12 | second << 6 | third
+    four = (lead & 0x07) << 18 | second << 12 | third << 6 | fourth
+    return np.where(lead < 0x80, lead, np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four))), at
+
+
 def _spaced(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes, lower-cased, with a space before, after and between texts; where each one begins."""
+    """All code points, A-Z lower-cased, with a space before, after and between texts; where each begins."""
     flat = Flat(texts, lower=True)
-    data = np.concatenate([[np.uint8(32)], np.insert(flat.data, flat.at[1:-1], np.uint8(32)), [np.uint8(32)]]) if flat.n else np.full(1, 32, np.uint8)
-    return data, flat.at[:-1] + np.arange(flat.n) + 1
+    points, at = _points(flat.data)
+    begins = np.searchsorted(at, flat.at)
+    space = np.full(1, 32, np.uint32)
+    data = np.concatenate([space, np.insert(points, begins[1:-1], np.uint32(32)), space]) if flat.n else space
+    return data, begins[:-1] + np.arange(flat.n) + 1
 
 
 def _word_scores(texts: pa.Array, values: np.ndarray):
@@ -129,7 +149,7 @@ class Model:
         return np.where(np.isnan(out), self.empty, 1 / (1 + np.exp(-logit)))
 
 
-def _selected(texts: pa.Array, toxic: np.ndarray, values: np.ndarray, rng: np.random.Generator) -> tuple[list[bytes], list[int]]:
+def _selected(texts: pa.Array, toxic: np.ndarray, values: np.ndarray, rng: np.random.Generator) -> tuple[list[str], list[int]]:
     """Windows to learn from: the highest of every text, and two more of those not toxic."""
     windows, labels = [], []
     for a, b in slices(texts, LEARN_SLICE):
@@ -141,21 +161,22 @@ def _selected(texts: pa.Array, toxic: np.ndarray, values: np.ndarray, rng: np.ra
                 continue
             best = x + int(np.argmax(mean[x:y]))
             for w in {best} if toxic[a + k] else {best, *rng.integers(x, y, 2).tolist()}:
-                windows.append(data[begin[first[w]] : end[last[w] - 1]].tobytes())
+                points = data[begin[first[w]] : end[last[w] - 1]]
+                windows.append(points.astype("<u4").tobytes().decode("utf-32-le", "replace"))
                 labels.append(int(toxic[a + k]))
     return windows, labels
 
 
-def _misspelt(window: bytes, rng: np.random.Generator) -> bytes:
+def _misspelt(window: str, rng: np.random.Generator) -> str:
     """A copy in which some words have a letter doubled, dropped, swapped with the next or replaced."""
     words = []
     for w in window.split():
         if len(w) > 3 and rng.random() < 0.5:
             k, how = int(rng.integers(1, len(w) - 1)), rng.integers(4)
-            middle = (w[k : k + 1] * 2, b"", w[k + 1 : k + 2] + w[k : k + 1], bytes([rng.choice(_STANDINS)]))[how]
+            middle = (w[k] * 2, "", w[k + 1] + w[k], _STANDINS[rng.integers(len(_STANDINS))])[how]
             w = w[:k] + middle + w[k + 1 + (how == 2) :]
         words.append(w)
-    return b" ".join(words)
+    return " ".join(words)
 
 
 def _first_values(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
@@ -173,7 +194,48 @@ def _first_values(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
     return np.round(np.where(held.sum(0) > 2, odds, 0) / UNIT).astype(np.int64)
 
 
-def train(texts: list[str], toxic: list[int], share: float | None = None, seed: int = 1) -> Model:
+@dataclass
+class _Learner:
+    """Vectors and softmax, and the sums of squares that steps are scaled by."""
+
+    vectors: np.ndarray
+    softmax: np.ndarray
+    bias: np.ndarray
+    v_seen: np.ndarray
+    s_seen: np.ndarray
+
+    @classmethod
+    def new(cls, rng: np.random.Generator, buckets: int = 1 << BUCKET_BITS) -> _Learner:
+        vectors = rng.uniform(-1, 1, (buckets, DIMENSIONS)).astype(np.float32) / DIMENSIONS
+        softmax = rng.uniform(-1, 1, (2, DIMENSIONS)).astype(np.float32)
+        return cls(vectors, softmax, np.zeros(2, np.float32), np.full(buckets, 1e-4, np.float32), np.full((2, DIMENSIONS), 1e-4, np.float32))
+
+    def step(self, used: np.ndarray, sizes: np.ndarray, goal: np.ndarray, weight: np.ndarray) -> None:
+        """One step down the weighted log loss of a batch of bags: used has the buckets of one bag
+        after another, of which there are sizes."""
+        heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        mean = np.add.reduceat(self.vectors[used], heads) / sizes[:, None]
+        logits = mean @ self.softmax.T + self.bias
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(sizes)), goal] -= 1
+        p *= weight[:, None] / len(sizes)
+        down = np.repeat(p @ self.softmax / sizes[:, None], sizes, axis=0).astype(np.float32)
+        seen, back = np.unique(used, return_inverse=True)
+        g = np.stack([np.bincount(back, down[:, d], len(seen)) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
+        self.v_seen[seen] += (g * g).mean(1)
+        self.vectors[seen] -= RATE * g / np.sqrt(self.v_seen[seen])[:, None]
+        turn = p.T @ mean
+        self.s_seen += turn * turn
+        self.softmax -= RATE * 0.2 * turn / np.sqrt(self.s_seen)
+        self.bias -= RATE * p.sum(0)
+
+    def values(self) -> np.ndarray:
+        """What each bucket adds to a window's log odds, in UNITs."""
+        return np.round(self.vectors.astype(np.float64) @ (self.softmax[1] - self.softmax[0]).astype(np.float64) / UNIT).astype(np.int64)
+
+
+def train(texts: pa.Array | list[str], toxic: list[int], share: float | None = None, seed: int = 1) -> Model:
     """Learn from whole texts and their labels; share is that of toxic documents where they come from.
 
     Four in five texts train vectors and softmax, the rest turn window values into probabilities. If
@@ -185,17 +247,14 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, seed:
     if len({*labels[learn]}) < 2:
         return Model(np.zeros(1 << BUCKET_BITS, np.int64), 0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), share)
     rng = np.random.Generator(np.random.PCG64(seed))
-    all_texts = pa.array(texts, pa.large_string())
+    all_texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
     own, mine = all_texts.filter(pa.array(learn)), labels[learn]
-    vectors = rng.uniform(-1, 1, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
-    softmax = rng.uniform(-1, 1, (2, DIMENSIONS)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    v_seen, s_seen = np.full(len(vectors), 1e-4, np.float32), np.full(softmax.shape, 1e-4, np.float32)
+    learner = _Learner.new(rng)
     values = _first_values(own, mine)
     for _ in range(ROUNDS):
         windows, targets = _selected(own, mine, values, rng)
         windows, targets = windows + [_misspelt(w, rng) for w in windows], targets * 2
-        data, at = _spaced(pa.array([w.decode("utf-8", "replace") for w in windows], pa.large_string()))
+        data, at = _spaced(pa.array(windows, pa.large_string()))
         parts = [(np.searchsorted(at, s + 1, side="right") - 1, g) for s, g in _buckets(data)]
         bag, gram = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         order = np.argsort(bag, kind="stable")
@@ -211,22 +270,8 @@ def train(texts: list[str], toxic: list[int], share: float | None = None, seed:
                 sizes = cuts[batch + 1] - cuts[batch]
                 heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 used = gram[np.repeat(cuts[batch] - heads, sizes) + np.arange(sizes.sum())]
-                mean = np.add.reduceat(vectors[used], heads) / sizes[:, None]
-                logits = mean @ softmax.T + bias
-                p = np.exp(logits - logits.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(batch)), goal[batch]] -= 1
-                p *= weight[batch, None] / len(batch)
-                down = np.repeat(p @ softmax / sizes[:, None], sizes, axis=0).astype(np.float32)
-                seen, back = np.unique(used, return_inverse=True)
-                g = np.stack([np.bincount(back, down[:, d], len(seen)) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
-                v_seen[seen] += (g * g).mean(1)
-                vectors[seen] -= RATE * g / np.sqrt(v_seen[seen])[:, None]
-                step = p.T @ mean
-                s_seen += step * step
-                softmax -= RATE * 0.2 * step / np.sqrt(s_seen)
-                bias -= RATE * p.sum(0)
-        values = np.round(vectors.astype(np.float64) @ (softmax[1] - softmax[0]).astype(np.float64) / UNIT).astype(np.int64)
+                learner.step(used, sizes, goal[batch], weight[batch])
+        values = learner.values()
     rest = np.flatnonzero(~learn) if len({*labels[~learn]}) == 2 else np.arange(len(texts))
     return _calibrated(values, all_texts.take(pa.array(rest)), labels[rest], share)
 
@@ -268,24 +313,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
     drawn = [known.filter(F.col("toxic") == k).dropDuplicates(["doc_id"]).withColumn("_at", draw).orderBy("_at", "doc_id").limit(sample) for k in (0, 1)]
     chosen = common.stored(drawn[0].unionAll(drawn[1]))
     texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= longest).join(F.broadcast(chosen), "doc_id")
-    rows = sorted((r["_at"], r["doc_id"], r["toxic"], r["text"]) for r in texts.dropDuplicates(["doc_id"]).toLocalIterator())
-    return train([r[3] for r in rows], [r[2] for r in rows], n.get(1, 0) / max(1, sum(n.values())))
+    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_at").alias("_at"), F.first("toxic").alias("toxic"))
+    rows = one.orderBy("_at", "doc_id").select("text", "toxic").toArrow()
+    held = rows.column("text").cast(pa.large_string()).combine_chunks()
+    held = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
+    return train(held, rows.column("toxic").to_pylist(), n.get(1, 0) / max(1, sum(n.values())))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted (replaced if there are such), from whole texts alone.
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
+    """columns of docs, or all, with score and predicted (replaced if there are such), from whole
+    texts alone.
 
     Null, empty and wordless texts get the score of an empty text, which is low. Rows do not depend
-    on each other.
+    on each other. A text goes to Python once, and comes back only if it is among the columns.
     """
-    docs = docs.drop("score", "predicted")
+    own = [c for c in columns or docs.columns if c not in ("score", "predicted")]
+    with_text = "text" in own
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
+    rows = docs.select(F.struct(*own).alias("_row"), *([] if with_text else [F.col("text").alias("_text")]))
     schema = f"_row {rows.schema['_row'].dataType.simpleString()}, score double"
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(shared.value.scores(batch.column("_text")))], names=["_row", "score"])
+            texts = batch.column("_row").field("text") if with_text else batch.column("_text")
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(shared.value.scores(texts))], names=["_row", "score"])
 
     scored = rows.mapInArrow(run, schema).select("_row.*", "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -306,15 +357,6 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = common.table(spark, sf_dir, "labels")
     model = fit(docs, labels.filter(may_learn(F.col("doc_id"))))
-    found = _scores_only(docs, model)
-    return found.select("doc_id", F.coalesce(~may_learn(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
-
-
-def _scores_only(docs: DataFrame, model: Model) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(batch.column("text")))], names=["doc_id", "score"])
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    found = score(docs, model, columns=["doc_id"])
+    held_out = F.coalesce(~may_learn(F.col("doc_id")), F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")

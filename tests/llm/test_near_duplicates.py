@@ -202,6 +202,79 @@ def test_hot_classes_and_hot_nodes(spark, monkeypatch):
 
     monkeypatch.setattr(common, "LEAST_HOT", 5)
     monkeypatch.setattr(common, "HOT_KEYS", 4)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 0)
     rows = [(k, text(1, 50)) for k in range(40)] + [(100 + k, text(1, 50) + f" end{k}") for k in range(30)] + [(200 + k, text(k // 2 + 9, 40)) for k in range(20)] + [(300 + k, "") for k in range(30)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain_components(rows, 5, 80)
+
+
+def plain_grams(t):
+    """(word, buckets) of each word of a text, by the definition: its n-grams of code points with a
+    space at either edge, and itself."""
+    bits, mask = 32 - toxicity.BUCKET_BITS, 2**32 - 1
+    s = " " + "".join(c.lower() if "A" <= c <= "Z" else " " if c in "\t\n\x0b\x0c\r" else c for c in t) + " "
+    codes = [int(toxicity._MIX[ord(c) & 0xFFFF]) ^ ((ord(c) >> 16) * 0x9E3779B1 & mask) for c in s]
+    out = []
+    for m in re.finditer("[^ ]+", s):
+        found = []
+        for n in toxicity.GRAMS:
+            for i in range(m.start() - 1, m.end()):
+                if i + n <= len(s) and " " not in s[i + 1 : i + n - 1]:
+                    x = codes[i]
+                    for c in codes[i + 1 : i + n]:
+                        x = (x * 0x01000193 + c) & mask
+                    x = x * 0x9E3779B1 & mask
+                    found.append((((x ^ (x >> 15)) * 0x85EBCA77 + n) & mask) >> bits)
+        x = sum(c * ((2654435761 * (k + 1) + 1) & mask) for k, c in enumerate(codes[m.start() : m.end()])) & mask
+        x = (x ^ (x >> 16)) * 0x85EBCA6B & mask
+        found.append(((x ^ (x >> 13)) * 0xC2B2AE35 & mask) >> bits)
+        out.append(found)
+    return out
+
+
+def test_scores_against_a_plain_version():
+    import numpy as np
+    import pyarrow as pa
+
+    values = np.random.Generator(np.random.PCG64(1)).integers(-(2**15), 2**15, 1 << toxicity.BUCKET_BITS)
+    texts = ["You Idiot there", "één \U0001f600 straße\tÉTÉ", "a", "", " \n ", "word " * 50 + "odd", "日本語 テキスト x"]
+    got = toxicity._text_scores(pa.array(texts, pa.large_string()), values)
+    for t, g in zip(texts, got, strict=True):
+        words = plain_grams(t)
+        windows = [sum(words[i : i + toxicity.WINDOW], []) for i in range(max(1, len(words) - toxicity.WINDOW + 1))] if words else []
+        means = [sum(int(values[b]) for b in w) * toxicity.UNIT / len(w) for w in windows]
+        assert (np.isnan(g) and not means) or g == pytest.approx(max(means))
+
+
+def test_a_step_against_a_plain_version():
+    import copy
+    import math
+
+    import numpy as np
+
+    rng = np.random.Generator(np.random.PCG64(2))
+    mine = toxicity._Learner.new(rng, buckets=12)
+    plain = copy.deepcopy(mine)
+    bags, goal, weight = [[1, 2, 2], [3], [2, 5, 7, 7]], [1, 0, 1], [0.5, 2.0, 1.0]
+    mine.step(np.concatenate(bags), np.array([len(b) for b in bags]), np.array(goal), np.array(weight, np.float32))
+    d = toxicity.DIMENSIONS
+    g_v, g_s, g_b = np.zeros((12, d)), np.zeros((2, d)), np.zeros(2)
+    for bag, y, w in zip(bags, goal, weight, strict=True):
+        mean = [sum(float(plain.vectors[b][k]) for b in bag) / len(bag) for k in range(d)]
+        logits = [sum(float(plain.softmax[c][k]) * mean[k] for k in range(d)) + float(plain.bias[c]) for c in (0, 1)]
+        total = sum(map(math.exp, logits))
+        for c in (0, 1):
+            off = (math.exp(logits[c]) / total - (c == y)) * w / len(bags)
+            g_b[c] += off
+            for k in range(d):
+                g_s[c][k] += off * mean[k]
+                for b in bag:
+                    g_v[b][k] += off * float(plain.softmax[c][k]) / len(bag)
+    for b in range(12):
+        if g_v[b].any():
+            assert mine.vectors[b] == pytest.approx(plain.vectors[b] - toxicity.RATE * g_v[b] / np.sqrt(1e-4 + (g_v[b] ** 2).mean()), rel=1e-4, abs=1e-6)
+        else:
+            assert (mine.vectors[b] == plain.vectors[b]).all()
+    assert mine.softmax == pytest.approx(plain.softmax - toxicity.RATE * 0.2 * g_s / np.sqrt(1e-4 + g_s**2), rel=1e-4, abs=1e-6)
+    assert mine.bias == pytest.approx(plain.bias - toxicity.RATE * g_b, rel=1e-4, abs=1e-6)

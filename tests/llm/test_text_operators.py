@@ -11,6 +11,8 @@ import pytest
 
 from ledgerloom.llm import mixing, pieces, quality, sharding, winnowing
 
+from pyspark.sql.functions import col as F_col
+
 from .helpers import awkward, clashing, empty, text
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -106,12 +108,73 @@ def test_shards_of_awkward_tables(spark):
     assert sharding.assign_shards(empty(spark), target_bytes=100).count() == 0
     same = spark.createDataFrame([(1, "x", "en", "a", 1)] * 30, docs.schema)
     assert sharding.assign_shards(same, shards=4).count() == 30
-    numbered = sharding.with_slots(placed.withColumn("_size", sharding.byte_size(placed["text"])), "doc_id").collect()
+    from pyspark.sql import functions as F
+
+    keyed = placed.withColumns({"_size": sharding.byte_size(placed["text"]), "_hash": F.xxhash64("text"), "slot": F.lit("x")})
+    numbered = sharding.with_slots(keyed, "doc_id").collect()
     for s in {r["shard"] for r in numbered}:
         slots = sorted(r["slot"] for r in numbered if r["shard"] == s)
         assert slots == list(range(len(slots)))
 
 
+def plain_leaves(rows, dims, shards):
+    """rows: (id, size, tie, dims...). The leaf of each id, by splitting at the exact weighted median."""
+    spread = [max((r[3 + d] for r in rows), default=0) - min((r[3 + d] for r in rows), default=0) for d in range(dims)]
+    out = {}
+
+    def split(mine, first, leaves):
+        if leaves == 1 or not mine:
+            out.update({r[0]: first for r in mine})
+            return
+        wide = [(max(r[3 + d] for r in mine) - min(r[3 + d] for r in mine)) / spread[d] if spread[d] else 0 for d in range(dims)]
+        d = wide.index(max(wide))
+        mine = sorted(mine, key=lambda r: (r[3 + d], r[2]))
+        goal, below, cut = sum(r[1] for r in mine) * (leaves // 2) / leaves, 0, 0
+        while cut < len(mine) and below + mine[cut][1] < goal:
+            below += mine[cut][1]
+            cut += 1
+        if cut == 0 or goal - below > below + mine[cut][1] - goal:  # the nearer end, the first row at least
+            cut += 1
+        split(mine[:cut], first, leaves // 2)
+        split(mine[cut:], first + leaves // 2, leaves - leaves // 2)
+
+    split(rows, 0, shards)
+    return out
+
+
+def test_tree_against_plain_medians(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TOLERANCE", 0.0)
+    r = random.Random(4)
+    rows = [(k, r.randrange(10, 200), k * 7 % 500, float(r.randrange(6)), r.random(), float(r.randrange(3))) for k in range(500)]
+    df = spark.createDataFrame(rows, "id long, _size long, _tie long, a double, b double, c double")
+    for shards in (2, 5, 16):
+        root = sharding.kd_tree(df, ["a", "b", "c"], shards)
+        from pyspark.sql import functions as F
+
+        got = {x["id"]: x["s"] for x in df.select("id", root.place({n: F.col(n) for n in "abc"}, F.col("_tie")).alias("s")).collect()}
+        assert got == plain_leaves(rows, 3, shards)
+
+
+def test_equal_texts_stay_together(spark):
+    """Groups below the limit are in one shard, a huge one is parted, and shards are near equal."""
+    rows = [(k, text(k // 3, 40 + k // 3 % 30), f"source_with_a_long_name_{k % 2}", "en", 0) for k in range(600)]
+    rows += [(1000 + k, "huge " * 20, "z", None, 0) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(4)
+    placed = sharding.assign_shards(docs, shards=8).select("text", "shard").collect()
+    of, load = {}, Counter()
+    for r in placed:
+        of.setdefault(r["text"], set()).add(r["shard"])
+        load[r["shard"]] += len(r["text"].encode()) + 16
+    assert len(of.pop("huge " * 20)) > 1 and all(len(s) == 1 for s in of.values())
+    assert max(load.values()) < 1.15 * min(load.values())
+
+
+def test_sources_are_told_apart_by_their_ends(spark):
+    df = spark.createDataFrame([("common_crawl_2024",), ("common_crawl_2019",), (None,), ("common_crawl_2019",)], "x string")
+    got = sharding._ranked(df.select("x", F_col("x").alias("_d_x")), "_d_x").collect()
+    assert {(r["x"], r["_d_x"]) for r in got} == {("common_crawl_2019", 0.0), ("common_crawl_2024", 1.0), (None, -1.0)}
+
+
 def plain_winnow(t, k, w):
     base, mask = int(winnowing._BASE), 2**64 - 1
 
