@@ -162,16 +162,25 @@ def _(spark, sf):
     return A.append_feedback(words, values).select("doc_id", "pos", "word", "label", "source")
 
 
-@query("flatten_analysis_result", "SELECT CAST(invoice_id AS VARCHAR) AS doc_id, vendor_name, invoice_number, total_amount, 'USD' AS currency, CASE WHEN total_amount IS NULL THEN 0 ELSE 0.9 END::DOUBLE AS confidence, coalesce(n, 0) AS n_items FROM fx_invoices LEFT JOIN (SELECT invoice_id, count(*) AS n FROM fx_items GROUP BY 1) USING (invoice_id)")
+# Items of odd invoices lack a description, those of every fifth a quantity: the defaults stand in.
+_CLOUD_ITEMS = """string_agg(k || ':' || CASE WHEN invoice_id % 2 = 1 THEN 'N/A' ELSE description END || ':' || CAST(CASE WHEN invoice_id % 5 = 0 THEN 1 ELSE quantity END AS INT) || ':0:' || CAST(amount * 100 AS BIGINT), ',' ORDER BY k)"""
+
+
+@query("flatten_analysis_result", f"""SELECT CAST(invoice_id AS VARCHAR) AS doc_id, vendor_name, invoice_number, total_amount, 'USD' AS currency, CASE WHEN total_amount IS NULL THEN 0 ELSE 0.9 END::DOUBLE AS confidence, coalesce(items, '') AS items,
+  CASE WHEN invoice_id % 13 = 0 THEN 'no document' END AS error FROM (SELECT * REPLACE (CASE WHEN invoice_id % 13 <> 0 THEN vendor_name END AS vendor_name, CASE WHEN invoice_id % 13 <> 0 THEN invoice_number END AS invoice_number, CASE WHEN invoice_id % 13 <> 0 THEN total_amount END AS total_amount) FROM fx_invoices)
+LEFT JOIN (SELECT invoice_id, {_CLOUD_ITEMS} AS items FROM (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY line_number) AS k FROM fx_items WHERE invoice_id % 13 <> 0) GROUP BY 1) USING (invoice_id)""")
 def _(spark, sf):
-    items = load(spark, sf, "fx_items").groupBy("invoice_id").agg(F.collect_list(F.struct("description", "amount")).alias("items"))
+    shown = F.struct("line_number", F.when(F.col("invoice_id") % 2 == 0, F.col("description")).alias("description"), F.when(F.col("invoice_id") % 5 != 0, F.col("quantity").cast("double")).alias("quantity"), F.col("amount").cast("double").alias("amount"))
+    items = load(spark, sf, "fx_items").groupBy("invoice_id").agg(F.array_sort(F.collect_list(shown)).alias("items"))
     rows = load(spark, sf, "fx_invoices").join(items, "invoice_id", "left")
     leaf = lambda c, **more: F.struct(c.cast("string").alias("content"), *(v.alias(k) for k, v in more.items()))
     total = F.when(F.col("total_amount").isNotNull(), leaf(F.col("total_amount"), confidence=F.lit(0.9)))
     fields = F.struct(leaf(F.col("vendor_name")).alias("VendorName"), leaf(F.col("invoice_number")).alias("InvoiceId"), total.alias("InvoiceTotal"), F.struct("items").alias("Items"))
-    value = F.to_json(F.struct(F.array(F.struct(fields.alias("fields"))).alias("documents")))
-    made = A.flatten_analysis_result(rows.select(F.col("invoice_id").cast("string").alias("stem"), value.alias("value")))
-    return made.select("doc_id", "vendor_name", "invoice_number", "total_amount", "currency", "confidence", F.size("items").cast("long").alias("n_items"))
+    documents = F.filter(F.array(F.struct(fields.alias("fields"))), lambda _: F.col("invoice_id") % 13 != 0)
+    made = A.flatten_analysis_result(rows.select(F.col("invoice_id").cast("string").alias("stem"), F.to_json(F.struct(documents.alias("documents"))).alias("value")))
+    whole = lambda c: F.round(c).cast("bigint").cast("string")
+    item = lambda i: F.concat_ws(":", i["line_number"], i["description"], whole(i["quantity"]), whole(i["unit_price"]), whole(i["amount"] * 100))
+    return made.select("doc_id", "vendor_name", "invoice_number", "total_amount", "currency", "confidence", F.array_join(F.transform("items", item), ",").alias("items"), "error")
 
 
 @query("flatten_ocr_pages", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, pos AS line, word AS text, confidence, {_BOX} FROM fx_labels")
@@ -244,8 +253,9 @@ def _(spark, sf):
 
 @query("stream_dashboard", "SELECT event_type AS status, count(*) AS count FROM events GROUP BY 1")
 def _(spark, sf):
-    changes = _stream(spark, sf, "events").select(F.col("event_type").alias("status"))
-    return _finished(lambda p, c: S.stream_dashboard(changes, p, c), spark)
+    changes, path = _stream(spark, sf, "events").select(F.col("event_type").alias("status")), new_path(spark)
+    S.stream_dashboard(changes, path, f"{path}-checkpoint").awaitTermination()
+    return S.latest_dashboard(spark, path)
 
 
 _FIRST_WORD = f"SELECT w.doc_id, w.pos, w.word, CASE WHEN {_LOOSE.format('w.word')} = {_LOOSE.format('v.word')} THEN 'B-VENDOR_NAME' ELSE 'O' END AS label FROM fx_words w JOIN fx_words v ON v.pos = 0 AND v.doc_id = w.doc_id"

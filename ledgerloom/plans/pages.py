@@ -160,6 +160,28 @@ def _(spark, sf):
     return load(spark, sf, "fx_labels").withColumn("_b", box).select("doc_id", "pos", *(F.get("_b", F.lit(k)).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))))
 
 
+# Pages as they are met in training: some with swapped corners, some normalized already.
+_PAGE = "SELECT doc_id, pos, CASE WHEN doc_id % 3 = 0 THEN x1 ELSE x0 END AS x0, y0, CASE WHEN doc_id % 3 = 0 THEN x0 ELSE x1 END AS x1, y1, CASE WHEN doc_id % 2 = 0 THEN 1200 ELSE 1000 END AS w FROM fx_labels"
+_LIMIT = lambda c, e: f"CASE WHEN pixels THEN CAST(greatest(0, least(1000, trunc({c} / {e}::DOUBLE * 1000))) AS INT) ELSE CAST({c} AS INT) END"
+
+
+@query("page_boxes", f"WITH p AS ({_PAGE}), q AS (SELECT doc_id, pos, least(x0, x1) AS a, y0 AS b, greatest(x0, x1) AS c, y1 AS d, w, w > 1000 OR max(greatest(x0, x1, y1)) OVER (PARTITION BY doc_id) > 1000 AS pixels FROM p) SELECT doc_id, pos, {_LIMIT('a', 'w')} AS x0, {_LIMIT('b', 900)} AS y0, {_LIMIT('c', 'w')} AS x1, {_LIMIT('d', 900)} AS y1 FROM q")
+def _(spark, sf):
+    swapped = F.col("doc_id") % 3 == 0
+    box = F.array(F.when(swapped, F.col("x1")).otherwise(F.col("x0")), "y0", F.when(swapped, F.col("x0")).otherwise(F.col("x1")), "y1")
+    rows = load(spark, sf, "fx_labels").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", C.ordered_bbox(box).alias("box")))).alias("words"))
+    width, height = F.when(F.col("doc_id") % 2 == 0, 1200).otherwise(1000), F.lit(900)
+    pages = rows.withColumn("boxes", F.transform("words", lambda w: w["box"])).withColumn("pixels", C.needs_normalizing(F.col("boxes"), width, height))
+    made = pages.select("doc_id", width.alias("w"), "pixels", F.explode_outer("words").alias("word"))
+    done = F.when(F.col("pixels"), C.normalize_bbox(F.col("word.box"), F.col("w"), height)).otherwise(F.col("word.box").cast("array<int>"))
+    return made.select("doc_id", "word.pos", *(F.get(done, F.lit(k)).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+@query("as_exchange_text", "SELECT invoice_id, CAST(total_amount AS VARCHAR) AS total, strftime(invoice_date, '%Y-%m-%d') AS day FROM fx_invoices")
+def _(spark, sf):
+    return load(spark, sf, "fx_invoices").select("invoice_id", C.as_exchange_text(F.col("total_amount")).alias("total"), C.as_exchange_text(F.col("invoice_date")).alias("day"))
+
+
 @query("split_word_boxes", r"""WITH l AS (SELECT doc_id, CAST(floor(pos / 5.0) AS BIGINT) AS line, pos % 5 AS k, word, 10 AS x0, 10 + 83 AS x1, sum(length(word)) OVER (PARTITION BY doc_id, floor(pos / 5.0)) AS chars FROM fx_words),
 s AS (SELECT *, greatest(1, CAST(floor(83 * length(word) / chars::DOUBLE) AS BIGINT)) AS share FROM l),
 p AS (SELECT *, x0 + coalesce(sum(share) OVER (PARTITION BY doc_id, line ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lx FROM s)
@@ -355,6 +377,18 @@ _GOT = {n: f"CAST(replace(nullif(regexp_extract(text, '{p}', 1), ''), ',', '') A
 _GOT["extract_date"] = "CAST(nullif(regexp_extract(text, '\\b(\\d{4}-\\d{2}-\\d{2})\\b', 1), '') AS DATE)"
 _GOT["extract_vendor"] = "list_filter(string_split(text, chr(10)), lambda x: length(x) > 2 AND NOT regexp_matches(x, '^[0-9]'))[1]"
 
+# Every invoice's date in one of five formats; years of two digits are not read.
+@query("extract_dates", "SELECT invoice_id, CASE WHEN invoice_id % 6 <> 5 THEN invoice_date END AS value FROM fx_invoices")
+def _(spark, sf):
+    day = F.col("invoice_date")
+    kind = F.col("invoice_id") % 6
+    iso = F.date_format(day, "yyyy-MM-dd")
+    shown = F.when(kind == 0, iso).when(kind == 1, F.date_format(day, "M/d/yyyy")).when(kind == 2, F.when(F.dayofmonth(day) > 12, F.date_format(day, "d/M/yyyy")).otherwise(iso))
+    shown = shown.when(kind == 3, F.date_format(day, "d-MMM-yyyy")).when(kind == 4, F.date_format(day, "MMMM d, yyyy")).otherwise(F.date_format(day, "d/M/yy"))
+    text = F.concat(F.lit("Invoice INV-1 of "), shown, F.lit(" due 2031-12-31"))
+    return load(spark, sf, "fx_invoices").select("invoice_id", parse.extract_date(text).alias("value"))
+
+
 for _name, _sql in _GOT.items():
 
     @query(_name, f"SELECT invoice_id, {_sql} AS value FROM fx_text")

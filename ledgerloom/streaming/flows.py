@@ -7,7 +7,7 @@ that runs through what is there (availableNow) unless another is given.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -41,7 +41,9 @@ def stream_ingest(uploads: DataFrame, path: str, checkpoint: str, watermark=None
 def status_changes(requests: DataFrame) -> DataFrame:
     """id, seq, current, target, accepted of requests (id, seq, target); every id starts as UPLOADED.
 
-    An illegal request leaves the status alone. Requests of one micro-batch are taken by seq.
+    An illegal request leaves the status alone. Requests of one micro-batch are taken by seq. Those of
+    one id are held at once: where an id may have very many, bound the micro-batches at the source
+    (maxFilesPerTrigger, maxBytesPerTrigger).
     """
 
     def step(key, frames, state: GroupState):
@@ -97,21 +99,30 @@ def stream_audit(logs: DataFrame, path: str, checkpoint: str, trigger=NOW) -> St
 
 
 def stream_dashboard(changes: DataFrame, path: str, checkpoint: str, column: str = "status", trigger=NOW) -> StreamingQuery:
-    """Keep a small table of counts by status up to date."""
+    """Keep a small table of counts by status up to date. Each micro-batch writes a version of its own,
+    again if it is replayed, so readers never meet a half-written one; latest_dashboard reads the last."""
     counts = changes.groupBy(column).count()
 
-    def replace(batch: DataFrame, number: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)
+    def publish(batch: DataFrame, number: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    return counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return counts.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def latest_dashboard(spark: SparkSession, path: str) -> DataFrame:
+    """status, count of the last version; earlier ones may be removed at any time."""
+    versions = spark.read.parquet(path)
+    last = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == last).drop("version")
 
 
 def stream_feedback(corrections: DataFrame, words: DataFrame, path: str, checkpoint: str, trigger=NOW) -> StreamingQuery:
-    """Append the labelled words of each correction (doc_id, field, value) to the training set."""
+    """Add the labelled words of each correction (doc_id, field, value) to the training set, in a
+    partition for each micro-batch: one that is replayed after a failure replaces what it wrote."""
     from ..sources.annotations import append_feedback
 
     def add(batch: DataFrame, number: int) -> None:
         mine = words.join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
-        append_feedback(mine, batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        append_feedback(mine, batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return corrections.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -104,11 +104,50 @@ def test_uploads(spark):
     assert {r["doc_id"]: r["duplicate"] for r in workflow.dedup_first_wins(df).collect()} == {1: False, 2: True, 3: False, 4: False}
 
 
+ACTIONS = "invoice_id long, seq int, action string, set_fields array<string>, edits struct<vendor_name:string>, reviewer_id long, notes string"
+
+
 def test_review_actions(spark):
-    invoices = spark.createDataFrame([(1, "A", "REVIEW_REQUIRED"), (2, "B", "POSTED"), (3, "C", "UPLOADED")], "invoice_id long, vendor_name string, status string")
-    actions = spark.createDataFrame([(1, "APPROVE", True, None, "", 7), (2, "REJECT", True, "X", "n", 8)], "invoice_id long, action string, sets_vendor boolean, new_vendor string, notes string, reviewer_id long")
-    got = {r["invoice_id"]: tuple(r)[1:] for r in workflow.apply_review(invoices, actions).collect()}
-    assert got == {1: (None, "APPROVED", 7, None, False), 2: ("B", "POSTED", None, None, True), 3: ("C", "UPLOADED", None, None, False)}
+    """Edits stay whatever comes of the action; each action sees what the one before left."""
+    invoices = spark.createDataFrame([(1, "A", "REVIEW_REQUIRED", 5), (2, "B", "POSTED", 5), (3, "C", "UPLOADED", 5), (4, "D", "REVIEW_REQUIRED", 5), (5, "E", "POSTED", 5)], "invoice_id long, vendor_name string, status string, reviewer_id long")
+    actions = [(1, 1, "APPROVE", ["vendor_name"], (None,), 7, ""), (2, 1, "REJECT", ["vendor_name"], ("X",), 8, "n"), (4, 2, "APPROVE", [], ("no",), 9, "second"), (4, 1, "REPROCESS", None, None, 7, "first"), (5, 1, "REJECT", None, None, 8, "n")]
+    got = {r["invoice_id"]: tuple(r)[1:] for r in workflow.apply_review(invoices, spark.createDataFrame(actions, ACTIONS)).collect()}
+    assert got == {
+        1: (None, "APPROVED", 7, None, 0),
+        2: ("X", "POSTED", 8, None, 1),
+        3: ("C", "UPLOADED", 5, None, 0),
+        4: ("D", "PROCESSING", 7, "first", 1),
+        5: ("E", "POSTED", 5, None, 1),
+    }
+
+
+def test_repeated_vendors_do_not_multiply_invoices(spark):
+    invoices = spark.createDataFrame([(1, "A", None)], "invoice_id long, vendor_name string, purchase_order string")
+    vendors = spark.createDataFrame([("A", "V2"), ("A", "V1")], "vendor_name string, vendor_id string")
+    orders = spark.createDataFrame([], "purchase_order string")
+    assert tuple(one(workflow.reference_data_check(invoices, vendors, orders))) == (1, "V1", True, True, "ok")
+
+
+def test_bound_of_similarity(spark):
+    """What the JVM rejects, the sequence similarity would reject too."""
+    import difflib
+    import random
+
+    r = random.Random(3)
+    rows = [tuple("".join(r.choice("abcd -1") for _ in range(r.randrange(1, 12))) for _ in "ab") for _ in range(300)] + [("inv-1", "inv-1x"), ("a", "b")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for x in df.select("a", "b", decide._ratio_bound(F.col("a"), F.col("b")).alias("m")).collect():
+        assert difflib.SequenceMatcher(None, x["a"], x["b"]).ratio() <= x["m"] + 1e-12
+
+
+def test_reports_and_merges_of_one_engine(spark):
+    report = one(decide.validation_report(extraction(spark), extraction(spark).limit(0), items(spark, "100.00")))["report"]
+    assert report["decision"] == "REVIEW_REQUIRED" and report["reasons"] == ["Challenger OCR unavailable"] and report["thresholds"] is None and report["fields"] is None
+    both = one(decide.validation_report(extraction(spark), extraction(spark), items(spark)))["report"]
+    assert both["math_check"]["skipped"] and both["math_check"]["reason"] == "insufficient data" and both["confidence_by_engine"]["champ"] == 0.96
+    raw = extraction(spark).withColumn("raw", F.lit("{}"))
+    assert one(decide.merge_extractions(decide.pair_engines(raw, raw.limit(0))))["raw"] == "{}"
+    assert one(decide.merge_extractions(decide.pair_engines(raw, raw)))["raw"] == '{"champ":{},"challenger":{}}'
 
 
 WORDS = "doc_id long, pos long, word string, label string"
