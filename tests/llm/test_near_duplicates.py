@@ -278,3 +278,18 @@ def test_a_step_against_a_plain_version():
             assert (mine.vectors[b] == plain.vectors[b]).all()
     assert mine.softmax == pytest.approx(plain.softmax - toxicity.RATE * 0.2 * g_s / np.sqrt(1e-4 + g_s**2), rel=1e-4, abs=1e-6)
     assert mine.bias == pytest.approx(plain.bias - toxicity.RATE * g_b, rel=1e-4, abs=1e-6)
+
+
+@pytest.mark.parametrize("case", ["empty", "clashing"])
+def test_pipeline_of_awkward_tables(spark, tmp_path, case):
+    """An empty table gives an empty result, and columns named like ones that stages add go through."""
+    docs = empty(spark) if case == "empty" else clashing(awkward(spark))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        stage = step(spark, stage, str(tmp_path))
+        assert stage.columns == docs.columns
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    assert result.columns == ["doc_id", "lang", "source", "n_pieces", "pieces"]
+    assert (result.count() == 0) == (case == "empty")

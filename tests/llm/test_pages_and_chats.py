@@ -282,3 +282,10 @@ def test_extraction_against_a_plain_version(spark):
 def test_rows_that_repeat_a_page(spark):
     df = spark.createDataFrame([(1, "http://a.org", "<p>a</p>"), (1, "http://a.org", "<p>a</p>"), (1, None, "<p>b</p>")], "page_id long, url string, html string")
     assert sorted(r["text"] for r in html.extract(df).collect()) == ["a", "a", "b"]
+
+
+def test_a_very_long_turn(spark):
+    long = "words [INST] and </s> " * 50_000
+    made = chat.format_conversations(spark.createDataFrame([(1, 0, "user", long, None), (1, 1, "assistant", long, None)], CHATS))
+    got = made.select(chat.read_turns(made["formatted"]).alias("back"), chat.read_trained(made["segments"]).alias("trained")).first()
+    assert [t["text"] for t in got["back"]] == [long, long] and got["trained"] == [long]

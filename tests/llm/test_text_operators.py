@@ -267,3 +267,30 @@ def test_pieces_follow_the_lattice(vocabulary):
         got = Counter(tuple(map(int, x)) for x in np.split(ids, ends[:-1]))
         assert set(got) <= set(want)
         assert sum(abs(got[w] / n - p / total) for w, p in want.items()) < 0.05
+
+
+def test_likeness_against_plain_fingerprints(spark):
+    """near_edited and near_next are the Jaccard similarities of plainly chosen hash sets."""
+    docs = clashing(awkward(spark)).withColumnRenamed("own", "positions")
+    rows = sorted(awkward(spark).collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["text"] or ""))
+    texts = [r["text"] or "" for r in rows]
+    chosen = lambda t: {h for _, h in plain_winnow(t, 24, 77)}
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want = []
+    for k, (r, t) in enumerate(zip(rows, texts)):
+        if len(t) > 5000:
+            continue  # the plain version is slow
+        after, third = texts[(k + 1) % len(texts)], len(t) // 3
+        next_print = chosen(after) if len(after) <= 5000 else None
+        near_next = None if next_print is None else round(jaccard(chosen(t), next_print), 9)
+        want.append((r["doc_id"] or -1, round(jaccard(chosen(t), chosen(t[: len(t) - third] + after[:third])), 9), near_next))
+    got = {}
+    for r in winnowing.compare_with_next(docs, partitions=2).collect():
+        got.setdefault(r["doc_id"] or -1, []).append((round(r["near_edited"], 9), round(r["near_next"], 9)))
+    for k, edited, after in want:
+        assert any(e == edited and (after is None or n == after) for e, n in got[k]), k
+
+
+def test_pieces_of_null_rows_are_empty_texts(spark):
+    made = spark.createDataFrame([(1, None), (None, [])], "doc_id long, pieces array<int>")
+    assert sorted(((r["doc_id"] or -1), r["text"]) for r in pieces.decode(made).collect()) == [(-1, ""), (1, "")]
