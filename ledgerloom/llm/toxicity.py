@@ -314,10 +314,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
     chosen = common.stored(drawn[0].unionAll(drawn[1]))
     texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= longest).join(F.broadcast(chosen), "doc_id")
     one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_at").alias("_at"), F.first("toxic").alias("toxic"))
-    rows = one.orderBy("_at", "doc_id").select("text", "toxic").toArrow()
-    held = rows.column("text").cast(pa.large_string()).combine_chunks()
-    held = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
-    return train(held, rows.column("toxic").to_pylist(), n.get(1, 0) / max(1, sum(n.values())))
+    # A partition of the sample at a time, so that the driver never has it twice in Spark's form.
+    held, toxic = [], []
+    for row in one.orderBy("_at", "doc_id").select("text", "toxic").toLocalIterator():
+        held.append(row["text"])
+        toxic.append(row["toxic"])
+    return train(pa.array(held, pa.large_string()), toxic, n.get(1, 0) / max(1, sum(n.values())))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
