@@ -35,31 +35,39 @@ def _compared(pairs: DataFrame, cfg: Thresholds, exact: bool = True) -> DataFram
     """pairs with fields: an array of (field, champ, challenger, match, similarity), null unless both
     engines are there. Nothing is joined or exploded; Python sees only texts that differ, and unless
     similarities have to be exact only those that may match. Else a similarity may be a bound."""
-    rows = []
+    texts = [n for n in COMPARED if n not in MONEY]
+    plain = lambda side, n: F.lower(stripped(as_exchange_text(F.col(f"{side}.{n}"))))
+    # Columns that several others use are made first: inside of one expression they would be worked
+    # out again at each use.
+    pairs = pairs.withColumns({f"_{side}_{n}": plain(side, n) for side in ("champ", "challenger") for n in texts})
+    if not exact:
+        pairs = pairs.withColumns({f"_bound_{n}": _ratio_bound(F.col(f"_champ_{n}"), F.col(f"_challenger_{n}")) for n in texts})
+    known, sure = {}, {}
     for name in COMPARED:
         a, b = F.col(f"champ.{name}"), F.col(f"challenger.{name}")
         one, both = a.isNull() | b.isNull(), a.isNull() & b.isNull()
         if name in MONEY:
             near = _amounts_match(a, b, cfg.amount_tolerance)
             apart = 1 - (F.abs(a - b) / F.greatest(F.abs(a) + F.abs(b), F.lit(1).cast("decimal(14,2)"))).cast("double")
-            likeness, left, right = F.when(near, 1.0).otherwise(apart), F.lit(None), F.lit(None)
+            likeness = F.when(near, 1.0).otherwise(apart)
         else:
-            left, right = (F.lower(stripped(as_exchange_text(x))) for x in (a, b))
-            bound = _ratio_bound(left, right)
-            near, likeness = left == right, F.when(left == right, 1.0)
+            near = F.col(f"_champ_{name}") == F.col(f"_challenger_{name}")
+            likeness = F.when(near, 1.0)
             if not exact:
-                likeness = likeness.when(bound < cfg.similarity, bound)
-        known = F.when(both, True).when(one, False).otherwise(near)
-        sure = F.when(both, 1.0).when(one, 0.0).otherwise(likeness)
-        unlike = lambda x, sure=sure: F.when(sure.isNull(), x).cast("string")
-        rows.append(
-            F.struct(
-                F.lit(name).alias("field"), as_exchange_text(a).alias("champ"), as_exchange_text(b).alias("challenger"),
-                known.alias("known"), sure.alias("sure"), unlike(left).alias("a"), unlike(right).alias("b"),
-            )
-        )
+                likeness = likeness.when(F.col(f"_bound_{name}") < cfg.similarity, F.col(f"_bound_{name}"))
+        known[name] = F.when(both, True).when(one, False).otherwise(near)
+        sure[name] = F.when(both, 1.0).when(one, 0.0).otherwise(likeness)
+    pairs = pairs.withColumns({f"_sure_{n}": c for n, c in sure.items()})
+
+    def entry(name: str) -> Column:
+        unlike = lambda side: F.when(F.col(f"_sure_{name}").isNull(), F.col(f"_{side}_{name}")) if name in texts else F.lit(None)
+        values = [as_exchange_text(F.col(f"{side}.{name}")).alias(side) for side in ("champ", "challenger")]
+        opened = [unlike(side).cast("string").alias(x) for side, x in (("champ", "a"), ("challenger", "b"))]
+        return F.struct(F.lit(name).alias("field"), *values, known[name].alias("known"), F.col(f"_sure_{name}").alias("sure"), *opened)
+
     both = F.col("champ").isNotNull() & F.col("challenger").isNotNull()
-    laid = pairs.withColumn("_f", F.when(both, F.array(*rows)))
+    laid = pairs.withColumn("_f", F.when(both, F.array(*map(entry, COMPARED))))
+    laid = laid.drop(*(c for c in pairs.columns if c.startswith("_")))
     # Pairs without an open field cost Python no more than a null.
     is_open = F.exists("_f", lambda f: f["a"].isNotNull())
     rated = laid.withColumn("_r", sequence_ratios(F.when(is_open, F.col("_f.a")), F.when(is_open, F.col("_f.b"))))
