@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 #: Keys with more rows than one in so many are hot, if they have so many rows at all.
 HOT_KEYS, LEAST_HOT = 10_000, 1000
 #: Lookups of narrow rows are broadcast up to this many.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 

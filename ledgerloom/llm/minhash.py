@@ -35,7 +35,7 @@ BLOCK = 512
 #: On their sets, blocks have at least and at most so many, to deal a family to SPREAD blocks: a
 #: member is sent to as many tasks as there are blocks. In a task, EXACT_BLOCK by EXACT_BLOCK meet at once.
 EXACT_BLOCK, EXACT_MOST, SPREAD = 256, 4096, 16
-#: A set of ids up to this many (8 bytes each) may be broadcast.
+#: A set of ids up to this many (8 or 16 bytes each) may be broadcast.
 BROADCAST_IDS = 500_000
 SHINGLE, THRESHOLD = 5, 80
 
