@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, divergence, html, minhash, mixing, pieces, quality, sharding, toxicity, warc, winnowing
+from . import bpe, chat, divergence, html, minhash, mixing, pieces, quality, repair, sharding, toxicity, warc, winnowing
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_near_duplicates": minhash.op10_near_duplicates,
+        "op11_repair_conversations": repair.op11_repair_conversations,
         "op12_source_divergence": divergence.op12_source_divergence,
         "op13_byte_bpe": bpe.op13_byte_bpe,
     }
@@ -29,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": quality.OP4_SQL,
         "op8_mix_sources": mixing.OP8_SQL,
         "op10_near_duplicates": minhash.OP10_SQL,
+        "op11_repair_conversations": repair.OP11_SQL,
         "op12_source_divergence": divergence.OP12_SQL,
     }
