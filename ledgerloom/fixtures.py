@@ -127,7 +127,11 @@ def oracle(sql: str) -> str:
     return _with(sql, {n: _duck(n) for n in VIEWS})
 
 
+def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A query that may use tables and views, as a DataFrame."""
+    return spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", rf"\1 parquet.`{sf_dir}/\2.parquet`", _with(text, VIEWS)))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or view as a DataFrame."""
-    sql = _with(f"SELECT * FROM {name}", VIEWS)
-    return spark.sql(re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", rf"\1 parquet.`{sf_dir}/\2.parquet`", sql))
+    return sql(spark, sf_dir, f"SELECT * FROM {name}")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import load, oracle
+from ..fixtures import load, oracle, sql
 from ..operators import extend
 from ..schemas import TRANSITIONS
 from ..sources import annotations as A
-from ..storage import new_path, write_tables
+from ..storage import Store, new_path, write_tables
 from ..streaming import flows as S
 from .invoices import _MATCH
 from .pages import _LOOSE, PARSED_SQL
@@ -162,25 +162,69 @@ def _(spark, sf):
     return A.append_feedback(words, values).select("doc_id", "pos", "word", "label", "source")
 
 
-# Items of odd invoices lack a description, those of every fifth a quantity: the defaults stand in.
-_CLOUD_ITEMS = """string_agg(k || ':' || CASE WHEN invoice_id % 2 = 1 THEN 'N/A' ELSE description END || ':' || CAST(CASE WHEN invoice_id % 5 = 0 THEN 1 ELSE quantity END AS INT) || ':0:' || CAST(amount * 100 AS BIGINT), ',' ORDER BY k)"""
+# Analyses as the cloud service writes them. By id: values are objects, numbers, texts or missing, some
+# of a wrong type, some without a confidence; items lack fields.
+_MONEY_JSON = """CASE {id} % 7 WHEN 0 THEN concat('{{"value": ', {c}, ', "content": "x"') WHEN 1 THEN concat('{{"value": "', {c}, '"')
+  WHEN 2 THEN concat('{{"value": null, "content": "', {c}, '"') WHEN 3 THEN '{{"value": [1], "content": "5"'
+  ELSE concat('{{"value": {{"amount": ', {c}, ', "code": "', currency, '"}}, "content": "x"') END"""
 
 
-@query("flatten_analysis_result", f"""SELECT CAST(invoice_id AS VARCHAR) AS doc_id, vendor_name, invoice_number, total_amount, 'USD' AS currency, CASE WHEN total_amount IS NULL THEN 0 ELSE 0.9 END::DOUBLE AS confidence, coalesce(items, '') AS items,
-  CASE WHEN invoice_id % 13 = 0 THEN 'no document' END AS error FROM (SELECT * REPLACE (CASE WHEN invoice_id % 13 <> 0 THEN vendor_name END AS vendor_name, CASE WHEN invoice_id % 13 <> 0 THEN invoice_number END AS invoice_number, CASE WHEN invoice_id % 13 <> 0 THEN total_amount END AS total_amount) FROM fx_invoices)
-LEFT JOIN (SELECT invoice_id, {_CLOUD_ITEMS} AS items FROM (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY line_number) AS k FROM fx_items WHERE invoice_id % 13 <> 0) GROUP BY 1) USING (invoice_id)""")
+def _money(column: str, shift: int, confidence: str) -> str:
+    """JSON of a field of money, or null where the column is null."""
+    leaf = _MONEY_JSON.format(id=f"(invoice_id + {shift})", c=f"CAST({column} AS STRING)")
+    return f"""concat('"', '{confidence}', '": ', CASE WHEN {column} IS NULL THEN 'null' ELSE concat({leaf}, CASE WHEN invoice_id % 5 = 0 THEN '}}' ELSE ', "confidence": 0.9}}' END) END)"""
+
+
+_ANALYSES = f"""SELECT CAST(invoice_id AS STRING) AS stem, CASE WHEN invoice_id % 13 = 0 THEN '{{"documents": []}}' WHEN invoice_id % 13 = 1 THEN '{{broken' ELSE
+concat('{{"documents": [{{"fields": {{', concat_ws(', ',
+  concat('"VendorName": {{"value": ', CASE WHEN invoice_id % 3 = 0 THEN 'null' WHEN invoice_id % 3 = 1 THEN '7' ELSE concat('"', vendor_name, '"') END, ', "content": "', upper(vendor_name), '", "confidence": 0.8}}'),
+  concat('"InvoiceId": {{"content": "', invoice_number, '"}}'),
+  concat('"InvoiceDate": {{"value": "', CASE WHEN invoice_id % 4 = 0 THEN 'soon' ELSE CAST(invoice_date AS STRING) END, '", "confidence": 0.7}}'),
+  concat('"DueDate": {{"value": ', CASE WHEN invoice_id % 4 = 1 THEN '20' ELSE concat('"', CAST(date_add(invoice_date, 30) AS STRING), '"') END, '}}'),
+  concat('"Currency": {{"value": "', currency, '"}}'),
+  CASE WHEN purchase_order IS NOT NULL THEN concat('"PurchaseOrder": {{"value": ', CASE WHEN invoice_id % 2 = 0 THEN concat('"', purchase_order, '"') ELSE substr(purchase_order, 4) END, '}}') END,
+  {_money("total_amount", 0, "InvoiceTotal")}, {_money("subtotal", 2, "SubTotal")}, {_money("tax_amount", 5, "TotalTax")},
+  concat('"Items": {{"value": [', coalesce(items, ''), ']}}')), '}}}}, {{"fields": {{}}}}]}}') END AS value
+FROM fx_invoices LEFT JOIN (SELECT invoice_id, array_join(transform(array_sort(collect_list(struct(line_number, line))), x -> x.line), ', ') AS items
+  FROM (SELECT invoice_id, line_number, concat('{{"value": {{', concat_ws(', ',
+    CASE WHEN line_number % 3 > 0 THEN concat('"Description": {{"value": "', description, '"}}') END,
+    CASE WHEN line_number % 4 > 0 THEN concat('"Quantity": {{"value": ', CAST(quantity AS STRING), '}}') END,
+    CASE WHEN line_number % 5 > 0 THEN concat('"UnitPrice": {{"value": {{"amount": ', CAST(unit_price AS STRING), '}}}}') END,
+    CASE WHEN line_number % 2 > 0 THEN concat('"Amount": {{"value": ', CAST(amount AS STRING), '}}') END), '}}}}') AS line FROM fx_items) GROUP BY 1) USING (invoice_id)"""
+
+
+def _money_sql(column: str, shift: int) -> str:
+    return f"CASE WHEN (invoice_id + {shift}) % 7 <> 3 THEN {column} END"
+
+
+def _score(column: str, score: str = "0.9") -> str:
+    return f"CASE WHEN {column} IS NOT NULL AND invoice_id % 5 <> 0 THEN {score} ELSE 0 END"
+
+
+_READ_LINES = """string_agg(line_number || ':' || CASE WHEN line_number % 3 > 0 THEN description ELSE 'N/A' END || ':' || CASE WHEN line_number % 4 > 0 THEN quantity ELSE 1 END
+  || ':' || CASE WHEN line_number % 5 > 0 THEN unit_price ELSE 0 END || ':' || CASE WHEN line_number % 2 > 0 THEN amount ELSE 0 END, ',' ORDER BY line_number)"""
+_ANALYSED = f"""WITH read AS (SELECT *, true AS found FROM fx_invoices WHERE invoice_id % 13 > 1),
+lines AS (SELECT invoice_id, {_READ_LINES} AS items FROM fx_items WHERE invoice_id % 13 > 1 GROUP BY 1)
+SELECT CAST(invoice_id AS VARCHAR) AS doc_id, CASE invoice_id % 3 WHEN 0 THEN upper(vendor_name) WHEN 2 THEN vendor_name END AS vendor_name, invoice_number,
+  CASE WHEN invoice_id % 4 <> 0 THEN invoice_date END AS invoice_date, CASE WHEN invoice_id % 4 <> 1 THEN invoice_date + 30 END AS due_date,
+  CASE WHEN found IS NULL THEN 'USD' ELSE currency END AS currency,
+  {_money_sql("subtotal", 2)} AS subtotal, {_money_sql("tax_amount", 5)} AS tax_amount, {_money_sql("total_amount", 0)} AS total_amount,
+  CASE WHEN invoice_id % 2 = 0 THEN purchase_order ELSE substr(purchase_order, 4) END AS purchase_order,
+  CAST(CASE WHEN found IS NULL THEN 0 ELSE 0.8 END AS DOUBLE) AS c_vendor, CAST(0 AS DOUBLE) AS c_number, CAST(CASE WHEN found IS NULL THEN 0 ELSE 0.7 END AS DOUBLE) AS c_date,
+  CAST({_score("total_amount")} AS DOUBLE) AS c_total, CAST({_score("subtotal")} AS DOUBLE) AS c_subtotal, CAST({_score("tax_amount")} AS DOUBLE) AS c_tax,
+  coalesce(items, '') AS items, CASE WHEN found IS NULL THEN 'no document' END AS error
+FROM (SELECT invoice_id FROM fx_invoices) LEFT JOIN read USING (invoice_id) LEFT JOIN lines USING (invoice_id)"""
+
+
+@query("flatten_analysis_result", _ANALYSED)
 def _(spark, sf):
-    shown = F.struct("line_number", F.when(F.col("invoice_id") % 2 == 0, F.col("description")).alias("description"), F.when(F.col("invoice_id") % 5 != 0, F.col("quantity").cast("double")).alias("quantity"), F.col("amount").cast("double").alias("amount"))
-    items = load(spark, sf, "fx_items").groupBy("invoice_id").agg(F.array_sort(F.collect_list(shown)).alias("items"))
-    rows = load(spark, sf, "fx_invoices").join(items, "invoice_id", "left")
-    leaf = lambda c, **more: F.struct(c.cast("string").alias("content"), *(v.alias(k) for k, v in more.items()))
-    total = F.when(F.col("total_amount").isNotNull(), leaf(F.col("total_amount"), confidence=F.lit(0.9)))
-    fields = F.struct(leaf(F.col("vendor_name")).alias("VendorName"), leaf(F.col("invoice_number")).alias("InvoiceId"), total.alias("InvoiceTotal"), F.struct("items").alias("Items"))
-    documents = F.filter(F.array(F.struct(fields.alias("fields"))), lambda _: F.col("invoice_id") % 13 != 0)
-    made = A.flatten_analysis_result(rows.select(F.col("invoice_id").cast("string").alias("stem"), F.to_json(F.struct(documents.alias("documents"))).alias("value")))
-    whole = lambda c: F.round(c).cast("bigint").cast("string")
-    item = lambda i: F.concat_ws(":", i["line_number"], i["description"], whole(i["quantity"]), whole(i["unit_price"]), whole(i["amount"] * 100))
-    return made.select("doc_id", "vendor_name", "invoice_number", "total_amount", "currency", "confidence", F.array_join(F.transform("items", item), ",").alias("items"), "error")
+    made = A.flatten_analysis_result(sql(spark, sf, _ANALYSES))
+    line = lambda i: F.concat_ws(":", i["line_number"], i["description"], i["quantity"], i["unit_price"], i["amount"])
+    scores = {"c_vendor": "vendor_name", "c_number": "invoice_number", "c_date": "invoice_date", "c_total": "total_amount", "c_subtotal": "subtotal", "c_tax": "tax_amount"}
+    return made.select(
+        "doc_id", "vendor_name", "invoice_number", "invoice_date", "due_date", "currency", "subtotal", "tax_amount", "total_amount", "purchase_order",
+        *(F.col("confidence_scores")[f].alias(c) for c, f in scores.items()), F.array_join(F.transform("items", line), ",").alias("items"), "error",
+    )
 
 
 @query("flatten_ocr_pages", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, pos AS line, word AS text, confidence, {_BOX} FROM fx_labels")
@@ -330,12 +374,25 @@ def _(spark, sf):
     return _batch(spark, sf)[2].select("invoice_id", "agent", "level")
 
 
-@query("write_tables", f"SELECT 'invoices' AS name, count(*) AS n, sum(invoice_id) AS ids FROM fx_invoices UNION ALL SELECT 'items', count(*), sum(invoice_id) FROM fx_items UNION ALL SELECT 'logs', 2 * count(*), 2 * sum(invoice_id) FROM ({_LOGS})")
+# Items of two of four invoices are replaced by their first lines, in a batch that has one of them anew.
+_STORED = f"""SELECT 'invoices' AS name, count(*) AS n, sum(invoice_id) AS ids FROM fx_invoices
+UNION ALL SELECT 'items', count(*), sum(invoice_id) FROM fx_items WHERE invoice_id % 4 NOT IN (1, 2) OR line_number = 1
+UNION ALL SELECT 'logs', sum(k), sum(k * invoice_id) FROM (SELECT *, CASE WHEN invoice_id % 4 = 1 THEN 2 ELSE 1 END AS k FROM ({_LOGS}))"""
+
+
+@query("write_tables", _STORED)
 def _(spark, sf):
-    # Two runs: tables of invoices and items are replaced, logs are added to.
-    path = new_path(spark)
-    for _ in range(2):
-        invoices, items, logs = _batch(spark, sf)
-        write_tables({"invoices": invoices, "items": items, "logs": logs}, path)
-    count = lambda n: spark.read.parquet(f"{path}/{n}").agg(F.count("*").alias("n"), F.sum("invoice_id").alias("ids")).select(F.lit(n).alias("name"), "n", "ids")
+    """Three batches, of which the second has a third of the first's invoices again; then the first once more."""
+    path, own = new_path(spark), Store(spark, new_path(spark))
+    own.commit("all", {}, spark.range(0).toDF("invoice_id"), dict(zip(("invoices", "items", "logs"), _batch(spark, sf), strict=True)))
+    invoices, items, logs = (own.read(n) for n in ("invoices", "items", "logs"))
+    for batch, rest, lines in (("a", (0, 1), 99), ("b", (1, 2), 1), ("c", (3,), 99), ("a", (0, 1), 99)):
+        mine = F.col("invoice_id") % 4
+        parts = (df.filter(mine.isin(*rest)) for df in (invoices, items.filter(F.col("line_number") <= lines), logs))
+        write_tables(spark, path, batch, *parts)
+    store = Store(spark, path)
+
+    def count(name):
+        return store.read(name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum("invoice_id").alias("ids"))
+
     return count("invoices").unionAll(count("items")).unionAll(count("logs"))

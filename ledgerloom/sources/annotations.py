@@ -171,22 +171,89 @@ def append_feedback(words: DataFrame, corrections: DataFrame) -> DataFrame:
     return weak_label(words, corrections, list(FIELDS)).withColumn("source", F.lit("human_correction"))
 
 
-ANALYSIS = """documents array<struct<fields:map<string,struct<value:string,content:string,confidence:double,currency_code:string,
-items:array<struct<description:string,quantity:double,unit_price:double,amount:double>>>>>>"""
+#: Columns of an analysis that have a confidence, and the field each is read from.
+SCORED = {
+    "vendor_name": "VendorName",
+    "invoice_number": "InvoiceId",
+    "invoice_date": "InvoiceDate",
+    "total_amount": "InvoiceTotal",
+    "subtotal": "SubTotal",
+    "tax_amount": "TotalTax",
+}
 
 
 def flatten_analysis_result(results: DataFrame) -> DataFrame:
-    """doc_id, vendor_name, invoice_number, total_amount, currency, confidence, items, error of cloud
-    analyses (stem, value: JSON): the first document's named fields, value or else content."""
-    doc = F.get(F.from_json("value", ANALYSIS.replace("\n", ""))["documents"], F.lit(0))
-    field = lambda name: F.try_element_at(doc["fields"], F.lit(name))
-    value = lambda name: F.coalesce(field(name)["value"], field(name)["content"])
-    item = lambda x, i: F.struct((i + 1).alias("line_number"), F.coalesce(x["description"], F.lit("N/A")).alias("description"), F.coalesce(x["quantity"], F.lit(1.0)).alias("quantity"), F.coalesce(x["unit_price"], F.lit(0.0)).alias("unit_price"), F.coalesce(x["amount"], F.lit(0.0)).alias("amount"))
-    return results.select(
-        F.col("stem").alias("doc_id"), value("VendorName").alias("vendor_name"), value("InvoiceId").alias("invoice_number"), value("InvoiceTotal").try_cast("decimal(14,2)").alias("total_amount"),
-        F.coalesce(field("InvoiceTotal")["currency_code"], F.lit("USD")).alias("currency"), F.coalesce(field("InvoiceTotal")["confidence"], F.lit(0.0)).alias("confidence"),
-        F.coalesce(F.transform(field("Items")["items"], item), F.array()).alias("items"), F.when(doc.isNull(), "no document").alias("error"),
-    )
+    """Header fields, items and confidences of cloud analyses (stem, value: JSON), by their first document.
+
+    Gives doc_id, vendor_name, invoice_number, invoice_date, due_date, currency, subtotal, tax_amount,
+    total_amount, purchase_order, items, confidence_scores and error. A field's `value` may be a text,
+    a number, a date (an ISO text) or an object of amount and code, as the service pleases, so the
+    JSON is read as a variant. Where it is missing or null, `content` stands in. A value of a wrong
+    type is null, and so is what cannot be read as a number or date. items is an array of
+    (line_number, description, quantity, unit_price, amount), numbered from 1, with N/A, 1, 0 and 0 for
+    what is missing. The currency is the total's code, then the Currency field, then USD.
+    confidence_scores is a map of SCORED's columns, 0.0 where a field has none. JSON that is broken or
+    has no document gives an error and no fields.
+    """
+    doc = F.try_variant_get(F.try_parse_json("value"), "$.documents[0]", "variant")
+
+    def field(name: str) -> Column:
+        return F.try_variant_get("_doc", f"$.fields.{name}", "variant")
+
+    def given(leaf: Column) -> Column:
+        """The value, or else the content; a JSON null is no value."""
+        value, content = (F.try_variant_get(leaf, f"$.{k}", "variant") for k in ("value", "content"))
+        return F.when(value.isNull() | F.is_variant_null(value), content).otherwise(value)
+
+    def is_text(value: Column) -> Column:
+        return F.schema_of_variant(value) == "STRING"
+
+    def text(value: Column) -> Column:
+        return F.when(is_text(value), F.try_variant_get(value, "$", "string"))
+
+    def number(value: Column, kind: str) -> Column:
+        """A number, a text of one, or an object's amount."""
+        amount = F.try_variant_get(value, "$.amount", "variant")
+        return F.coalesce(F.try_variant_get(amount, "$", kind), F.try_variant_get(value, "$", kind))
+
+    def date(leaf: Column) -> Column:
+        value = F.try_variant_get(leaf, "$.value", "variant")
+        return F.when(is_text(value), F.try_variant_get(value, "$", "date"))
+
+    def money(name: str) -> Column:
+        return number(given(field(name)), "decimal(14,2)").alias(name)
+
+    total, order = given(field("InvoiceTotal")), given(field("PurchaseOrder"))
+    code = F.try_variant_get(total, "$.code", "string")
+    currency = F.when(F.schema_of_variant(total).startswith("OBJECT"), code).otherwise(text(given(field("Currency"))))
+    scores = (x for c, n in SCORED.items() for x in (F.lit(c), F.coalesce(F.try_variant_get(field(n), "$.confidence", "double"), F.lit(0.0))))
+
+    def item(x: Column, k: Column) -> Column:
+        part = lambda name: given(F.try_variant_get(x, f"$.value.{name}", "variant"))
+        or_else = lambda name, kind, default: F.coalesce(number(part(name), kind), F.lit(default).cast(kind))
+        return F.struct(
+            (k + 1).alias("line_number"),
+            F.coalesce(F.nullif(text(part("Description")), F.lit("")), F.lit("N/A")).alias("description"),
+            or_else("Quantity", "decimal(14,4)", 1).alias("quantity"),
+            or_else("UnitPrice", "decimal(14,4)", 0).alias("unit_price"),
+            or_else("Amount", "decimal(14,2)", 0).alias("amount"),
+        )
+
+    items = F.try_variant_get("_doc", "$.fields.Items.value", "array<variant>")
+    scalar = F.when(~F.schema_of_variant(order).rlike("^(OBJECT|ARRAY|VOID)"), F.try_variant_get(order, "$", "string"))
+    return results.select(F.col("stem").alias("doc_id"), doc.alias("_doc")).select(
+        "doc_id",
+        text(given(field("VendorName"))).alias("vendor_name"),
+        text(given(field("InvoiceId"))).alias("invoice_number"),
+        date(field("InvoiceDate")).alias("invoice_date"),
+        date(field("DueDate")).alias("due_date"),
+        F.coalesce(F.nullif(currency, F.lit("")), F.lit("USD")).alias("currency"),
+        *(money(n).alias(c) for c, n in (("subtotal", "SubTotal"), ("tax_amount", "TotalTax"), ("total_amount", "InvoiceTotal"))),
+        F.nullif(scalar, F.lit("")).alias("purchase_order"),
+        F.coalesce(F.transform(items, item), F.array()).alias("items"),
+        F.create_map(*scores).alias("confidence_scores"),
+        F.when(F.col("_doc").isNull(), "no document").alias("error"),
+    )
 
 
 PAGES = "pages array<struct<lines:array<struct<text:string,confidence:double,polygon:array<array<double>>>>>>"

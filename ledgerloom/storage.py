@@ -1,11 +1,25 @@
-"""Where jobs put tables that others read."""
+"""Where jobs put tables that others read, and tables of invoices that are replaced by key.
+
+A store is a folder of data folders and manifests. A table of the store is cut into buckets by a hash
+of the invoice id; a manifest names, for each bucket, the data folder that holds it. A commit writes
+the buckets that a batch touches to new folders, and then one manifest, by a rename that fails if
+another writer has made that version. So readers see one whole version, a failed job leaves the last
+one, and rows of other buckets are neither read nor written.
+"""
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+KEY = "invoice_id"
+#: Buckets of a new store: a few hundred MB each is a good size for a bucket.
+BUCKETS = 64
+_BUCKET = "_bucket"
 
 
 def new_path(spark: SparkSession) -> str:
@@ -22,7 +36,146 @@ def new_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def write_tables(tables: dict[str, DataFrame], path: str, append: tuple[str, ...] = ("logs",)) -> None:
-    """Tables as Parquet folders below path; logs are appended to, others replaced."""
-    for name, df in tables.items():
-        df.write.mode("append" if name in append else "overwrite").parquet(f"{path}/{name}")
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+class Folder:
+    """Small files of a folder that any Hadoop file system may hold."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm = spark._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(self._path, name)
+
+    def names(self) -> list[str]:
+        if not self._fs.exists(self._path):
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path))
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def publish(self, name: str, text: str) -> None:
+        """The whole file or none; an error if there is one of that name."""
+        draft = self._at(f".{name}.{uuid.uuid4().hex}")
+        self._fs.mkdirs(self._path)
+        stream = self._fs.create(draft, False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        if self._fs.exists(self._at(name)) or not self._fs.rename(draft, self._at(name)):
+            self._fs.delete(draft, False)
+            raise FileExistsError(f"another writer has published {name}")
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
+
+
+class Store:
+    """Tables below path that are written by batches. tables: {name: {"schema", "folders"}}."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._manifests = Folder(spark, f"{self.path}/manifests")
+        self._new = {"version": 0, "buckets": buckets, "batches": [], "tables": {}, "logs": {}}
+
+    def versions(self) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in self._manifests.names() if n.endswith(".json") and n[0] != "."]
+
+    def manifest(self, version: int | None = None) -> dict:
+        if version is None:
+            version = max(self.versions(), default=0)
+        return json.loads(self._manifests.read(f"{version:010d}.json")) if version else self._new
+
+    def read(self, name: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """A table as it is in a version (the last one by default), or some of its buckets."""
+        table = self.manifest(version)["tables"][name]
+        folders = table["folders"]
+        if isinstance(folders, dict):
+            folders = [f for b, f in folders.items() if buckets is None or int(b) in buckets]
+        paths = sorted(f"{self.path}/data/{f}" for f in folders)
+        schema = table["schema"]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _write(self, df: DataFrame, folder: str, buckets: int) -> None:
+        dealt = df.withColumn(_BUCKET, bucket_of(F.col(KEY), buckets)).hint("rebalance", F.col(_BUCKET))
+        dealt.write.partitionBy(_BUCKET).parquet(f"{self.path}/data/{folder}")
+
+    def commit(self, batch: str, replaced: dict[str, DataFrame], ids: DataFrame, appended: dict[str, DataFrame]) -> int:
+        """The version with the batch in it.
+
+        In the tables `replaced`, all rows of `ids` (invoice_id) go and those given come in; other
+        ids keep theirs. Rows of `appended` are added. A batch that was committed before changes
+        nothing, so that one may be sent again after a failure, even after later ones. Only the
+        numbers of touched buckets come to the driver. Columns have to stay the same.
+        """
+        last = self.manifest()
+        if batch in last["batches"]:
+            return last["version"]
+        n, mark = last["buckets"], uuid.uuid4().hex
+        keys = ids.select(KEY).distinct()
+        touched = sorted(r[0] for r in keys.select(bucket_of(F.col(KEY), n)).distinct().collect())
+        tables = dict(last["tables"])
+        for name, rows in replaced.items():
+            schema, folders = _schema(rows), {}
+            if name in tables:
+                if tables[name]["schema"] != schema:
+                    raise ValueError(f"the columns of {name} are {tables[name]['schema']}, not {schema}")
+                folders = dict(tables[name]["folders"])
+                carried = self.read(name, last["version"], touched).join(keys, KEY, "left_anti")
+                rows = carried.unionByName(rows)
+            folder = f"{name}/{mark}"
+            self._write(rows, folder, n)
+            filled = {int(f.split("=")[1]) for f in Folder(self.spark, f"{self.path}/data/{folder}").names() if "=" in f}
+            folders = {b: f for b, f in folders.items() if int(b) not in touched}
+            folders |= {str(b): f"{folder}/{_BUCKET}={b}" for b in sorted(filled)}
+            tables[name] = {"schema": schema, "folders": folders}
+        for name, rows in appended.items():
+            folder = f"{name}/{mark}"
+            rows.write.parquet(f"{self.path}/data/{folder}")
+            before = tables.get(name, {"folders": []})["folders"]
+            tables[name] = {"schema": _schema(rows), "folders": [*before, folder]}
+        version = last["version"] + 1
+        made = last | {"version": version, "batches": [*last["batches"], batch], "tables": tables}
+        self._manifests.publish(f"{version:010d}.json", json.dumps(made))
+        return version
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Remove versions but for the last `keep`, and folders that none of these names; how many
+        folders went. Not beside a writer: what it has not published yet would go too."""
+        versions = self.versions()
+        for v in versions[:-keep]:
+            self._manifests.remove(f"{v:010d}.json")
+        used = set()
+        for v in versions[-keep:]:
+            for table in self.manifest(v)["tables"].values():
+                folders = table["folders"].values() if isinstance(table["folders"], dict) else table["folders"]
+                used |= {"/".join(f.split("/")[:2]) for f in folders}
+        gone, data = 0, Folder(self.spark, f"{self.path}/data")
+        for name in data.names():
+            for mark in Folder(self.spark, f"{self.path}/data/{name}").names():
+                if f"{name}/{mark}" not in used:
+                    data.remove(f"{name}/{mark}")
+                    gone += 1
+        return gone
+
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def write_tables(
+    spark: SparkSession, path: str, batch: str, invoices: DataFrame, items: DataFrame, logs: DataFrame, buckets: int = BUCKETS
+) -> int:
+    """Commit a batch of the pipeline's tables: its invoices take the place of those of the same id,
+    their items that of all their earlier items, and logs are added. See Store.commit."""
+    return Store(spark, path, buckets).commit(batch, {"invoices": invoices, "items": items}, invoices, {"logs": logs})
