@@ -261,20 +261,33 @@ def _(spark, sf):
 
 
 _TARGETS = ("PROCESSING", "REVIEW_REQUIRED", "APPROVED", "POSTED", "FAILED")
+_LEGAL = " OR ".join(f"({{0}} = '{a}' AND {{1}} IN ({', '.join(map(repr, b))}))" for a, b in TRANSITIONS.items() if b)
+_ASKED = f"""SELECT user_id AS id, event_id AS seq, ts, list_extract({list(_TARGETS)}, CAST(event_id % 5 + 1 AS BIGINT)) AS target,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events"""
+_STEPS = f"""WITH RECURSIVE asked AS MATERIALIZED ({_ASKED}),
+steps AS (SELECT id, seq, k, ts, 'UPLOADED' AS current, target, {_LEGAL.format("'UPLOADED'", "target")} AS accepted FROM asked WHERE k = 1
+  UNION ALL SELECT id, seq, k, ts, current, target, {_LEGAL.format("current", "target")} FROM (
+    SELECT a.id, a.seq, a.k, a.ts, CASE WHEN s.accepted THEN s.target ELSE s.current END AS current, a.target FROM steps s JOIN asked a ON a.id = s.id AND a.k = s.k + 1))"""
 
 
-_LEGAL = " OR ".join(f"({{0}} = '{a}' AND {{1}} IN ({', '.join(map(repr, b))}))" for a, b in TRANSITIONS.items() if b)
-_ASKED = f"SELECT user_id AS id, event_id AS seq, list_extract({list(_TARGETS)}, CAST(event_id % 5 + 1 AS BIGINT)) AS target, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events"
+def _machine(spark, sf) -> Store:
+    """The store of a stream through all events."""
+    path = new_path(spark)
+    target = F.element_at(F.array(*map(F.lit, _TARGETS)), (F.col("event_id") % 5 + 1).cast("int"))
+    asked = _stream(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), target.alias("target"), F.col("ts").alias("at"))
+    S.stream_status_machine(asked, path, f"{path}-checkpoint").awaitTermination()
+    return Store(spark, path, key="id")
 
 
-@query("stream_status_machine", f"""WITH RECURSIVE asked AS MATERIALIZED ({_ASKED}),
-steps AS (SELECT id, seq, k, 'UPLOADED' AS current, target, {_LEGAL.format("'UPLOADED'", "target")} AS accepted FROM asked WHERE k = 1
-  UNION ALL SELECT id, seq, k, current, target, {_LEGAL.format("current", "target")} FROM (SELECT a.id, a.seq, a.k, CASE WHEN s.accepted THEN s.target ELSE s.current END AS current, a.target FROM steps s JOIN asked a ON a.id = s.id AND a.k = s.k + 1))
-SELECT id, seq, current, target, accepted FROM steps""")
+@query("stream_status_machine", f"{_STEPS} SELECT id, seq, current, target, accepted, CASE WHEN accepted AND target = 'POSTED' THEN ts END AS posted_at FROM steps")
 def _(spark, sf):
-    target = F.element_at(F.array(*map(F.lit, _TARGETS)), (F.col("event_id") % 5 + 1).cast("int"))
-    asked = _stream(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), target.alias("target"))
-    return _finished(lambda p, c: S.stream_status_machine(asked, p, c), spark)
+    return _machine(spark, sf).read("changes")
+
+
+@query("stream_statuses", f"""{_STEPS} SELECT id, arg_max(CASE WHEN accepted THEN target ELSE current END, k) AS status,
+  max(CASE WHEN accepted AND target = 'POSTED' THEN ts END) AS posted_at FROM steps GROUP BY id""")
+def _(spark, sf):
+    return _machine(spark, sf).read("statuses")
 
 
 @query("stream_retry_dlq", "SELECT event_id AS id, event_id % 6 AS attempt, CASE WHEN event_id % 6 > 3 THEN 'dead_letter' ELSE 'retry' END AS route, CASE WHEN event_id % 6 <= 3 THEN least(60.0, pow(2, event_id % 6)) END AS delay_s FROM events WHERE event_type = 'error'")
@@ -283,10 +296,13 @@ def _(spark, sf):
     return _finished(lambda p, c: S.stream_retry_dlq(failed, p, c), spark).select("id", "attempt", "route", "delay_s")
 
 
-@query("stream_auto_post", "SELECT DISTINCT o_custkey AS invoice_id FROM orders WHERE o_orderkey % 3 = 0")
+@query("stream_auto_post", """SELECT invoice_id, arg_min(approved_as, (o_orderdate, approved_as)) AS approved_as, 'POSTED' AS status, min(o_orderdate) AS posted_at
+FROM (SELECT o_custkey AS invoice_id, o_orderdate, CASE o_orderkey % 3 WHEN 0 THEN 'AUTO_APPROVED' ELSE 'APPROVED' END AS approved_as FROM orders WHERE o_orderkey % 3 < 2) GROUP BY 1""")
 def _(spark, sf):
-    approved = _stream(spark, sf, "orders").select(F.col("o_custkey").alias("invoice_id"), F.when(F.col("o_orderkey") % 3 == 0, "AUTO_APPROVED").otherwise("FAILED").alias("status"))
-    return _finished(lambda p, c: S.stream_auto_post(approved, p, c), spark).select("invoice_id")
+    path, status = new_path(spark), F.element_at(F.array(*map(F.lit, ("AUTO_APPROVED", "APPROVED", "FAILED"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    approved = _stream(spark, sf, "orders").select(F.col("o_custkey").alias("invoice_id"), status.alias("status"), F.col("o_orderdate").alias("at"))
+    S.stream_auto_post(approved, path, f"{path}-checkpoint").awaitTermination()
+    return Store(spark, path).read("posted")
 
 
 @query("stream_audit", "SELECT log_id, invoice_id, agent FROM fx_logs")

@@ -1,10 +1,10 @@
 """Where jobs put tables that others read, and tables of invoices that are replaced by key.
 
 A store is a folder of data folders and manifests. A table of the store is cut into buckets by a hash
-of the invoice id; a manifest names, for each bucket, the data folder that holds it. A commit writes
-the buckets that a batch touches to new folders, and then one manifest, by a rename that fails if
-another writer has made that version. So readers see one whole version, a failed job leaves the last
-one, and rows of other buckets are neither read nor written.
+of its key; a manifest names, for each bucket, the data folders that hold it. A commit writes the
+buckets that a batch touches to new folders, and then one manifest, by a rename that fails if another
+writer has made that version. So readers see one whole version, a failed job leaves the last one, and
+rows of other buckets are neither read nor written.
 """
 
 from __future__ import annotations
@@ -36,6 +36,13 @@ def new_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage and survives lost executors."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
@@ -81,12 +88,15 @@ class Folder:
 
 
 class Store:
-    """Tables below path that are written by batches. tables: {name: {"schema", "folders"}}."""
+    """Tables below path that are written by batches and have the column `key`.
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path = spark, path.rstrip("/")
+    A manifest's tables are {name: {"schema", "folders": {bucket: [folder]}}}.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, key: str = KEY):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
         self._manifests = Folder(spark, f"{self.path}/manifests")
-        self._new = {"version": 0, "buckets": buckets, "batches": [], "tables": {}, "logs": {}}
+        self._new = {"version": 0, "buckets": buckets, "batches": [], "tables": {}}
 
     def versions(self) -> list[int]:
         return [int(n.removesuffix(".json")) for n in self._manifests.names() if n.endswith(".json") and n[0] != "."]
@@ -99,54 +109,53 @@ class Store:
     def read(self, name: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         """A table as it is in a version (the last one by default), or some of its buckets."""
         table = self.manifest(version)["tables"][name]
-        folders = table["folders"]
-        if isinstance(folders, dict):
-            folders = [f for b, f in folders.items() if buckets is None or int(b) in buckets]
-        paths = sorted(f"{self.path}/data/{f}" for f in folders)
+        mine = [f for b, folders in table["folders"].items() if buckets is None or int(b) in buckets for f in folders]
+        paths = sorted(f"{self.path}/data/{f}" for f in mine)
         schema = table["schema"]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _write(self, df: DataFrame, folder: str, buckets: int) -> None:
-        dealt = df.withColumn(_BUCKET, bucket_of(F.col(KEY), buckets)).hint("rebalance", F.col(_BUCKET))
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The buckets of the keys of rows."""
+        buckets = bucket_of(F.col(self.key), self.manifest()["buckets"])
+        return sorted(r[0] for r in rows.select(buckets).distinct().collect())
+
+    def _write(self, df: DataFrame, folder: str, buckets: int) -> dict[str, list[str]]:
+        """Write rows by bucket; the folders of the buckets that have any."""
+        dealt = df.withColumn(_BUCKET, bucket_of(F.col(self.key), buckets)).hint("rebalance", F.col(_BUCKET))
         dealt.write.partitionBy(_BUCKET).parquet(f"{self.path}/data/{folder}")
+        names = Folder(self.spark, f"{self.path}/data/{folder}").names()
+        return {n.split("=")[1]: [f"{folder}/{n}"] for n in names if n.startswith(_BUCKET)}
 
     def commit(self, batch: str, replaced: dict[str, DataFrame], ids: DataFrame, appended: dict[str, DataFrame]) -> int:
         """The version with the batch in it.
 
-        In the tables `replaced`, all rows of `ids` (invoice_id) go and those given come in; other
-        ids keep theirs. Rows of `appended` are added. A batch that was committed before changes
+        In the tables `replaced`, all rows of the keys in `ids` go and those given come in; other
+        keys keep theirs. Rows of `appended` are added. A batch that was committed before changes
         nothing, so that one may be sent again after a failure, even after later ones. Only the
         numbers of touched buckets come to the driver. Columns have to stay the same.
         """
         last = self.manifest()
         if batch in last["batches"]:
             return last["version"]
-        n, mark = last["buckets"], uuid.uuid4().hex
-        keys = ids.select(KEY).distinct()
-        touched = sorted(r[0] for r in keys.select(bucket_of(F.col(KEY), n)).distinct().collect())
-        tables = dict(last["tables"])
-        for name, rows in replaced.items():
-            schema, folders = _schema(rows), {}
-            if name in tables:
-                if tables[name]["schema"] != schema:
-                    raise ValueError(f"the columns of {name} are {tables[name]['schema']}, not {schema}")
-                folders = dict(tables[name]["folders"])
-                carried = self.read(name, last["version"], touched).join(keys, KEY, "left_anti")
-                rows = carried.unionByName(rows)
-            folder = f"{name}/{mark}"
-            self._write(rows, folder, n)
-            filled = {int(f.split("=")[1]) for f in Folder(self.spark, f"{self.path}/data/{folder}").names() if "=" in f}
-            folders = {b: f for b, f in folders.items() if int(b) not in touched}
-            folders |= {str(b): f"{folder}/{_BUCKET}={b}" for b in sorted(filled)}
+        n, mark, tables = last["buckets"], uuid.uuid4().hex, dict(last["tables"])
+        keys = ids.select(self.key).distinct()
+        touched = self.touched(keys) if replaced else []
+        for name, rows in (replaced | appended).items():
+            schema = _schema(rows)
+            folders = dict(tables[name]["folders"]) if name in tables else {}
+            if name in tables and tables[name]["schema"] != schema:
+                raise ValueError(f"the columns of {name} are {tables[name]['schema']}, not {schema}")
+            if name in replaced and folders:
+                rows = self.read(name, last["version"], touched).join(keys, self.key, "left_anti").unionByName(rows)
+            made = self._write(rows, f"{name}/{mark}", n)
+            if name in replaced:
+                folders = {b: f for b, f in folders.items() if int(b) not in touched} | made
+            else:
+                folders |= {b: [*folders.get(b, []), *f] for b, f in made.items()}
             tables[name] = {"schema": schema, "folders": folders}
-        for name, rows in appended.items():
-            folder = f"{name}/{mark}"
-            rows.write.parquet(f"{self.path}/data/{folder}")
-            before = tables.get(name, {"folders": []})["folders"]
-            tables[name] = {"schema": _schema(rows), "folders": [*before, folder]}
         version = last["version"] + 1
-        made = last | {"version": version, "batches": [*last["batches"], batch], "tables": tables}
-        self._manifests.publish(f"{version:010d}.json", json.dumps(made))
+        manifest = last | {"version": version, "batches": [*last["batches"], batch], "tables": tables}
+        self._manifests.publish(f"{version:010d}.json", json.dumps(manifest))
         return version
 
     def vacuum(self, keep: int = 1) -> int:
@@ -158,8 +167,7 @@ class Store:
         used = set()
         for v in versions[-keep:]:
             for table in self.manifest(v)["tables"].values():
-                folders = table["folders"].values() if isinstance(table["folders"], dict) else table["folders"]
-                used |= {"/".join(f.split("/")[:2]) for f in folders}
+                used |= {"/".join(f.split("/")[:2]) for folders in table["folders"].values() for f in folders}
         gone, data = 0, Folder(self.spark, f"{self.path}/data")
         for name in data.names():
             for mark in Folder(self.spark, f"{self.path}/data/{name}").names():

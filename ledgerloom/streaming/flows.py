@@ -6,14 +6,14 @@ that runs through what is there (availableNow) unless another is given.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.workflow import content_key, ingest_gate
-from ..schemas import TRANSITIONS
+from ..schemas import POSTABLE
+from ..storage import Store, stored
+from . import machine
 
 NOW = {"availableNow": True}
 
@@ -38,30 +38,27 @@ def stream_ingest(uploads: DataFrame, path: str, checkpoint: str, watermark=None
     return _to_table(ingested(uploads, watermark), path, checkpoint, trigger)
 
 
-def status_changes(requests: DataFrame) -> DataFrame:
-    """id, seq, current, target, accepted of requests (id, seq, target); every id starts as UPLOADED.
+def stream_status_machine(requests: DataFrame, path: str, checkpoint: str, trigger=NOW) -> StreamingQuery:
+    """Status changes of requests (id, seq, target, and `at`, when it was made, or else now).
 
-    An illegal request leaves the status alone. Requests of one micro-batch are taken by seq. Those of
-    one id are held at once: where an id may have very many, bound the micro-batches at the source
-    (maxFilesPerTrigger, maxBytesPerTrigger).
+    Each micro-batch is one commit of a store at path: its table `changes` has what each request led
+    to (see machine.changes) and `statuses` the present status and posted_at of each id. Statuses are
+    kept by bucket, of which a micro-batch reads and writes those of its ids. Both are replaced at
+    once, and a micro-batch that comes again changes nothing.
     """
 
-    def step(key, frames, state: GroupState):
-        status = state.get[0] if state.exists else "UPLOADED"
-        rows = []
-        for r in pd.concat(list(frames)).sort_values("seq").itertuples():
-            ok = r.target in TRANSITIONS.get(status, ())
-            rows.append((key[0], r.seq, status, r.target, ok))
-            status = r.target if ok else status
-        state.update((status,))
-        yield pd.DataFrame(rows, columns=["id", "seq", "current", "target", "accepted"])
-
-    out = "id long, seq long, current string, target string, accepted boolean"
-    return requests.groupBy("id").applyInPandasWithState(step, out, "status string", "append", GroupStateTimeout.NoTimeout)
-
+    def fold(batch: DataFrame, number: int) -> None:
+        store = Store(batch.sparkSession, path, key="id")
+        asked = batch.withColumn("at", F.current_timestamp()) if "at" not in batch.columns else batch
+        asked = asked.select("id", "seq", "target", "at").filter("id IS NOT NULL")
+        if str(number) in store.manifest()["batches"]:
+            return
+        known = store.manifest()["tables"]
+        before = store.read("statuses", buckets=store.touched(asked)) if known else machine.no_statuses(batch.sparkSession)
+        made = stored(machine.changes(asked, before))
+        store.commit(str(number), {"statuses": machine.statuses(made, before)}, asked, {"changes": made})
 
-def stream_status_machine(requests: DataFrame, path: str, checkpoint: str, trigger=NOW) -> StreamingQuery:
-    return _to_table(status_changes(requests), path, checkpoint, trigger)
+    return requests.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def routed(failures: DataFrame, max_retries: int = 3) -> DataFrame:
@@ -77,19 +74,24 @@ def stream_retry_dlq(failures: DataFrame, path: str, checkpoint: str, max_retrie
 
 
 def stream_auto_post(approved: DataFrame, path: str, checkpoint: str, trigger=NOW) -> StreamingQuery:
-    """Append AUTO_APPROVED invoices that are not posted yet. A batch that is replayed after a failure
-    finds its own rows there and adds nothing."""
+    """Post approved invoices (invoice_id, status, and `at`, when it was approved, or else now) once.
+
+    AUTO_APPROVED and APPROVED ones are posted, others are not. Each micro-batch is a commit to the
+    store at path, whose table `posted` has invoice_id, approved_as, status (POSTED) and posted_at; of
+    several approvals in a micro-batch the earliest counts. Posted ids are kept by bucket: a
+    micro-batch reads the buckets of its own ids, and adds to them. One that comes again adds nothing.
+    """
 
     def post(batch: DataFrame, number: int) -> None:
-        new = batch.filter("status = 'AUTO_APPROVED'").dropDuplicates(["invoice_id"])
-        try:
-            posted = batch.sparkSession.read.parquet(path)
-        except Exception as e:  # nothing was posted before
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            new = new.join(posted.select("invoice_id"), "invoice_id", "left_anti")
-        new.write.mode("append").parquet(path)
+        store = Store(batch.sparkSession, path)
+        at = F.col("at") if "at" in batch.columns else F.current_timestamp()
+        first = F.min(F.struct(at.alias("at"), F.col("status").alias("status"))).alias("first")
+        ready = batch.filter(F.col("status").isin(*POSTABLE)).groupBy("invoice_id").agg(first)
+        new = ready.select("invoice_id", F.col("first.status").alias("approved_as"), F.lit("POSTED").alias("status"), F.col("first.at").alias("posted_at"))
+        if store.manifest()["tables"]:
+            posted = store.read("posted", buckets=store.touched(new)).select("invoice_id")
+            new = new.join(posted, "invoice_id", "left_anti")
+        store.commit(str(number), {}, new, {"posted": new})
 
     return approved.writeStream.foreachBatch(post).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 

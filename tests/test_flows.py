@@ -1,35 +1,78 @@
 """Streams give what a batch gives, and extractors never fail a job."""
 
+import random
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import extend
-from ledgerloom.schemas import TRANSITIONS
+from ledgerloom.schemas import STATUSES, TRANSITIONS
 from ledgerloom.sources import annotations
-from ledgerloom.streaming import flows
+from ledgerloom.storage import Store
+from ledgerloom.streaming import flows, machine
 
 
-def test_status_machine_over_batches(spark, tmp_path):
-    schema = "id long, seq long, target string"
-    asked = [(1, 1, "PROCESSING"), (1, 2, "POSTED"), (2, 3, "PROCESSING"), (1, 4, "AUTO_APPROVED"), (2, 5, "FAILED"), (1, 6, "POSTED"), (1, 7, "FAILED")]
-    for k in range(0, len(asked), 3):
-        spark.createDataFrame(asked[k : k + 3], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        flows.stream_status_machine(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    status, want = {}, []
-    for i, seq, target in asked:
+def plain_machine(asked):
+    """(changes, statuses) of requests (id, seq, target, at), one after the other."""
+    status, made, posted = {}, [], {}
+    for i, seq, target, at in sorted(asked, key=lambda r: (r[0], r[1], r[2])):
         now = status.get(i, "UPLOADED")
         ok = target in TRANSITIONS[now]
-        want.append((i, seq, now, target, ok))
+        made.append((i, seq, now, target, ok, at if ok and target == "POSTED" else None))
         status[i] = target if ok else now
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()), key=lambda r: r[1]) == want
+        posted[i] = made[-1][5] or posted.get(i)
+    return made, sorted((i, s, posted[i]) for i, s in status.items())
+
+
+REQUESTS = "id long, seq long, target string, at timestamp"
+
+
+def requests(n, seed):
+    """A third of all are id 1's."""
+    rng, day = random.Random(seed), datetime(2024, 1, 1)
+    targets = [*STATUSES, "PROCESSING", "AUTO_APPROVED", "POSTED", "unknown"]
+    return [(1 if rng.random() < 0.33 else rng.randrange(2, 40), seq, rng.choice(targets), day + timedelta(hours=seq)) for seq in range(n)]
+
+
+def test_status_machine_over_batches(spark, tmp_path):
+    asked = requests(900, 1)
+    for k in range(0, len(asked), 300):
+        spark.createDataFrame(asked[k : k + 300], REQUESTS).repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(REQUESTS).parquet(f"{tmp_path}/in")
+        flows.stream_status_machine(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    made, statuses = plain_machine(asked)
+    store = Store(spark, f"{tmp_path}/out", key="id")
+    assert len(store.versions()) == 3
+    assert sorted(map(tuple, store.read("changes").collect()), key=lambda r: r[1]) == sorted(made, key=lambda r: r[1])
+    assert sorted(map(tuple, store.read("statuses").collect())) == statuses
+
+
+def test_a_hot_id_is_cut_into_blocks(spark):
+    asked = requests(6000, 2)
+    df = spark.createDataFrame(asked, REQUESTS)
+    sizes = sorted(r["count"] for r in machine.in_blocks(df, 30).groupBy("_block").count().collect())
+    assert len(sizes) == 30 and sizes[-1] < 2 * sizes[15]
+    found = sorted(map(tuple, machine.changes(df, machine.no_statuses(spark), 30).collect()))
+    assert found == sorted(plain_machine(asked)[0])
+
+
+def test_status_machine_of_odd_requests(spark):
+    odd = [(1, None, "PROCESSING", None), (1, 5, None, None), (1, 5, "AUTO_APPROVED", None), (2, None, None, None)]
+    before = spark.createDataFrame([(2, "APPROVED", None)], "id long, status string, posted_at timestamp")
+    found = sorted(machine.changes(spark.createDataFrame(odd, REQUESTS), before).select("id", "current", "accepted").collect())
+    assert list(map(tuple, found)) == [(1, "PROCESSING", False), (1, "PROCESSING", True), (1, "UPLOADED", True), (2, "APPROVED", False)]
+    assert machine.changes(spark.createDataFrame([], REQUESTS), before).count() == 0
 
 
 def test_posting_is_idempotent(spark, tmp_path):
-    schema = "invoice_id long, status string"
-    for rows in ([(1, "AUTO_APPROVED"), (2, "FAILED")], [(1, "AUTO_APPROVED"), (3, "AUTO_APPROVED")]):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+    schema, day = "invoice_id long, status string, at timestamp", datetime(2024, 1, 1)
+    batches = [[(1, "AUTO_APPROVED"), (2, "FAILED"), (4, "APPROVED"), (4, "AUTO_APPROVED")], [(1, "AUTO_APPROVED"), (3, "APPROVED"), (2, "APPROVED")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame([(*r, day + timedelta(days=k)) for r in rows], schema).write.mode("append").parquet(f"{tmp_path}/in")
         flows.stream_auto_post(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    assert sorted(r["invoice_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 3]
+    found = sorted(map(tuple, Store(spark, f"{tmp_path}/out").read("posted").collect()))
+    later = day + timedelta(days=1)
+    assert found == [(1, "AUTO_APPROVED", "POSTED", day), (2, "APPROVED", "POSTED", later), (3, "APPROVED", "POSTED", later), (4, "APPROVED", "POSTED", day)]
 
 
 def test_extractor_errors_become_rows(spark):
