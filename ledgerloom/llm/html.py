@@ -2,15 +2,17 @@
 
 The pages of a host are merged by style: elements with the same chain of tags and classes are one
 node. A node's content importance is one less the mean entropy of its texts over pages, and its
-presentation importance is the entropy of the child sequences seen there. A node holds the text that
-is directly in it; if its text and shape both repeat from page to page it is part of the site, and
-that text is removed, inside and outside the main content alike. So a branch goes exactly when all of
-its nodes do. Hosts with few pages are merged with each other, where the texts of a template repeat.
-Text outside article and main stays where enough pages show that it is important. Nodes without such
-figures follow the declared roles: what is in article and main counts, if it is a quarter of the text.
-
-By rule alone go tags and class names that declare noise (nav, footer, advert, comments): their texts
-often differ from page to page, so importance would keep them.
+presentation importance is the entropy of the child sequences seen there; the larger of the two,
+times the share of its text that is in no link, is its importance. A node holds the text that is
+directly in it. Outside article and main, the text of nodes of low importance is removed and that of
+others stays; so a branch goes exactly when all of its nodes do, and menus go as lists of links.
+Hosts with few pages are merged with each other, where the texts of a template repeat. Nodes outside
+without such figures follow the page: if article and main elements hold at least half of the words
+in no link, they are the main content, and else all of it stays.
+
+By rule alone go tags and names that declare noise (nav, footer, advert, comments), inside the main
+content too: their texts often differ from page to page, so importance would keep some of them.
+Nothing else is removed inside article and main, however often it repeats.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,9 +41,10 @@ BROADCAST_NODES = 1_000_000
 _SPLIT = lambda s: frozenset(s.split())
 VOID = _SPLIT("area base br col embed hr img input link meta param source track wbr")
 RAW = _SPLIT("script style textarea title")
-#: Dropped only if they are closed by an end tag of their own.
-EMBEDDED = _SPLIT("noscript template iframe svg select object canvas audio video")
-DROPPED = _SPLIT("head nav footer aside form button menu dialog fieldset")
+#: Dropped only if they are closed by an end tag of their own; those of the second group hold what
+#: stands in for something else, and are dropped only outside the main content.
+EMBEDDED, FALLBACK = _SPLIT("template iframe svg select canvas audio video"), _SPLIT("noscript object")
+DROPPED = _SPLIT("head nav footer aside form button menu dialog")
 MAIN = _SPLIT("article main")
 INLINE = _SPLIT("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr")
 #: Closed by the start of one of the same group.
@@ -47,22 +52,33 @@ IMPLIED = {"li": _SPLIT("li"), "dt": _SPLIT("dt dd"), "dd": _SPLIT("dt dd"), "tr
 #: Words of class, id or role that say an element is not content.
 NOISE_WORDS = _SPLIT(
     """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs
-    footer sidebar aside complementary contentinfo widget notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe
-    subscription signup login share sharing social related recommended comment comments commentlist disqus respond reply replies pagination
-    pager skip copyright disclaimer toolbar search form"""
+    footer sidebar aside notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login
+    comment comments commentlist disqus respond reply replies pagination pager search form"""
+)
+#: Such only outside the main content: an article has a header, a copyright, notes of its own.
+OUTER_WORDS = _SPLIT(
+    """header masthead topbar contentinfo complementary widget share sharing social related recommended skip copyright disclaimer toolbar"""
 )
 #: Words that may stand beside those in a class name of several words.
 NEUTRAL_WORDS = _SPLIT("area bar block bottom box button buttons container content global icon icons inner item items left link links list outer page right section site slot top unit wrap wrapper")
+#: Readers' words, which stay out even if each is an article; a name that ends in one says so,
+#: whatever is before it, unless it tells of a state.
+READER_WORDS = _SPLIT("comment comments commentlist disqus respond reply replies")
+STATE_WORDS = _SPLIT("with without has have no hide hidden show allow open closed enable disable count")
+#: Never the main content, even if they hold an article.
+STRONG = _SPLIT("nav footer aside")
 #: Never dropped by their class, id or role.
 SPARED = _SPLIT("html body article main")
-#: Such only outside the main content: an article has a header of its own.
-OUTER_WORDS = _SPLIT("header masthead topbar")
 
+# Attributes as HTML reads them: a quote inside a name or an unquoted value is a character like others.
+_ATTR = r"""(?>[^\s/>=][^\s/>=]*|=[^\s/>=]*)(?>\s*=\s*(?:"[^"]*"|'[^']*'|(?!["'])[^\s>]+)?)?"""
+_ATTRS = rf"(?>[\s/]+|{_ATTR})*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(sorted(RAW)) + r""")(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*(?:(?<=/)>|>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""",
+    rf"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>{"|".join(sorted(RAW))})(?=[\s/>]){_ATTRS}(?:(?<=/)>|>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))"""
+    rf"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{_ATTRS})>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""",
     re.DOTALL | re.IGNORECASE,
 )
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_NAMED = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|((?!["'])[^\s>]+))?)?""")
 
 
 def _hash(text: str) -> int:
@@ -80,59 +96,98 @@ def _noise(token: str, names: frozenset) -> bool:
     return bool(parts & names) and parts <= names | NEUTRAL_WORDS
 
 
+def _readers(token: str) -> bool:
+    """Whether a class token says readers' comments."""
+    parts = re.findall(r"[a-z]+", token)
+    return _noise(token, READER_WORDS) or bool(parts) and parts[-1] in READER_WORDS and not STATE_WORDS & set(parts)
+
+
+@dataclass(frozen=True)
+class _Style:
+    """What attributes say: the style (class and role without digits), noise anywhere, noise outside
+    the main content, readers' comments, the role main, and hidden."""
+
+    style: str = ""
+    noise: bool = False
+    outer: bool = False
+    readers: bool = False
+    main: bool = False
+    hidden: bool = False
+
+
 @lru_cache(50_000)
-def _style(attrs: str) -> tuple[str, bool, bool, bool, bool]:
-    """(class and role without digits, noise by class, id or role, such outside the main content,
-    role main, hidden)."""
-    style, tokens, main, hidden = [], set(), False, False
+def _style(attrs: str) -> _Style:
+    found: dict[str, str] = {}
     for name, *values in _NAMED.findall(attrs):
-        value, name = "".join(values).lower(), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            hidden = True
-        elif name in ("class", "id", "role"):
-            tokens.update(value.split())
-            main = main or name == "role" and "main" in value.split()
-            if name != "id":
-                style.append(re.sub(r"\d+", "0", value))
+        found.setdefault(name.lower(), unescape("".join(values)))
+    values = {n: found.get(n, "").lower() for n in ("class", "id", "role")}
+    tokens = {t for v in values.values() for t in v.split()}
     noise, outer = (any(_noise(t, names) for t in tokens) for names in (NOISE_WORDS, OUTER_WORDS))
-    return " ".join(style), noise, outer, main, hidden
+    readers = any(map(_readers, tokens))
+    style = " ".join(re.sub(r"\d+", "0", values[n]) for n in ("class", "role") if values[n])
+    return _Style(style, noise or readers, outer, readers, "main" in values["role"].split(), "hidden" in found)
+
+
+_PLAIN = _Style()
+
+
+class _Open(NamedTuple):
+    """An open element. lost: hidden, or in such; inside: in the main content; around: the numbers of
+    the elements around its text that may be dropped; number: its own, or 0; link: in an `a`."""
+
+    tag: str = ""
+    lost: bool = False
+    inside: bool = False
+    node: int = 0
+    around: tuple = ()
+    number: int = 0
+    link: bool = False
 
 
 class Page:
     """The text blocks of a page: (node, in main, text), in order.
 
-    Declared noise and the own texts of `removed` nodes are left out. If article and main elements
-    hold a quarter of the rest, so is what is in none, but for `kept` nodes; `whole` keeps all outside as
-    well. shapes: the child tags of each node.
+    Declared noise is left out, and outside article and main the own texts of `removed` nodes. What
+    is in none of these and not in `kept` nodes stays if it has more words in no link than they;
+    `whole` keeps all of it. Noise that holds an article or main, as a form around a page does,
+    is none if that has more text than all the rest, unless it is a nav, footer, aside or comments;
+    and where nothing else is left, a form is none either.
+    shapes: the child tags of each node. linked: the words in links of each block.
     """
 
     def __init__(self, html: str, removed: frozenset = frozenset(), kept: frozenset = frozenset(), whole: bool = False):
         self.shapes: dict[int, list[str]] = {}
-        everything: list[tuple[int, bool, str, tuple]] = []
-        # tag, hidden, in main, node, numbers of the elements around that may be dropped
-        stack: list[tuple[str, bool, bool, int, tuple]] = [("", False, False, 0, ())]
+        everything: list[tuple[int, bool, str, tuple, int]] = []
+        stack = [_Open()]
         dropped: set[int] = set()
+        around_main: set[int] = set()
+        strong: set[int] = set()
+        forms: set[int] = set()
         is_open: Counter[str] = Counter()
         held: list[str] = []
-        owner, drops, seen = stack[0], (), 0
+        linked, owner, drops, seen = 0, stack[0], (), 0
 
         def flush():
+            nonlocal linked
             if held:
                 if text := " ".join(unescape("".join(held)).split()):
-                    everything.append((owner[3], owner[2], text, drops))
+                    everything.append((owner.node, owner.inside, text, drops, min(linked, text.count(" ") + 1)))
                 held.clear()
+            linked = 0
 
         def hold(text: str):
-            nonlocal owner, drops
-            if held and stack[-1][4] != drops:
+            nonlocal owner, drops, linked
+            if held and stack[-1].around != drops:
                 flush()
             if not held:
-                owner, drops = next(x for x in reversed(stack) if x[0] not in INLINE), stack[-1][4]
+                owner, drops = next(x for x in reversed(stack) if x.tag not in INLINE), stack[-1].around
             held.append(text)
+            if stack[-1].link:
+                linked += len(unescape(text).split())
 
         at = 0
         for m in _TOKEN.finditer(html):
-            if m.start() > at and not stack[-1][1]:
+            if m.start() > at and not stack[-1].lost:
                 hold(html[at : m.start()])
             at = m.end()
             tag = m["tag"]
@@ -146,45 +201,68 @@ class Page:
                 flush()
             if m["end"]:
                 k = len(stack) - 1 if is_open[tag] > 0 else 0
-                while k and stack[k][0] != tag:
+                while k and stack[k].tag != tag:
                     k -= 1
                 if k:
-                    if tag in EMBEDDED:
-                        dropped.add(stack[k][4][-1])
-                    is_open.subtract(x[0] for x in stack[k:])
+                    if stack[k].number and tag in EMBEDDED | FALLBACK:
+                        dropped.add(stack[k].number)
+                    is_open.subtract(x.tag for x in stack[k:])
                     del stack[k:]
                 continue
             if not inline:
                 self._imply(stack, tag, is_open)
-            if tag in VOID or tag in EMBEDDED and m["attrs"].endswith("/"):
+            if tag in VOID or tag in EMBEDDED | FALLBACK and m["attrs"].endswith("/"):
                 continue
-            _, lost, inside, above, around = stack[-1]
-            style, noise, outer, role_main, hidden = _style(m["attrs"]) if m["attrs"].strip() else ("", False, False, False, False)
-            node = above if inline else _path(above, tag, style)
-            starts = not inside and (tag in MAIN or role_main and tag == "div")
-            if starts:  # what holds the main content is no noise
-                dropped.difference_update(around)
-            declared = tag in DROPPED or not inside and tag == "header" or not (starts or tag in SPARED and not inside) and (noise or not inside and outer)
-            lost = lost or tag == "head" or hidden
-            if declared or tag in EMBEDDED:
-                seen += 1
-                around = (*around, seen)
+            above = stack[-1]
+            style = _style(m["attrs"]) if m["attrs"].strip() else _PLAIN
+            node = above.node if inline else _path(above.node, tag, style.style)
+            starts = not above.inside and (tag in MAIN or style.main and tag == "div")
+            if starts:
+                around_main.update(above.around)
+            named = style.noise or not above.inside and style.outer
+            declared = tag in DROPPED or not above.inside and tag == "header"
+            declared = declared or named and not starts and (tag not in SPARED or above.inside)
+            embedded = tag in EMBEDDED or tag in FALLBACK and not above.inside
+            around, number = above.around, 0
+            if declared or embedded:
+                seen = number = seen + 1
+                around = (*around, number)
                 if declared:
-                    dropped.add(seen)
+                    dropped.add(number)
+                if tag in STRONG or style.readers:
+                    strong.add(number)
+                if tag == "form":
+                    forms.add(number)
+            lost = above.lost or tag == "head" or style.hidden
             if not (lost or around or inline):
-                shape = self.shapes.setdefault(above, [])
+                shape = self.shapes.setdefault(above.node, [])
                 if not shape or shape[-1] != tag:
                     shape.append(tag)
-            stack.append((tag, lost, inside or starts, node, around))
+            stack.append(_Open(tag, lost, above.inside or starts, node, around, number, above.link or tag == "a"))
             is_open[tag] += 1
-        if at < len(html) and not stack[-1][1]:
+        if at < len(html) and not stack[-1].lost:
             hold(html[at:])
         flush()
-        self.blocks: list[tuple[int, bool, str]] = [x[:3] for x in everything if dropped.isdisjoint(x[3]) and x[0] not in removed]
-        inner = sum(len(text) for _, inside, text in self.blocks if inside)
-        outer = sum(len(text) for node, inside, text in self.blocks if not inside and node not in kept)
-        if not whole and 3 * inner >= outer:
-            self.blocks = [x for x in self.blocks if x[1] or not inner or x[0] in kept]
+
+        def left(dropped: set) -> list[tuple]:
+            return [x for x in everything if dropped.isdisjoint(x[3])]
+
+        def size(blocks) -> int:
+            return sum(text.count(" ") + 1 - links for *_, text, _, links in blocks)
+
+        blocks = left(dropped)
+        held_main = [x for x in left(dropped - (around_main - strong)) if x[1] and not dropped.isdisjoint(x[3])]
+        if size(held_main) > size(blocks):
+            dropped -= around_main - strong
+            blocks = left(dropped)
+        if not blocks:
+            blocks = left(dropped - forms)
+        blocks = [x for x in blocks if x[1] or x[0] not in removed]
+        inner, outer = (size(x for x in blocks if x[1] == side and (side or x[0] not in kept)) for side in (True, False))
+        if not whole and inner >= outer:
+            blocks = [x for x in blocks if x[1] or not inner or x[0] in kept]
+        self.blocks: list[tuple[int, bool, str]] = [x[:3] for x in blocks]
+        self.linked = [x[4] for x in blocks]
 
     def identity(self) -> int:
         """Equal for pages with the same main content, or all content where none is declared."""
@@ -195,9 +273,9 @@ class Page:
     def _imply(stack: list, tag: str, is_open: Counter) -> None:
         """Close what the start of a block element ends: an open paragraph, or a like item."""
         for k in range(len(stack) - 1, 0, -1):
-            name = stack[k][0]
+            name = stack[k].tag
             if name == "p" and tag not in VOID or name in IMPLIED.get(tag, ()):
-                is_open.subtract(x[0] for x in stack[k:])
+                is_open.subtract(x.tag for x in stack[k:])
                 del stack[k:]
                 return
             if name not in INLINE and name != "p":
@@ -211,62 +289,71 @@ def _host() -> Column:
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+_NODES = "host string, page bigint, node bigint, main boolean, content bigint, shape bigint, words bigint, linked bigint"
+
+
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """(host, page, node, main, content, shape): the hashed text and child sequence of each node
-    that holds text, for each page, and whether the node is in an article or main element.
+    """(host, page, node, main, content, shape, words, linked): the hashed text and child sequence of
+    each node that holds text, for each page, whether the node is in an article or main element, and
+    its words, in all and in links.
 
     page is the page's identity: copies of a page's content are one page, whatever is around it.
     """
     source = pages.select(_host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    names = ("host", "page", "node", "main", "content", "shape")
+    names = [c.split()[0] for c in _NODES.split(", ")]
 
     def parse(batches):
         for batch in batches:
             out = [[] for _ in names]
             for host, html in zip(*(batch.column(c).to_pylist() for c in ("host", "html")), strict=True):
                 found = Page(html, whole=True)
-                texts: dict[tuple[int, bool], list[str]] = {}
-                for node, main, text in found.blocks:
-                    texts.setdefault((node, main), []).append(text)
+                texts: dict[tuple[int, bool], list[tuple[str, int]]] = {}
+                for (node, main, text), linked in zip(found.blocks, found.linked, strict=True):
+                    texts.setdefault((node, main), []).append((text, linked))
                 page = found.identity() if texts else 0
                 for (node, main), parts in texts.items():
-                    shape = _hash(" ".join(found.shapes.get(node, ())))
-                    for column, value in zip(out, (host, page, node, main, _hash("\n".join(parts)), shape), strict=True):
+                    shape, whole = _hash(" ".join(found.shapes.get(node, ()))), "\n".join(t for t, _ in parts)
+                    row = (host, page, node, main, _hash(whole), shape, sum(t.count(" ") + 1 for t, _ in parts), sum(k for _, k in parts))
+                    for column, value in zip(out, row, strict=True):
                         column.append(value)
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, out, kinds)), names=list(names))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, out, kinds)), names=names)
 
-    return source.mapInArrow(parse, "host string, page bigint, node bigint, main boolean, content bigint, shape bigint")
+    return source.mapInArrow(parse, _NODES)
 
 
 def importance(nodes: DataFrame) -> DataFrame:
-    """(host, node, main, pages, content, presentation) of stored rows of style_nodes; importances are
-    from 0 to 1. Of pages with one identity, one counts."""
-    nodes = nodes.groupBy("host", "node", "main", "page").agg(F.min("content").alias("content"), F.min("shape").alias("shape"))
-
-    def spread(column: str, name: str) -> DataFrame:
+    """(host, node, main, pages, content, presentation, links) of stored rows of style_nodes;
+    importances are from 0 to 1, and so is links, the share of the text that is in links. Of pages
+    with one identity, one counts."""
+    key = ["host", "node", "main"]
+    least = (F.min(c).alias(c) for c in ("content", "shape", "words", "linked"))
+    nodes = nodes.groupBy(*key, "page").agg(*least)
+
+    def spread(column: str, name: str, *more: Column) -> DataFrame:
         """pages m, and sum of n log n over the values' page counts n: the entropy is log m less its m-th."""
-        seen = nodes.groupBy("host", "node", "main", column).agg(F.count("*").alias("n"))
-        return seen.groupBy("host", "node", "main").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias(name))
+        seen = nodes.groupBy(*key, column).agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum("linked").alias("linked"))
+        return seen.groupBy(*key).agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias(name), *more)
 
-    both = spread("content", "_c").join(spread("shape", "_s").drop("pages"), ["host", "node", "main"])
+    links = (F.sum("linked") / F.sum("words")).alias("links")
+    both = spread("content", "_c", links).join(spread("shape", "_s").drop("pages"), key)
     share = lambda c: F.when(F.col("pages") > 1, F.col(c) / F.col("pages") / F.log("pages")).otherwise(F.lit(0.0))
     # A text on n of m pages has entropy log n / log m, so both measures are 1 less a mean of log n / log m.
-    return both.select("host", "node", "main", "pages", (1 - share("_c")).alias("content"), (1 - share("_s")).alias("presentation"))
+    return both.select(*key, "pages", (1 - share("_c")).alias("content"), (1 - share("_s")).alias("presentation"), "links")
 
 
 def judged_nodes(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, removed, kept): the nodes of each host on enough pages that are low in both importances,
-    and those outside article and main that are not. The row of FEW is for hosts that have none."""
+    """(host, removed, kept): the nodes outside article and main of each host, on enough pages, whose
+    importance is low, and those whose is not. The row of FEW is for hosts that have none."""
     nodes = common.stored(style_nodes(pages).distinct())
     own = nodes.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("_n"))
     few = own.filter(F.col("_n") < least_pages).select("host")
     merged = nodes.join(few, "host", "left_semi").withColumn("host", F.lit(FEW)).distinct()
     large = nodes.join(few, "host", "left_anti")
-    judged = importance(large.unionByName(merged)).filter(F.col("pages") >= least_pages)
-    low = F.greatest("content", "presentation") < least
+    judged = importance(large.unionByName(merged)).filter((F.col("pages") >= least_pages) & ~F.col("main"))
+    low = F.greatest("content", "presentation") * (1 - F.col("links")) < least
     # Of different hosts, texts of one place differ even if they are no content: FEW keeps nothing.
-    kept = F.when(~low & ~F.col("main") & (F.col("host") != FEW), F.col("node"))
+    kept = F.when(~low & (F.col("host") != FEW), F.col("node"))
     return judged.groupBy("host").agg(F.collect_list(F.when(low, F.col("node"))).alias("removed"), F.collect_list(kept).alias("kept"))
 
 

@@ -165,7 +165,51 @@ def test_a_repeated_text_takes_no_page_with_it(spark):
 
 def test_importance_decides_inside_and_outside_of_the_article(spark):
     got = extracted(spark, lambda k: f"<div class='lead'>lead {k}</div><div class='top'>same</div><article><p>page {k}</p><div class='more'>Read more here</div></article><nav>n {k}</nav>")
-    assert got == [f"lead {k} page {k}" for k in range(20)]
+    assert got == [f"lead {k} page {k} Read more here" for k in range(20)]
+
+
+def test_menus_go_by_the_tree_alone(spark, monkeypatch):
+    """With no tag or word that declares noise, lists of links outside the article go by importance."""
+    monkeypatch.setattr(html, "DROPPED", frozenset({"head"}))
+    links = lambda k: " ".join(f"<li><a href='/{k}{j}'>word {k} {j}</a></li>" for j in range(5))
+    pages = [f"<div class='x'><ul>{links(k)}</ul></div><div class='intro'>intro {k}</div><article><p>page {k}</p><p><a href='u'>all linked {k}</a></article>" for k in range(20)]
+    got = extracted(spark, pages.__getitem__)
+    assert got == [f"intro {k} page {k} all linked {k}" for k in range(20)]
+
+
+def test_repeated_headings_and_bylines_of_an_article_stay(spark):
+    got = extracted(spark, lambda k: f"<article><p class='by'>By Jo Doe</p><p>story {k}</p><h2>Conclusion</h2><p>end {k}</p></article>")
+    assert got == [f"By Jo Doe story {k} Conclusion end {k}" for k in range(20)]
+
+
+STORY = "<article><p>the story as it is told</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<div style='overflow:hidden'><article><p>a</p></article></div>", "a"),
+        ("<p style='overflow:hidden'>a</p><p title='a hidden gem'>b</p><p data-class='ad'>c</p><p data-id=comments>d</p>", "a b c d"),
+        ("<div data-url='/x?id=search' data-hidden><p>a</p></div><p hidden>b</p><p hidden=''>c</p>", "a"),
+        ("<p title=it's>a</p><p>b's</p><p>c</p>", "a b's c"),
+        ("<p title=\"a > b\" class = 'ad'>x</p><p class=ad>y</p><p CLASS=\"x ad\">z</p><p>c", "c"),
+        ("<p>a</p><!-- x --!><p>b</p><!--><p>c</p><!---><p>d</p>", "a b c d"),
+        ("<p title='open>a</p><p>b", "a b"),
+        (STORY + "<div class='comments'><article><p>reader says</p></article></div>", "the story as it is told"),
+        (STORY + "<ol class='comment-list'><li><article><p>reader says so much more than the story does</p></article></ol>", "the story as it is told"),
+        ("<article><p>story</p><section class='user-comments'><p>reader</p></section></article>", "story"),
+        ("<article class='has-comments'><p>story</p></article>", "story"),
+        ("<div class='post with-comments'><p>story</p></div>", "story"),
+        (STORY + "<footer><article>f</article></footer><div class='sidebar'><article>s</article></div>", "the story as it is told"),
+        ("<div id='content'><p>" + "the story " * 13 + "</p></div><div class='comments'><article>" + "no " * 90 + "</article></div>", ("the story " * 13).strip()),
+        ("<form id='page'><p>a</p></form>", "a"),
+        ("<article><noscript>a</noscript><object>b</object><fieldset>c</fieldset><p aria-hidden='true'>d</p><p class='related'>e</p><div class='social'>f</div><p class='copyright'>g</p></article>", "a b c d e f g"),
+        ("<noscript>x</noscript>" + STORY, "the story as it is told"),
+        ("<div id='content'><p>" + "the main story " * 9 + "</p></div><article class='card'>a teaser of some fifty nine characters in all, no more</article>", "the main story " * 9 + "a teaser of some fifty nine characters in all, no more"),
+    ],
+)
+def test_attributes_comments_and_main_content(page, want):
+    assert html.Page(page).text() == want
 
 
 def test_few_pages_follow_declared_roles(spark):
@@ -247,7 +291,7 @@ def plain_extract(rows):
 
     low, high = set(), set()
     for key, by_page in seen.items():
-        if len(by_page) >= html.LEAST_PAGES:
+        if len(by_page) >= html.LEAST_PAGES and not key[2]:
             repeats = all(spread([v[k] for v in by_page.values()]) < html.LEAST_IMPORTANCE for k in (0, 1))
             (low if repeats else high).add(key)
     made = {}
@@ -255,9 +299,9 @@ def plain_extract(rows):
         group = host if host in many else None
         gone = {c for h, c, _ in low if h == group}
         stays = {c for h, c, i in high if h == group and not i and group is not None}
-        left = [x for x in out if x[0] not in gone]
+        left = [x for x in out if x[1] or x[0] not in gone]
         inner, outer = (sum(len(t) for c, i, t in left if i == side and (i or c not in stays)) for side in (True, False))
-        made[page_id] = " ".join(t for c, i, t in left if i or not inner or 3 * inner < outer or c in stays)
+        made[page_id] = " ".join(t for c, i, t in left if i or not inner or inner < outer or c in stays)
     return made
 
 
