@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import FUZZY_FIELDS, LABELS, NUMERIC_FIELDS, RATES, SYMBOLS
+from . import sequences
 
 
 def _lookup(values: dict, key: Column, default) -> Column:
@@ -63,25 +64,27 @@ def file_stem(name: Column) -> Column:
     return F.translate(F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""), " .", "__")
 
 
-def _ratio(x: str | None, y: str | None) -> float | None:
-    if x is None or y is None:
-        return None
-    return 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio()
-
-
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(sequences.ratios(a.tolist(), b.tolist()), dtype="float64")
 
 
 def _array_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else [_ratio(p, q) for p, q in zip(x, y, strict=True)] for x, y in zip(a, b, strict=True)])
+    """All elements of a batch at once."""
+    there = [x is not None for x in a]
+    flat = [[v for x, ok in zip(side, there, strict=True) if ok for v in x] for side in (a, b)]
+    found, at, out = sequences.ratios(*flat), 0, []
+    for x, ok in zip(a, there, strict=True):
+        n = len(x) if ok else 0
+        out.append([None if np.isnan(r) else r for r in found[at : at + n].tolist()] if ok else None)
+        at += n
+    return pd.Series(out)
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp similarity, which depends on the order of its arguments.
 
-    Spark has no such function, so this is the one scalar that leaves the JVM; callers give it only
-    pairs that differ.
+    Spark has no such function, so this is the one scalar that leaves the JVM, in Arrow batches whose
+    pairs are worked on together; callers give it only pairs that differ.
     """
     return F.pandas_udf(_ratios, "double")(a, b)
 

@@ -87,7 +87,8 @@ def compare_fields(pairs: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
     Only pairs with both engines are compared. Two nulls match. Amounts match within the tolerance
     of the larger one; other values as stripped, lower-cased texts, exactly or by a similarity.
     """
-    return _compared(pairs, cfg).select(KEY, F.inline("fields"))
+    # An outer generator: for an inner one Spark would compare a second time, to filter by.
+    return _compared(pairs, cfg).select(KEY, F.inline_outer("fields")).filter("field IS NOT NULL")
 
 
 def _agreement(fields: Column) -> Column:

@@ -66,8 +66,8 @@ def _sroie(spark, sf):
 _ENTITY = "regexp_replace(word, '^.*,', '')"
 
 
-@query("read_sroie", f"""WITH known AS (SELECT doc_id, {_LOOSE.format(_ENTITY)} AS t FROM fx_words WHERE pos = 2 AND {_ENTITY} <> '')
-SELECT CAST(w.doc_id AS VARCHAR) AS doc_id, pos, word, {_BOX}, CASE WHEN {_LOOSE.format('word')} = t THEN 'B-VENDOR_NAME' ELSE 'O' END AS label FROM fx_labels w LEFT JOIN known k ON w.doc_id = k.doc_id""")
+@query("read_sroie", f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, pos, word, {_BOX}, CASE WHEN t = known THEN 'B-VENDOR_NAME' ELSE 'O' END AS label
+FROM (SELECT *, {_LOOSE.format('word')} AS t, max(CASE WHEN pos = 2 AND {_ENTITY} <> '' THEN {_LOOSE.format(_ENTITY)} END) OVER (PARTITION BY doc_id) AS known FROM fx_labels)""")
 def _(spark, sf):
     _, boxes, entities = _sroie(spark, sf)
     return A.read_sroie(boxes, entities)
@@ -151,8 +151,13 @@ def _(spark, sf):
     return tasks.select("data.image", "meta.source_file", F.size("data.words").cast("long").alias("n"), _digest(F.col("data.words")).alias("words"), F.array_join(F.array_distinct("data.suggested_labels"), ",").alias("labels"))
 
 
-_FEEDBACK = f"""SELECT w.doc_id, w.pos, w.word, CASE WHEN {_LOOSE.format('w.word')} = {_LOOSE.format('v.word')} THEN 'B-VENDOR_NAME' ELSE 'O' END AS label, 'human_correction' AS source
-FROM fx_words w LEFT JOIN fx_words v ON v.pos = 5 AND v.doc_id = w.doc_id"""
+def _first_equal(place: int) -> str:
+    """Words that loosely equal the word at a place of their document, as labels."""
+    return f"""SELECT doc_id, pos, word, CASE WHEN t = known THEN 'B-VENDOR_NAME' ELSE 'O' END AS label
+FROM (SELECT *, max(CASE WHEN pos = {place} THEN t END) OVER (PARTITION BY doc_id) AS known FROM (SELECT *, {_LOOSE.format('word')} AS t FROM fx_words))"""
+
+
+_FEEDBACK = f"SELECT *, 'human_correction' AS source FROM ({_first_equal(5)})"
 
 
 @query("append_feedback", _FEEDBACK)
@@ -318,10 +323,7 @@ def _(spark, sf):
     return S.latest_dashboard(spark, path)
 
 
-_FIRST_WORD = f"SELECT w.doc_id, w.pos, w.word, CASE WHEN {_LOOSE.format('w.word')} = {_LOOSE.format('v.word')} THEN 'B-VENDOR_NAME' ELSE 'O' END AS label FROM fx_words w JOIN fx_words v ON v.pos = 0 AND v.doc_id = w.doc_id"
-
-
-@query("stream_feedback", _FIRST_WORD)
+@query("stream_feedback", _first_equal(0))
 def _(spark, sf):
     first = F.regexp_extract("text", r"^\s*(\S+)", 1)
     corrections = _stream(spark, sf, "documents").select("doc_id", F.lit("vendor_name").alias("field"), first.alias("value"))

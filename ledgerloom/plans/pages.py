@@ -244,15 +244,16 @@ def _(spark, sf):
     return tokens.value_ngram_match(load(spark, sf, "fx_words"), _values(spark, sf))
 
 
-_WEAK = f"""l AS (SELECT doc_id, pos, word, {_LOOSE.format('word')} AS t, {_LOOSE.format('lead(word) OVER (PARTITION BY doc_id ORDER BY pos)')} AS t2 FROM fx_words),
-hit AS (SELECT l.doc_id, l.pos, CASE WHEN v.t2 IS NULL THEN 1 ELSE 2 END AS n FROM l JOIN l v ON v.pos = 3 AND l.doc_id = v.doc_id AND l.t = v.t AND (v.t2 IS NULL OR l.t2 = v.t2)),
-island AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM hit),
-taken AS (SELECT * FROM (SELECT *, min(pos) OVER (PARTITION BY doc_id, g) AS begin FROM island) WHERE (pos - begin) % n = 0),
-vendor AS (SELECT doc_id, pos, 'B-VENDOR_NAME' AS label FROM taken UNION ALL SELECT doc_id, pos + 1, 'I-VENDOR_NAME' FROM taken WHERE n = 2)"""
+# Each word beside its page's values, so that no table is joined with itself.
+_WEAK = f"""t AS (SELECT doc_id, pos, word, {_LOOSE.format('word')} AS t, {_LOOSE.format('lead(word) OVER (PARTITION BY doc_id ORDER BY pos)')} AS t2 FROM fx_words),
+l AS (SELECT *, max(CASE WHEN pos = 3 THEN t END) OVER d AS v, max(CASE WHEN pos = 3 THEN t2 END) OVER d AS v2, max(CASE WHEN pos = 7 THEN t END) OVER d AS one FROM t WINDOW d AS (PARTITION BY doc_id)),
+hit AS (SELECT *, t = v AND (v2 IS NULL OR t2 = v2) AS hit, CASE WHEN v2 IS NULL THEN 1 ELSE 2 END AS n FROM l),
+island AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, hit ORDER BY pos) AS g FROM hit),
+taken AS (SELECT *, coalesce(hit, false) AND (pos - min(pos) OVER (PARTITION BY doc_id, hit, g)) % n = 0 AS taken FROM island)"""
 
 
-@query("weak_label", f"""WITH {_WEAK} SELECT l.doc_id, l.pos, l.word, coalesce(vendor.label, CASE WHEN l.t = one.t THEN 'B-INVOICE_NUMBER' END, 'O') AS label
-FROM l LEFT JOIN vendor ON l.doc_id = vendor.doc_id AND l.pos = vendor.pos LEFT JOIN l one ON one.pos = 7 AND one.doc_id = l.doc_id""")
+@query("weak_label", f"""WITH {_WEAK} SELECT doc_id, pos, word, CASE WHEN taken THEN 'B-VENDOR_NAME'
+  WHEN n = 2 AND lag(taken) OVER (PARTITION BY doc_id ORDER BY pos) THEN 'I-VENDOR_NAME' WHEN t = one THEN 'B-INVOICE_NUMBER' ELSE 'O' END AS label FROM taken""")
 def _(spark, sf):
     labelled = tokens.weak_label(load(spark, sf, "fx_words"), _values(spark, sf), ["vendor_name", "invoice_number"])
     return labelled.select("doc_id", "pos", "word", "label")
