@@ -35,6 +35,8 @@ BLOCK = 512
 #: On their sets, blocks have at least and at most so many, to deal a family to SPREAD blocks: a
 #: member is sent to as many tasks as there are blocks. In a task, EXACT_BLOCK by EXACT_BLOCK meet at once.
 EXACT_BLOCK, EXACT_MOST, SPREAD = 256, 4096, 16
+#: Bytes of text of such a block, by the mean length in its family: fewer members if texts are long.
+EXACT_BYTES = 32_000_000
 #: A set of ids up to this many (8 or 16 bytes each) may be broadcast.
 BROADCAST_IDS = 500_000
 SHINGLE, THRESHOLD = 5, 80
@@ -75,6 +77,17 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[fresh], np.searchsorted(owner[fresh], np.arange(1, flat.n + 1))
 
 
+def sliced_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets(), a slice of the texts at a time, so that little but the hashes is held."""
+    hashes, ends, before = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for begin, end in slices(texts):
+        own, own_ends = shingle_sets(texts[begin:end], n)
+        hashes.append(own)
+        ends.append(own_ends + before)
+        before += len(own)
+    return np.concatenate(hashes), np.concatenate(ends)
+
+
 def sketched(texts: pa.Array, n: int) -> tuple[np.ndarray, ...]:
     """(sizes, set digests, band keys, packed low bits); texts without words have zeros."""
     hashes, ends = shingle_sets(texts, n)
@@ -183,16 +196,21 @@ def _linked(texts: pa.Array, n: int, threshold: int) -> pa.Array:
     return pa.array((100 * both >= threshold * either) & (either > 0))
 
 
-def _cross_blocks(members: DataFrame, block: int, most: int | None = None) -> DataFrame:
+def _cross_blocks(members: DataFrame, block: int, most: int | None = None, most_bytes: int | None = None) -> DataFrame:
     """Deal members (group, doc_id, component, ...) so that any two of a group but of different
     components meet: rows get i, j and their own block b, and meet within (group, i, j).
 
     A group's largest component is compared with the others only, and the others with each other
     too, in blocks of about so many members by hash; with `most`, blocks of larger groups grow up to
-    that. Groups of one component are left out.
+    that, and with `most_bytes` they have about so many bytes of text at most. Groups of one
+    component are left out.
     """
-    sizes = members.groupBy("group", "component").count().groupBy("group").agg(F.max_by("component", "count").alias("_main"), F.max("count").alias("_n_main"), F.sum("count").alias("_n"))
+    held = F.sum(F.octet_length("text")) if most_bytes else F.lit(0)
+    counts = members.groupBy("group", "component").agg(F.count("*").alias("count"), held.alias("_held"))
+    sizes = counts.groupBy("group").agg(F.max_by("component", "count").alias("_main"), F.max("count").alias("_n_main"), F.sum("count").alias("_n"), F.sum("_held").alias("_held"))
     size = F.lit(block) if most is None else F.greatest(F.lit(block), F.least(F.lit(most), F.ceil(F.col("_n") / SPREAD)))
+    if most_bytes:
+        size = F.greatest(F.lit(1), F.least(size, F.ceil(most_bytes * F.col("_n") / F.greatest("_held", F.lit(1)))))
     blocks = lambda n: F.ceil(n / size).cast("int")
     several = sizes.filter("_n > _n_main").select("group", "_main", blocks(F.col("_n") - F.col("_n_main")).alias("_others"), blocks(F.col("_n_main")).alias("_mains"))
     is_main, h = F.col("component") == F.col("_main"), F.xxhash64("doc_id")
@@ -294,9 +312,9 @@ def _exact(members: DataFrame, n: int, threshold: int) -> DataFrame:
     """Links by the full shingle sets between components of a group. members: group, doc_id, component, text."""
 
     def find(table):
-        hashes, ends = shingle_sets(table.column("text"), n)
+        hashes, ends = sliced_sets(table.column("text"), n)
         sizes = np.diff(ends, prepend=0)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         order = np.argsort(hashes, kind="stable")
         fresh = np.ones(len(order), bool)
         fresh[1:] = hashes[order][1:] != hashes[order][:-1]
@@ -332,7 +350,7 @@ def _exact(members: DataFrame, n: int, threshold: int) -> DataFrame:
 
         return _forest(table, alike)
 
-    return _joined_by(_cross_blocks(members, EXACT_BLOCK, EXACT_MOST), find)
+    return _joined_by(_cross_blocks(members, EXACT_BLOCK, EXACT_MOST, EXACT_BYTES), find)
 
 
 def _one_row_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:

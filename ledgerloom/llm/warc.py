@@ -216,7 +216,8 @@ def _coalesced(wanted: Iterator[tuple[str, int, int]]) -> Iterator[list[tuple[st
 def read_records(index: DataFrame, make, schema: str) -> DataFrame:
     """Read the records of index, of which rows may be left out, and put each through make.
 
-    make(index row, payload) gives a row of schema. Rows are dealt by file and range of CHUNK
+    make(headers, payload) gives a row of schema; headers are those of the record itself, by names in
+    lower case. Rows are dealt by file and range of CHUNK
     bytes, sorted by offset, and neighbouring ranges are read together; at most CHUNK bytes, or one
     record, are held at a time.
     """
@@ -241,9 +242,9 @@ def read_records(index: DataFrame, make, schema: str) -> DataFrame:
                 held = file.read_at(run[-1][1] + run[-1][2] - begin, begin)
                 for row in run:
                     record = zlib.decompress(held[row[1] - begin : row[1] - begin + row[2]], 31)[: -len(END)]
-                    block = record[record.index(END.encode()) + len(END) :]
+                    head, block = record.split(END.encode(), 1)
                     payload = block[block.index(END.encode()) + len(END) :]
-                    made.append(make(dict(zip(names, row, strict=True)), payload))
+                    made.append(make(_headers(head), payload))
                 if len(made) >= 1000:
                     yield pa.RecordBatch.from_pylist([dict(zip(out_names, m, strict=True)) for m in made], schema=arrow)
                     made = []
@@ -258,30 +259,41 @@ def read_records(index: DataFrame, make, schema: str) -> DataFrame:
     return dealt.mapInArrow(read, schema)
 
 
+def _digest(headers: dict[str, str]) -> str:
+    return headers.get("warc-payload-digest", "").rpartition(":")[2]
+
+
 def payloads(index: DataFrame) -> DataFrame:
-    """(record_id, url, record_type, refers_to, payload binary) of the records of index."""
-    return read_records(index, lambda r, p: (r["record_id"], r["url"], r["record_type"], r["refers_to"], p), "record_id string, url string, record_type string, refers_to string, payload binary")
+    """(record_id, url, record_type, refers_to, digest, payload binary) of the records of index, as
+    the archives have them."""
+
+    def make(h, payload):
+        return h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-type"), h.get("warc-refers-to"), _digest(h), payload
+
+    return read_records(index, make, "record_id string, url string, record_type string, refers_to string, digest string, payload binary")
 
 
 def op1_warc_round_trip(spark, sf_dir: str) -> DataFrame:
-    """What the archives say of each page. Only responses are read: the index knows revisits, and
-    their payloads are those of the responses they refer to."""
+    """What the archives say of each page: every record is read, its id, type and reference are those
+    of its headers, and a response's digest is that of its payload. A revisit has no payload; its
+    length is that of the response that it refers to by id and digest."""
     index = write_archives(common.table(spark, sf_dir, "pages"), common.shared_dir(spark))
-    read = lambda r, p: (r["record_id"], len(p), hashlib.sha1(p).hexdigest())
-    again = F.col("record_type") == "revisit"
-    found = common.stored(read_records(index.filter(~again), read, "record_id string, payload_bytes long, payload_digest string"))
+
+    def make(h, payload):
+        response = h.get("warc-type") == "response"
+        digest = hashlib.sha1(payload).hexdigest() if response else _digest(h)
+        return h.get("warc-record-id"), h.get("warc-type"), h.get("warc-refers-to"), len(payload) if response else None, digest
+
+    found = common.stored(read_records(index, make, "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string"))
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
-    of = lambda c: F.when(page(c) != "", page(c)).cast("long")
-    responses = found.select(
-        of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")
-    )
+    of = lambda c: F.when(page(F.col(c)) != "", page(F.col(c))).cast("long").alias("page_id" if c == "record_id" else c)
+    again = F.col("record_type") == "revisit"
     # Names of pages that are revisited are unique among responses but for repeated rows.
-    payloads = found.groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
-    revisits = index.filter(again).select("record_id", "refers_to", F.col("digest").alias("payload_digest"))
-    others = revisits.join(payloads, ["refers_to", "payload_digest"]).select(
-        of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), of(F.col("refers_to")).alias("refers_to")
-    )
-    return responses.unionByName(others)
+    known = found.filter(~again).groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    responses = found.filter(~again)
+    revisits = found.filter(again).drop("payload_bytes").join(known, ["refers_to", "payload_digest"], "left")
+    both = responses.unionByName(revisits.select(responses.columns))
+    return both.select(of("record_id"), "payload_bytes", "payload_digest", "record_type", of("refers_to"))
 
 
 OP1_SQL = f"""

@@ -4,7 +4,9 @@ import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import components, minhash, toxicity
@@ -293,3 +295,23 @@ def test_pipeline_of_awkward_tables(spark, tmp_path, case):
     result = corpus_pipeline.run(spark, str(tmp_path))
     assert result.columns == ["doc_id", "lang", "source", "n_pieces", "pieces"]
     assert (result.count() == 0) == (case == "empty")
+
+
+def test_long_families_meet_in_blocks_of_bounded_bytes(spark, monkeypatch):
+    """Texts of one family are long: fewer of them meet at once, and no link is lost."""
+    monkeypatch.setattr(minhash, "EXACT_BYTES", 20_000)
+    base = text(77, 700)
+    rows = [(k, f"{base} own ending {k} {k * k}", "en", "a", 1) for k in range(40)]
+    members = spark.createDataFrame([(1, k, k, t) for k, t, *_ in rows], "group long, doc_id long, component long, text string")
+    dealt = minhash._cross_blocks(members, 256, 4096, 20_000)
+    sizes = [r["bytes"] for r in dealt.groupBy("group", "i", "j", "b").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()]
+    assert len(sizes) > 20 and max(sizes) < 60_000
+    found = minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["component_id"] for r in found} == {0}
+
+
+def test_sets_of_slices_are_those_of_all(monkeypatch):
+    texts = pa.array([text(k, 50) for k in range(20)] + [None, "", "one two"])
+    whole = minhash.shingle_sets(texts, 5)
+    monkeypatch.setattr(minhash, "slices", lambda t: ((k, min(k + 3, len(t))) for k in range(0, len(t), 3)))
+    assert all((a == b).all() for a, b in zip(minhash.sliced_sets(texts, 5), whole, strict=True))

@@ -5,6 +5,7 @@ import hashlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import chat, common, html, warc
 
@@ -88,6 +89,26 @@ def test_site_branches_are_removed(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_what_is_read_back_is_in_the_archives(spark, tmp_path):
+    """A revisit's header is changed in its file: what is read back has the change, not the index's type."""
+    import zlib
+    from pathlib import Path
+
+    html = "<p>" + "same words " * 200
+    pages = spark.createDataFrame([(k, f"http://a.org/{k}", html) for k in range(4)], "page_id long, url string, html string")
+    index = common.stored(warc.write_archives(pages, common.shared_dir(spark)))
+    row = index.filter("record_type = 'revisit'").orderBy("record_id").first()
+    data = Path(row["file"].removeprefix("file://").removeprefix("file:")).read_bytes()
+    plain = zlib.decompress(data[row["offset"] : row["offset"] + row["length"]], 31)
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    made = packer.compress(plain.replace(b"revisit", b"changed", 1)) + packer.flush()
+    (tmp_path / "a.warc.gz").write_bytes(made)
+    moved = row.asDict() | {"file": f"file://{tmp_path}/a.warc.gz", "offset": 0, "length": len(made)}
+    own = spark.createDataFrame([moved], index.schema)
+    found = warc.payloads(index.filter(F.col("record_id") != row["record_id"]).unionByName(own)).collect()
+    assert sorted(r["record_type"] for r in found) == ["changed", "response", "revisit", "revisit"]
+
+
 CHATS = "conv_id long, turn int, role string, text string, valid string"
 
 
@@ -107,7 +128,6 @@ def test_chats(spark):
 
 
 def test_escapes_are_reversible(spark):
-    from pyspark.sql import functions as F
 
     parts = ["\\", "[", "[INST]", "<|im_end|>", "<", "</s>", "a", "\\\\[", "|>"]
     texts = [a + b + c for a in parts for b in parts for c in parts]
@@ -117,7 +137,6 @@ def test_escapes_are_reversible(spark):
 
 
 def test_global_rank(spark):
-    from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(k % 7 if k % 5 else None, k) for k in range(50)], "a int, b int")
     got = common.global_rank(df, [F.col("a").asc_nulls_last(), F.col("b")], "r", 4).collect()
@@ -126,7 +145,6 @@ def test_global_rank(spark):
 
 
 def test_digest_is_that_of_the_payload(spark):
-    from pyspark.sql import functions as F
 
     row = spark.createDataFrame([("é",)], "t string").select(warc.payload_digest(F.col("t"))).first()
     assert row[0] == hashlib.sha1("é".encode()).hexdigest()
