@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import ahocorasick
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,12 +103,45 @@ def words_in_rectangles(words: DataFrame, rects: DataFrame, tolerance: float = 0
     return words.select("doc_id", "pos", "word").join(last, ["doc_id", "pos"], "left").select("doc_id", "pos", "word", F.coalesce("_label", F.lit("O")).alias("label"))
 
 
-def _runs_by_page(words: DataFrame, values: DataFrame) -> DataFrame:
-    """doc_id, _words (structs by pos) and _runs: (rank, start, n, field), in that order.
+#: Stands between tokens, and what is written for it inside of one.
+_BETWEEN, _MARK = "\x1f", "\x1e"
+
+
+def _laid(tokens: list[str]) -> list[str]:
+    """Tokens without the character that stands between them, different ones staying different."""
+    return [t.replace(_MARK, _MARK + "0").replace(_BETWEEN, _MARK + "1") for t in tokens]
+
+
+def find_runs(tokens: list[str], values: list[tuple[int, str, list[str]]]) -> list[tuple[int, int, int, str]]:
+    """(rank, start, n, field), sorted, of all runs of tokens that equal those of a value (rank, field,
+    tokens). One automaton of all values goes over the page once, however many they are."""
+    known: dict[str, list[tuple[int, str]]] = {}
+    sizes = {}
+    for rank, field, wanted in values:
+        text = _BETWEEN.join(["", *_laid(wanted), ""])
+        known.setdefault(text, []).append((rank, field))
+        sizes[text] = len(wanted)
+    automaton = ahocorasick.Automaton()
+    for text in known:
+        automaton.add_word(text, text)
+    if not known or not tokens:
+        return []
+    automaton.make_automaton()
+    tokens = _laid(tokens)
+    ends = list(accumulate((len(t) + 1 for t in tokens), initial=0))
+    place = {end: k for k, end in enumerate(ends)}
+    found = []
+    for last, text in automaton.iter(_BETWEEN.join(["", *tokens, ""])):
+        start, n = place[last + 1 - len(text)], sizes[text]
+        found += [(rank, start, n, field) for rank, field in known[text]]
+    return sorted(found)
+
+
+def _pages_and_values(words: DataFrame, values: DataFrame) -> DataFrame:
+    """doc_id, _words (structs by pos), _tokens (their loose tokens) and _values: (rank, field, tokens).
 
     values: doc_id, field, value, rank. A page's words and its values are gathered once each, so a
-    word is shuffled once however many values its page has. A place is compared in full only where
-    the first token fits.
+    word is shuffled once however many values its page has.
     """
     tokens = F.transform(F.filter(F.split("value", r"(?U)\s+"), lambda w: w != ""), loose_token)
     wanted = values.select("doc_id", F.col("rank").cast("long").alias("rank"), "field", tokens.alias("tokens"))
@@ -113,30 +149,29 @@ def _runs_by_page(words: DataFrame, values: DataFrame) -> DataFrame:
     held = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("rank", "field", "tokens")).alias("_values"))
     row = F.struct("pos", *(c for c in words.columns if c not in ("doc_id", "pos", "label")))
     pages = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("_words"))
-    joined = pages.join(held, "doc_id", "left").withColumn("_tokens", F.transform("_words", lambda w: loose_token(w["word"])))
+    joined = pages.join(held, "doc_id", "left")
+    return joined.withColumn("_tokens", F.transform("_words", lambda w: F.coalesce(loose_token(w["word"]), F.lit(""))))
 
-    def of_value(v: Column) -> Column:
-        n = F.size(v["tokens"])
-        first, last = F.get(v["tokens"], F.lit(0)), F.size("_tokens") - n
-        places = F.when(last >= 0, F.sequence(F.lit(0), last))
-        fits = lambda i: F.when(F.get("_tokens", i) == first, F.slice("_tokens", i + 1, n) == v["tokens"])
-        run = lambda i: F.struct(v["rank"].alias("rank"), i.alias("start"), n.alias("n"), v["field"].alias("field"))
-        return F.transform(F.coalesce(F.filter(places, fits), F.array().cast("array<int>")), run)
 
-    runs = F.array_sort(F.flatten(F.transform("_values", of_value)))
-    empty = F.array().cast("array<struct<rank:bigint,start:int,n:int,field:string>>")
-    return joined.select("doc_id", "_words", F.coalesce(runs, empty).alias("_runs"))
+def _plain(values) -> list[tuple[int, str, list[str]]]:
+    return [(v["rank"], v["field"], list(v["tokens"])) for v in values] if values is not None else []
 
 
 def value_ngram_match(words: DataFrame, values: DataFrame) -> DataFrame:
     """doc_id, field, start, n: runs of words that equal a field's value, token by loose token.
 
-    values: doc_id, field, value.
+    values: doc_id, field, value. Each page's values make an automaton, which leaves the JVM with the
+    page's tokens; pages without values stay.
     """
-    found = _runs_by_page(words, values.select("doc_id", "field", "value", F.lit(0).alias("rank")))
+    pages = _pages_and_values(words, values.select("doc_id", "field", "value", F.lit(0).alias("rank")))
+
+    @F.udf("array<struct<field:string,start:bigint,n:int>>", useArrow=True)
+    def runs(tokens, wanted):
+        return [{"field": f, "start": s, "n": n} for _, s, n, f in find_runs(list(tokens), _plain(wanted))]
+
+    found = pages.filter("_values IS NOT NULL").select("doc_id", runs("_tokens", "_values").alias("_runs"))
     # An outer generator: for an inner one Spark would look for the runs a second time, to filter by.
-    rows = found.select("doc_id", F.inline_outer("_runs")).filter("n IS NOT NULL")
-    return rows.select("doc_id", "field", F.col("start").cast("long").alias("start"), "n")
+    return found.select("doc_id", F.inline_outer("_runs")).filter("n IS NOT NULL").select("doc_id", "field", "start", "n")
 
 
 def weak_label(words: DataFrame, values: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -144,26 +179,24 @@ def weak_label(words: DataFrame, values: DataFrame, order: list[str] | None = No
 
     Fields go in `order`, or by the rank that each row of values (doc_id, field, value) has; a value
     without either is ignored. A field's runs are taken greedily from the left without overlap; a run
-    may start only on a word that is O by then, but may go over labels further on. Only the greedy
-    pass leaves the JVM; it sees the runs and the number of words of a page.
+    may start only on a word that is O by then, but may go over labels further on. Only matching and
+    the greedy pass leave the JVM, with a page's tokens.
     """
     if order is not None:
         place = F.array_position(F.array(*map(F.lit, order)), F.col("field"))
         values = values.withColumn("rank", F.when(place > 0, place))
-    pages = _runs_by_page(words, values)
+    pages = _pages_and_values(words, values)
 
     @F.udf("array<string>", useArrow=True)
-    def greedy(n, runs, n_runs):
-        labels = ["O"] * n
-        for run in runs:
-            begin, field = run["start"], run["field"].upper()
+    def greedy(tokens, wanted):
+        labels = ["O"] * len(tokens)
+        for _, begin, n, field in find_runs(list(tokens), _plain(wanted)):
+            name = field.upper()
             if labels[begin] == "O":
-                labels[begin : begin + run["n"]] = ["B-" + field] + ["I-" + field] * (run["n"] - 1)
+                labels[begin : begin + n] = ["B-" + name] + ["I-" + name] * (n - 1)
         return labels
 
-    # A column that is used twice stays one; folded into the call, its lambdas would keep Spark from
-    # sending it to Python.
-    labelled = pages.withColumn("_labels", greedy(F.size("_words"), "_runs", F.size("_runs")))
+    labelled = pages.withColumn("_labels", greedy("_tokens", "_values"))
     rows = labelled.select("doc_id", F.explode_outer(F.arrays_zip(F.col("_words").alias("w"), F.col("_labels").alias("label"))).alias("r"))
     columns = [c for c in words.columns if c != "label"]
     return rows.select(*("doc_id" if c == "doc_id" else F.col(f"r.w.{c}").alias(c) for c in columns), "r.label")
