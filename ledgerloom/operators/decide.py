@@ -130,12 +130,8 @@ def _has(pairs: DataFrame, side: str, name: str) -> bool:
     return name in pairs.schema[side].dataType.names
 
 
-def merge_extractions(pairs: DataFrame) -> DataFrame:
-    """invoice_id and the compared fields, currency and due_date: the champ's value, or else the
-    challenger's. raw (JSON) has both engines' raw results, or that of the only one.
-
-    Fields that neither side has are left out.
-    """
+def merged_columns(pairs: DataFrame) -> list[Column]:
+    """The columns of merge_extractions but the id."""
     held = lambda n: [F.col(f"{s}.{n}") for s in ("champ", "challenger") if _has(pairs, s, n)]
     names = [n for n in (*COMPARED, "currency", "due_date") if held(n)]
     merged = [F.coalesce(*held(n)).alias(n) for n in names]
@@ -144,7 +140,16 @@ def merge_extractions(pairs: DataFrame) -> DataFrame:
         both = F.concat(F.lit('{"champ":'), raw("champ"), F.lit(',"challenger":'), raw("challenger"), F.lit("}"))
         two = F.col("champ").isNotNull() & F.col("challenger").isNotNull()
         merged.append(F.when(two, both).otherwise(F.coalesce(*held("raw"))).alias("raw"))
-    return pairs.select(KEY, *merged)
+    return merged
+
+
+def merge_extractions(pairs: DataFrame) -> DataFrame:
+    """invoice_id and the compared fields, currency and due_date: the champ's value, or else the
+    challenger's. raw (JSON) has both engines' raw results, or that of the only one.
+
+    Fields that neither side has are left out.
+    """
+    return pairs.select(KEY, *merged_columns(pairs))
 
 
 def merge_items(champ_items: DataFrame, challenger_items: DataFrame) -> DataFrame:
@@ -162,10 +167,9 @@ def engine_confidence(pairs: DataFrame, side: str) -> Column:
     return F.when(n > 0, sum((F.coalesce(s, F.lit(0.0)) for s in scores), F.lit(0.0)) / n).otherwise(0.0)
 
 
-def _judged(champ: DataFrame, challenger: DataFrame, items: DataFrame, cfg: Thresholds, exact: bool) -> DataFrame:
-    """Pairs with fields, agreement, the check of the total, and decision, confidence (not rounded),
+def _judged(pairs: DataFrame, items: DataFrame, cfg: Thresholds, exact: bool) -> DataFrame:
+    """pairs with fields, agreement, the check of the total, and decision, confidence (not rounded),
     champ_confidence, challenger_confidence, reasons."""
-    pairs = pair_engines(champ, challenger)
     rows = _compared(pairs, cfg, exact).join(line_item_sum(items), KEY, "left").withColumn("agreement", _agreement(F.col("fields")))
     rows = rows.withColumns(_math(F.col("champ.total_amount"), F.col("champ.tax_amount"), cfg))
     both = F.col("champ").isNotNull() & F.col("challenger").isNotNull()
@@ -192,7 +196,7 @@ def decide(champ: DataFrame, challenger: DataFrame, items: DataFrame, cfg: Thres
     Both engines: AUTO_APPROVED if weighted confidence, agreement and the sum of items all pass, or
     else REVIEW_REQUIRED. One engine: REVIEW_REQUIRED with its own confidence.
     """
-    rows = _judged(champ, challenger, items, cfg, exact=False)
+    rows = _judged(pair_engines(champ, challenger), items, cfg, exact=False)
     two = lambda c: F.when(F.col("_both"), F.col(c)).alias(c)
     return rows.select(KEY, "decision", _rounded("confidence", 4).alias("confidence"), two("agreement"), two("math_ok"), "reasons")
 
@@ -226,7 +230,12 @@ def validation_report(champ: DataFrame, challenger: DataFrame, items: DataFrame,
     """invoice_id, decision, confidence (4 decimals) and report: decision, agreement_ratio, weighted_confidence, confidence_by_engine,
     thresholds, math_check, a map of fields, and reasons. With one engine only decision and reasons
     are there. One pass over the pairs: nothing is regrouped."""
-    rows = _judged(champ, challenger, items, cfg, exact=True)
+    return reported(pair_engines(champ, challenger), items, cfg).select(KEY, "decision", "confidence", "report")
+
+
+def reported(pairs: DataFrame, items: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
+    """pairs with decision, confidence and report, as validation_report has them."""
+    rows = _judged(pairs, items, cfg, exact=True)
     entry = lambda f: F.struct(f["field"].alias("key"), F.struct(*(f[n].alias(n) for n in ("champ", "challenger", "match", "similarity"))).alias("value"))
     text = lambda c: F.when(~F.col("skipped"), F.col(c).cast("string")).alias(c)
     math = F.struct(
@@ -246,7 +255,7 @@ def validation_report(champ: DataFrame, challenger: DataFrame, items: DataFrame,
         F.map_from_entries(F.transform("fields", entry)).alias("fields"),
         F.col("reasons"),
     )
-    return rows.select(KEY, "decision", _rounded("confidence", 4).alias("confidence"), report.alias("report"))
+    return rows.select(*pairs.columns, "decision", _rounded("confidence", 4).alias("confidence"), report.alias("report"))
 
 
 def mismatch_flags(reports: DataFrame) -> DataFrame:

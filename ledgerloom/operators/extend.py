@@ -6,13 +6,14 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULTS, Thresholds
+from ..storage import stored
 from . import decide as D
 from .parse import parse_lines
-from .workflow import reference_data_check
+from .workflow import with_reference_data
 
 
 def safe_apply(agent: str, call: Callable[[str], str | None]) -> Callable[[str], tuple]:
@@ -58,38 +59,61 @@ def challenger_of(lines: DataFrame) -> DataFrame:
     return parsed.withColumns({"confidence_scores": scores, "raw": raw}).drop("confidence", "line_count")
 
 
+def _log(step: int, agent: str, ok: Column, bad: str, message: Column, extra: Column | None = None) -> Column:
+    level = F.when(F.coalesce(ok, F.lit(False)), "INFO").otherwise(bad)
+    held = F.lit(None).cast("string") if extra is None else extra
+    return F.struct(F.lit(step).alias("step"), F.lit(agent).alias("agent"), level.alias("level"), message.alias("message"), held.alias("extra"))
+
+
 def run_pipeline_batch(
-    uploads: DataFrame, champ: DataFrame, lines: DataFrame, items: DataFrame, vendors: DataFrame, orders: DataFrame, cfg: Thresholds = DEFAULTS
+    uploads: DataFrame,
+    champ: DataFrame,
+    lines: DataFrame,
+    items: DataFrame,
+    vendors: DataFrame,
+    orders: DataFrame,
+    cfg: Thresholds = DEFAULTS,
+    durations: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(invoices, items, logs) of a batch of uploads (invoice_id): a champ's extractions and items
     against fields parsed from recognized lines.
 
     invoices have the merged fields, confidence (4 decimals), status, the report as JSON and what is
     known of the vendor; an upload that neither engine read is FAILED. items are those of invoices
-    that were read. logs have a row per upload and stage that ran: after both engines failed nothing
-    else runs, and what is not known of a vendor is a warning.
+    that were read. logs have a row per upload and stage that ran, with agent, level, message, extra
+    (the report) and duration_ms: after both engines failed nothing else runs, and what is not known
+    of a vendor is a warning. durations (invoice_id, agent, duration_ms), which models give, are put
+    beside their agent's row; other stages run for all uploads at once and have none.
+
+    Engines are paired, compared and looked up once, in one frame that is stored; invoices and logs
+    are cut from it.
     """
-    challenger = challenger_of(lines)
     ids = uploads.select(D.KEY).distinct()
-    merged = ids.join(D.merge_extractions(D.pair_engines(champ, challenger)), D.KEY)
-    judged = D.validation_report(champ, challenger, items, cfg)
-    judged = judged.select(D.KEY, F.col("decision").alias("status"), "confidence", F.to_json("report").alias("report"))
-    known = reference_data_check(merged, vendors, orders).withColumnRenamed("message", "vendor_message")
-    read = merged.join(judged, D.KEY).join(known, D.KEY)
-    invoices = ids.join(read, D.KEY, "left").withColumn("status", F.coalesce("status", F.lit("FAILED")))
+    pairs = ids.join(D.pair_engines(champ, challenger_of(lines)), D.KEY)
+    judged = D.reported(pairs, items, cfg)
+    has = lambda side: F.col(side).isNotNull().alias(f"has_{side}")
+    read = judged.select(
+        D.KEY, *D.merged_columns(pairs), has("champ"), has("challenger"),
+        F.col("decision").alias("status"), "confidence", F.to_json("report").alias("report"),
+    )
+    known = with_reference_data(read, vendors, orders).withColumnRenamed("message", "vendor_message")
+    frame = stored(ids.join(known, D.KEY, "left"))
+    invoices = frame.drop("has_champ", "has_challenger").withColumn("status", F.coalesce("status", F.lit("FAILED")))
     kept = items.join(ids, D.KEY, "left_semi")
 
-    ran = ids.join(champ.select(D.KEY, F.lit(True).alias("_a")), D.KEY, "left").join(challenger.select(D.KEY, F.lit(True).alias("_b")), D.KEY, "left")
-    ran = ran.join(known.select(D.KEY, "vendor_valid"), D.KEY, "left")
-    some = F.col("_a").isNotNull() | F.col("_b").isNotNull()
-    level = lambda ok, bad: F.when(F.coalesce(ok, F.lit(False)), "INFO").otherwise(bad)
-    stage = lambda k, agent, grade: F.struct(F.lit(k).alias("step"), F.lit(agent).alias("agent"), grade.alias("level"))
+    a, b, some = F.col("has_champ"), F.col("has_challenger"), F.col("status").isNotNull()
+    said = lambda name, ok: F.when(F.coalesce(ok, F.lit(False)), f"{name} OCR ok").otherwise(f"{name} OCR failed: no extraction")
+    decided = F.concat(F.lit("Validation decision: "), "status")
+    vendor = F.concat(F.lit("vendor_valid="), F.col("vendor_valid").cast("string"), F.lit(", po_valid="), F.col("po_valid").cast("string"))
     stages = F.array_compact(
         F.array(
-            stage(0, "champ", level(F.col("_a"), "ERROR")),
-            stage(1, "challenger", level(F.col("_b"), "ERROR")),
-            stage(2, "validation", level(some, "ERROR")),
-            F.when(some, stage(3, "vendor_check", level(F.col("vendor_valid"), "WARNING"))),
+            _log(0, "champ", a, "ERROR", said("Champ", a)),
+            _log(1, "challenger", b, "ERROR", said("Challenger", b)),
+            _log(2, "validation", some, "ERROR", F.coalesce(decided, F.lit("Validation failed: no engine gave an extraction")), F.col("report")),
+            F.when(some, _log(3, "vendor_check", F.col("vendor_valid"), "WARNING", vendor)),
         )
     )
-    return invoices, kept, ran.select(D.KEY, F.inline(stages))
+    logs = frame.select(D.KEY, F.inline(stages))
+    if durations is None:
+        return invoices, kept, logs.withColumn("duration_ms", F.lit(None).cast("int"))
+    return invoices, kept, logs.join(durations.select(D.KEY, "agent", F.col("duration_ms").cast("int")), [D.KEY, "agent"], "left")

@@ -113,15 +113,20 @@ def _vendor_ids(vendors: DataFrame) -> DataFrame:
     return vendors.groupBy("vendor_name").agg(F.min("vendor_id").alias("vendor_id"))
 
 
-def reference_data_check(invoices: DataFrame, vendors: DataFrame, orders: DataFrame) -> DataFrame:
-    """invoice_id, vendor_id, vendor_valid, po_valid, message; no purchase order is a valid one."""
+def with_reference_data(df: DataFrame, vendors: DataFrame, orders: DataFrame) -> DataFrame:
+    """df (with vendor_name, purchase_order) with vendor_id, vendor_valid, po_valid and message."""
     known = orders.select("purchase_order").distinct().withColumn("_known", F.lit(True))
-    own = invoices.select(KEY, "vendor_name", "purchase_order")
-    joined = own.join(_vendor_ids(vendors), "vendor_name", "left").join(known, "purchase_order", "left")
+    joined = df.join(_vendor_ids(vendors), "vendor_name", "left").join(known, "purchase_order", "left")
     vendor_ok = F.col("vendor_id").isNotNull()
     po_ok = F.col("purchase_order").isNull() | F.coalesce("_known", F.lit(False))
     message = F.when(vendor_ok & po_ok, "ok").otherwise("partial")
-    return joined.select(KEY, "vendor_id", vendor_ok.alias("vendor_valid"), po_ok.alias("po_valid"), message.alias("message"))
+    return joined.select(*df.columns, "vendor_id", vendor_ok.alias("vendor_valid"), po_ok.alias("po_valid"), message.alias("message"))
+
+
+def reference_data_check(invoices: DataFrame, vendors: DataFrame, orders: DataFrame) -> DataFrame:
+    """invoice_id, vendor_id, vendor_valid, po_valid, message; no purchase order is a valid one."""
+    own = invoices.select(KEY, "vendor_name", "purchase_order")
+    return with_reference_data(own, vendors, orders).drop("vendor_name", "purchase_order")
 
 
 def posting_payload(invoices: DataFrame, vendors: DataFrame) -> DataFrame:

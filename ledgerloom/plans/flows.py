@@ -354,7 +354,10 @@ def _(spark, sf):
 def _batch(spark, sf):
     views = {n: load(spark, sf, f"fx_{n}") for n in ("invoices", "champ", "text", "items", "vendors", "purchase_orders")}
     lines = views["text"].filter("invoice_id % 41 <> 0").select(F.col("invoice_id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"), F.lit(0.95).alias("confidence"))
-    return extend.run_pipeline_batch(views["invoices"].select("invoice_id"), views["champ"], lines, views["items"], views["vendors"], views["purchase_orders"])
+    uploads = views["invoices"].select("invoice_id")
+    took = lambda agent, n: uploads.select("invoice_id", F.lit(agent).alias("agent"), (F.col("invoice_id") % n).alias("duration_ms"))
+    durations = took("champ", 977).unionAll(took("challenger", 577))
+    return extend.run_pipeline_batch(uploads, views["champ"], lines, views["items"], views["vendors"], views["purchase_orders"], durations=durations)
 
 
 # What the challenger reads equals the champ's fields, but for a total that is the subtotal's (its
@@ -384,12 +387,20 @@ def _(spark, sf):
     return invoices.select(*_FIELDS.split(", "), "confidence", "status", "vendor_id", "po_valid", F.col("report").isNotNull().alias("has_report"))
 
 
-_LOGS = _parsed_view(f"{_RAN}, s AS (SELECT unnest(['champ', 'challenger', 'validation', 'vendor_check']) AS agent) SELECT invoice_id, agent, CASE agent WHEN 'champ' THEN CASE WHEN has_a THEN 'INFO' ELSE 'ERROR' END WHEN 'challenger' THEN CASE WHEN has_b THEN 'INFO' ELSE 'ERROR' END WHEN 'validation' THEN CASE WHEN has_a OR has_b THEN 'INFO' ELSE 'ERROR' END ELSE CASE WHEN vendor_id IS NOT NULL THEN 'INFO' ELSE 'WARNING' END END AS level FROM made, s WHERE agent <> 'vendor_check' OR has_a OR has_b")
+_LOGS = _parsed_view(f"""{_RAN}, s AS (SELECT unnest(['champ', 'challenger', 'validation', 'vendor_check']) AS agent)
+SELECT invoice_id, agent, CASE agent WHEN 'champ' THEN CASE WHEN has_a THEN 'INFO' ELSE 'ERROR' END WHEN 'challenger' THEN CASE WHEN has_b THEN 'INFO' ELSE 'ERROR' END
+    WHEN 'validation' THEN CASE WHEN has_a OR has_b THEN 'INFO' ELSE 'ERROR' END ELSE CASE WHEN vendor_id IS NOT NULL THEN 'INFO' ELSE 'WARNING' END END AS level,
+  CASE agent WHEN 'champ' THEN CASE WHEN has_a THEN 'Champ OCR ok' ELSE 'Champ OCR failed: no extraction' END
+    WHEN 'challenger' THEN CASE WHEN has_b THEN 'Challenger OCR ok' ELSE 'Challenger OCR failed: no extraction' END
+    WHEN 'validation' THEN CASE WHEN has_a OR has_b THEN 'Validation decision: ' || {_STATUS} ELSE 'Validation failed: no engine gave an extraction' END
+    ELSE 'vendor_valid=' || (vendor_id IS NOT NULL) || ', po_valid=' || po_valid END AS message,
+  CAST(CASE agent WHEN 'champ' THEN invoice_id % 977 WHEN 'challenger' THEN invoice_id % 577 END AS INTEGER) AS duration_ms
+FROM made, s WHERE agent <> 'vendor_check' OR has_a OR has_b""")
 
 
 @query("pipeline_logs", _LOGS)
 def _(spark, sf):
-    return _batch(spark, sf)[2].select("invoice_id", "agent", "level")
+    return _batch(spark, sf)[2].select("invoice_id", "agent", "level", "message", "duration_ms")
 
 
 # Items of two of four invoices are replaced by their first lines, in a batch that has one of them anew.
