@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..indexes import SortedIndex, TextIndex, numbered_chunks
 from ..schemas import FINALIZED, GROUPS, IN_REVIEW, STATUSES
 
 KEY = "invoice_id"
+SEARCHED = ("vendor_name", "invoice_number", "original_filename", "purchase_order")
 SORTABLE = ("created_at", "invoice_date", "vendor_name", "total_amount", "status")
 
 
@@ -53,8 +55,7 @@ def filter_date_range(df: DataFrame, first: str | None, last: str | None) -> Dat
 def search_any(df: DataFrame, text: str | None) -> DataFrame:
     if not text:
         return df
-    columns = ("vendor_name", "invoice_number", "original_filename", "purchase_order")
-    return df.filter(reduce(Column.__or__, (F.coalesce(_contains(c, text), F.lit(False)) for c in columns)))
+    return df.filter(reduce(Column.__or__, (F.coalesce(_contains(c, text), F.lit(False)) for c in SEARCHED)))
 
 
 def apply_filters(df: DataFrame, filters: Filters) -> DataFrame:
@@ -126,6 +127,18 @@ def page(df: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
     return df.offset(max(0, (number - 1) * size)).limit(size)
 
 
+def sorted_index(df: DataFrame, path: str, sort_by: str = "created_at", sort_dir: str = "desc") -> SortedIndex:
+    """sorted_list stored below path, of which any page is read alone."""
+    column = sort_by if sort_by in SORTABLE else "created_at"
+    return SortedIndex.build(df, path, [_order(column, sort_dir == "desc"), F.col(KEY)])
+
+
+def search_index(df: DataFrame, path: str, chunks: int = 200) -> TextIndex:
+    """df stored below path with an index for filter_vendor, filter_number and search_any: neighbours
+    by invoice number are together."""
+    return TextIndex.build(df, path, SEARCHED, chunks, [F.col("invoice_number"), F.col(KEY)])
+
+
 def serial_number(paged: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     """Serial numbers on a page, which holds few rows."""
     return paged.withColumn("serial", F.row_number().over(Window.orderBy(*order)) + (number - 1) * size)
@@ -141,10 +154,29 @@ def items_in_order(items: DataFrame) -> DataFrame:
     return items.groupBy(KEY).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
+def _entry(logs: DataFrame) -> Column:
+    return F.struct("created_at", "log_id", "agent", "level", "duration_ms", *(c for c in ("message", "extra") if c in logs.columns))
+
+
 def audit_trail(logs: DataFrame) -> DataFrame:
-    """invoice_id and its log as an array by time."""
-    entry = F.struct("created_at", "log_id", "agent", "level", "duration_ms")
-    return logs.groupBy(KEY).agg(F.array_sort(F.collect_list(entry)).alias("logs"))
+    """invoice_id and its log as an array by time, with messages if there are any."""
+    return logs.groupBy(KEY).agg(F.array_sort(F.collect_list(_entry(logs))).alias("logs"))
+
+
+def audit_parts(logs: DataFrame, size: int = 1000) -> DataFrame:
+    """invoice_id, part and logs: the audit trail in parts of `size` entries, numbered from 0 by time,
+    so that an invoice with very many entries is in no single row or task. Entries of one time go by
+    log_id, which has to be unique."""
+    dealt = numbered_chunks(logs, KEY, [F.col("created_at").asc_nulls_first(), F.col("log_id")], size)
+    return dealt.groupBy(KEY, "part").agg(F.array_sort(F.collect_list(_entry(logs))).alias("logs"))
+
+
+def detail_parts(invoices: DataFrame, items: DataFrame, logs: DataFrame, size: int = 1000) -> DataFrame:
+    """Each invoice with its items, and its log in parts of `size`: a row for each part, at least one.
+    part is null where there is no log; items are in the first row alone."""
+    parts = invoices.join(audit_parts(logs, size), KEY, "left").join(items_in_order(items), KEY, "left")
+    held = F.when(F.coalesce("part", F.lit(0)) == 0, F.coalesce("items", F.array()))
+    return parts.withColumns({"items": held, "logs": F.coalesce("logs", F.array())})
 
 
 def invoice_detail(invoices: DataFrame, items: DataFrame, logs: DataFrame) -> DataFrame:

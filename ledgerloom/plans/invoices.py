@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import load, oracle
@@ -11,6 +14,7 @@ from ..operators import listing as L
 from ..operators import stats as S
 from ..operators import workflow as W
 from ..schemas import COMPARED, LABELS, MONEY, STATUSES, TRANSITIONS
+from ..storage import new_path
 
 NOW = "1997-06-15 12:00:00"
 QUERIES: dict = {}
@@ -304,6 +308,21 @@ _page("serial_number", "total_amount", "desc", 2, 25)
 _page("sorted_list_by_status", "status", "asc", 1, 200)
 
 
+@query("page_of_index", f"SELECT {_SHOWN} FROM fx_invoices ORDER BY {_order_sql('total_amount', 'asc')} LIMIT 20 OFFSET 1160")
+def _(spark, sf):
+    return L.sorted_index(load(spark, sf, "fx_invoices"), new_path(spark), "total_amount", "asc").page(59, 20).select(*_COLS)
+
+
+_FOUND_SQL = "vendor_name ILIKE '%{0}%' OR invoice_number ILIKE '%{0}%' OR original_filename ILIKE '%{0}%' OR purchase_order ILIKE '%{0}%'"
+
+
+@query("search_index", " UNION ALL ".join(f"SELECT '{t}' AS search, {_SHOWN} FROM fx_invoices WHERE {_FOUND_SQL.format(t)}" for t in ("INV-1_77", "o-10%7", "7", "no such")))
+def _(spark, sf):
+    index = L.search_index(load(spark, sf, "fx_invoices"), new_path(spark), 40)
+    found = [index.contains(L.SEARCHED, t)[0].select(F.lit(t).alias("search"), *_COLS) for t in ("INV-1_77", "o-10%7", "7", "no such")]
+    return reduce(DataFrame.unionAll, found)
+
+
 @query("sorted_list", f"SELECT {_SHOWN} FROM fx_invoices ORDER BY {_order_sql('total_amount', 'asc')}")
 def _(spark, sf):
     return L.sorted_list(load(spark, sf, "fx_invoices"), "total_amount", "asc").select(*_COLS)
@@ -331,6 +350,12 @@ def _(spark, sf):
     return L.audit_trail(load(spark, sf, "fx_logs")).select("invoice_id", _trail())
 
 
+@query("audit_parts", f"""SELECT invoice_id, CAST(part AS INTEGER) AS part, {_TRAIL} AS logs
+FROM (SELECT *, (row_number() OVER (PARTITION BY invoice_id ORDER BY created_at NULLS FIRST, log_id) - 1) // 7 AS part FROM fx_logs) GROUP BY ALL""")
+def _(spark, sf):
+    return L.audit_parts(load(spark, sf, "fx_logs"), 7).select("invoice_id", "part", _trail())
+
+
 @query("invoice_detail", f"SELECT invoice_id, vendor_name, coalesce(items, '') AS items, coalesce(logs, '') AS logs FROM fx_invoices LEFT JOIN (SELECT invoice_id, {_ITEMS} AS items FROM fx_items GROUP BY 1) USING (invoice_id) LEFT JOIN (SELECT invoice_id, {_TRAIL} AS logs FROM fx_logs GROUP BY 1) USING (invoice_id)")
 def _(spark, sf):
     made = L.invoice_detail(load(spark, sf, "fx_invoices"), load(spark, sf, "fx_items"), load(spark, sf, "fx_logs"))
