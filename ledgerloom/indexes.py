@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import json
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from .storage import new_path
+from .storage import Folder, new_path
 
 _RANGE, _CHUNK = "_range", "_chunk"
 
 
+def _write_rows(dealt: DataFrame, path: str, column: str) -> DataFrame:
+    """Rows in a folder for each value of a column, with their schema, which no file has if there are none."""
+    dealt.write.partitionBy(column).parquet(f"{path}/rows")
+    Folder(dealt.sparkSession, path).publish("schema.json", dealt.schema.json())
+    return _read_rows(dealt.sparkSession, path)
+
+
+def _read_rows(spark: SparkSession, path: str) -> DataFrame:
+    schema = StructType.fromJson(json.loads(Folder(spark, path).read("schema.json")))
+    return spark.read.schema(schema).parquet(f"{path}/rows")
+
+
 class SortedIndex:
     """Rows in ranges of a sort order, and how many each range has.
 
@@ -21,7 +35,7 @@ class SortedIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str, order: list[Column]):
-        self.rows = spark.read.parquet(f"{path}/rows")
+        self.rows = _read_rows(spark, path)
         self.order = order
         counts = {r[_RANGE]: r["n"] for r in spark.read.parquet(f"{path}/counts").collect()}
         self._ranges = sorted(counts)
@@ -34,9 +48,8 @@ class SortedIndex:
         spark = df.sparkSession
         n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = df.repartitionByRange(n, *order).withColumn(_RANGE, F.spark_partition_id())
-        dealt.sortWithinPartitions(*order).write.partitionBy(_RANGE).parquet(f"{path}/rows")
-        # From the stored rows: ranges are cut anew at each run.
-        rows = spark.read.schema(dealt.schema).parquet(f"{path}/rows")
+        # Counted from the stored rows: ranges are cut anew at each run.
+        rows = _write_rows(dealt.sortWithinPartitions(*order), path, _RANGE)
         rows.groupBy(_RANGE).agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/counts")
         return cls(spark, path, order)
 
@@ -87,7 +100,7 @@ class TextIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.rows = spark.read.parquet(f"{path}/rows")
+        self.rows = _read_rows(spark, path)
         self.chunks = sorted(r[0] for r in spark.read.parquet(f"{path}/chunks").collect())
 
     @classmethod
@@ -100,8 +113,7 @@ class TextIndex:
         text columns. Chunks are files of their own; the fewer of them have a run, the less is read."""
         spark = df.sparkSession
         dealt = df.repartitionByRange(chunks, *near).withColumn(_CHUNK, F.spark_partition_id())
-        dealt.write.partitionBy(_CHUNK).parquet(f"{path}/rows")
-        rows = spark.read.parquet(f"{path}/rows")
+        rows = _write_rows(dealt, path, _CHUNK)
         rows.select(_CHUNK).distinct().coalesce(1).write.parquet(f"{path}/chunks")
         grams = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.lower(F.col(c)).alias("text")) for c in columns))).alias("v")
         found = rows.select(_CHUNK, grams).select(_CHUNK, "v.column", F.explode(_trigrams(F.col("v.text"))).alias("gram")).distinct()
@@ -116,7 +128,7 @@ class TextIndex:
             return self.chunks
         wanted = self.spark.createDataFrame([(g,) for g in grams], "gram string")
         buckets = [r[0] for r in wanted.select(self._bucket(F.col("gram"))).distinct().collect()]
-        postings = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("_bucket").isin(buckets))
+        postings = self.spark.read.schema(f"{_CHUNK} int, column string, gram string, _bucket int").parquet(f"{self.path}/postings").filter(F.col("_bucket").isin(buckets))
         hits = postings.filter((F.col("column") == column) & F.col("gram").isin(grams))
         full = hits.groupBy(_CHUNK).count().filter(F.col("count") == len(grams))
         return sorted(r[0] for r in full.select(_CHUNK).collect())

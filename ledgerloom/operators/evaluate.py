@@ -27,6 +27,25 @@ def field_prf(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return rated.withColumn("f1", 2 * F.col("precision") * F.col("recall") / F.greatest(F.lit(1e-9), F.col("precision") + F.col("recall")))
 
 
+def evaluated_documents(gold: DataFrame, predicted: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """documents, with_gold, with_predicted, exact: how many documents the figures of field_prf stand
+    for. gold and predicted are words (doc_id, ...) or fields of all documents that were evaluated;
+    with images (doc_id) only those count that have one. exact is how many have equal fields on both
+    sides, where these have field and value."""
+    a, b = (df.select("doc_id").distinct().withColumn(n, F.lit(True)) for df, n in ((gold, "_g"), (predicted, "_p")))
+    both = a.join(b, "doc_id", "full_outer")
+    if {"field", "value"} <= set(gold.columns) & set(predicted.columns):
+        pairs = gold_vs_predicted(gold, predicted)
+        plain = lambda c: F.lower(stripped(F.col(c)))
+        same = pairs.groupBy("doc_id").agg(F.bool_and(F.coalesce(plain("gold") == plain("predicted"), F.lit(False))).alias("_same"))
+        both = both.join(same, "doc_id", "left")
+    else:
+        both = both.withColumn("_same", F.lit(None).cast("boolean"))
+    if images is not None:
+        both = both.join(images.select("doc_id").distinct(), "doc_id", "left_semi")
+    return both.agg(F.count("*").alias("documents"), F.count("_g").alias("with_gold"), F.count("_p").alias("with_predicted"), F.count_if("_same").alias("exact"))
+
+
 def entity_prf(gold: DataFrame, predicted: DataFrame, label: str = "label") -> DataFrame:
     """tp, n_gold, n_predicted, precision, recall, f1 over entities (field, start, end), all fields
     together; 0 where there is nothing to divide by. Padded words have a null label."""

@@ -167,6 +167,18 @@ def _(spark, sf):
     return A.append_feedback(words, values).select("doc_id", "pos", "word", "label", "source")
 
 
+@query("feedback_manifest", """SELECT CAST(doc_id AS VARCHAR) AS sample_id, doc_id || '.json' AS json,
+  'invoice_number=' || coalesce(max(CASE WHEN pos = 7 THEN word END), '-') || ';vendor_name=' || max(CASE WHEN pos = 5 THEN word END) AS fields
+FROM fx_words GROUP BY doc_id HAVING max(pos) >= 5""")
+def _(spark, sf):
+    words = load(spark, sf, "fx_words")
+    names = F.when(F.col("pos") == 5, "vendor_name").otherwise("invoice_number")
+    values = words.filter("pos IN (5, 7)").select("doc_id", names.alias("field"), F.col("word").alias("value"))
+    made = A.feedback_manifest(words, values.unionAll(values))
+    shown = [F.concat(F.lit(f"{n}="), F.coalesce(F.col("fields")[n], F.lit("-"))) for n in ("invoice_number", "vendor_name")]
+    return made.select("sample_id", "json", F.concat_ws(";", *shown).alias("fields"))
+
+
 # Analyses as the cloud service writes them. By id: values are objects, numbers, texts or missing, some
 # of a wrong type, some without a confidence; items lack fields.
 _MONEY_JSON = """CASE {id} % 7 WHEN 0 THEN concat('{{"value": ', {c}, ', "content": "x"') WHEN 1 THEN concat('{{"value": "', {c}, '"')

@@ -171,6 +171,16 @@ def append_feedback(words: DataFrame, corrections: DataFrame) -> DataFrame:
     return weak_label(words, corrections, list(FIELDS)).withColumn("source", F.lit("human_correction"))
 
 
+def feedback_manifest(words: DataFrame, corrections: DataFrame) -> DataFrame:
+    """sample_id, json, fields: an entry for each corrected sample that has words, as a manifest of the
+    training set keeps it. fields is a map of field to value; of a field that comes twice, the last by
+    its text. Samples without corrections have no entry."""
+    one = corrections.groupBy("doc_id", "field").agg(F.max("value").alias("value"))
+    held = one.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
+    known = held.join(words.select("doc_id").distinct(), "doc_id", "left_semi")
+    return known.select(F.col("doc_id").cast("string").alias("sample_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("json"), "fields")
+
+
 #: Columns of an analysis that have a confidence, and the field each is read from.
 SCORED = {
     "vendor_name": "VendorName",

@@ -38,6 +38,8 @@ def test_a_late_page_reads_one_range(spark, tmp_path):
 def test_pages_of_an_empty_list(spark, tmp_path):
     index = SortedIndex.build(table(spark).limit(0), f"{tmp_path}/x", [F.col("invoice_id")], 4)
     assert index.count() == 0 and index.page(3, 20).count() == 0
+    search = TextIndex.build(table(spark).limit(0), f"{tmp_path}/y", ("vendor_name",), 4, [F.col("invoice_id")])
+    assert search.contains(("vendor_name",), "acme")[0].count() == 0
 
 
 @pytest.mark.parametrize("text", ["inv-00", "0_7", "acme%0", "ACME_CO", "öl", "söhne", "x", "%", "no such text", "50\\%", "INV-0007"])
