@@ -10,6 +10,7 @@ from ..schemas import TRANSITIONS
 from ..sources import annotations as A
 from ..storage import Store, new_path, write_tables
 from ..streaming import flows as S
+from ..streaming.retrain import stream_retrain
 from .invoices import _MATCH
 from .pages import _LOOSE, PARSED_SQL
 
@@ -307,6 +308,17 @@ def _(spark, sf):
     return _machine(spark, sf).read("statuses")
 
 
+@query("stream_retrain", """WITH e AS (SELECT event_id, ts, event_id % 350 = 0 AS trained FROM events),
+s AS (SELECT *, sum(CASE WHEN trained THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS segment FROM e),
+c AS (SELECT *, row_number() OVER (PARTITION BY segment, trained ORDER BY event_id) AS k FROM s)
+SELECT event_id AS seq, ts AS at FROM c WHERE NOT trained AND k % 200 = 0""")
+def _(spark, sf):
+    kind = F.when(F.col("event_id") % 350 == 0, "training").otherwise("correction")
+    path, events = new_path(spark), _stream(spark, sf, "events").select(F.col("event_id").alias("seq"), kind.alias("kind"), F.col("ts").alias("at"))
+    stream_retrain(events, path, f"{path}-checkpoint").awaitTermination()
+    return Store(spark, path, key="counter").read("flags").select("seq", "at")
+
+
 @query("stream_retry_dlq", "SELECT event_id AS id, event_id % 6 AS attempt, CASE WHEN event_id % 6 > 3 THEN 'dead_letter' ELSE 'retry' END AS route, CASE WHEN event_id % 6 <= 3 THEN least(60.0, pow(2, event_id % 6)) END AS delay_s FROM events WHERE event_type = 'error'")
 def _(spark, sf):
     failed = _stream(spark, sf, "events").filter("event_type = 'error'").select(F.col("event_id").alias("id"), (F.col("event_id") % 6).alias("attempt"))

@@ -5,11 +5,11 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import extend
+from ledgerloom.operators import evaluate, extend
 from ledgerloom.schemas import STATUSES, TRANSITIONS
 from ledgerloom.sources import annotations
 from ledgerloom.storage import Store
-from ledgerloom.streaming import flows, machine
+from ledgerloom.streaming import flows, machine, retrain
 
 
 def plain_machine(asked):
@@ -75,6 +75,39 @@ def test_posting_is_idempotent(spark, tmp_path):
     assert found == [(1, "AUTO_APPROVED", "POSTED", day), (2, "APPROVED", "POSTED", later), (3, "APPROVED", "POSTED", later), (4, "APPROVED", "POSTED", day)]
 
 
+def test_training_is_due_once_at_each_threshold(spark, tmp_path):
+    """650 corrections with two trainings, a stream that stops after each file."""
+    day, schema = datetime(2024, 1, 1), "seq long, kind string, at timestamp"
+    kinds = ["correction"] * 250 + ["training"] + ["correction"] * 230 + ["training"] + ["correction"] * 170
+    rows = [(k, kind, day + timedelta(minutes=k)) for k, kind in enumerate(kinds)]
+    due, count = [], 0
+    for k, kind, _ in rows:
+        count = 0 if kind == "training" else count + 1
+        if count == 200:
+            due.append(k)
+            count = 0
+    cuts = [0, 130, 131, 420, len(rows)]
+    for a, b in zip(cuts, cuts[1:]):
+        spark.createDataFrame(rows[a:b], schema).repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        retrain.stream_retrain(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    store = Store(spark, f"{tmp_path}/out", key="counter")
+    assert len(store.versions()) == 4 and sorted(r.seq for r in store.read("flags").collect()) == due == [199, 450]
+    assert store.read("pending").first().pending == count == 170
+    found, pending = retrain.flags(spark.createDataFrame(rows, schema), 0, blocks=9)
+    assert sorted(r.seq for r in found.collect()) == due and pending == 170
+
+
+def test_manifest_and_evaluated_documents(spark):
+    words = spark.createDataFrame([(1,), (1,), (2,)], "doc_id long")
+    values = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (1, "b", None), (3, "a", "z")], "doc_id long, field string, value string")
+    found = annotations.feedback_manifest(words, values).collect()
+    assert [(r.sample_id, r.json, r.fields) for r in found] == [("1", "1.json", {"a": "y", "b": None})]
+    gold = spark.createDataFrame([(1, "f", " X"), (2, "f", "y"), (3, "f", "z")], "doc_id long, field string, value string")
+    guess = spark.createDataFrame([(1, "f", "x"), (2, "f", "q"), (4, "f", "z")], "doc_id long, field string, value string")
+    assert tuple(evaluate.evaluated_documents(gold, guess).first()) == (4, 3, 3, 1)
+    assert tuple(evaluate.evaluated_documents(gold, guess, words).first()) == (2, 2, 2, 1)
+
+
 def test_extractor_errors_become_rows(spark):
     df = spark.createDataFrame([(1, "5"), (2, "x"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: (r["success"], r["output"], r["error"]) for r in extend.apply_extractor(df, "int", lambda: lambda t: str(int(t) + 1)).collect()}
