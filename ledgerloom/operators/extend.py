@@ -6,8 +6,11 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..schemas import DEFAULTS, Thresholds
 from ..storage import stored
@@ -16,7 +19,7 @@ from .parse import parse_lines
 from .workflow import with_reference_data
 
 
-def safe_apply(agent: str, call: Callable[[str], str | None]) -> Callable[[str], tuple]:
+def safe_apply(agent: str, call: Callable) -> Callable[[str], tuple]:
     """call with a uniform result: success, output, agent, duration_ms, error; nothing is raised."""
 
     def run(value: str) -> tuple:
@@ -30,20 +33,34 @@ def safe_apply(agent: str, call: Callable[[str], str | None]) -> Callable[[str],
     return run
 
 
-RESULT = "success boolean, output string, agent string, duration_ms int, error string"
+RESULT = "success boolean, output {}, agent string, duration_ms int, error string"
 
 
-def apply_extractor(docs: DataFrame, agent: str, factory: Callable[[], Callable[[str], str | None]], column: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and RESULT for every document. factory() loads a model once in each task."""
+def apply_extractor(docs: DataFrame, agent: str, factory: Callable[[], Callable], column: str = "text", key: str = "doc_id", output: str = "string") -> DataFrame:
+    """key, success, output, agent, duration_ms and error for every document.
+
+    factory() loads a model once in each task. output is the type of what it returns for a text: a
+    string, or a type of the caller's, such as struct<total:double,lines:array<string>> for a model
+    that returns dicts. A value that is none of that type is an error of its document.
+    """
     kind = docs.schema[key].dataType.simpleString()
+    held = to_arrow_type(DataType.fromDDL(output))
+
+    def typed(model):
+        def call(value):
+            found = model(value)
+            pa.array([found], held)  # raises if it is of another type
+            return found
+
+        return call
 
     def run(frames):
-        call = safe_apply(agent, factory())
+        call = safe_apply(agent, typed(factory()))
         for frame in frames:
             rows = [(k, *call(v)) for k, v in zip(frame["k"], frame["v"], strict=True)]
             yield pd.DataFrame(rows, columns=["k", "success", "output", "agent", "duration_ms", "error"])
 
-    return docs.select(F.col(key).alias("k"), F.col(column).alias("v")).mapInPandas(run, f"k {kind}, {RESULT}").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(column).alias("v")).mapInPandas(run, f"k {kind}, {RESULT.format(output)}").withColumnRenamed("k", key)
 
 
 #: Fields that recognized lines give a confidence for, all the same one.

@@ -114,6 +114,16 @@ def test_extractor_errors_become_rows(spark):
     assert got[1] == (True, "6", None) and not got[2][0] and got[2][2].startswith("ValueError") and got[3][2].startswith("TypeError")
 
 
+def test_extractors_give_the_callers_type(spark):
+    def model(text):
+        return {"total": float(text), "lines": [text, text]} if text != "odd" else {"total": "no number"}
+
+    df = spark.createDataFrame([(1, "5"), (2, "x"), (3, "odd")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in extend.apply_extractor(df, "m", lambda: model, output="struct<total:double,lines:array<string>>").collect()}
+    assert got[1].output.total == 5.0 and got[1].output.lines == ["5", "5"] and got[1].success
+    assert [got[k].success for k in (2, 3)] == [False, False] and got[2].output is None and got[3].error.startswith("Arrow")
+
+
 def test_example_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.json").write_text('{"image": "a.png", "words": ["x"], "bboxes": [[0, 0, 1, 1]], "labels": ["O"]}')
