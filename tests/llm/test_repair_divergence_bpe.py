@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from hypothesis import given, settings
@@ -187,16 +188,48 @@ def spoken(seed: int) -> list[tuple]:
     return [*rows, ("xx", "only", "never enough"), ("xx", "other", None), ("yy", "alone", "")]
 
 
-@pytest.mark.parametrize("least,top,columns,rows", [(10, 4, 3, 5), (30, 50, 2048, 256), (1, 2, 1, 1)])
-def test_divergence_against_a_plain_version(spark, monkeypatch, least, top, columns, rows):
-    for name, value in (("COLUMNS", columns), ("ROWS", rows), ("BLOCK", 3), ("HELD", 20)):
-        monkeypatch.setattr(divergence, name, value)
+@pytest.mark.parametrize("least,top", [(10, 4), (30, 50), (1, 2)])
+def test_divergence_against_a_plain_version(spark, monkeypatch, least, top):
+    monkeypatch.setattr(divergence, "BLOCK", 3)
     given_rows = spoken(least)
     docs = spark.createDataFrame(given_rows, "lang string, source string, text string")
     docs = docs.repartition(3).withColumns({"term": F.lit("x"), "block": F.lit(1), "n": F.lit(2), "counts": F.lit(3), "value": F.lit(4)})
     assert sorted(map(tuple, divergence.divergence(docs, least, top).collect())) == plain_divergence(given_rows, least, top)
 
 
+@pytest.mark.parametrize("rows,columns", [(1, 1), (3, 4), (256, 2048)])
+def test_a_block_in_slices_of_any_size(monkeypatch, rows, columns):
+    """In this process, as a task would: workers import the module anew, without these settings."""
+    monkeypatch.setattr(divergence, "ROWS", rows)
+    monkeypatch.setattr(divergence, "COLUMNS", columns)
+    rng = np.random.default_rng(1)
+    counts = rng.poisson(rng.choice([0.3, 2, 30], (40, 1)), (40, 6))
+    terms = pa.table({"term": [f"t{k}" for k in range(40)], "counts": [[{"source": f"s{g}", "n": int(n)} for g, n in enumerate(row) if n] for row in counts]})
+    totals = counts.sum(axis=0)
+    groups = pa.table({"lang": ["en"] * 6, "source": [f"s{g}" for g in range(6)], "total": totals, "terms": [40] * 6, "lang_total": [int(totals.sum())] * 6})
+    prices = [[1 + 10**9 * (int(n) + 5) // (int(totals[g]) + 200) for n in counts[:, g]] for g in range(6)]
+    expected = [[sum(abs(p - q) for p, q in zip(prices[a], prices[b])) for b in range(6)] for a in range(6)]
+    assert divergence._Block(terms, groups).distances().tolist() == expected
+
+
+@pytest.mark.parametrize("held", [1, 30, 10**6])
+def test_counts_that_are_given_out_early(monkeypatch, held):
+    monkeypatch.setattr(divergence, "HELD", held)
+    rows = [(lang or "", source or "", said or "") for lang, source, said in spoken(7)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("lang", "source", "text"), r)) for r in rows[k : k + 40]]) for k in range(0, len(rows), 40)]
+    n, docs, expected_n, expected_docs = Counter(), Counter(), Counter(), Counter()
+    for batch in divergence._count(batches):
+        for r in batch.to_pylist():
+            n[r["lang"], r["source"], r["term"]] += r["n"]
+            docs[r["lang"], r["source"], r["term"]] += r["docs"]
+    table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for lang, source, said in rows:
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", said.translate(table))
+        expected_n.update((lang, source, t) for t in terms)
+        expected_docs.update((lang, source, t) for t in set(terms))
+    assert (n, docs) == (expected_n, expected_docs)
+
+
 def test_joint_tables(spark, monkeypatch):
     monkeypatch.setattr(divergence, "BLOCK", 3)
     rows = spoken(3)
