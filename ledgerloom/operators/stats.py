@@ -98,8 +98,21 @@ def daily_counts(df: DataFrame, end: Column, days: int = 7) -> DataFrame:
     return F.broadcast(spine).join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def append_batch(df: DataFrame, new: DataFrame) -> DataFrame:
-    return df.unionByName(new)
+def append_batch(df: DataFrame, new: DataFrame, batches: DataFrame | None = None) -> DataFrame:
+    """df (batch_id, place, ...) with the rows of new behind those of their batches, in order of their
+    own place. Rows of a batch that is not among batches (batch_id), or in df if there are none, are
+    left out, as nothing can be added to a batch that was not started."""
+    started = df if batches is None else batches
+    known = new.join(started.select("batch_id").distinct(), "batch_id", "left_semi")
+    last = df.groupBy("batch_id").agg((F.max("place") + 1).alias("_next"))
+    place = F.row_number().over(Window.partitionBy("batch_id").orderBy("place")) - 1 + F.coalesce("_next", F.lit(0))
+    added = known.join(last, "batch_id", "left").withColumn("place", place.cast("long")).drop("_next")
+    return df.unionByName(added.select(df.columns))
+
+
+def clear_batches(df: DataFrame) -> DataFrame:
+    """df without any row; what is stored goes when this is."""
+    return df.limit(0)
 
 
 def replace_batch(df: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..fixtures import load, oracle
 from ..operators import decide as D
@@ -440,6 +441,17 @@ def _(spark, sf):
     return S.daily_counts(load(spark, sf, "fx_invoices"), _now())
 
 
+@query("append_batch", """WITH p AS (SELECT invoice_id, batch_id, row_number() OVER (PARTITION BY batch_id, invoice_id % 3 = 0 ORDER BY invoice_id) - 1 AS place, invoice_id % 3 = 0 AS new FROM fx_invoices),
+n AS (SELECT batch_id, count(*) FILTER (NOT new) AS old FROM p GROUP BY batch_id)
+SELECT invoice_id, batch_id, CASE WHEN new THEN old + place ELSE place END AS place FROM p JOIN n USING (batch_id) WHERE NOT new OR batch_id % 5 <> 1""")
+def _(spark, sf):
+    # Every third invoice comes later; batches of a fifth were cleared before.
+    own = load(spark, sf, "fx_invoices").select("invoice_id", "batch_id")
+    place = F.row_number().over(Window.partitionBy("batch_id").orderBy("invoice_id")).cast("long") - 1
+    old, new = (own.filter(c).withColumn("place", place) for c in ("invoice_id % 3 <> 0", "invoice_id % 3 = 0"))
+    return S.append_batch(old, new, own.filter("batch_id % 5 <> 1"))
+
+
 @query("batch_membership", "SELECT invoice_id, batch_id, status FROM fx_invoices WHERE batch_id % 7 <> 2 UNION ALL SELECT invoice_id, batch_id, 'PROCESSING' FROM fx_invoices WHERE batch_id % 7 = 2 AND status = 'FAILED'")
 def _(spark, sf):
     df = load(spark, sf, "fx_invoices").select("invoice_id", "batch_id", "status")
