@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +125,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", k: int = K, w: int = W) -
     return source.mapInArrow(choose, f"key {kind}, hashes array<bigint>, positions array<int>").withColumnRenamed("key", key)
 
 
-def _bucket(value: Column, bounds: list[float]) -> Column:
+def _below(value: Column, bounds: list[int]) -> Column:
     """How many bounds lie below the value, found in two steps; null is below all."""
     if not bounds:
         return F.lit(0)
@@ -133,30 +134,52 @@ def _bucket(value: Column, bounds: list[float]) -> Column:
     below = lambda edges: F.size(F.filter(edges, lambda edge: edge < value))
     part = below(F.array(*(F.lit(p[-1]) for p in parts)))
     inner = F.try_element_at(F.array(*(F.array(*map(F.lit, p)) for p in parts)), part + 1)
-    return F.when(value.isNull(), 0).otherwise(part * step + F.when(inner.isNull(), 0).otherwise(below(inner)))
+    found = part * step + F.when(inner.isNull(), 0).otherwise(below(inner))
+    return F.when(value.isNull(), 0).otherwise(F.least(found, F.lit(len(bounds))))  # the last part may be short
+
+
+def _dealt(rows: DataFrame, n: int) -> Column:
+    """The bucket of rows (doc_id, _hash), numbered in descending order of ids, nulls last, and equal
+    ids by hash. Ids are cut at their quantiles; an id that is several of them, and null if it is as
+    frequent, has as many buckets by hash, so that none has many more rows than others."""
+    cuts, total, known = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n) if n > 1 else F.lit(None), F.count("*"), F.count("doc_id")).first()
+    often = Counter(cuts or [])
+    bounds = sorted(often)
+    # parts[k]: the buckets of what lies above k bounds; its largest id is bounds[k].
+    parts = [often[c] for c in bounds] + [1]
+    begins, at = [0] * len(parts), 0
+    for k in reversed(range(len(parts))):
+        begins[k], at = at, at + parts[k]
+    nulls = max(1, math.ceil(n * (total - known) / max(1, total)))
+    of = lambda values, place: F.element_at(F.array(*map(F.lit, values)), place + 1)
+    own = _below(F.col("doc_id"), bounds)
+    share = F.col("_hash") / F.lit(2.0**64) + 0.5
+    piece = lambda m: F.least(F.floor(share * m), m - 1)
+    hot = of([*bounds, None], own) == F.col("doc_id")
+    with_id = of(begins, own) + F.when(F.coalesce(hot, F.lit(False)), piece(of(parts, own))).otherwise(of(parts, own) - 1)
+    # Nulls come behind the smallest ids, whose last bucket their first one is.
+    return F.when(F.col("doc_id").isNull(), at - 1 + piece(F.lit(nulls))).otherwise(with_id).cast("int")
 
 
 def followed(docs: DataFrame, partitions: int | None = None) -> tuple[DataFrame, int]:
-    """Deal doc_id and text into buckets of neighbouring ids, so that each row's successor in
-    descending order is at hand: (bucket, halo, doc_id, text). The first row of the next bucket, one
-    for each bucket, is added as its halo; after the last bucket comes the first."""
+    """Deal doc_id and text into buckets of rows that follow each other in descending order of ids,
+    nulls last and equal ids by a hash of the text, so that each row's successor is at hand: (bucket,
+    halo, doc_id, text, _hash). The first row of the next bucket is added as a bucket's halo; after
+    the last bucket comes the first. Only rows that are alike in id and text are always together."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select(F.col("doc_id").cast("double").alias("id")).approxQuantile("id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
-    own = _bucket(F.col("doc_id"), sorted(set(cuts)))
-    # One id for each bucket comes to the driver.
-    tops = {r[0]: r[1] for r in docs.select(own.cast("int").alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id")).collect()}
-    order = sorted(tops, reverse=True)
-    heads = [(tops[then], bucket) for bucket, then in zip(order, order[1:] + order[:1], strict=True)]
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    halo = F.broadcast(spark.createDataFrame(heads or [(None, 0)], f"_head {id_type}, _for int"))
-    rows = docs.select("doc_id", "text", own.cast("int").alias("_own"))
-    if heads:
-        rows = rows.join(halo, rows["doc_id"].eqNullSafe(halo["_head"]), "left")
-    else:
-        rows = rows.withColumn("_for", F.lit(None).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
+    rows = rows.withColumn("_own", _dealt(rows, n))
+    # Descending ids are ascending complements. One row for each bucket comes to the driver.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("id"), F.col("_hash").alias("hash"))
+    tops = {r[0]: r[1] for r in rows.groupBy("_own").agg(F.min(place)).collect()}
+    order = sorted(tops)
+    heads = [(None if tops[then].none else ~tops[then].id, tops[then].hash, own) for own, then in zip(order, order[1:] + order[:1], strict=True)]
+    halo = F.broadcast(spark.createDataFrame(heads, "_head long, _head_hash long, _for int"))
+    same = rows["doc_id"].eqNullSafe(halo["_head"]) & (rows["_hash"] == halo["_head_hash"])
+    found = rows.join(halo, same, "left")
     places = F.array_compact(F.array(F.struct(F.col("_own").alias("bucket"), F.lit(False).alias("halo")), F.when(F.col("_for").isNotNull(), F.struct(F.col("_for").alias("bucket"), F.lit(True).alias("halo")))))
-    return rows.select(F.explode(places).alias("_at"), "doc_id", "text").select("_at.bucket", "_at.halo", "doc_id", "text"), n
+    return found.select(F.explode(places).alias("_at"), "doc_id", "text", "_hash").select("_at.bucket", "_at.halo", "doc_id", "text", "_hash"), n
 
 
 OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>"
@@ -165,13 +188,13 @@ OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string,
 def compare_with_next(docs: DataFrame, partitions: int | None = None, k: int = K, w: int = W) -> DataFrame:
     """Fingerprint each text, its edited text and the next document's, and compare them.
 
-    The next document is the one after it by descending doc_id (nulls last, repeated ids by text);
-    after the last comes the first, so a lone document follows itself. The edited text has its last
+    The next document is the one after it by descending doc_id (nulls last, equal ids by a hash of
+    their texts); after the last comes the first, so a lone document follows itself. The edited text has its last
     third replaced by the start of the next document. Texts are shuffled once, to buckets of
     neighbouring ids. Null texts are empty, and an empty table gives an empty result.
     """
     dealt, n = followed(docs, partitions)
-    ordered = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "halo", F.col("doc_id").desc_nulls_last(), "text")
+    ordered = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "halo", F.col("doc_id").desc_nulls_last(), "_hash", "text")
 
     def rows(batches):
         for batch in batches:

@@ -215,6 +215,32 @@ def test_winnowing_guarantee():
     assert set(hashes[owner == 0]) & set(hashes[owner == 1])
 
 
+def spark_hash(t: str) -> int:
+    import xxhash
+
+    h = xxhash.xxh64(t.encode(), seed=42).intdigest()
+    return h - 2**64 if h >= 2**63 else h
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 30])
+def test_null_and_equal_ids_are_dealt_over_buckets(spark, n):
+    """A third of the rows has no id and a third has one and the same; some are alike in all."""
+    rng = random.Random(n)
+    ids = [None] * 100 + [7] * 100 + rng.sample(range(-50, 2**62, 10**15 + 1), 99) + [7]
+    rows = [(i, text(k, 3 + k % 9)) for k, i in enumerate(ids)] + [(7, text(150, 3 + 150 % 9)), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    dealt, _ = winnowing.followed(docs, n)
+    sizes = [r["count"] for r in dealt.filter("NOT halo").groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 4 * len(rows) / n + 8
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), spark_hash(r[1]), r[1]))
+    expected = []
+    for k, (i, t) in enumerate(ordered):
+        after, third = ordered[(k + 1) % len(ordered)][1], len(t) // 3
+        expected.append((str(i), hashlib.sha256((t[: len(t) - third] + after[:third]).encode()).hexdigest()))
+    found = winnowing.compare_with_next(docs, n).select("doc_id", "edited_sha256").collect()
+    assert sorted((str(r[0]), r[1]) for r in found) == sorted(expected)
+
+
 def test_next_document(spark):
     docs = awkward(spark)
     got = winnowing.compare_with_next(docs, partitions=3).collect()
