@@ -55,14 +55,14 @@ FROM fx_invoices WHERE invoice_id % 37 <> 0""",
 FROM fx_invoices WHERE invoice_id % 41 <> 0""",
     "fx_words": """SELECT doc_id, CAST(pos AS BIGINT) AS pos, word FROM (SELECT doc_id, filter(split(text, '\\\\s+'), w -> w <> '') AS ws FROM documents) LATERAL VIEW OUTER posexplode(ws) AS pos, word WHERE word IS NOT NULL""",
     "fx_labels": """SELECT doc_id, pos, word,
-  CASE WHEN (doc_id * 31 + CAST(floor(pos / 3.0) AS BIGINT) * 7) % 30 < 22
-    THEN concat(CASE WHEN pos % 3 = 0 THEN 'B-F' ELSE 'I-F' END, (doc_id * 31 + CAST(floor(pos / 3.0) AS BIGINT) * 7) % 30)
+  CASE WHEN (doc_id * 31 + pos DIV 3 * 7) % 30 < 22
+    THEN concat(CASE WHEN pos % 3 = 0 THEN 'B-F' ELSE 'I-F' END, (doc_id * 31 + pos DIV 3 * 7) % 30)
     ELSE 'O' END AS gold,
-  CASE WHEN (doc_id + pos) % 13 = 0 OR (doc_id * 31 + CAST(floor(pos / 3.0) AS BIGINT) * 7) % 30 >= 22 THEN 'O'
-    ELSE concat(CASE WHEN pos % 3 = 0 THEN 'B-F' ELSE 'I-F' END, (doc_id * 31 + CAST(floor(pos / 3.0) AS BIGINT) * 7) % 30) END AS predicted,
+  CASE WHEN (doc_id + pos) % 13 = 0 OR (doc_id * 31 + pos DIV 3 * 7) % 30 >= 22 THEN 'O'
+    ELSE concat(CASE WHEN pos % 3 = 0 THEN 'B-F' ELSE 'I-F' END, (doc_id * 31 + pos DIV 3 * 7) % 30) END AS predicted,
   CAST((doc_id * 17 + pos * 29) % 1000 AS DOUBLE) / 1000 AS confidence,
-  pos % 10 * 100 AS x0, CAST(floor(pos / 10.0) AS BIGINT) * 20 AS y0,
-  pos % 10 * 100 + 80 AS x1, CAST(floor(pos / 10.0) AS BIGINT) * 20 + 15 AS y1
+  pos % 10 * 100 AS x0, pos DIV 10 * 20 AS y0,
+  pos % 10 * 100 + 80 AS x1, pos DIV 10 * 20 + 15 AS y1
 FROM fx_words""",
     "fx_text": """SELECT invoice_id, concat(vendor_name, chr(10), 'Invoice: ', invoice_number, chr(10), 'Date: ', CAST(invoice_date AS STRING), chr(10),
   CASE WHEN purchase_order IS NULL THEN '' ELSE concat('Purchase Order: ', purchase_order, chr(10)) END,
@@ -86,7 +86,18 @@ FROM fx_words""",
 FROM documents d CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) k""",
 }
 
+#: Views whose text differs: Spark divides whole numbers by DIV, without decimals.
 DUCK = {
+    "fx_labels": """SELECT doc_id, pos, word,
+  CASE WHEN (doc_id * 31 + CAST(floor(pos / 3.0) AS BIGINT) * 7) % 30 < 22
+    THEN concat(CASE WHEN pos % 3 = 0 THEN 'B-F' ELSE 'I-F' END, (doc_id * 31 + CAST(floor(pos / 3.0) AS BIGINT) * 7) % 30)
+    ELSE 'O' END AS gold,
+  CASE WHEN (doc_id + pos) % 13 = 0 OR (doc_id * 31 + CAST(floor(pos / 3.0) AS BIGINT) * 7) % 30 >= 22 THEN 'O'
+    ELSE concat(CASE WHEN pos % 3 = 0 THEN 'B-F' ELSE 'I-F' END, (doc_id * 31 + CAST(floor(pos / 3.0) AS BIGINT) * 7) % 30) END AS predicted,
+  CAST((doc_id * 17 + pos * 29) % 1000 AS DOUBLE) / 1000 AS confidence,
+  pos % 10 * 100 AS x0, CAST(floor(pos / 10.0) AS BIGINT) * 20 AS y0,
+  pos % 10 * 100 + 80 AS x1, CAST(floor(pos / 10.0) AS BIGINT) * 20 + 15 AS y1
+FROM fx_words""",
     "fx_words": """SELECT doc_id, CAST(unnest(range(len(ws))) AS BIGINT) AS pos, unnest(ws) AS word FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM documents)""",
 }
 

@@ -39,14 +39,20 @@ def loose_token(value: Column) -> Column:
     return F.regexp_replace(F.lower(stripped(value)), r"^[,.:;()\[\]{}]+|[,.:;()\[\]{}]+$", "")
 
 
-def find_sequence(words: Column, sequence: list[str], start: int = 0) -> Column:
-    """The 0-based place from which words equal sequence, but for case and trailing ":,."; else -1."""
-    plain = lambda w: F.lower(F.regexp_replace(w, r"[:,.]+$", ""))
+def bare_word(word: Column) -> Column:
+    """A word in lower case, without trailing ":,."."""
+    return F.lower(F.rtrim(word, F.lit(":,.")))
+
+
+def find_sequence(words: Column, sequence: list[str], start: int = 0, among: Column | None = None) -> Column:
+    """The 0-based place from which words equal sequence, but for case and trailing ":,."; else -1.
+    Only places of `among` are looked at, if that is given."""
     want = [s.lower().rstrip(":,.") for s in sequence]
     n = F.size(words) - len(want) + 1
-    same = lambda i: reduce(Column.__and__, (plain(F.get(words, i + k)) == w for k, w in enumerate(want)))
-    places = F.when(n > start, F.sequence(F.lit(start), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.get(F.filter(places, same), F.lit(0)), F.lit(-1))
+    same = lambda i: reduce(Column.__and__, (bare_word(F.get(words, i + k)) == w for k, w in enumerate(want)))
+    if among is None:
+        among = F.when(n > start, F.sequence(F.lit(start), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.coalesce(F.get(F.filter(among, lambda i: (i >= start) & same(i)), F.lit(0)), F.lit(-1))
 
 
 def error_text(value: Column) -> Column:

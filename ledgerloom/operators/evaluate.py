@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import stripped
-from .tokens import bio_spans
+from .tokens import bio_spans, marked_by_both
 
 
 def gold_vs_predicted(gold: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -21,10 +22,12 @@ def field_prf(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     pairs = gold_vs_predicted(gold, predicted)
     plain = lambda c: F.lower(stripped(F.col(c)))
     hit = F.coalesce(plain("gold") == plain("predicted"), F.lit(False))
-    counts = pairs.groupBy("field").agg(F.count_if(hit).alias("tp"), F.count_if(~hit & F.col("predicted").isNotNull()).alias("fp"), F.count_if(~hit & F.col("gold").isNotNull()).alias("fn"))
+    wrong = lambda side: F.count_if(~hit & F.col(side).isNotNull())
+    counts = pairs.groupBy("field").agg(F.count_if(hit).alias("tp"), wrong("predicted").alias("fp"), wrong("gold").alias("fn"))
     over = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(a) + F.col(b))
     rated = counts.withColumns({"precision": over("tp", "fp"), "recall": over("tp", "fn")})
-    return rated.withColumn("f1", 2 * F.col("precision") * F.col("recall") / F.greatest(F.lit(1e-9), F.col("precision") + F.col("recall")))
+    p, r = F.col("precision"), F.col("recall")
+    return rated.withColumn("f1", 2 * p * r / F.greatest(F.lit(1e-9), p + r))
 
 
 def evaluated_documents(gold: DataFrame, predicted: DataFrame, images: DataFrame | None = None) -> DataFrame:
@@ -52,18 +55,44 @@ def entity_prf(gold: DataFrame, predicted: DataFrame, label: str = "label") -> D
     keys = ["doc_id", "field", "start", "end"]
     spans = lambda df, side: bio_spans(df.filter(F.col(label).isNotNull()), label).select(*keys, F.lit(1).alias(side))
     both = spans(gold, "g").join(spans(predicted, "p"), keys, "full_outer")
-    counts = both.agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"), F.count("g").alias("n_gold"), F.count("p").alias("n_predicted"))
+    hit = F.col("g").isNotNull() & F.col("p").isNotNull()
+    return _rated_entities(both.agg(F.count_if(hit).alias("tp"), F.count("g").alias("n_gold"), F.count("p").alias("n_predicted")))
+
+
+def entity_prf_of_words(words: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:
+    """entity_prf of words that have both labels, in one pass over them: an entity is found if a word
+    ends one of either label that has the same name and began at the same word."""
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    marked = marked_by_both(words, gold, predicted)
+    here = {}
+    for tag in ("_g", "_p"):
+        name, starts = F.col(f"name{tag}"), F.col(f"starts{tag}")
+        goes_on = F.lead(name.isNotNull() & ~starts).over(order)
+        here[f"ends{tag}"] = name.isNotNull() & ~F.coalesce(goes_on, F.lit(False))
+        here[f"begin{tag}"] = F.last(F.when(starts, F.col("pos")), ignorenulls=True).over(order)
+    same = (F.col("name_g") == F.col("name_p")) & (F.col("begin_g") == F.col("begin_p"))
+    hit = F.col("ends_g") & F.col("ends_p") & same
+    counts = marked.withColumns(here).agg(F.count_if(hit).alias("tp"), F.count_if("starts_g").alias("n_gold"), F.count_if("starts_p").alias("n_predicted"))
+    return _rated_entities(counts)
+
+
+def _rated_entities(counts: DataFrame) -> DataFrame:
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    rated = counts.withColumns({"precision": ratio(F.col("tp"), F.col("n_predicted")), "recall": ratio(F.col("tp"), F.col("n_gold"))})
+    precision, recall = (ratio(F.col("tp"), F.col(n)) for n in ("n_predicted", "n_gold"))
+    rated = counts.withColumns({"precision": precision, "recall": recall})
     p, r = F.col("precision"), F.col("recall")
     return rated.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
 
 
 def label_summary(words: DataFrame, label: str = "label") -> DataFrame:
-    """field, n, words, labelled, percent: spans per field, beside the totals of all documents."""
-    totals = words.agg(F.count("*").alias("words"), F.count_if(F.col(label) != "O").alias("labelled"))
-    per = words.filter(F.col(label).startswith("B-")).groupBy(F.lower(F.substring(label, 3, 1_000_000)).alias("field")).agg(F.count("*").alias("n"))
-    return per.join(F.broadcast(totals)).withColumn("percent", F.round(100.0 * F.col("labelled") / F.greatest(F.lit(1), F.col("words")), 1))
+    """field, n, words, labelled, percent: spans per field, beside the totals of all documents. Words
+    are read once: the totals are sums over the few rows that are left of the labels."""
+    field = F.when(F.col(label).startswith("B-"), F.lower(F.substring(label, 3, 1_000_000)))
+    per = words.groupBy(field.alias("field")).agg(F.count("*").alias("n"), F.count_if(F.col(label) != "O").alias("_labelled"))
+    every = Window.partitionBy(F.lit(0))
+    totals = per.withColumns({"words": F.sum("n").over(every), "labelled": F.sum("_labelled").over(every)})
+    percent = F.round(100.0 * F.col("labelled") / F.greatest(F.lit(1), F.col("words")), 1)
+    return totals.filter("field IS NOT NULL").select("field", "n", "words", "labelled", percent.alias("percent"))
 
 
 def document_labels(words: DataFrame, label: str = "label") -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import find_sequence
+from ..functions.scalars import bare_word, find_sequence
 
 # Patterns of fields in text, and of dates and their formats.
 NUMBER = r"(?iU)(?:invoice|inv)[#:\s\-]*([A-Z0-9\-]{4,})"
@@ -171,30 +171,54 @@ def postprocess_fields(fields: Column, words: Column) -> Column:
     return F.map_concat(others, made)
 
 
+#: What a word has that any rule for single words may take.
+_TELLING = r"[\p{Nd}@]"
+
+
+def _laid(entries: Column, n: Column) -> Column:
+    """n labels: those of entries (place, order, label), sorted, the last one of each place; else O.
+    Work is in proportion to words and entries together."""
+    last = F.filter(entries, lambda e, i: F.coalesce(F.get(entries, i + 1)["p"] != e["p"], F.lit(True)))
+    label = lambda e: F.array(e["label"])
+
+    def filled(places: Column) -> Column:
+        gap = lambda i: F.array_repeat(F.lit("O"), F.get(places, i)["p"] - F.coalesce(F.get(places, i - 1)["p"], F.lit(-1)) - 1)
+        pieces = F.transform(places, lambda e, i: F.concat(gap(i), label(e)))
+        end = F.array_repeat(F.lit("O"), n - 1 - F.coalesce(F.get(places, F.size(places) - 1)["p"], F.lit(-1)))
+        return F.concat(F.flatten(pieces), end)
+
+    return _let(last, filled)
+
+
 def auto_label(pages: DataFrame) -> DataFrame:
     """pages (doc_id, words) with labels, one per word, by rules anchored on printed captions.
 
-    Each rule yields runs (first word, length, field); they are laid over the labels in the rules'
-    order, some only where a word is still O. Places of captions are columns of their own, since
-    inside a lambda they would be looked for again at every word.
+    Each rule yields runs (first word, length, field); later rules go over earlier ones, some only
+    where a word is still O. Runs become entries of single words, which are laid over the page once,
+    sorted. Two passes over a page find its telling words (with a digit or "@") and the words that may
+    begin a caption; rules look at these alone.
     """
     words = F.col("words")
     at = lambda i: F.get(words, i)
     is_like = lambda i, pattern: F.coalesce(at(i).rlike(pattern), F.lit(False))
     tax_anchor = lambda i: at(i).isin(*TAX_CAPTIONS) | at(i).rlike(TAX_ID)
-    first = lambda start, ok: F.get(F.filter("_places", lambda i: (i >= start) & ok(i)), F.lit(0))
-    until = lambda start, stop, most: F.least(F.coalesce(first(start, stop), F.col("_n")), start + most, F.col("_n"))
+    telling = lambda ok: F.filter("_telling", ok)
 
+    captions = {"_vendor": VENDOR_CAPTION, "_number": NUMBER_CAPTION, "_order": ORDER_CAPTION, "_terms": TERMS_CAPTION, "_service": SERVICE_CAPTION}
+    heads = sorted({c[0].lower().rstrip(":,.") for c in captions.values()})
     found = pages.withColumns({"_n": F.size(words), "_places": _places(words)}).withColumns(
-        {
-            "_vendor": find_sequence(words, VENDOR_CAPTION),
-            "_number": find_sequence(words, NUMBER_CAPTION),
-            "_order": find_sequence(words, ORDER_CAPTION),
-            "_terms": find_sequence(words, TERMS_CAPTION),
-            "_service": find_sequence(words, SERVICE_CAPTION),
-        }
+        {"_telling": F.filter("_places", lambda i: at(i).rlike(_TELLING)), "_heads": F.filter("_places", lambda i: bare_word(at(i)).isin(*heads))}
     )
+    found = found.withColumns({name: find_sequence(words, caption, among=F.col("_heads")) for name, caption in captions.items()})
+
     start = lambda name, size: F.when(F.col(name) >= 0, F.col(name) + size)
+
+    def until(begin: Column, stop, most: int) -> Column:
+        """The first place from begin on where stop holds, or the page's end, but `most` words at most."""
+        end = F.least(begin + most, F.col("_n"))
+        near = F.when(begin < end, F.sequence(begin, end - 1))
+        return F.when(begin.isNotNull(), F.coalesce(F.get(F.filter(near, stop), F.lit(0)), end))
+
     found = found.withColumns({"_v": start("_vendor", 2), "_o": start("_order", 3), "_t": start("_terms", 3)})
     found = found.withColumns(
         {
@@ -204,49 +228,61 @@ def auto_label(pages: DataFrame) -> DataFrame:
         }
     ).withColumn("_a1", until(F.col("_v1"), tax_anchor, 21))
 
-    run = lambda begin, size, name: F.struct(begin.cast("int").alias("s"), F.lit(size).cast("int").alias("n") if isinstance(size, int) else size.cast("int").alias("n"), (F.lit(name) if isinstance(name, str) else name).alias("f"))
-    span = lambda begin, end, name: F.when(F.col(end) > F.col(begin), run(F.col(begin), F.col(end) - F.col(begin), name))
-    one = lambda i, name: F.when(i.isNotNull(), run(i, 1, name))
-    runs = lambda ok, make: F.transform(F.filter("_places", ok), make)
-    amount_next = lambda i: is_like(i + 1, AMOUNT)
-    tax_name = lambda w: F.when(w.contains("CGST"), "CGST").when(w.contains("IGST"), "IGST").when(w.contains("SGST"), "GST")
-    prefix = lambda i: is_like(i, MAIL_HEAD) & is_like(i + 1, MAIL_TAIL)
-    kind = "array<struct<s:int,n:int,f:string>>"
-    always = lambda *rs: F.array_compact(F.array(*rs)).cast(kind)
+    kind = "array<struct<p:int,o:int,label:string>>"
+    entry = lambda p, order, label: F.struct(p.cast("int").alias("p"), F.lit(order).alias("o"), label.alias("label"))
+    none = F.array().cast(kind)
+
+    def run(order: int, begin: Column, size: Column | int, name: str) -> Column:
+        """Entries of a run; none if its beginning or size is null, or the size is not positive."""
+        size = F.lit(size) if isinstance(size, int) else size
+        label = lambda k: F.concat(F.when(k == 0, "B-").otherwise("I-"), F.lit(name))
+        made = F.transform(F.sequence(F.lit(0), size.cast("int") - 1), lambda k: entry(begin + k, order, label(k)))
+        return F.when(size > 0, F.when(begin.isNotNull(), made)).otherwise(none).cast(kind)
+
+    def ones(order: int, places: Column, label) -> Column:
+        return F.transform(places, lambda i: entry(i, order, label(i))).cast(kind)
+
+    always = lambda *runs: F.concat(*(F.coalesce(r, none) for r in runs))
+    span = lambda order, begin, end, name: run(order, F.col(begin), F.col(end) - F.col(begin), name)
+    first = lambda places: F.get(places, F.lit(0))
+    places_of = lambda entries: F.transform(entries, lambda e: e["p"])
+    tagged = lambda name: lambda _: F.lit(f"B-{name}")
+
+    def tax_name(i: Column) -> Column:
+        w = F.upper(at(i - 1))
+        return F.when(at(i - 1).contains("@"), F.when(w.contains("CGST"), "B-CGST").when(w.contains("IGST"), "B-IGST").when(w.contains("SGST"), "B-GST"))
+
+    split = lambda i: (i > 0) & at(i).rlike(MAIL_TAIL) & is_like(i - 1, MAIL_HEAD)
+    number = F.when((F.col("_number") >= 0) & is_like(F.col("_number") + 2, INVOICE_WORD), F.col("_number") + 2)
+    quantity = F.when((F.col("_service") >= 1) & is_like(F.col("_service") - 1, r"^\p{Nd}+$"), F.col("_service") - 1)
     found = found.withColumns(
         {
             "_fixed": always(
-                span("_v", "_v1", "VENDOR_NAME"),
-                F.when(F.col("_v1") > F.col("_v"), span("_v1", "_a1", "VENDOR_ADDRESS")),
-                one(first(F.lit(0), lambda i: at(i).rlike(TAX_ID)), "VENDOR_TAX_ID"),
-                F.when((F.col("_number") >= 0) & is_like(F.col("_number") + 2, INVOICE_WORD), run(F.col("_number") + 2, 1, "INVOICE_NUMBER")),
-                span("_o", "_o1", "PURCHASE_ORDER"),
-                one(first(F.lit(0), lambda i: at(i).rlike(DATE_WORD)), "INVOICE_DATE"),
+                span(0, "_v", "_v1", "VENDOR_NAME"),
+                F.when(F.col("_v1") > F.col("_v"), span(1, "_v1", "_a1", "VENDOR_ADDRESS")),
+                run(2, first(telling(lambda i: at(i).rlike(TAX_ID))), 1, "VENDOR_TAX_ID"),
+                run(3, number, 1, "INVOICE_NUMBER"),
+                span(4, "_o", "_o1", "PURCHASE_ORDER"),
+                run(5, first(telling(lambda i: at(i).rlike(DATE_WORD))), 1, "INVOICE_DATE"),
             ),
-            "_taxes": runs(lambda i: at(i).contains("@") & tax_name(F.upper(at(i))).isNotNull() & amount_next(i), lambda i: run(i + 1, 1, tax_name(F.upper(at(i))))).cast(kind),
-            "_totals": runs(lambda i: (at(i) == "Total") & amount_next(i), lambda i: run(i + 1, 1, "TOTAL_AMOUNT")).cast(kind),
-            "_split": runs(prefix, lambda i: run(i, 2, "VENDOR_EMAIL")).cast(kind),
-            "_mails": runs(lambda i: at(i).rlike(MAIL_WORD), lambda i: run(i, 1, "VENDOR_EMAIL")).cast(kind),
-            "_late": F.concat(runs(lambda i: at(i).rlike(PHONE_WORD), lambda i: run(i, 1, "VENDOR_PHONE")).cast(kind), always(span("_t", "_t1", "TERMS_AND_CONDITIONS"))),
-            "_quantity": always(F.when((F.col("_service") >= 1) & is_like(F.col("_service") - 1, r"^\p{Nd}+$"), run(F.col("_service") - 1, 1, "TOTAL_QUANTITY"))),
+            "_amounts": telling(lambda i: (i > 0) & at(i).rlike(AMOUNT)),
         }
     )
-
-    def put(labels: Column, r: Column) -> Column:
-        return F.transform(labels, lambda w, i: F.when((i >= r["s"]) & (i < r["s"] + r["n"]), F.concat(F.when(i == r["s"], "B-").otherwise("I-"), r["f"])).otherwise(w))
-
-    def put_free(labels: Column, r: Column) -> Column:
-        return F.when(F.get(labels, r["s"]) == "O", put(labels, r)).otherwise(labels)
-
-    def first_free(state: Column, r: Column) -> Column:
-        taken = state["done"] | (F.get(state["l"], r["s"]) != "O")
-        return F.when(taken, state).otherwise(F.struct(put(state["l"], r).alias("l"), F.lit(True).alias("done")))
-
-    laid = found.withColumn("labels", F.aggregate("_fixed", F.array_repeat(F.lit("O"), F.col("_n")), put))
-    laid = laid.withColumn("labels", F.aggregate("_taxes", F.col("labels"), put_free))
-    laid = laid.withColumn("labels", F.aggregate("_totals", F.struct(F.col("labels").alias("l"), F.lit(False).alias("done")), first_free)["l"])
-    laid = laid.withColumn("labels", F.aggregate("_split", F.col("labels"), put))
-    laid = laid.withColumn("labels", F.aggregate("_mails", F.col("labels"), put_free))
-    laid = laid.withColumn("labels", F.aggregate("_late", F.col("labels"), put))
-    laid = laid.withColumn("labels", F.aggregate("_quantity", F.col("labels"), put_free))
-    return laid.select(*pages.columns, "labels")
+    # A rule of single words takes places that are free by then.
+    taxed = F.array_except(F.filter("_amounts", lambda i: tax_name(i).isNotNull()), places_of("_fixed"))
+    found = found.withColumn("_taken", F.concat("_fixed", ones(6, taxed, tax_name)))
+    total = F.slice(F.array_except(F.filter("_amounts", lambda i: at(i - 1) == "Total"), places_of("_taken")), 1, 1)
+    heads_of = telling(split)
+    found = found.withColumn(
+        "_taken",
+        F.concat("_taken", ones(7, total, tagged("TOTAL_AMOUNT")), F.flatten(F.transform(heads_of, lambda i: F.array(entry(i - 1, 8, F.lit("B-VENDOR_EMAIL")), entry(i, 8, F.lit("I-VENDOR_EMAIL"))))).cast(kind)),
+    )
+    mails = F.array_except(telling(lambda i: at(i).rlike(MAIL_WORD)), places_of("_taken"))
+    phones = telling(lambda i: at(i).rlike(PHONE_WORD))
+    found = found.withColumn(
+        "_taken",
+        F.concat("_taken", ones(9, mails, tagged("VENDOR_EMAIL")), ones(10, phones, tagged("VENDOR_PHONE")), always(span(11, "_t", "_t1", "TERMS_AND_CONDITIONS"))),
+    )
+    counted = F.when(~F.array_contains(places_of("_taken"), quantity), quantity)
+    found = found.withColumn("_taken", F.array_sort(F.concat("_taken", always(run(12, counted, 1, "TOTAL_QUANTITY")))))
+    return found.select(*pages.columns, _laid(F.col("_taken"), F.col("_n")).alias("labels"))

@@ -16,25 +16,37 @@ def _in_doc() -> Window:
     return Window.partitionBy("doc_id").orderBy("pos")
 
 
-def _marked(words: DataFrame, label: str) -> DataFrame:
-    """words with name (null outside spans), starts and span: a number per span of a document.
+def _marked(words: DataFrame, **labels: str) -> DataFrame:
+    """words with name (null outside spans), starts and span, a number per span of a document, by each
+    label: its keyword ends these columns' names. All come from one shuffle, one sort and two windows.
 
     A span starts at B-, or at I- after O or after another name.
     """
-    name = F.when(F.col(label) != "O", F.substring(label, 3, 1_000_000))
-    named = words.withColumn("name", name)
-    before = F.lag("name").over(_in_doc())
-    starts = F.col("name").isNotNull() & (F.col(label).startswith("B-") | before.isNull() | (before != F.col("name")))
-    numbered = named.withColumn("starts", F.coalesce(starts, F.lit(False)))
-    return numbered.withColumn("span", F.sum(F.col("starts").cast("int")).over(_in_doc()))
+    names = {f"name{t}": F.when(F.col(label) != "O", F.substring(label, 3, 1_000_000)) for t, label in labels.items()}
+    named = words.withColumns(names)
+    named = named.withColumns({f"_before{t}": F.lag(f"name{t}").over(_in_doc()) for t in labels})
+
+    def begins(tag: str, label: str) -> Column:
+        name, before = F.col(f"name{tag}"), F.col(f"_before{tag}")
+        return F.coalesce(name.isNotNull() & (F.col(label).startswith("B-") | before.isNull() | (before != name)), F.lit(False))
+
+    started = named.withColumns({f"starts{t}": begins(t, label) for t, label in labels.items()}).drop(*(f"_before{t}" for t in labels))
+    return started.withColumns({f"span{t}": F.sum(F.col(f"starts{t}").cast("int")).over(_in_doc()) for t in labels})
+
+
+def marked_by_both(words: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:
+    """words with both labels, with name_g, starts_g, span_g of the one and name_p, ... of the other.
+    Padded words, where a label is null, are left out."""
+    both = words.filter(F.col(gold).isNotNull() & F.col(predicted).isNotNull())
+    return _marked(both, _g=gold, _p=predicted)
 
 
 def bio_spans(words: DataFrame, label: str = "label") -> DataFrame:
     """doc_id, field, start, end (inclusive), text of each span of labelled words."""
-    marked = _marked(words, label).filter("name IS NOT NULL")
+    marked = _marked(words, _l=label).filter("name_l IS NOT NULL")
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda w: w["word"]), " ")
-    spans = marked.groupBy("doc_id", "span").agg(F.first("name").alias("field"), F.min("pos").alias("start"), F.max("pos").alias("end"), texts.alias("text"))
-    return spans.drop("span")
+    spans = marked.groupBy("doc_id", "span_l").agg(F.first("name_l").alias("field"), F.min("pos").alias("start"), F.max("pos").alias("end"), texts.alias("text"))
+    return spans.drop("span_l")
 
 
 def fields_first_span(words: DataFrame, label: str = "label") -> DataFrame:
@@ -44,12 +56,12 @@ def fields_first_span(words: DataFrame, label: str = "label") -> DataFrame:
 
 def gold_fields(words: DataFrame, label: str = "label") -> DataFrame:
     """doc_id, field, value: the first span of each field, and every I- word of its later spans."""
-    marked = _marked(words, label).filter("name IS NOT NULL")
-    first = F.min("span").over(Window.partitionBy("doc_id", "name"))
-    kept = marked.withColumn("_first", first).filter(~F.col("starts") | (F.col("span") == F.col("_first")))
-    kept = kept.filter((F.col("span") == F.col("_first")) | F.col(label).startswith("I-"))
+    marked = _marked(words, _l=label).filter("name_l IS NOT NULL")
+    first = F.min("span_l").over(Window.partitionBy("doc_id", "name_l"))
+    kept = marked.withColumn("_first", first).filter(~F.col("starts_l") | (F.col("span_l") == F.col("_first")))
+    kept = kept.filter((F.col("span_l") == F.col("_first")) | F.col(label).startswith("I-"))
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda w: w["word"]), " ")
-    return kept.groupBy("doc_id", F.lower("name").alias("field")).agg(texts.alias("value"))
+    return kept.groupBy("doc_id", F.lower("name_l").alias("field")).agg(texts.alias("value"))
 
 
 def cord_bio(words: DataFrame, field: str = "field") -> DataFrame:

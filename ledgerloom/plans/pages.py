@@ -96,7 +96,7 @@ def _entities(gold: str, other: str) -> str:
 
 @query("entity_prf", f"WITH {_marked('gold')}, {_PRED} {_entities('spans', 'spans2')}")
 def _(spark, sf):
-    return evaluate.entity_prf(_labels(spark, sf), _labels(spark, sf, "predicted"))
+    return evaluate.entity_prf_of_words(load(spark, sf, "fx_labels"))
 
 
 # A second model's labels: other words missed than by the first one, and one field taken for another.
@@ -105,8 +105,8 @@ _SECOND_MODEL = "CASE WHEN (doc_id + pos) % 29 = 0 THEN 'O' WHEN gold LIKE '_-F7
 
 @query("promote_challenger", f"WITH {_marked('gold')}, {_PRED}, {_marked(_SECOND_MODEL, '3')}, champ AS ({_entities('spans', 'spans2')}), challenger AS ({_entities('spans', 'spans3')}) SELECT CASE WHEN b.f1 > a.f1 THEN 'challenger' ELSE 'champ' END AS promoted, a.f1 AS champ_f1, b.f1 AS challenger_f1 FROM champ a, challenger b")
 def _(spark, sf):
-    gold, second = _labels(spark, sf), load(spark, sf, "fx_labels").withColumn("label", F.expr(_SECOND_MODEL))
-    champ, challenger = evaluate.entity_prf(gold, _labels(spark, sf, "predicted")), evaluate.entity_prf(gold, second)
+    words = load(spark, sf, "fx_labels").withColumn("second", F.expr(_SECOND_MODEL))
+    champ, challenger = evaluate.entity_prf_of_words(words), evaluate.entity_prf_of_words(words, predicted="second")
     rows = champ.select(F.lit("champ").alias("model"), "f1").unionAll(challenger.select(F.lit("challenger").alias("model"), "f1"))
     return ensemble.promote_challenger(rows)
 
