@@ -20,6 +20,8 @@ OVERHEAD = 16
 BINS = 2048
 #: A median may be off by this share of a leaf's weight; beyond that it is exact to one row.
 TOLERANCE = 1e-3
+#: Whole numbers below it are all doubles.
+EXACT = 2**53
 #: Rows of equal texts stay together up to this share of a shard's bytes.
 KEPT_TOGETHER = 0.1
 
@@ -30,12 +32,13 @@ def byte_size(text: Column) -> Column:
 
 def metadata() -> dict[str, Column]:
     """The dimensions of a document, in the order that breaks ties of width. Texts among them are
-    taken by their rank among all distinct values."""
+    taken by their rank among all distinct values, whole numbers by their distance from the smallest
+    one, or by rank if that is more than a double holds."""
     return {
         "source": F.col("source"),
         "lang": F.col("lang"),
         "length": F.log2(byte_size(F.col("text")).cast("double")),
-        "id": F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)),
+        "id": F.col("doc_id"),
     }
 
 
@@ -135,12 +138,22 @@ def _few(table: DataFrame) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, name: str) -> DataFrame:
-    """rows with a text column replaced by its rank in code point order; null is below everything."""
+    """rows with a column replaced by its rank among all its values; null is below everything. Texts
+    go in code point order."""
     values = common.global_rank(rows.select(F.col(name).alias("_value")).filter("_value IS NOT NULL").distinct(), [F.col("_value")], "_rank")
     joined = rows.join(_few(common.stored(values)), F.col(name) == F.col("_value"), "left")
     return joined.withColumn(name, F.coalesce(F.col("_rank").cast("double"), F.lit(-1.0))).drop("_value", "_rank")
 
 
+def _exact(rows: DataFrame, name: str, least: int | None, most: int | None) -> DataFrame:
+    """rows with a column of whole numbers from least to most replaced by doubles that keep each apart
+    from the others, in their order; null is below everything."""
+    if least is not None and most - least >= EXACT:
+        return _ranked(rows, name)
+    place = (F.col(name) - F.lit(least or 0).cast("long")).cast("double")
+    return rows.withColumn(name, F.coalesce(place, F.lit(-1.0)))
+
+
 def _together(numbers: DataFrame, places: list[str], most: float) -> DataFrame:
     """numbers with the place of the smallest key of their text, for rows of equal texts that have at
     most so many bytes together. A text with more rows than that keeps each row's own place: there
@@ -158,17 +171,25 @@ def _together(numbers: DataFrame, places: list[str], most: float) -> DataFrame:
 def _placed(docs: DataFrame, key: str, dimensions: dict[str, Column], shards: int | None, target_bytes: int | None, *more: Column) -> DataFrame:
     """key, _size, _hash (of the text), shard and more columns of every row."""
     names = {k: f"_d_{k}" for k in dimensions}
-    tie = F.coalesce(F.col(key).cast("long"), F.lit(-(2**53)).cast("long"))
     text = F.coalesce("text", F.lit(""))
     values = [v.alias(names[k]) for k, v in dimensions.items()]
-    rows = docs.select(F.col(key), byte_size(F.col("text")).alias("_size"), tie.alias("_tie"), F.xxhash64(text).alias("_hash"), *values, *more)
+    rows = docs.select(F.col(key), byte_size(F.col("text")).alias("_size"), F.col(key).cast("long").alias("_tie"), F.xxhash64(text).alias("_hash"), *values, *more)
+    whole = ["_tie"]
     for name in names.values():
-        if rows.schema[name].dataType.simpleString() == "string":
+        kind = rows.schema[name].dataType.simpleString()
+        if kind == "string":
             rows = _ranked(rows, name)
+        elif kind in ("tinyint", "smallint", "int", "bigint"):
+            rows = rows.withColumn(name, F.col(name).cast("long"))
+            whole.append(name)
         else:
             rows = rows.withColumn(name, F.col(name).cast("double"))
     numbers = common.stored(rows)
-    total = numbers.agg(F.sum("_size")).first()[0] or 0
+    found = numbers.agg(F.sum("_size"), *(f(name) for name in whole for f in (F.min, F.max))).first()
+    total = found[0] or 0
+    for k, name in enumerate(whole):
+        numbers = _exact(numbers, name, found[2 * k + 1], found[2 * k + 2])
+    numbers = numbers.withColumn("_tie", F.col("_tie").cast("long"))
     shards = shards or max(1, math.ceil(total / target_bytes))
     numbers = common.stored(_together(numbers, ["_tie", *names.values()], KEPT_TOGETHER * total / shards))
     root = kd_tree(numbers, list(names.values()), shards)
@@ -182,8 +203,9 @@ def assign_shards(docs: DataFrame, shards: int | None = None, target_bytes: int
     Give the number of shards, or the bytes a leaf should reach. Sizes of shards differ by a few
     rows' sizes at most. Equal texts stay together while they have no more than KEPT_TOGETHER of a
     shard's bytes; larger groups, and other rows of one place in all dimensions, are parted by key.
-    Rows that repeat a key and text stay together; null keys are one place. Null texts have no bytes
-    and are equal to empty ones. An empty table gives an empty result.
+    Rows that repeat a key and text stay together; null keys are one place. Keys may be any 64-bit
+    numbers, hashes among them: those further apart than 2^53 go by rank. Null texts have no bytes and
+    are equal to empty ones. An empty table gives an empty result.
     """
     docs = docs.drop("shard")
     own = _placed(docs, key, dimensions or metadata(), shards, target_bytes).select(F.col(key).alias("_key"), "_hash", "shard").distinct()

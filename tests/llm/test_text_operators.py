@@ -117,6 +117,22 @@ def test_shards_of_awkward_tables(spark):
         assert slots == list(range(len(slots)))
 
 
+def test_shards_of_64_bit_keys(spark):
+    """Keys that a double cannot tell apart, next to each other or over the whole range, are parted."""
+    near = [2**62 + k for k in range(400)]
+    wide = [k * 0x9E3779B97F4A7C15 % 2**64 - 2**63 for k in range(398)] + [-(2**63), 2**63 - 1]
+    for keys in (near, wide):
+        rows = [(k, "one source", "en", f"text {j:03}") for j, k in enumerate(keys)] + [(None, None, None, None)]
+        docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").repartition(3)
+        placed = sharding.assign_shards(docs, shards=8).select("doc_id", "shard").collect()
+        assert sorted(r["doc_id"] for r in placed if r["doc_id"] is not None) == sorted(keys) and len(placed) == 401
+        sizes = [sum(r["shard"] == s for r in placed) for s in range(8)]
+        assert max(sizes) - min(sizes) <= 3, sizes
+        # One dimension is left, the id: shards are ranges of it.
+        ends = sorted((min(ids), max(ids)) for s in range(8) if (ids := [r["doc_id"] for r in placed if r["shard"] == s and r["doc_id"] is not None]))
+        assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
 def plain_leaves(rows, dims, shards):
     """rows: (id, size, tie, dims...). The leaf of each id, by splitting at the exact weighted median."""
     spread = [max((r[3 + d] for r in rows), default=0) - min((r[3 + d] for r in rows), default=0) for d in range(dims)]
