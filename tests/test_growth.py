@@ -12,6 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
 #: Queries on words of pages that shuffle the texts once, and nothing else.
 IN_ROWS = [
     "import_labeling_results",
+    "flatten_ocr_pages",
 ]
 
 
