@@ -13,6 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
 IN_ROWS = [
     "import_labeling_results",
     "flatten_ocr_pages",
+    "export_labeling_tasks",
 ]
 
 
