@@ -14,6 +14,7 @@ IN_ROWS = [
     "import_labeling_results",
     "flatten_ocr_pages",
     "export_labeling_tasks",
+    "read_funsd",
 ]
 
 
