@@ -27,3 +27,18 @@ def test_words_stay_in_their_rows(spark, name):
     text = plan(spark, name)
     assert text.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in text
     assert not any(word in text for word in ("Sort", "Join", "Window", "Aggregate"))
+
+
+def test_texts_are_normalized_once_for_a_comparison(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions.scalars import fuzzy_equal
+
+    df = spark.createDataFrame([("Acme  Ltd", "acme ltd"), ("acme ltd", "acme ltb"), ("", "x"), (None, " "), ("ab", "xyz")], "a string, b string")
+    made = df.select(fuzzy_equal(F.col("a"), F.col("b")).alias("ok"))
+    assert [r.ok for r in made.collect()] == [True, False, False, True, False]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 2
+
+
+def test_fields_are_not_compared_again_to_filter(spark):
+    assert plan(spark, "ensemble_fields").count("generate explode") == 0 and "Filter (size(" not in plan(spark, "ensemble_fields")
