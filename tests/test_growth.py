@@ -15,6 +15,9 @@ IN_ROWS = [
     "flatten_ocr_pages",
     "export_labeling_tasks",
     "read_funsd",
+    "read_cord",
+    "validate_example",
+    "scale_page_words",
 ]
 
 
@@ -42,3 +45,16 @@ def test_texts_are_normalized_once_for_a_comparison(spark):
 
 def test_fields_are_not_compared_again_to_filter(spark):
     assert plan(spark, "ensemble_fields").count("generate explode") == 0 and "Filter (size(" not in plan(spark, "ensemble_fields")
+
+
+@pytest.mark.parametrize("name", ["read_sroie", "read_examples"])
+def test_pages_meet_their_other_file_without_a_sort(spark, name):
+    text = plan(spark, name)
+    assert "ShuffledHashJoin" in text and "Sort" not in text and "SortMergeJoin" not in text
+
+
+def test_written_examples_are_not_gathered_by_a_shuffle(spark):
+    from ledgerloom.plans.flows import _examples
+
+    text = _examples(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "Aggregate" not in text
