@@ -18,6 +18,7 @@ IN_ROWS = [
     "read_cord",
     "validate_example",
     "scale_page_words",
+    "split_word_boxes",
 ]
 
 
