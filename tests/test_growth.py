@@ -59,3 +59,8 @@ def test_written_examples_are_not_gathered_by_a_shuffle(spark):
 
     text = _examples(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1 and "Aggregate" not in text
+
+
+def test_an_analysis_is_walked_once_for_all_fields(spark):
+    text = plan(spark, "flatten_analysis_result")
+    assert text.count("try_variant_get(_doc") == 1
