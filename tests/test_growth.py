@@ -19,6 +19,7 @@ IN_ROWS = [
     "validate_example",
     "scale_page_words",
     "split_word_boxes",
+    "gold_vs_predicted",
 ]
 
 
@@ -64,3 +65,52 @@ def test_written_examples_are_not_gathered_by_a_shuffle(spark):
 def test_an_analysis_is_walked_once_for_all_fields(spark):
     text = plan(spark, "flatten_analysis_result")
     assert text.count("try_variant_get(_doc") == 1
+
+
+def test_figures_of_fields_shuffle_texts_and_counts_alone(spark):
+    text = plan(spark, "field_prf")
+    assert text.count("Exchange hashpartitioning") == 2 and not any(word in text for word in ("Sort", "Join", "Window"))
+
+
+#: Labels of pages with odd ones: nulls, no prefix, names that differ in case, spans that go on.
+ODD = [
+    (1, ["a", "b", "c", "d", "e", "f"], ["B-X", "I-X", "I-x", "O", "I-X", "I-X"], [None, "I-X", "I-X", "B-X", None, "I-Y"]),
+    (2, ["a", "b", "c", "d", "e"], ["Q-X", "B-X", "Q-X", "I-X", "O"], ["O", "O", "O", "O", "O"]),
+    (3, [], [], []),
+    (4, None, None, None),
+    (None, ["z"], ["B-"], ["I-Z"]),
+    (5, ["a", "b", "c", "d", "e"], ["B-X", "B-X", "I-X", "B-x", "I-x"], ["B-X", "B-x", "I-x", "B-Y", "O"]),
+]
+
+
+def test_fields_of_pages_are_those_of_their_words(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators import evaluate, tokens
+
+    pages = spark.createDataFrame(ODD, "doc_id long, words array<string>, gold array<string>, predicted array<string>")
+    words = pages.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.arrays_zip(F.col("words").alias("word"), "gold", "predicted")).alias("pos", "w")).select("doc_id", "pos", "w.*")
+    expected = evaluate.gold_vs_predicted(tokens.gold_fields(words, "gold"), tokens.fields_first_span(words, "predicted"))
+    found = tokens.fields_of_pages(pages).collect()
+    assert sorted(map(str, (r for r in found if r.doc_id))) == sorted(map(str, expected.collect()))
+    assert [(r.field, r.gold, r.predicted) for r in found if r.doc_id is None] in ([("", "z", None), ("z", None, "z")], [("z", None, "z"), ("", "z", None)])
+
+
+def test_subwords_of_pages_are_those_of_their_words(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators import tokens
+
+    rows = [
+        (1, ["a", "b", "c"], [2, 0, 0, 7, None, 2], [5, 1, 0, 2, 3, 4], ["I-X", "I-Y", None, "B-Z", "B-Q", "B-X"], [0.5, 0.25, None, 1.0, 1.0, 0.1]),
+        (2, ["a"], [0], [None], ["B-X"], [0.5]),
+        (3, ["a", None], [], [], [], []),
+        (4, [], [0], [0], ["B-X"], [1.0]),
+        (5, None, None, None, None, None),
+    ]
+    kind = "doc_id long, words array<string>, pos array<long>, sub array<long>, label array<string>, confidence array<double>"
+    pages = spark.createDataFrame(rows, kind)
+    words = pages.select("doc_id", F.posexplode("words").alias("pos", "word"))
+    subs = pages.select("doc_id", F.inline(F.arrays_zip("pos", "sub", "label", "confidence")))
+    expected = tokens.subword_to_word(subs, words)
+    assert sorted(map(str, tokens.subwords_of_pages(pages).collect())) == sorted(map(str, expected.collect()))
