@@ -19,6 +19,7 @@ IN_ROWS = [
     "validate_example",
     "scale_page_words",
     "split_word_boxes",
+    "subword_to_word",
     "gold_vs_predicted",
 ]
 
