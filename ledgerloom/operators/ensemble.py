@@ -42,7 +42,8 @@ def ensemble_decide(champ: DataFrame, challenger: DataFrame, auto: float = 0.9,
     rows = judged.withColumns({"_n": F.size("_judged"), "mismatches": wrong, "confidence": (a + b) / 2})
     rows = rows.withColumn("fields", F.when(F.col("_n") > 0, F.map_from_entries(F.transform("_judged", lambda p: F.struct(p["field"], F.coalesce(kept(p), F.lit("")))))))
     rows = rows.withColumn("agreement", F.when(F.col("_n") > 0, (F.col("_n") - F.size("mismatches")) / F.col("_n")).otherwise(0.0))
-    none = F.col("fields").isNull()
+    # By the number of pairs, so that a query without fields need not make them.
+    none = F.col("_n") == 0
     auto_ok = ~none & (F.col("agreement") >= auto) & (F.col("confidence") >= min_conf)
     low = F.format_string("Low agreement: %.0f%%", F.col("agreement") * 100)
     unsure = F.when(F.col("confidence") < min_conf, F.format_string("Low confidence: %.2f", F.col("confidence")))

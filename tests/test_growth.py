@@ -50,6 +50,23 @@ def test_fields_are_not_compared_again_to_filter(spark):
     assert plan(spark, "ensemble_fields").count("generate explode") == 0 and "Filter (size(" not in plan(spark, "ensemble_fields")
 
 
+def test_amounts_written_alike_are_compared_as_texts(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions import scalars
+
+    texts = ["0.00", "-0.00", "12.30", "12.3", "012.30", "$12.30", "12.304", "1234567890123.45", "12345678901234567.00", "12.30\n", "x", "", "-5.10", "5.10"]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    slow = F.coalesce(scalars.normalize_numeric(F.col("a")) == scalars.normalize_numeric(F.col("b")), F.lit(False))
+    made = df.select("a", "b", scalars.fields_agree(F.lit("total_amount"), F.col("a"), F.col("b")).alias("ok"), slow.alias("slow"))
+    assert [r for r in made.collect() if r.ok != r.slow] == []
+    assert scalars._CENTS in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_decision_alone_makes_no_fields(spark):
+    assert "map_from_entries(transform(_judged" not in plan(spark, "ensemble_decide")
+
+
 @pytest.mark.parametrize("name", ["read_sroie", "read_examples"])
 def test_pages_meet_their_other_file_without_a_sort(spark, name):
     text = plan(spark, name)
