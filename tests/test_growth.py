@@ -132,3 +132,54 @@ def test_subwords_of_pages_are_those_of_their_words(spark):
     subs = pages.select("doc_id", F.inline(F.arrays_zip("pos", "sub", "label", "confidence")))
     expected = tokens.subword_to_word(subs, words)
     assert sorted(map(str, tokens.subwords_of_pages(pages).collect())) == sorted(map(str, expected.collect()))
+
+
+def test_reports_are_made_only_if_asked_for(spark):
+    text = plan(spark, "pipeline_logs").lower()
+    assert "to_json" not in text and "structstojson" not in text and "map(" not in text
+
+
+def test_pairs_are_compared_after_all_joins(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators import decide
+
+    amounts = {n: F.col("id").cast("decimal(14,2)") for n in ("total_amount", "subtotal", "tax_amount")}
+    texts = {n: F.col("id").cast("string") for n in ("vendor_name", "invoice_number", "purchase_order")}
+    side = spark.range(9).withColumns(amounts | texts | {"invoice_date": F.current_date(), "conf_a": F.lit(0.5)}).withColumnRenamed("id", "invoice_id")
+    items = side.select("invoice_id", F.col("subtotal").alias("amount"))
+    lines = decide.validation_report(side, side, items)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    python = next(k for k, line in enumerate(lines) if "ArrowEvalPython" in line)
+    assert not any("Join" in line for line in lines[:python]) and sum("Join" in line for line in lines[python:]) == 2
+
+
+def test_a_stage_timed_twice_has_two_rows(spark):
+    from ledgerloom.operators import extend
+
+    key, none = "invoice_id long", "description string, amount decimal(14,2)"
+    fields = "vendor_name string, invoice_number string, invoice_date date, currency string, subtotal decimal(14,2), tax_amount decimal(14,2), total_amount decimal(14,2), purchase_order string, conf_a double"
+    champ = spark.createDataFrame([(1, "A", "X-1", None, "USD", None, None, None, None, 0.9)], f"{key}, {fields}")
+    lines = spark.createDataFrame([], "doc_id long, line int, text string, confidence double")
+    vendors, orders = spark.createDataFrame([("A", "V")], "vendor_name string, vendor_id string"), spark.createDataFrame([], "purchase_order string")
+    took = spark.createDataFrame([(1, "champ", 5), (1, "champ", 6), (2, "challenger", 7), (3, "champ", 8)], f"{key}, agent string, duration_ms int")
+    uploads = spark.createDataFrame([(1,), (2,), (2,)], key)
+    invoices, _, logs = extend.run_pipeline_batch(uploads, champ, lines, spark.createDataFrame([], f"{key}, {none}"), vendors, orders, durations=took)
+    rows = sorted((r.invoice_id, r.step, r.level, r.message, r.duration_ms or 0) for r in logs.collect())
+    failed = "OCR failed: no extraction"
+    assert rows == [
+        (1, 0, "INFO", "Champ OCR ok", 5), (1, 0, "INFO", "Champ OCR ok", 6), (1, 1, "ERROR", f"Challenger {failed}", 0),
+        (1, 2, "INFO", "Validation decision: REVIEW_REQUIRED", 0), (1, 3, "INFO", "vendor_valid=true, po_valid=true", 0),
+        (2, 0, "ERROR", f"Champ {failed}", 0), (2, 1, "ERROR", f"Challenger {failed}", 7), (2, 2, "ERROR", "Validation failed: no engine gave an extraction", 0),
+    ]
+    made = {r.invoice_id: r for r in invoices.collect()}
+    assert made[2].status == "FAILED" and made[2].report is None and made[2].po_valid is None and made[1].report.startswith('{"decision":"REVIEW')
+
+
+def test_white_space_goes_without_a_regular_expression(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions import scalars
+
+    texts = [f"{w}a{w} b{w}{w}" for w in (*scalars.WHITE, "​", "\x1c", "\r\n", "x")] + ["", " ", "\n", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(scalars.trimmed(F.col("t")).alias("a"), scalars.stripped(F.col("t")).alias("b")).collect()
+    assert [r for r in rows if r.a != r.b] == []
