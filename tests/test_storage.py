@@ -41,6 +41,19 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     assert Store(spark, path).read("invoices").filter("total = 1").count() == 99
 
 
+def test_buckets_without_the_keys_are_not_written_anew(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    write_tables(spark, path, "a", *batch(spark, range(100), 1, 1), buckets=4)
+    before = Store(spark, path).manifest()["tables"]
+    write_tables(spark, path, "b", *batch(spark, [7, *range(100, 200)], 2, 1))
+    after = Store(spark, path).manifest()["tables"]
+    for name in ("invoices", "items"):
+        kept = [b for b, f in before[name]["folders"].items() if set(f) <= set(after[name]["folders"][b])]
+        assert len(kept) == 3
+    assert rows(Store(spark, path).read("invoices")) == [(i, 2 if i == 7 or i >= 100 else 1) for i in range(200)]
+    assert Store(spark, path).read("items").count() == 200
+
+
 def test_a_reader_and_a_failed_writer_see_one_version(spark, tmp_path):
     path = f"{tmp_path}/store"
     write_tables(spark, path, "a", *batch(spark, range(6), 1, 2), buckets=2)
