@@ -13,16 +13,19 @@ from ledgerloom.llm import common, minhash, mixing, pieces, quality, toxicity
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go."""
+    common.short_batches(spark)
     return toxicity.keep_clean(docs, common.table(spark, sf_dir, "labels"))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule of the strict policy rejects go."""
+    common.short_batches(spark)
     return quality.keep_good(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
+    common.short_batches(spark)
     return minhash.one_of_each(docs)
 
 
@@ -33,6 +36,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_pieces and pieces of each text, from which decoding restores it."""
+    common.short_batches(spark)
     return pieces.encode(docs, keep=("lang", "source"))
 
 

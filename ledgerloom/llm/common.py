@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 HOT_KEYS, LEAST_HOT = 10_000, 1000
 #: Lookups of narrow rows are broadcast up to this many.
 BROADCAST_ROWS = 200_000
+#: Rows that go to Python at once where whole texts do, one stage after the other in one session.
+BATCH_ROWS = 1000
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of BATCH_ROWS rows at most from here on. A batch is held by the executor's JVM
+    and by Python at once, outside of the heap, in each of its tasks."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that driver and executors share, which spark.checkpoint.dir names.
 
