@@ -153,6 +153,34 @@ def test_pairs_are_compared_after_all_joins(spark):
     assert not any("Join" in line for line in lines[:python]) and sum("Join" in line for line in lines[python:]) == 2
 
 
+def test_a_batch_is_cut_from_its_frame_without_a_shuffle(spark):
+    from ledgerloom.fixtures import store_view
+    from ledgerloom.plans.flows import _batch
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in _batch(spark, DATA, store_view(spark, DATA, "fx_items")):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_an_id_read_twice_has_two_invoices(spark):
+    from ledgerloom.operators import extend
+
+    fields = "invoice_id long, vendor_name string, invoice_number string, invoice_date date, currency string, subtotal decimal(14,2), tax_amount decimal(14,2), total_amount decimal(14,2), purchase_order string, conf_a double"
+    champ = spark.createDataFrame([(k, v, "X-1", None, "USD", None, None, None, p, 0.9) for k, v, p in ((1, "A", None), (1, "B", "PO-1"), (1, "B", "PO-2"), (2, "A", "PO-2"))], fields)
+    lines = spark.createDataFrame([], "doc_id long, line int, text string, confidence double")
+    vendors, orders = spark.createDataFrame([("A", "V")], "vendor_name string, vendor_id string"), spark.createDataFrame([("PO-1",)], "purchase_order string")
+    items = spark.createDataFrame([], "invoice_id long, description string, amount decimal(14,2)")
+    invoices, _, logs = extend.run_pipeline_batch(spark.createDataFrame([(1,), (2,), (None,)], "invoice_id long"), champ, lines, items, vendors, orders)
+    found = sorted((r.invoice_id or 0, r.vendor_name or "", r.purchase_order or "", r.vendor_id or "", r.po_valid, r.status) for r in invoices.collect())
+    seen = "REVIEW_REQUIRED"
+    assert found == [(0, "", "", "", None, "FAILED"), (1, "A", "", "V", True, seen), (1, "B", "PO-1", "", True, seen), (1, "B", "PO-2", "", False, seen), (2, "A", "PO-2", "V", False, seen)]
+    assert logs.count() == 4 * 4 + 3
+
+
 def test_a_stage_timed_twice_has_two_rows(spark):
     from ledgerloom.operators import extend
 

@@ -1,10 +1,12 @@
 """Batches replace what is there by invoice, and readers see whole versions."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.annotations import flatten_analysis_result
-from ledgerloom.storage import Store, write_tables
+from ledgerloom.storage import Store, freed, key_buckets, stored_by_key, write_tables
 
 INVOICES, ITEMS, LOGS = "invoice_id long, total long", "invoice_id long, line long", "invoice_id long, message string"
 
@@ -101,3 +103,54 @@ def test_cloud_results_of_all_shapes(spark):
     for k in "bcdf":
         assert rows[k].error == "no document" and rows[k]["items"] == [] and rows[k].currency == "USD"
     assert rows["e"].error is None and rows["e"].vendor_name is None
+
+
+def by_key(spark, parts):
+    """Frames that are stored by key, in as many buckets as shuffles have partitions."""
+    return [stored_by_key(df.repartition(key_buckets(spark), "invoice_id")) for df in parts]
+
+
+def test_frames_stored_by_key_are_written_in_place(spark, tmp_path):
+    dealt, placed = f"{tmp_path}/dealt", f"{tmp_path}/placed"
+    for name, ids, total, lines in (("a", range(60), 1, 2), ("b", range(40, 80), 2, 1), ("c", range(70, 75), 3, 0)):
+        parts = batch(spark, ids, total, lines)
+        write_tables(spark, dealt, name, *parts, buckets=key_buckets(spark))
+        write_tables(spark, placed, name, *by_key(spark, parts), buckets=key_buckets(spark), in_place=True)
+        if name == "a":
+            files = [p for p in Path(placed).rglob("*.parquet")]
+            assert len(files) == 3 * key_buckets(spark) and len({p.parent for p in files}) == len(files)
+    for table in ("invoices", "items", "logs"):
+        assert rows(Store(spark, placed).read(table)) == rows(Store(spark, dealt).read(table))
+    first, last = (Store(spark, placed).read("invoices", version=v) for v in (1, 3))
+    assert first.count() == 60 and last.count() == 80
+
+
+def test_frames_stored_by_key_meet_without_a_shuffle(spark):
+    a, b, c = by_key(spark, batch(spark, range(50), 1, 2))
+    made = a.join(b.groupBy("invoice_id").count().hint("merge"), "invoice_id").join(c.hint("shuffle_hash"), "invoice_id", "left_semi")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.count() == 50 and made.filter("count = 2").count() == 50
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("by_key_")]
+
+
+def test_a_store_of_before_keeps_its_hash(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    store = Store(spark, path, 4)
+    del store._new["by"]
+    parts = batch(spark, range(20), 1, 1)
+    store.commit("a", {"invoices": parts[0], "items": parts[1]}, parts[0], {"logs": parts[2]})
+    write_tables(spark, path, "b", *batch(spark, range(10, 30), 2, 1))
+    found = Store(spark, path)
+    assert "by" not in found.manifest() and rows(found.read("invoices")) == [(i, 1 if i < 10 else 2) for i in range(30)]
+    old = found.touched(spark.createDataFrame([(i,) for i in range(30)], "invoice_id long"))
+    assert all(rows(found.read("invoices", buckets=[b])) == rows(found.read("invoices").filter(F.pmod(F.xxhash64("invoice_id"), F.lit(4)) == b)) for b in old)
+
+
+def test_shuffles_of_a_write_are_freed(spark):
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    with freed(spark):
+        assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+        held = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().filter("count > 0")
+        assert held.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+    assert held.count() == 7 and sum(r["count"] for r in held.collect() + held.collect()) == 2000
